@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from .minhash import op2_minhash
+from .mixing import OP1_SQL, op1_mixing
+from .sharding import op6_sharding
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_minhash": op2_minhash,
+    "op6_sharding": op6_sharding,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_mixing": OP1_SQL,
+}
