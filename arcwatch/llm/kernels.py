@@ -24,6 +24,8 @@ _BASE_INV = pow(_BASE, -1, 1 << 64)
 #: True for the six bytes that end a word: space and \t \n \v \f \r.
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: True for every ASCII byte that is neither letter nor digit.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 #: ASCII A-Z to a-z, everything else as it is.
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -90,13 +92,13 @@ class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a piece, ASCII letters lower-cased.
 
     starts/ends: byte positions; hash: 64 bits each; offs: word boundaries of
-    the texts.
+    the texts.  ``between`` marks the bytes that separate words.
     """
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, lower: bool = True):
-        self.data = _LOWER[data] if lower else data
+    def __init__(self, data: np.ndarray, offs: np.ndarray, between: np.ndarray = _SPACE):
+        self.data = _LOWER[data]
         solid = np.zeros(len(data) + 1, bool)
-        solid[:-1] = ~_SPACE[data]
+        solid[:-1] = ~between[data]
         begin = solid.copy()
         begin[1:] &= ~solid[:-1]
         inner = offs[1:-1][offs[1:-1] < len(data)]
