@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from .decontamination import op9_decontamination
 from .minhash import op2_minhash
 from .mixing import OP1_SQL, op1_mixing
 from .sharding import op6_sharding
+from .toxicity import op8_toxicity
 
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_minhash": op2_minhash,
     "op6_sharding": op6_sharding,
+    "op8_toxicity": op8_toxicity,
+    "op9_decontamination": op9_decontamination,
 }
 
 SQL: dict[str, str] = {
