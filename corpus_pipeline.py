@@ -1,21 +1,58 @@
-"""A corpus pipeline: five filtering, mixing and sharding stages over documents."""
+"""A corpus pipeline: toxic documents go, one of each group of near-duplicates
+stays, documents that carry benchmark passages go, sources are mixed, and the
+rest is dealt into shards.
+
+Every stage works on all rows its predecessor kept, and its result is written
+before the next one starts.  All but the last return the columns of documents;
+the last adds ``shard``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from arcwatch.llm import decontamination, minhash, mixing, sharding, toxicity
 from arcwatch.llm.common import cut, table
-from arcwatch.llm.minhash import near_dedup
 from arcwatch.session import ship
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns from the labelled rows of docs itself, then drops what scores
+    at or above the threshold."""
+    ship(spark)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), F.lit(True))
+    return toxicity.drop_toxic(docs, model)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
     ship(spark)
-    return near_dedup(docs)
+    return minhash.near_dedup(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources to the square root of their present shares."""
+    ship(spark)
+    return mixing.mix_sources(docs).select(*docs.columns)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return sharding.shard_documents(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontaminate),
+    ("mixing", mix),
+    ("sharding", shard),
+]
 
 #: Classifiers and min-wise hashing have no SQL form.
 ORACLE_SQL = None
