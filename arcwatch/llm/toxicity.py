@@ -34,7 +34,7 @@ from .common import crc_mod, table
 from .kernels import PUNCTUATION, Words, lookup, mix, pieces
 
 SAMPLE = 4000
-SAMPLE_BYTES = 12 << 20
+SAMPLE_BYTES = 8 << 20
 CALIBRATE = 3
 LENGTHS = (0.25, 0.5, 0.75, 1.0)
 DISCOUNT = 1.0
