@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from .decontamination import op9_decontamination
+from .language import op10_language
 from .minhash import op2_minhash
 from .mixing import OP1_SQL, op1_mixing
+from .quality import op3_quality
 from .sharding import op6_sharding
 from .toxicity import op8_toxicity
 
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_minhash": op2_minhash,
+    "op3_quality": op3_quality,
     "op6_sharding": op6_sharding,
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
+    "op10_language": op10_language,
 }
 
 SQL: dict[str, str] = {
