@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import op9_decontamination
+from .embeddings import op7_embeddings
 from .language import op10_language
 from .minhash import op2_minhash
 from .mixing import OP1_SQL, op1_mixing
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_minhash": op2_minhash,
     "op3_quality": op3_quality,
     "op6_sharding": op6_sharding,
+    "op7_embeddings": op7_embeddings,
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_language": op10_language,
