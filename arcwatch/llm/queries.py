@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import op9_decontamination
 from .embeddings import op7_embeddings
 from .language import op10_language
+from .language_model import op5_language_model
 from .minhash import op2_minhash
 from .mixing import OP1_SQL, op1_mixing
 from .quality import op3_quality
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_minhash": op2_minhash,
     "op3_quality": op3_quality,
+    "op5_language_model": op5_language_model,
     "op6_sharding": op6_sharding,
     "op7_embeddings": op7_embeddings,
     "op8_toxicity": op8_toxicity,
