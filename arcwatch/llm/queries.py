@@ -10,12 +10,14 @@ from .minhash import op2_minhash
 from .mixing import OP1_SQL, op1_mixing
 from .quality import op3_quality
 from .sharding import op6_sharding
+from .suffixes import op4_suffixes
 from .toxicity import op8_toxicity
 
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_minhash": op2_minhash,
     "op3_quality": op3_quality,
+    "op4_suffixes": op4_suffixes,
     "op5_language_model": op5_language_model,
     "op6_sharding": op6_sharding,
     "op7_embeddings": op7_embeddings,
