@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +41,16 @@ def crc_mod(doc_id: str | Column, n: int) -> Column:
     """crc32 of the decimal doc_id, modulo n; null ids count as remainder -1."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % n, F.lit(-1))
+
+
+def fitted(sample: DataFrame, build) -> object:
+    """build(table) in one task, for samples of documented size.
+
+    Only the small result comes to the driver.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        return pa.table({"model": pa.array([pickle.dumps(build(table))], pa.binary())})
+
+    row = sample.withColumn("_one", F.lit(0)).groupBy("_one").applyInArrow(run, "model binary").first()
+    return build(sample.limit(0).toArrow()) if row is None else pickle.loads(row["model"])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, fitted, table
 from .kernels import pieces
 
 N = 3
@@ -115,8 +115,13 @@ def train(docs: DataFrame, learn: Column) -> dict:
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     # a language with fewer rows than its part gives all of them
     part = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, each / r["n"]))) for r in counts], F.lit(0.0))
-    drawn = known.filter(draw < part).select("lang", "text", F.xxhash64("doc_id", "text").alias("_o")).orderBy("_o").limit(2 * SAMPLE + 4 * LANGUAGES).toArrow()
-    return fit(drawn.column("text").combine_chunks(), drawn.column("lang").to_pylist())
+    drawn = known.filter(draw < part).select("lang", "text", F.xxhash64("doc_id", "text").alias("_o")).orderBy("_o").limit(2 * SAMPLE + 4 * LANGUAGES)
+
+    def build(sample: pa.Table) -> dict:
+        sample = sample.sort_by([("_o", "ascending"), ("text", "ascending")])
+        return fit(sample.column("text").combine_chunks(), sample.column("lang").to_pylist())
+
+    return fitted(drawn, build)
 
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:

@@ -6,7 +6,7 @@ make the document's quality, which a logistic fitted on held-back documents
 turns into a probability.
 
 Line labels are not given, so in fitting every line has its document's label.
-The field is fitted by Adam on a bounded sample: per class the ``SAMPLE``
+The field is fitted by Adam, in one task, on a bounded sample: per class the ``SAMPLE``
 labelled documents of smallest hash, within ``SAMPLE_BYTES`` of text, weighed
 back to the share of each label.
 
@@ -21,13 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, fitted, table
 from .kernels import Words, lookup, pieces, prefix_hash, span_hash
-from .toxicity import _logistic, labelled_sample
+from .toxicity import _logistic, by_class, label_share, labelled_sample
 
 SAMPLE = 3000
 SAMPLE_BYTES = 6 << 20
@@ -192,20 +191,10 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column) -> dict:
-    """The model, fitted on the driver from the bounded sample."""
-    sums = labels.filter(F.col("quality").isin(0, 1) & learn).agg(F.sum("quality"), F.count("*")).first()
-    share = (float(sums[0] or 0) + 1) / (float(sums[1]) + 2)
-    sample = labelled_sample(docs, labels, "quality", learn, SAMPLE)
-    texts, label = [], []
-    for c in (0, 1):
-        own = sample.filter(F.col("label") == c).select("draw", "text")
-        rows = own.filter(F.octet_length(F.coalesce("text", F.lit(""))) <= SAMPLE_BYTES // 16).orderBy("draw", "text").toArrow()
-        text = rows.column("text").combine_chunks().fill_null("")
-        size = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False))
-        text = text.slice(0, int(np.searchsorted(size, SAMPLE_BYTES, "right"))).unique()
-        texts.append(text)
-        label.append(np.full(len(text), c))
+def build(sample: pa.Table, share: float) -> dict:
+    """The model of a sample (label, draw, text)."""
+    texts = by_class(sample)
+    label = [np.full(len(t), c) for c, t in enumerate(texts)]
     if not all(len(t) for t in texts):
         return {"share": share}
     text, label = pa.concat_arrays(texts), np.concatenate(label)
@@ -236,6 +225,12 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column) -> dict:
     return model | {"common": common, "slope": max(slope, 0.0), "intercept": float(intercept), "share": share}
 
 
+def train(docs: DataFrame, labels: DataFrame, learn: Column) -> dict:
+    """The model, fitted in one task from the bounded sample."""
+    share = label_share(labels, "quality", learn)
+    return fitted(labelled_sample(docs, labels, "quality", learn, SAMPLE, SAMPLE_BYTES), lambda sample: build(sample, share))
+
+
 def score_texts(column: pa.Array, model: dict) -> np.ndarray:
     out = np.full(len(column), model["share"])
     if "theta" in model:

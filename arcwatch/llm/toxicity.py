@@ -11,9 +11,9 @@ A text's score is the logistic of a calibrated difference of its
 log-likelihoods, divided by a power of the words chosen in ``LENGTHS`` at
 calibration, with the intercept moved to the share of toxic labels.
 
-The models are fitted on a bounded sample of labelled rows: per class the
-``SAMPLE`` documents of smallest hash and at most ``SAMPLE_BYTES`` of their
-text in that order, one in ``CALIBRATE`` of them kept for calibration.
+The models are fitted in one task on a bounded sample of labelled rows: per
+class the ``SAMPLE`` documents of smallest hash and at most ``SAMPLE_BYTES`` of
+their text in that order, one in ``CALIBRATE`` of them kept for calibration.
 Scoring covers every whole text.
 
 Nulls: null and empty texts score as the intercept alone.  Null labels and
@@ -27,10 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, fitted, table
 from .kernels import PUNCTUATION, Words, lookup, mix, pieces
 
 SAMPLE = 4000
@@ -153,42 +154,59 @@ def _loss(x: np.ndarray, y: np.ndarray, slope: float, intercept: float) -> float
     return float(np.mean(np.logaddexp(0, np.where(y > 0, -1, 1) * (slope * x + intercept))))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, learn: Column, per_class: int = SAMPLE) -> DataFrame:
-    """(label, rank hash, text) of at most per_class labelled rows of each class.
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, learn: Column, per_class: int = SAMPLE, size: int = SAMPLE_BYTES) -> DataFrame:
+    """(label, draw, text) of at most per_class labelled rows and size bytes of
+    text of each class, in the order of a hash of doc_id.
 
-    The ids are drawn by hash from the labels, a table of ids, so drawing
-    scans no text; then they are met with documents by a bounded broadcast.
+    The ids are drawn from the labels, a table of ids, so drawing scans no
+    text; then they are met with documents by a bounded broadcast.  The first
+    text of a class that exceeds the bytes left ends its sample.
     """
     known = labels.filter(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & learn)
-    drawn = [known.filter(F.col(column) == c).select(F.col("doc_id").alias("_id"), F.col(column).alias("label"), F.xxhash64("doc_id").alias("draw")).orderBy("draw", "_id").limit(per_class) for c in (0, 1)]
+    drawn = [known.filter(F.col(column) == c).select(F.col("doc_id").alias("_id"), F.col(column).cast("int").alias("label"), F.xxhash64("doc_id").alias("draw")).orderBy("draw", "_id").limit(per_class) for c in (0, 1)]
     ids = drawn[0].union(drawn[1])
-    return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("label", "draw", "text")
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    found = docs.select("doc_id", text).join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("label", "draw", "text")
+    # the window is over rows whose number is bounded above
+    order = Window.partitionBy("label").orderBy("draw", "text").rowsBetween(Window.unboundedPreceding, 0)
+    return found.withColumn("_sum", F.sum(F.octet_length("text")).over(order)).filter(F.col("_sum") <= size).drop("_sum")
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column) -> dict:
-    """The model, fitted on the driver from the bounded sample."""
-    sums = labels.filter(F.col("toxic").isin(0, 1) & learn).agg(F.sum("toxic"), F.count("*")).first()
-    share = (float(sums[0] or 0) + 1) / (float(sums[1]) + 2)
-    sample = labelled_sample(docs, labels, "toxic", learn)
+def label_share(labels: DataFrame, column: str, learn: Column) -> float:
+    """Share of label 1 among the rows to learn from, smoothed."""
+    sums = labels.filter(F.col(column).isin(0, 1) & learn).agg(F.sum(column), F.count("*")).first()
+    return (float(sums[0] or 0) + 1) / (float(sums[1]) + 2)
+
+
+def by_class(sample: pa.Table) -> list[pa.Array]:
+    """The distinct texts of each class, in drawing order: copies are one witness."""
+    sample = sample.sort_by([("draw", "ascending"), ("text", "ascending")])
+    return [sample.filter(pa.compute.equal(sample.column("label"), c)).column("text").unique().cast(pa.large_string()) for c in (0, 1)]
+
+
+def build(sample: pa.Table, share: float) -> dict:
+    """The model of a sample (label, draw, text)."""
     grams: list[list] = [[], []]
-    held: list[tuple[np.ndarray, np.ndarray, int]] = []
-    for label in (0, 1):
-        own = sample.filter(F.col("label") == label).select("draw", "text")
-        rows = own.filter(F.octet_length(F.coalesce("text", F.lit(""))) <= SAMPLE_BYTES // 16).orderBy("draw", "text").toArrow()
-        text = rows.column("text").combine_chunks()
-        size = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(text), 0).to_numpy(zero_copy_only=False))
-        text = text.slice(0, int(np.searchsorted(size, SAMPLE_BYTES, "right"))).unique()  # copies are one witness
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    texts = by_class(sample)
+    kept = []
+    for label, text in enumerate(texts):
         for first, _, data, offs in pieces(text):
             words = Words(data, offs, PUNCTUATION)
             left, word = _bigrams(words)
             doc = first + np.repeat(np.arange(len(offs) - 1), np.diff(words.offs))
             mine = doc % CALIBRATE > 0
             grams[label].append((left[mine], word[mine], doc[mine]))
-            held.append((words, (first + np.arange(len(offs) - 1)) % CALIBRATE == 0, label))
+            chosen = np.flatnonzero((first + np.arange(len(offs) - 1)) % CALIBRATE == 0)
+            kept.append((label, text.slice(first, len(offs) - 1).take(pa.array(chosen))))
     if not all(sum(len(g[1]) for g in own) for own in grams):
         return {"share": share}
     model = fit([tuple(map(np.concatenate, zip(*own))) for own in grams])
-    total, n, y = (np.concatenate(c) for c in zip(*((*(v[mine] for v in ratios(words, model)), np.full(int(mine.sum()), float(label))) for words, mine, label in held)))
+    for label, text in kept:
+        for _, _, data, offs in pieces(text):
+            total, n = ratios(Words(data, offs, PUNCTUATION), model)
+            held.append((total, n, np.full(len(n), float(label))))
+    total, n, y = (np.concatenate(c) for c in zip(*held))
     fits = {power: _logistic(_feature(total, n, power), y) for power in LENGTHS}
     power = min(fits, key=lambda p: _loss(_feature(total, n, p), y, *fits[p]))
     slope, intercept = fits[power]
@@ -197,6 +215,12 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column) -> dict:
     return model | {"power": power, "slope": max(slope, 0.0), "intercept": float(intercept), "share": share}
 
 
+def train(docs: DataFrame, labels: DataFrame, learn: Column) -> dict:
+    """The model, fitted in one task from the bounded sample."""
+    share = label_share(labels, "toxic", learn)
+    return fitted(labelled_sample(docs, labels, "toxic", learn), lambda sample: build(sample, share))
+
+
 def score_texts(column: pa.Array, model: dict) -> np.ndarray:
     out = np.full(len(column), model["share"])
     if "slope" in model:
