@@ -1,0 +1,603 @@
+"""The detectors on the driver's tables, each with its SQL for DuckDB.
+
+The domain tables (sign-ins, DNS, flows, logs) are not among them, so every
+operator runs over a stand-in: a user is an entity, the property k a host, a
+part a domain or port, a supplier an address, a page or a document a file or
+log.  Spans are in hours and days, as the events are hours apart.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import taxonomy
+from ..functions import iocs, text
+from ..operators import auth, behaviour, correlate, indicators, rules, windows
+from ..operators.windows import DAY, HOUR
+from ..sources.tables import LEVELS, TACTICS, WEIGHTS, read, telemetry, trades
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _case(key: str, table: dict, default: str) -> str:
+    quote = lambda v: f"'{v}'" if isinstance(v, str) else str(v)
+    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN {quote(v)}" for k, v in table.items()) + f" ELSE {default} END"
+
+
+T = f"""WITH t AS (SELECT *, epoch_us(ts) AS us, CAST(json_extract(props, '$.k') AS INTEGER) AS k,
+  {_case("event_type", WEIGHTS, "0")} AS weight, {_case("event_type", TACTICS, "'Unknown'")} AS tactic,
+  {_case("event_type", LEVELS, "'info'")} AS severity FROM events)"""
+TRADES = """WITH trades AS (SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_quantity, o.o_custkey, epoch_us(o.o_orderdate) AS us
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey)"""
+
+
+def _over(keys: str, span: int) -> str:
+    return f"OVER (PARTITION BY {keys} ORDER BY us RANGE BETWEEN {span} PRECEDING AND CURRENT ROW)"
+
+
+# -- scores ---------------------------------------------------------------------
+
+_STATUS = "CASE WHEN score >= 100 THEN 'CRITICAL' WHEN score >= 50 THEN 'WARNING' ELSE 'SECURE' END"
+_ROLLING = f"{T}, s AS (SELECT event_id, user_id, CAST(least(200, sum(weight) {_over('user_id', DAY)}) AS INTEGER) AS score FROM t)"
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.rolling_score(telemetry(spark, sf_dir), ["user_id"], "weight", DAY, taxonomy.SCORE_CAP).withColumn("status", taxonomy.threat_status(F.col("score")))
+
+
+@query(f"{_ROLLING} SELECT event_id, user_id, score, {_STATUS} AS status FROM s")
+def rolling_threat_score(spark, sf_dir):
+    return _scored(spark, sf_dir).select("event_id", "user_id", "score", "status")
+
+
+@query(f"{_ROLLING} SELECT {_STATUS} AS status, count(*) AS n, max(score) AS top FROM s GROUP BY 1")
+def threat_status_counts(spark, sf_dir):
+    return _scored(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"), F.max("score").alias("top"))
+
+
+@query(f"{_ROLLING} SELECT user_id, count(*) AS n_isolations, min(event_id) AS first_event FROM s WHERE score >= 100 GROUP BY user_id")
+def isolation_triggers(spark, sf_dir):
+    return _scored(spark, sf_dir).filter(F.col("score") >= taxonomy.ISOLATION_SCORE).groupBy("user_id").agg(F.count("*").alias("n_isolations"), F.min("event_id").alias("first_event"))
+
+
+# -- keyed windows --------------------------------------------------------------
+
+_FIRST = "qualify row_number() OVER (PARTITION BY {k} ORDER BY us, event_id) = 1"
+
+
+def _burst_sql(key: str, item: str, span: int, least: int) -> str:
+    return f"""{T}, c AS (SELECT event_id, us, {key}, count(DISTINCT {item}) {_over(key, span)} AS n_distinct FROM t)
+SELECT {key}, event_id, CAST(n_distinct AS INTEGER) AS n_distinct FROM c WHERE n_distinct >= {least} {_FIRST.format(k=key)}"""
+
+
+@query(_burst_sql("user_id", "k", DAY, 6))
+def fanout_first_firing(spark, sf_dir):
+    return windows.distinct_burst(telemetry(spark, sf_dir), ["user_id"], "k", DAY, 6).select("user_id", "event_id", "n_distinct")
+
+
+@query(_burst_sql("k", "user_id", DAY, 4))
+def fanin_first_firing(spark, sf_dir):
+    return windows.distinct_burst(telemetry(spark, sf_dir), ["k"], "user_id", DAY, 4).select("k", "event_id", "n_distinct")
+
+
+@query(f"""{T}, c AS (SELECT event_id, us, user_id, count(*) {_over('user_id', 3 * DAY)} AS n_rows, count(DISTINCT k) {_over('user_id', 3 * DAY)} AS n_distinct
+  FROM t WHERE event_type = 'error') SELECT user_id, event_id, n_rows FROM c WHERE n_rows >= 3 AND n_distinct >= 2 {_FIRST.format(k='user_id')}""")
+def error_burst(spark, sf_dir):
+    errors = telemetry(spark, sf_dir).filter("event_type = 'error'")
+    return windows.count_burst(errors, ["user_id"], "k", 3 * DAY, 3, 2).select("user_id", "event_id", "n_rows")
+
+
+@query(f"""{T}, c AS (SELECT event_id, us, user_id, count(*) {_over('user_id', DAY)} AS n_rows, avg(CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END) {_over('user_id', DAY)} AS share
+  FROM t) SELECT user_id, event_id, n_rows, round(share, 6) AS share FROM c WHERE n_rows >= 5 AND share >= 0.5""")
+def tunnel_rate(spark, sf_dir):
+    w = windows.trailing(["user_id"], DAY)
+    out = telemetry(spark, sf_dir).withColumns({"n_rows": F.count("*").over(w), "share": F.avg(F.when(F.col("value") > 50, 1.0).otherwise(0.0)).over(w)})
+    return out.filter("n_rows >= 5 and share >= 0.5").select("user_id", "event_id", "n_rows", F.round("share", 6).alias("share"))
+
+
+@query(f"""{TRADES}, c AS (SELECT *, count(DISTINCT l_suppkey) {_over('l_partkey', 365 * DAY)} AS n_addresses, avg(l_quantity) {_over('l_partkey', 365 * DAY)} AS mean_ttl FROM trades)
+SELECT l_partkey, l_orderkey, l_linenumber, CAST(n_addresses AS INTEGER) AS n_addresses, round(mean_ttl, 6) AS mean_ttl FROM c
+WHERE n_addresses >= 6 AND mean_ttl <= 30 qualify row_number() OVER (PARTITION BY l_partkey ORDER BY us, l_orderkey, l_linenumber) = 1""")
+def fast_flux(spark, sf_dir):
+    w = windows.trailing(["l_partkey"], 365 * DAY)
+    out = trades(spark, sf_dir).withColumns({"n_addresses": F.size(F.collect_set("l_suppkey").over(w)), "mean_ttl": F.avg("l_quantity").over(w)})
+    hits = out.filter("n_addresses >= 6 and mean_ttl <= 30").withColumn("tie", F.col("l_orderkey") * 100 + F.col("l_linenumber"))
+    return windows.first_firing(hits, ["l_partkey"], F.lit(True), tie="tie").select("l_partkey", "l_orderkey", "l_linenumber", "n_addresses", F.round("mean_ttl", 6).alias("mean_ttl"))
+
+
+@query(f"""{TRADES}, f AS (SELECT * FROM trades qualify row_number() OVER (PARTITION BY o_custkey, l_partkey ORDER BY us, l_orderkey, l_linenumber, l_partkey) = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY us, l_orderkey, l_linenumber, l_partkey) AS level FROM f)
+SELECT o_custkey, l_partkey, l_orderkey, CAST(level AS INTEGER) AS level FROM r WHERE level IN (20, 50, 100)""")
+def port_scan_levels(spark, sf_dir):
+    return windows.ranked_first_seen(trades(spark, sf_dir), "o_custkey", "l_partkey", [20, 50, 100], ["us", "l_orderkey", "l_linenumber", "l_partkey"]).select("o_custkey", "l_partkey", "l_orderkey", "level")
+
+
+@query(f"""{T}, g AS (SELECT user_id, us - lag(us) OVER (PARTITION BY user_id ORDER BY us, event_id) AS gap FROM t)
+SELECT user_id, count(gap) AS n_gaps, round(stddev_pop(gap) / avg(gap), 6) AS cv FROM g WHERE gap IS NOT NULL GROUP BY user_id HAVING count(gap) >= 20""")
+def beacon_cv(spark, sf_dir):
+    return windows.regular_gaps(telemetry(spark, sf_dir), ["user_id"], 20).withColumn("cv", F.round("cv", 6))
+
+
+@query(f"""{T}, g AS (SELECT user_id, event_id, us, us - lag(us) OVER w AS gap, row_number() OVER w AS n FROM t WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
+c AS (SELECT *, stddev_pop(gap) OVER v / avg(gap) OVER v AS cv FROM g WINDOW v AS (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN 18 PRECEDING AND CURRENT ROW))
+SELECT user_id, event_id, round(cv, 6) AS cv FROM c WHERE n > 19 AND (n - 20) % 10 = 0 AND cv < 0.9 {_FIRST.format(k='user_id')}""")
+def beaconing(spark, sf_dir):
+    return windows.beacons(telemetry(spark, sf_dir), ["user_id"], window=19, every=10, cv=0.9).select("user_id", "event_id", F.round("cv", 6).alias("cv"))
+
+
+@query(f"""{T}, g AS (SELECT user_id, event_id, lead(us) OVER (PARTITION BY user_id ORDER BY us, event_id) - us AS gap FROM t),
+m AS (SELECT user_id, median(gap) AS usual FROM g WHERE gap IS NOT NULL GROUP BY user_id)
+SELECT g.user_id, event_id, gap FROM g JOIN m ON g.user_id = m.user_id WHERE gap > 3 * usual""")
+def silence_gaps(spark, sf_dir):
+    return windows.silences(telemetry(spark, sf_dir), ["user_id"], 3.0).select("user_id", "event_id", "gap")
+
+
+@query(f"""{T}, n AS (SELECT *, CASE WHEN us - lag(us) OVER w <= {DAY} THEN 0 ELSE 1 END AS new FROM t WINDOW w AS (PARTITION BY user_id, event_type ORDER BY us, event_id)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY user_id, event_type ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS island FROM n)
+SELECT user_id, event_type, min(us) AS first_us, max(us) AS last_us, count(*) AS hit_count FROM i GROUP BY user_id, event_type, island""")
+def dedup_islands(spark, sf_dir):
+    return windows.islands(telemetry(spark, sf_dir), ["user_id", "event_type"], DAY).drop("island")
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT user_id, event_type, event_id, epoch_us(ts) AS us FROM events),
+e(user_id, event_type, event_id, us) AS (
+  SELECT user_id, event_type, arg_min(event_id, (us, event_id)), min(us) FROM t GROUP BY user_id, event_type
+  UNION ALL
+  SELECT e.user_id, e.event_type, n.event_id, n.us FROM e,
+    LATERAL (SELECT t.event_id, t.us FROM t WHERE t.user_id = e.user_id AND t.event_type = e.event_type AND t.us >= e.us + {2 * DAY} ORDER BY t.us, t.event_id LIMIT 1) n)
+SELECT user_id, event_type, event_id FROM e""")
+def throttle_alerts(spark, sf_dir):
+    return windows.throttle(telemetry(spark, sf_dir), ["user_id", "event_type"], 2 * DAY).select("user_id", "event_type", "event_id")
+
+
+@query(None)
+def fire_and_reset(spark, sf_dir):
+    return windows.fire_and_reset(telemetry(spark, sf_dir), ["user_id"], "k", 3 * DAY, 5)
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT user_id, event_id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r(user_id, event_id, n, v, ema, var) AS (
+  SELECT user_id, event_id, n, v, v, 0.0::DOUBLE FROM s WHERE n = 1
+  UNION ALL
+  SELECT s.user_id, s.event_id, s.n, s.v, CASE WHEN s.n <= 5 THEN s.v ELSE 0.1 * s.v + 0.9 * r.ema END,
+    CASE WHEN s.n <= 5 THEN 0.0 ELSE 0.9 * (r.var + 0.1 * (s.v - r.ema) * (s.v - r.ema)) END
+  FROM r JOIN s ON s.user_id = r.user_id AND s.n = r.n + 1)
+SELECT user_id, event_id, round(ema, 6) AS ema, round(CASE WHEN n <= 5 THEN 0 ELSE abs(v - ema) / sqrt(greatest(var, 1e-9)) END, 4) AS z FROM r""")
+def ema_zscore(spark, sf_dir):
+    return windows.ewma(telemetry(spark, sf_dir), "user_id", "value").select("user_id", "event_id", F.round("ema", 6).alias("ema"), F.round("z", 4).alias("z"))
+
+
+# -- sign-ins -------------------------------------------------------------------
+
+
+@query(f"""{T}, n AS (SELECT *, lead(event_id) OVER w AS next_id, lead(us) OVER w AS next_us, lead(k) OVER w AS nk, lead(event_type) OVER w AS ns FROM t WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id))
+SELECT user_id, event_id, next_id FROM n WHERE next_us - us <= {2 * HOUR} AND (event_type <> ns AND k <> nk)""")
+def chain_hop_pairs(spark, sf_dir):
+    signins = telemetry(spark, sf_dir).withColumn("target", F.col("k").cast("string"))
+    return auth.hops(signins, "user_id", "event_type", "target", 2 * HOUR).select("user_id", "event_id", "next_id")
+
+
+@query(f"""{T}, p AS (SELECT *, last_value(CASE WHEN event_type <> 'error' THEN k END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS from_target FROM t)
+SELECT user_id, event_id, k, from_target FROM p WHERE event_type = 'error' AND from_target <> k""")
+def privilege_jump(spark, sf_dir):
+    return auth.privilege_jumps(telemetry(spark, sf_dir), "user_id", "k", F.col("event_type") == "error").select("user_id", "event_id", "k", "from_target")
+
+
+_EDGES = f"""{TRADES}, e AS (SELECT c.c_nationkey AS src, s.s_nationkey AS dst, t.us, t.l_orderkey, t.l_linenumber FROM trades t JOIN customer c ON t.o_custkey = c.c_custkey JOIN supplier s ON t.l_suppkey = s.s_suppkey)"""
+_CUTOFF = "820454400000000"  # 1996-01-01
+
+
+def _edges(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("src"))
+    s = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("dst"))
+    return trades(spark, sf_dir).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+
+
+@query(f"""{_EDGES} SELECT src, dst, l_orderkey FROM e WHERE us >= {_CUTOFF} AND NOT EXISTS (SELECT 1 FROM e b WHERE b.us < {_CUTOFF} AND b.src = e.src AND b.dst = e.dst)
+qualify row_number() OVER (PARTITION BY src, dst ORDER BY us, l_orderkey, l_linenumber) = 1""")
+def new_edges(spark, sf_dir):
+    edges = _edges(spark, sf_dir)
+    return auth.new_edges(edges.filter(f"us >= {_CUTOFF}"), edges.filter(f"us < {_CUTOFF}"), ["src", "dst"], ["us", "l_orderkey", "l_linenumber"]).select("src", "dst", "l_orderkey")
+
+
+# -- baselines ------------------------------------------------------------------
+
+
+@query(f"""{T}, a AS (SELECT user_id, event_id, us, (extract(hour FROM ts) + extract(minute FROM ts) / 60.0) * 2 * pi() / 24 AS angle FROM t),
+p AS (SELECT *, count(*) OVER w AS n_prior, avg(cos(angle)) OVER w AS mc, avg(sin(angle)) OVER w AS ms FROM a
+  WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+d AS (SELECT *, sqrt(-2 * ln(greatest(1e-6, least(0.999999, sqrt(mc * mc + ms * ms))))) AS spread, abs(atan2(sin(angle - atan2(ms, mc)), cos(angle - atan2(ms, mc)))) AS distance FROM p)
+SELECT user_id, event_id, n_prior, round(distance, 5) AS distance FROM d WHERE n_prior >= 10 AND distance > 1.5 * greatest(spread, 0.05)""")
+def circular_time_anomaly(spark, sf_dir):
+    logins = telemetry(spark, sf_dir).withColumn("hour", F.hour("ts") + F.minute("ts") / 60.0)
+    return behaviour.login_time(logins, "user_id", "hour", sigmas=1.5).select("user_id", "event_id", "n_prior", F.round("distance", 5).alias("distance"))
+
+
+@query(f"""{T}, f AS (SELECT user_id, k, us, event_id FROM t qualify row_number() OVER (PARTITION BY user_id, k ORDER BY us, event_id) = 1),
+e AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) = 1 THEN 1 ELSE 0 END AS fresh FROM f),
+c AS (SELECT *, coalesce(sum(fresh) OVER (ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS entities,
+  count(*) OVER (PARTITION BY k ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS users FROM e)
+SELECT user_id, k, event_id, users FROM c WHERE entities >= 3 AND users <= 0.05 * entities""")
+def rare_process(spark, sf_dir):
+    return behaviour.rare_items(telemetry(spark, sf_dir), "user_id", "k").select("user_id", "k", "event_id", "users")
+
+
+_MAD = """WITH o AS (SELECT o_custkey, o_orderkey, o_totalprice AS v, epoch_us(o_orderdate) AS us FROM orders),
+h AS (SELECT *, list(v) OVER (PARTITION BY o_custkey ORDER BY us, o_orderkey ROWS BETWEEN 500 PRECEDING AND 1 PRECEDING) AS p FROM o),
+m AS (SELECT *, list_median(p) AS med FROM h WHERE len(p) >= 8),
+d AS (SELECT *, list_median(list_transform(p, lambda x: abs(x - med))) * 1.4826 AS raw FROM m),
+z AS (SELECT *, abs(v - med) / CASE WHEN raw > 0 THEN raw ELSE 1.0 END AS mod_z FROM d)
+SELECT o_custkey, o_orderkey, len(p)::INTEGER AS n_prior, round(mod_z, 4) AS mod_z FROM z WHERE mod_z > 2 AND v > med"""
+
+
+@query(_MAD)
+def volume_mad_outlier(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("event_id"), F.col("o_totalprice").alias("v"), windows.clock("o_orderdate").alias("us"))
+    return behaviour.volume_outliers(orders, "o_custkey", "v", limit=2.0).select("o_custkey", F.col("event_id").alias("o_orderkey"), "n_prior", F.round("mod_z", 4).alias("mod_z"))
+
+
+@query(f"""{T}, l AS (SELECT user_id, event_id, us, k, lag(k) OVER (PARTITION BY user_id ORDER BY us, event_id) AS prev FROM t),
+c AS (SELECT *, count(*) OVER (ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n_all,
+  count(*) OVER (PARTITION BY prev ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n_prev,
+  count(*) OVER (PARTITION BY prev, k ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n_step,
+  count(*) OVER (PARTITION BY user_id, prev, k ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n_own FROM l WHERE prev IS NOT NULL)
+SELECT user_id, event_id, prev, k, n_prev, n_step FROM c WHERE n_all >= 20 AND n_prev >= 10 AND n_step <= 0.01 * n_prev AND n_own = 0""")
+def markov_rare_transition(spark, sf_dir):
+    return behaviour.rare_transitions(telemetry(spark, sf_dir), "user_id", "k").select("user_id", "event_id", "prev", "k", "n_prev", "n_step")
+
+
+# -- correlation ----------------------------------------------------------------
+
+
+def _findings(spark, sf_dir):
+    t = telemetry(spark, sf_dir).select(F.lit("events").alias("tool"), F.col("event_type").alias("finding_type"), "severity", "tactic", F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("entity"), F.concat(F.lit("k="), F.col("k").cast("string")).alias("description"), F.col("weight").alias("score"), "us", "event_id")
+    return t.withColumn("fingerprint", correlate.fingerprint("tool", "finding_type", "entity", "description"))
+
+
+_FOUND = f"""{T}, f AS (SELECT 'events' AS tool, event_type AS finding_type, severity, tactic, 'user' || user_id AS entity, weight AS score, us, event_id,
+  left(sha256('events|' || event_type || '|user' || user_id || '|' || left('k=' || k, 80)), 16) AS fingerprint FROM t),
+n AS (SELECT *, CASE WHEN us - lag(us) OVER w <= {7 * DAY} THEN 0 ELSE 1 END AS new FROM f WINDOW w AS (PARTITION BY fingerprint ORDER BY us, event_id)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY fingerprint ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS island FROM n),
+d AS (SELECT fingerprint, island, min(us) AS first_us, max(us) AS us, count(*) AS hit_count, any_value(tool) AS tool, any_value(severity) AS severity, any_value(tactic) AS tactic, any_value(entity) AS entity, any_value(score) AS score FROM i GROUP BY fingerprint, island)"""
+
+
+def _deduplicated(spark, sf_dir):
+    return correlate.deduplicate(_findings(spark, sf_dir), 7 * DAY).withColumnRenamed("last_us", "us")
+
+
+@query(f"{_FOUND} SELECT fingerprint, first_us, us AS last_us, hit_count, entity, severity FROM d")
+def finding_dedup(spark, sf_dir):
+    return _deduplicated(spark, sf_dir).select("fingerprint", "first_us", F.col("us").alias("last_us"), "hit_count", "entity", "severity")
+
+
+@query(f"""{_FOUND} SELECT entity, CAST(sum(score * hit_count) AS BIGINT) AS risk, count(*) AS findings, {', '.join(f"count(*) FILTER (severity = '{s}') AS n_{s}" for s in taxonomy.SEVERITIES)},
+  string_agg(DISTINCT tool, ',') AS tools FROM d GROUP BY entity""")
+def entity_risk(spark, sf_dir):
+    return correlate.entity_risk(_deduplicated(spark, sf_dir))
+
+
+@query(f"""{_FOUND}, r AS (SELECT *, max(us) OVER (PARTITION BY entity) AS top FROM d WHERE tactic <> 'Unknown'),
+w AS (SELECT * FROM r WHERE us >= top - {3 * DAY}),
+g AS (SELECT entity, count(DISTINCT tactic) AS n, CAST(sum(score * hit_count) AS BIGINT) AS base_score, count(*) AS findings, max(us) - min(us) AS span_us FROM w GROUP BY entity),
+o AS (SELECT entity, string_agg(tactic, ' > ' ORDER BY {_case('tactic', {t: i for i, t in enumerate(taxonomy.TACTIC_ORDER)}, '99')}) AS tactics FROM (SELECT DISTINCT entity, tactic FROM w) GROUP BY entity)
+SELECT g.entity, base_score, findings, span_us, 1 + 0.5 * (n - 2)::DOUBLE AS multiplier, CAST(floor(base_score * (1 + 0.5 * (n - 2)::DOUBLE)) AS BIGINT) AS final_score, tactics
+FROM g JOIN o ON g.entity = o.entity WHERE n >= 3 AND findings >= 2""")
+def campaigns(spark, sf_dir):
+    return correlate.campaigns(_deduplicated(spark, sf_dir), 3 * DAY)
+
+
+@query(f"""{T} SELECT user_id, CAST(sum(w) AS BIGINT) AS raw, CAST(least(100, floor(ln(1 + sum(w)::DOUBLE) / ln(401) * 100)) AS INTEGER) AS risk
+FROM (SELECT user_id, {_case('severity', taxonomy.SEVERITY_WEIGHT, '0')} AS w FROM t WHERE event_id % 7 = 0) GROUP BY user_id""".replace(" WHERE event_id % 7 = 0", ""))
+def risk_score(spark, sf_dir):
+    raw = telemetry(spark, sf_dir).groupBy("user_id").agg(F.sum(taxonomy.severity_weight(F.col("severity"))).alias("raw"))
+    return raw.withColumn("risk", correlate.risk_score(F.col("raw").cast("double")))
+
+
+@query(f"""{_FOUND}, m AS (SELECT (min(us) + max(us)) // 2 AS mid FROM f), a AS (SELECT DISTINCT fingerprint FROM f, m WHERE us < mid), b AS (SELECT DISTINCT fingerprint FROM f, m WHERE us >= mid)
+SELECT coalesce(a.fingerprint, b.fingerprint) AS fingerprint, CASE WHEN a.fingerprint IS NULL THEN 'new' WHEN b.fingerprint IS NULL THEN 'resolved' ELSE 'persisting' END AS fate
+FROM a FULL OUTER JOIN b ON a.fingerprint = b.fingerprint""")
+def delta_report(spark, sf_dir):
+    found = _findings(spark, sf_dir)
+    mid = found.agg(F.expr("(min(us) + max(us)) div 2").alias("mid"))
+    dated = found.crossJoin(F.broadcast(mid))  # one row
+    return correlate.delta(dated.filter("us < mid"), dated.filter("us >= mid"))
+
+
+@query(f"""{_FOUND}, c AS (SELECT unnest({_case('tactic', {k: '@' + '|'.join(v) for k, v in correlate.CONTROLS.items()}, 'NULL')}) AS control FROM d)
+SELECT control, count(*) AS failures, CASE WHEN count(*) >= 10 THEN 'critical' WHEN count(*) >= 5 THEN 'high' ELSE 'medium' END AS severity FROM c GROUP BY control""".replace("unnest(CASE", "unnest(string_split(CASE").replace("ELSE NULL END) AS control FROM d", "ELSE NULL END, '|')) AS control FROM d").replace("'@", "'"))
+def compliance_controls(spark, sf_dir):
+    return correlate.control_failures(_deduplicated(spark, sf_dir))
+
+
+@query(f"{T} SELECT coalesce(severity, 'all') AS severity, coalesce(tactic, 'all') AS tactic, count(*) AS n, CAST(sum(weight) AS BIGINT) AS score FROM t GROUP BY GROUPING SETS ((severity, tactic), (severity), ())")
+def severity_rollup(spark, sf_dir):
+    out = telemetry(spark, sf_dir).select("severity", "tactic", "weight").rollup("severity", "tactic").agg(F.count("*").alias("n"), F.sum("weight").alias("score"))
+    return out.withColumns({"severity": F.coalesce("severity", F.lit("all")), "tactic": F.coalesce("tactic", F.lit("all"))})
+
+
+@query(f"""{T}, d AS (SELECT us // {DAY} AS day, count(*) AS n FROM t GROUP BY 1)
+SELECT g.day, coalesce(n, 0) AS n FROM (SELECT unnest(range((SELECT min(day) FROM d), (SELECT max(day) FROM d) + 1)) AS day) g LEFT JOIN d ON g.day = d.day""")
+def volume_series(spark, sf_dir):
+    days = telemetry(spark, sf_dir).groupBy(F.expr(f"us div {DAY}").alias("day")).agg(F.count("*").alias("n"))
+    every = days.agg(F.explode(F.sequence(F.min("day"), F.max("day"))).alias("day"))
+    return every.join(days, "day", "left").select("day", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+@query(f"{T} SELECT user_id, event_id, CAST(n AS INTEGER) AS n FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY us DESC, event_id DESC) AS n FROM t) WHERE n <= 20")
+def recent_per_entity(spark, sf_dir):
+    w = windows.Window.partitionBy("user_id").orderBy(F.desc("us"), F.desc("event_id"))
+    return telemetry(spark, sf_dir).withColumn("n", F.row_number().over(w)).filter("n <= 20").select("user_id", "event_id", "n")
+
+
+@query(f"""{T}, a AS (SELECT 'events' AS source, event_type AS category, severity, us FROM t UNION ALL SELECT 'orders', o_orderstatus, CASE WHEN o_totalprice > 200000 THEN 'high' ELSE 'low' END, epoch_us(o_orderdate) FROM orders)
+SELECT source, category, severity, count(*) AS n, min(us) AS first_us, max(us) AS last_us FROM a GROUP BY source, category, severity""")
+def timeline_summary(spark, sf_dir):
+    one = telemetry(spark, sf_dir).select(F.lit("events").alias("source"), F.col("event_type").alias("category"), "severity", "us")
+    two = read(spark, sf_dir, "orders").select(F.lit("orders").alias("source"), F.col("o_orderstatus").alias("category"), F.when(F.col("o_totalprice") > 200000, "high").otherwise("low").alias("severity"), windows.clock("o_orderdate").alias("us"))
+    return one.unionByName(two).groupBy("source", "category", "severity").agg(F.count("*").alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+
+
+@query("""WITH a AS (SELECT o_custkey % 997 AS path, sum(o_totalprice) AS size, count(*) AS n FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' AND o_orderstatus <> 'P' GROUP BY 1),
+b AS (SELECT o_custkey % 997 AS path, sum(o_totalprice) AS size, count(*) AS n FROM orders WHERE o_orderstatus <> 'O' GROUP BY 1)
+SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'NEW' WHEN b.path IS NULL THEN 'DELETED' ELSE 'MODIFIED' END AS drift FROM a FULL OUTER JOIN b ON a.path = b.path
+WHERE a.path IS NULL OR b.path IS NULL OR a.n <> b.n""")
+def fim_diff(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders").withColumn("path", F.expr("o_custkey % 997"))
+    before = orders.filter("o_orderdate < TIMESTAMP_NTZ '1996-01-01' and o_orderstatus <> 'P'").groupBy("path").agg(F.count("*").alias("n"))
+    after = orders.filter("o_orderstatus <> 'O'").groupBy("path").agg(F.count("*").alias("n"))
+    return correlate.snapshot_diff(before, after, "path", ["n"])
+
+
+# -- indicators -----------------------------------------------------------------
+
+_IOC = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS type, unnest(regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}')) AS value FROM documents" for k, p in iocs.PATTERNS.items())
+_FOUND_IOCS = f"WITH x AS ({_IOC}), i AS (SELECT DISTINCT doc_id, type, CASE WHEN type = 'url' THEN regexp_replace(trim(value), '/+$', '') ELSE lower(trim(value)) END AS value FROM x)"
+
+
+def _extracted(spark, sf_dir):
+    return indicators.extract_indicators(read(spark, sf_dir, "documents"), "doc_id", "text", list(iocs.PATTERNS))
+
+
+@query(f"{_FOUND_IOCS} SELECT doc_id, type, value FROM i")
+def ioc_extract(spark, sf_dir):
+    return _extracted(spark, sf_dir)
+
+
+_SCORE = "(('0x' || substr(md5(value), 1, 6))::BIGINT % 101)::INTEGER"
+
+
+@query(f"""{_FOUND_IOCS}, k AS (SELECT DISTINCT type, value, {_SCORE} AS score FROM i WHERE {_SCORE} >= 20)
+SELECT i.doc_id, i.type, i.value, k.score, CASE WHEN score < 20 THEN 'CLEAN' WHEN score < 50 THEN 'SUSPICIOUS' WHEN score < 80 THEN 'MALICIOUS' ELSE 'CRITICAL' END AS tier FROM i JOIN k ON i.type = k.type AND i.value = k.value""")
+def ioc_lookup(spark, sf_dir):
+    found = _extracted(spark, sf_dir)
+    score = (F.conv(F.substring(F.md5("value"), 1, 6), 16, 10).cast("long") % 101).cast("int")
+    known = found.select("type", "value").distinct().withColumn("score", score).filter("score >= 20")
+    return indicators.match_indicators(found, known)
+
+
+_NUM = "(split_part(value, '.', 1)::BIGINT * 16777216 + split_part(value, '.', 2)::BIGINT * 65536 + split_part(value, '.', 3)::BIGINT * 256 + split_part(value, '.', 4)::BIGINT)"
+
+
+def _block_case(field: int, internal: str, default: str) -> str:
+    test = lambda b: "n BETWEEN {} AND {}".format(*iocs.block_bounds(b))
+    inside = " OR ".join(test(b) for b in iocs.INTERNAL_BLOCKS)
+    return f"CASE WHEN {inside} THEN '{internal}' " + " ".join(f"WHEN {test(b[0])} THEN '{b[field]}'" for b in iocs.GEO_BLOCKS) + f" ELSE '{default}' END"
+
+
+@query(f"""{_FOUND_IOCS}, v AS (SELECT DISTINCT value, {_NUM} AS n FROM i WHERE type = 'ip' AND len(list_filter(string_split(value, '.'), lambda p: p::INTEGER <= 255)) = 4)
+SELECT value AS ip, {_block_case(1, 'INTERNAL', 'UNKNOWN')} AS country, {_block_case(2, 'internal', '')} AS city FROM v""")
+def cidr_geo(spark, sf_dir):
+    return indicators.locate(_extracted(spark, sf_dir).filter("type = 'ip'").select(F.col("value").alias("ip")).distinct())
+
+
+@query("SELECT d.doc_id, h.copies FROM documents d JOIN (SELECT md5(text) AS h, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1) h ON md5(d.text) = h.h")
+def hash_membership(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("h"))
+    bad = docs.groupBy("h").agg(F.count("*").alias("copies")).filter("copies > 1")
+    return docs.join(bad, "h").select("doc_id", "copies")
+
+
+_SECRET = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS raw FROM documents" for k, p in iocs.SECRETS.items())
+
+
+@query(f"WITH s AS ({_SECRET}) SELECT DISTINCT doc_id, kind, left(raw, 8) || '***' || right(raw, 4) AS redacted FROM s")
+def secret_scan(spark, sf_dir):
+    def named(kind: str):
+        return lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("raw"))
+
+    found = F.concat(*[F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(0)), named(k)) for k, p in iocs.SECRETS.items()])
+    return read(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("_s")).select("doc_id", "_s.kind", text.redact(F.col("_s.raw")).alias("redacted")).distinct()
+
+
+# -- rules ----------------------------------------------------------------------
+
+
+def _sql_text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+_LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents UNION ALL SELECT page_id, unnest(string_split(html, chr(10))) FROM pages"
+_LOG = " UNION ALL ".join(f"SELECT '{n}' AS rule, '{s}' AS severity, {c} AS score FROM l WHERE regexp_matches(line, {_sql_text('(?i)' + p)})" for n, p, s, _, c in rules.LOG_RULES)
+
+
+@query(f"WITH l AS ({_LINES}), h AS ({_LOG}) SELECT rule, severity, count(*) AS n, CAST(sum(score) AS BIGINT) AS total FROM h GROUP BY rule, severity")
+def log_rules_summary(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
+    pages = read(spark, sf_dir, "pages").select(F.explode(F.split("html", "\n")).alias("line"))
+    hits = rules.log_rules(docs.union(pages))
+    return hits.groupBy("rule", "severity").agg(F.count("*").alias("n"), F.sum("score").alias("total"))
+
+
+@query("SELECT page_id, CASE " + " ".join(f"WHEN regexp_matches(html, {_sql_text('(?is)' + p)}) THEN '{n}'" for n, p in rules.WEBSHELLS) + " ELSE 'none' END AS webshell, regexp_matches(html, '(?i)<script[\\s>]') AS script, regexp_matches(url, '\\?') AS has_query FROM pages")
+def web_signatures(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", F.coalesce(rules.first_match(F.col("html"), rules.WEBSHELLS), F.lit("none")).alias("webshell"), F.col("html").rlike(r"(?i)<script[\s>]").alias("script"), F.col("url").rlike(r"\?").alias("has_query"))
+
+
+_STAND_IN = [
+    {"title": "errors_far", "level": "high", "detection": {"sel": {"event_type": "error"}, "far": {"details.k": [90, 91, 92, 93]}, "condition": "sel and not far"}},
+    {"title": "big_spend", "level": "medium", "detection": {"sel1": {"event_type|startswith": "purch"}, "sel2": {"value|re": "^9[0-9]"}, "condition": "all of sel*"}},
+    {"title": "any_two", "level": "low", "detection": {"a": {"event_type|contains": ["ick", "ign"]}, "b": {"details.k": 7}, "c": {"event_type": "VIEW"}, "condition": "2 of them"}},
+]
+
+
+def _resolve(name: str):
+    return F.get_json_object("props", f"$.{name[8:]}") if name.startswith("details.") else F.col(name)
+
+
+@query(f"""{T}, e AS (SELECT event_id, event_type, k, CAST(value AS VARCHAR) AS v FROM t),
+h AS (SELECT event_id, 'errors_far' AS rule, 'high' AS level FROM e WHERE event_type = 'error' AND NOT k IN (90, 91, 92, 93)
+UNION ALL SELECT event_id, 'big_spend', 'medium' FROM e WHERE starts_with(event_type, 'purch') AND regexp_matches(v, '^9[0-9]')
+UNION ALL SELECT event_id, 'any_two', 'low' FROM e WHERE (contains(event_type, 'ick') OR contains(event_type, 'ign'))::INT + (k = 7)::INT + (event_type = 'view')::INT >= 2)
+SELECT event_id, rule, level FROM h""")
+def sigma_conditions(spark, sf_dir):
+    fired = rules.firing(read(spark, sf_dir, "events"), _STAND_IN, lambda r: rules.sigma(r, _resolve))
+    return fired.select("event_id", "rule", "level")
+
+
+_KINDS = ["crypto_spike", "shadow", "cred_dump", "network", "heartbeat"]
+_AS_KIND = {"error": "crypto_spike", "purchase": "shadow", "signup": "cred_dump", "click": "network", "view": "heartbeat"}
+
+
+@query(f"""{T}, e AS (SELECT event_id, user_id, {_case('event_type', _AS_KIND, "'heartbeat'")} AS kind, k FROM t),
+h AS (SELECT 'crypto_spike' AS rule FROM e WHERE kind = 'crypto_spike' UNION ALL SELECT 'inhibit_recovery' FROM e WHERE kind = 'shadow'
+UNION ALL SELECT 'kerberoasting' FROM e WHERE kind = 'cred_dump' AND k % 2 = 0 UNION ALL SELECT 'lsass_dump' FROM e WHERE kind = 'cred_dump' AND k % 2 = 1
+UNION ALL SELECT 'c2_nonstandard_port' FROM e WHERE kind = 'network' AND k % 10 = 4) SELECT rule, count(*) AS n FROM h GROUP BY rule""")
+def sigma_pack(spark, sf_dir):
+    t = telemetry(spark, sf_dir).select("event_id", taxonomy.lookup(F.col("event_type"), _AS_KIND, "heartbeat").alias("event_type"), F.when(F.col("k") % 2 == 0, "kerberoast").otherwise("lsass_dump").alias("reason"), F.when(F.col("k") % 10 == 4, 4444).otherwise(443).alias("dest_port"))
+    fields = {"event_type": F.col("event_type"), "details.reason": F.col("reason"), "details.dest_port": F.col("dest_port")}
+    fired = rules.firing(t, rules.SIGMA_PACK, lambda r: rules.sigma(r, lambda n: fields.get(n, F.lit(None).cast("string"))))
+    return fired.groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@query(f"""{T}, e AS (SELECT event_id, {_case('event_type', _AS_KIND, "'heartbeat'")} AS kind, k FROM t),
+x AS (SELECT event_id, kind, k, unnest(CASE kind WHEN 'crypto_spike' THEN ['T1486', 'T1496'] WHEN 'shadow' THEN ['T1490'] WHEN 'network' THEN ['T1071', 'T1571'] WHEN 'cred_dump' THEN CASE WHEN k % 2 = 0 THEN ['T1558.003'] ELSE ['T1003.001'] END ELSE [] END) AS technique,
+  CASE WHEN kind = 'cred_dump' AND k % 2 = 0 THEN 35 ELSE {_case('kind', {k: taxonomy.SCORE_WEIGHTS[k] for k in _KINDS}, '0')} END AS score FROM e)
+SELECT technique, CASE WHEN technique IN ('T1486', 'T1490') THEN 'Impact' WHEN technique = 'T1071' THEN 'Command and Control' WHEN technique IN ('T1558.003', 'T1003.001') THEN 'Credential Access' ELSE 'Unknown' END AS tactic,
+  count(*) AS n, CAST(sum(score) AS BIGINT) AS score FROM x GROUP BY technique""")
+def attack_matrix(spark, sf_dir):
+    kind = taxonomy.lookup(F.col("event_type"), _AS_KIND, "heartbeat")
+    t = telemetry(spark, sf_dir).select(kind.alias("kind"), F.when(kind == "cred_dump", F.when(F.col("k") % 2 == 0, "kerberoast").otherwise("lsass_dump")).alias("reason"))
+    t = t.withColumn("score", taxonomy.event_weight(F.col("kind"), F.col("reason"))).withColumn("technique", F.explode(taxonomy.event_techniques(F.col("kind"), F.col("reason"))))
+    return t.groupBy("technique", taxonomy.technique_tactic(F.col("technique")).alias("tactic")).agg(F.count("*").alias("n"), F.sum("score").alias("score"))
+
+
+@query("""WITH d AS (SELECT doc_id AS id, text AS t FROM documents UNION ALL SELECT page_id, html FROM pages), l AS (SELECT id, t, lower(t) AS w FROM d)
+SELECT id, 'credential_dumper' AS rule FROM l WHERE contains(t, 'kiwi') OR (contains(w, 'sekurlsa::logonpasswords')::INT + contains(w, 'lsadump::sam')::INT + contains(w, 'privilege::debug')::INT + contains(w, 'sekurlsa')::INT + contains(w, 'gentilkiwi')::INT) >= 2
+UNION ALL SELECT id, 'ransom_note' FROM l WHERE (contains(w, 'your files have been encrypted')::INT + contains(w, 'all your files are encrypted')::INT + contains(w, 'decrypt_instructions')::INT + contains(w, 'how_to_recover')::INT + contains(w, 'bitcoin')::INT + contains(w, 'onion')::INT) >= 2
+  OR ((contains(t, '.locked') OR contains(t, '.encrypted') OR contains(t, '.WNCRY') OR contains(t, '.zepto') OR contains(t, '.locky') OR contains(t, '.cerber')) AND (contains(w, 'your files have been encrypted') OR contains(w, 'all your files are encrypted') OR contains(w, 'decrypt_instructions') OR contains(w, 'how_to_recover') OR contains(w, 'bitcoin') OR contains(w, 'onion')))
+UNION ALL SELECT id, 'dropper_base64' FROM l WHERE (regexp_matches(t, '(?is)base64[_\\-]?decode') OR contains(w, 'frombase64string') OR contains(w, 'base64 -d')) AND (contains(w, 'exec(') OR contains(w, 'eval(') OR contains(w, 'invoke-expression') OR contains(w, 'iex('))""")
+def byte_rules(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("t"))
+    both = docs.union(read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("t")))
+    chosen = [r for r in rules.BYTE_RULES if r["title"] in ("credential_dumper", "ransom_note", "dropper_base64")]
+    return rules.firing(both, chosen, lambda r: rules.byte_rule(r, F.col("t"))).select("id", "rule")
+
+
+# -- domains --------------------------------------------------------------------
+
+_HOSTS = "h AS (SELECT DISTINCT regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host FROM pages), s AS (SELECT host, string_split(host, '.') AS p FROM h WHERE host <> ''), l AS (SELECT host, p[greatest(len(p) - 1, 1)] AS label FROM s)"
+_ENTROPY = "(SELECT -sum(c / n * log2(c / n)) FROM (SELECT count(*)::DOUBLE AS c, length(label)::DOUBLE AS n FROM (SELECT unnest(string_split(label, '')) AS ch) GROUP BY ch))"
+_WORDS = "network security system program cloud server software"
+
+
+def _hosts(spark, sf_dir):
+    host = F.regexp_extract("url", r"^https?://([^/:?#]+)", 1)
+    hosts = read(spark, sf_dir, "pages").select(host.alias("host")).filter("host <> ''").distinct()
+    parts = F.split("host", "\\.")
+    return hosts.withColumn("label", F.element_at(parts, F.greatest(F.size(parts) - 1, F.lit(1))))
+
+
+def known_trigrams(words: str) -> list[str]:
+    """Trigrams of the words of a corpus, each padded with ^ and $."""
+    return sorted({f"^{w}$"[i : i + 3] for w in words.split() for i in range(len(w))})
+
+
+@query(f"""WITH {_HOSTS}, c AS (SELECT DISTINCT host, label, regexp_replace(lower(label), '[^a-z]', '', 'g') AS q FROM l),
+e AS (SELECT host, label, -sum(n / len * log2(n / len)) AS entropy FROM (SELECT host, label, ch, count(*)::DOUBLE AS n, any_value(length(label))::DOUBLE AS len FROM (SELECT host, label, unnest(regexp_split_to_array(label, '')) AS ch FROM l) WHERE ch <> '' GROUP BY host, label, ch) GROUP BY host, label)
+SELECT c.host, c.label, round(e.entropy, 6) AS entropy,
+  round(coalesce(list_max(list_transform(regexp_extract_all(q, '[^aeiou]{{4,}}'), lambda r: length(r))), 0) / length(q), 6) AS consonant_run,
+  round(CASE WHEN length(q) < 3 THEN 0.5 ELSE len(list_filter(list_transform(range(1, length(q) + 1), lambda i: substr('^' || q || '$', i::BIGINT, 3)), lambda g: list_contains({known_trigrams(_WORDS)}, g))) / length(q)::DOUBLE END, 6) AS linguistic
+FROM c JOIN e ON c.host = e.host""")
+def domain_features(spark, sf_dir):
+    label = F.col("label")
+    return _hosts(spark, sf_dir).select("host", "label", F.round(text.entropy(label), 6).alias("entropy"), F.round(text.consonant_run_ratio(label), 6).alias("consonant_run"), F.round(text.linguistic_score(label, known_trigrams(_WORDS)), 6).alias("linguistic"))
+
+
+_BRANDS = ["example", "exampel", "samples", "exomple"]
+
+
+@query(f"""WITH {_HOSTS}, b AS (SELECT unnest({_BRANDS}) AS brand)
+SELECT host, label, brand FROM l, b WHERE abs(length(label) - length(brand)) <= 2 AND damerau_levenshtein(label, brand) BETWEEN 1 AND 2""")
+def typosquat(spark, sf_dir):
+    hosts = _hosts(spark, sf_dir)
+    near = F.array(*[F.when((F.abs(F.length("label") - len(b)) <= 2) & text.within_osa(F.col("label"), F.lit(b), 2), F.lit(b)) for b in _BRANDS])
+    return hosts.select("host", "label", F.explode(F.filter(near, lambda b: b.isNotNull())).alias("brand"))
+
+
+# -- flows, hosts, configuration --------------------------------------------------
+
+
+@query(f"""{_EDGES}, q AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, t.l_quantity, t.us, e.src FROM e JOIN trades t ON e.l_orderkey = t.l_orderkey AND e.l_linenumber = t.l_linenumber)
+SELECT a, b, count(*) AS packets, round(sum(l_quantity), 4) AS bytes, min(us) AS first_us, max(us) AS last_us FROM q GROUP BY a, b""")
+def flow_table(spark, sf_dir):
+    edges = _edges(spark, sf_dir).withColumns({"a": F.least("src", "dst"), "b": F.greatest("src", "dst")})
+    return edges.groupBy("a", "b").agg(F.count("*").alias("packets"), F.round(F.sum("l_quantity"), 4).alias("bytes"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+
+
+@query(f"""{_EDGES}, q AS (SELECT least(e.src, e.dst) AS a, greatest(e.src, e.dst) AS b, e.src, t.l_quantity, e.us, e.l_orderkey, e.l_linenumber FROM e JOIN trades t ON e.l_orderkey = t.l_orderkey AND e.l_linenumber = t.l_linenumber),
+f AS (SELECT a, b, arg_min(src, (us, l_orderkey, l_linenumber)) AS talker, sum(l_quantity) AS bytes FROM q GROUP BY a, b)
+SELECT talker, round(sum(bytes), 4) AS bytes FROM f GROUP BY talker ORDER BY sum(bytes) DESC, talker LIMIT 10""")
+def top_talkers(spark, sf_dir):
+    edges = _edges(spark, sf_dir).withColumns({"a": F.least("src", "dst"), "b": F.greatest("src", "dst")})
+    flows = edges.groupBy("a", "b").agg(F.min_by("src", F.struct("us", "l_orderkey", "l_linenumber")).alias("talker"), F.sum("l_quantity").alias("bytes"))
+    return flows.groupBy("talker").agg(F.round(F.sum("bytes"), 4).alias("bytes")).orderBy(F.desc("bytes"), "talker").limit(10)
+
+
+_CVES = [("ECONOMY", 20, "CVE-A", "high"), ("STANDARD", 35, "CVE-B", "critical"), ("PROMO", 10, "CVE-C", "medium")]
+_CVE_ROWS = ", ".join(f"('{s}', {v}, '{c}', '{r}')" for s, v, c, r in _CVES)
+
+
+@query(f"SELECT p_partkey, cve, risk FROM part JOIN (VALUES {_CVE_ROWS}) v(service, below, cve, risk) ON starts_with(p_type, service) AND p_size < below")
+def cve_surface(spark, sf_dir):
+    known = spark.createDataFrame(_CVES, "service string, below int, cve string, risk string")  # a fixed list
+    parts = read(spark, sf_dir, "part").withColumn("service", F.substring_index("p_type", " ", 1))
+    return parts.join(F.broadcast(known), "service").filter("p_size < below").select("p_partkey", "cve", "risk")
+
+
+_CHECKS = [("balance", "s_acctbal < 0", 40), ("low_balance", "s_acctbal < 1000", 60), ("nation", "s_nationkey > 20", 100)]
+
+
+@query("SELECT s_nationkey, CAST(sum(lost) AS BIGINT) AS lost, CAST(greatest(0, 100 - floor(100 * sum(lost) / 400.0)) AS INTEGER) AS hardening FROM (SELECT s_nationkey, " + " + ".join(f"CASE WHEN {t} THEN {w} ELSE 0 END" for _, t, w in _CHECKS) + " AS lost FROM supplier) GROUP BY s_nationkey")
+def hardening_score(spark, sf_dir):
+    lost = sum((F.when(F.expr(t), w).otherwise(0) for _, t, w in _CHECKS), F.lit(0))
+    out = read(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.sum(lost).alias("lost"))
+    return out.withColumn("hardening", F.greatest(F.lit(0), 100 - F.floor(100 * F.col("lost") / 400.0)).cast("int"))
+
+
+@query(f"""{T}, n AS (SELECT user_id, event_id, weight, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS seen FROM t)
+SELECT user_id, event_id, CASE WHEN seen >= 5 THEN 'BRUTE_FORCE' ELSE 'SCANNER' END AS intent, CAST(CASE WHEN seen >= 5 THEN least(80, weight + 20) ELSE weight END AS INTEGER) AS score FROM n""")
+def honeypot_escalation(spark, sf_dir):
+    seen = F.row_number().over(windows.ordered(["user_id"])) >= 5
+    return telemetry(spark, sf_dir).select("user_id", "event_id", F.when(seen, "BRUTE_FORCE").otherwise("SCANNER").alias("intent"), F.when(seen, F.least(F.lit(80), F.col("weight") + 20)).otherwise(F.col("weight")).alias("score"))
+
+
+@query("""SELECT user_id, count(*) AS alerts, count(*) FILTER (event_type = 'view') AS open, round(100.0 * count(*) FILTER (event_type = 'signup') / nullif(count(*) FILTER (event_type IN ('signup', 'purchase')), 0), 4) AS false_positive_pct,
+round(avg(value), 6) AS mean_latency FROM events GROUP BY user_id""")
+def alert_metrics(spark, sf_dir):
+    kind = F.col("event_type")
+    closed = F.count_if(kind.isin("signup", "purchase"))
+    return read(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("alerts"), F.count_if(kind == "view").alias("open"), F.round(F.when(closed > 0, 100.0 * F.count_if(kind == "signup") / closed), 4).alias("false_positive_pct"), F.round(F.avg("value"), 6).alias("mean_latency"))
