@@ -197,7 +197,7 @@ def privilege_jump(spark, sf_dir):
     return auth.privilege_jumps(telemetry(spark, sf_dir), "user_id", "k", F.col("event_type") == "error").select("user_id", "event_id", "k", "from_target")
 
 
-_EDGES = f"""{TRADES}, e AS (SELECT c.c_nationkey AS src, s.s_nationkey AS dst, t.us, t.l_orderkey, t.l_linenumber FROM trades t JOIN customer c ON t.o_custkey = c.c_custkey JOIN supplier s ON t.l_suppkey = s.s_suppkey)"""
+_EDGES = f"""{TRADES}, e AS (SELECT c.c_nationkey AS src, s.s_nationkey AS dst, t.us, t.l_orderkey, t.l_linenumber, t.l_partkey, t.l_suppkey, t.l_quantity FROM trades t JOIN customer c ON t.o_custkey = c.c_custkey JOIN supplier s ON t.l_suppkey = s.s_suppkey)"""
 _CUTOFF = "820454400000000"  # 1996-01-01
 
 
@@ -551,19 +551,19 @@ def typosquat(spark, sf_dir):
 # -- flows, hosts, configuration --------------------------------------------------
 
 
-@query(f"""{_EDGES}, q AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, t.l_quantity, t.us, e.src FROM e JOIN trades t ON e.l_orderkey = t.l_orderkey AND e.l_linenumber = t.l_linenumber)
+@query(f"""{_EDGES}, q AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, l_quantity, us FROM e)
 SELECT a, b, count(*) AS packets, round(sum(l_quantity), 4) AS bytes, min(us) AS first_us, max(us) AS last_us FROM q GROUP BY a, b""")
 def flow_table(spark, sf_dir):
     edges = _edges(spark, sf_dir).withColumns({"a": F.least("src", "dst"), "b": F.greatest("src", "dst")})
     return edges.groupBy("a", "b").agg(F.count("*").alias("packets"), F.round(F.sum("l_quantity"), 4).alias("bytes"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
 
 
-@query(f"""{_EDGES}, q AS (SELECT least(e.src, e.dst) AS a, greatest(e.src, e.dst) AS b, e.src, t.l_quantity, e.us, e.l_orderkey, e.l_linenumber FROM e JOIN trades t ON e.l_orderkey = t.l_orderkey AND e.l_linenumber = t.l_linenumber),
-f AS (SELECT a, b, arg_min(src, (us, l_orderkey, l_linenumber)) AS talker, sum(l_quantity) AS bytes FROM q GROUP BY a, b)
+@query(f"""{_EDGES}, q AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, * FROM e),
+f AS (SELECT a, b, arg_min(src, (us, l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS talker, sum(l_quantity) AS bytes FROM q GROUP BY a, b)
 SELECT talker, round(sum(bytes), 4) AS bytes FROM f GROUP BY talker ORDER BY sum(bytes) DESC, talker LIMIT 10""")
 def top_talkers(spark, sf_dir):
     edges = _edges(spark, sf_dir).withColumns({"a": F.least("src", "dst"), "b": F.greatest("src", "dst")})
-    flows = edges.groupBy("a", "b").agg(F.min_by("src", F.struct("us", "l_orderkey", "l_linenumber")).alias("talker"), F.sum("l_quantity").alias("bytes"))
+    flows = edges.groupBy("a", "b").agg(F.min_by("src", F.struct("us", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")).alias("talker"), F.sum("l_quantity").alias("bytes"))
     return flows.groupBy("talker").agg(F.round(F.sum("bytes"), 4).alias("bytes")).orderBy(F.desc("bytes"), "talker").limit(10)
 
 
