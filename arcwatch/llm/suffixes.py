@@ -44,7 +44,9 @@ from .kernels import lookup, mix, pieces, prefix_hash, span_hash
 WINDOW = 50
 ANCHOR = 18
 SIDE = WINDOW - ANCHOR
-BATCH = 16 << 20
+BATCH = 8 << 20
+#: Bytes of text whose anchors are found at once.
+PART = 1 << 19
 BUCKET = 32 << 20
 #: Bytes of an anchor's hash kept beside its bucket.
 KEPT = 6
@@ -82,7 +84,8 @@ def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     edge = np.zeros(SIDE, np.uint32)
     best = _sliding(np.concatenate([edge, least, edge]), SIDE + 1, np.maximum)
     at = np.flatnonzero(best == v)
-    return np.searchsorted(offs, at, "right") - 1, at, grams[at]
+    # least hashes are small numbers; mixed again, they spread over buckets
+    return np.searchsorted(offs, at, "right") - 1, at, mix(grams[at] + _U(1))
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -97,29 +100,31 @@ def _low(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 def _first_pass(bits: int):
     """(batch, text) -> (bucket, batch, anchors): the hashes of a block of rows
-    by bucket, once for one document and twice for more."""
+    (``BATCH`` bytes of text) by bucket, once for one document and twice for more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            number, text = batch.column(0).to_numpy(), batch.column(1)
-            owner, found = [np.zeros(0, np.int64)], [np.zeros(0, _U)]
-            for first, _, data, offs in pieces(text):
-                rows, _, h = anchors(data, offs)
-                key, at = np.unique(h ^ mix(rows.astype(_U)), return_index=True)
-                del key
-                owner.append(number[first + rows[at]])
-                found.append(h[at])
-            owner, found = np.concatenate(owner), np.concatenate(found)
-            by = np.lexsort((found, owner))
-            owner, found = owner[by], found[by]
-            third = np.zeros(len(found), bool)
-            third[2:] = (found[2:] == found[:-2]) & (owner[2:] == owner[:-2])
-            owner, found = owner[~third], found[~third]
-            bucket = (found >> _U(64 - bits)).astype(np.int64)
-            start = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1]))) if len(found) else np.zeros(0, np.int64)
-            low = _low(found, bits)
-            blobs = [_pack(low[a:b]) for a, b in zip(start, np.append(start[1:], len(found)))]
-            yield pa.record_batch([pa.array(bucket[start]), pa.array(owner[start]), pa.array(blobs, pa.binary())], names=["bucket", "batch", "anchors"])
+            for first, end, _, _ in pieces(batch.column(1), BATCH):
+                yield block(batch.column(0).slice(first, end - first).to_numpy(), batch.column(1).slice(first, end - first))
+
+    def block(number: np.ndarray, text: pa.Array) -> pa.RecordBatch:
+        owner, found = [np.zeros(0, np.int64)], [np.zeros(0, _U)]
+        for first, _, data, offs in pieces(text, PART):
+            rows, _, h = anchors(data, offs)
+            _, at = np.unique(h ^ mix(rows.astype(_U)), return_index=True)
+            owner.append(number[first + rows[at]])
+            found.append(h[at])
+        owner, found = np.concatenate(owner), np.concatenate(found)
+        by = np.lexsort((found, owner))
+        owner, found = owner[by], found[by]
+        third = np.zeros(len(found), bool)
+        third[2:] = (found[2:] == found[:-2]) & (owner[2:] == owner[:-2])
+        owner, found = owner[~third], found[~third]
+        bucket = (found >> _U(64 - bits)).astype(np.int64)
+        start = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1]))) if len(found) else np.zeros(0, np.int64)
+        low = _low(found, bits)
+        blobs = [_pack(low[a:b]) for a, b in zip(start, np.append(start[1:], len(found)))]
+        return pa.record_batch([pa.array(bucket[start]), pa.array(owner[start]), pa.array(blobs, pa.binary())], names=["bucket", "batch", "anchors"])
 
     return run
 
@@ -158,16 +163,27 @@ def _shared_anchors(bits: int):
     return run
 
 
+def _copy_set(side: pa.Table) -> set[tuple[int, int]]:
+    """(doc_id, text hash) of the copies named in a side table."""
+    copies = side.filter(pc.is_valid(side.column("face")))
+    return set(zip(copies.column("doc_id").to_pylist(), copies.column("face").to_pylist()))
+
+
 def _occurrences(bits: int, buckets: int):
     """One batch of texts and its shared anchors -> blocks of occurrences with
-    the bytes around them, by bucket."""
+    the bytes around them, by bucket.  Copies of a smaller document are left
+    out."""
 
-    def run(key: tuple, docs: pa.Table, shared: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(b.as_buffer(), _U) for b in shared.column("keys")]
+    def run(key: tuple, docs: pa.Table, side: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(b.as_buffer(), _U) for b in side.column("keys") if b.is_valid]
         keys = np.unique(np.concatenate(keys)) if keys else np.zeros(0, _U)
+        copies = _copy_set(side)
+        if copies:
+            own = [pair not in copies for pair in zip(docs.column("doc_id").to_pylist(), docs.column("face").to_pylist())]
+            docs = docs.filter(pa.array(own))
         ids = docs.column("doc_id").to_numpy()
         held: dict[int, list] = {}
-        for first, _, data, offs in pieces(docs.column("text")) if len(keys) else ():
+        for first, _, data, offs in pieces(docs.column("text"), PART) if len(keys) else ():
             rows, at, h = anchors(data, offs)
             _, known = lookup(keys, h >> _U(64 - bits - 8 * KEPT))
             rows, at, h = rows[known], at[known], h[known]
@@ -291,19 +307,21 @@ def _runs(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _apply(keep_text: bool):
-    def run(key: tuple, docs: pa.Table, spans: pa.Table) -> pa.Table:
+    def run(key: tuple, docs: pa.Table, side: pa.Table) -> pa.Table:
+        copies = _copy_set(side)
+        spans = side.filter(pc.is_valid(side.column("start")))
         owner, start, end = (spans.column(c).to_numpy() for c in ("doc_id", "start", "end"))
         by = np.argsort(owner, kind="stable")
         owner, start, end = owner[by], start[by], end[by]
         sizes, removed, counts, digests, kept = [], [], [], [], []
-        ids, fate = docs.column("doc_id").to_pylist(), docs.column("fate").to_pylist()
+        ids, faces = docs.column("doc_id").to_pylist(), docs.column("face").to_pylist()
         row = 0
         for text in (t for chunk in docs.column("text").chunks for t in chunk):
             raw = memoryview(text.as_buffer())
             n = len(raw)
-            if fate[row] == "whole":
+            if (ids[row], faces[row]) in copies:
                 runs = [(0, n)]
-            elif fate[row] == "search" and ids[row] is not None:
+            elif ids[row] is not None and n >= WINDOW:
                 a, b = np.searchsorted(owner, [ids[row], ids[row] + 1])
                 runs = _runs(start[a:b], end[a:b]) if b > a else []
             else:
@@ -327,30 +345,27 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes, if
     asked for) of every row of docs."""
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    prints = [F.xxhash64("text").alias("p1"), F.xxhash64("text", F.lit(9)).alias("p2"), F.octet_length("text").alias("n")]
-    faces = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", *prints)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     batches = 1 + int(size) // BATCH
     bits = max(3, int(np.ceil(np.log2(1 + size / BUCKET))))
-    buckets = max(8, int(size) // BATCH)
+    buckets = max(8, int(size) // (2 * BATCH))
+    batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("long").alias("batch")
+    dealt = docs.select("doc_id", "text", F.xxhash64("text").alias("face"), batch)
+    searched = dealt.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= WINDOW))
 
-    classes = faces.filter(f"n >= {WINDOW}").groupBy("p1", "p2", "n").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).filter("rows > 1")
-    copies = cut(faces.join(classes, ["p1", "p2", "n"]).filter("doc_id > least").select("doc_id", "p1", "p2").distinct(), "copies")
-    marked = docs.withColumns({"p1": F.xxhash64("text"), "p2": F.xxhash64("text", F.lit(9))})
-    copy = copies.toDF("c_id", "c1", "c2")
-    marked = marked.join(copy, (F.col("doc_id") == F.col("c_id")) & (F.col("p1") == F.col("c1")) & (F.col("p2") == F.col("c2")), "left")
-    fate = F.when(F.col("c_id").isNotNull(), "whole").when(F.col("doc_id").isNotNull() & (F.octet_length("text") >= WINDOW), "search").otherwise("stay")
-    dealt = marked.select("doc_id", "text", fate.alias("fate"), F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("long").alias("batch"))
-    searched = dealt.filter("fate = 'search'")
+    faces = searched.select("doc_id", "face", "batch", F.xxhash64("text", F.lit(9)).alias("face2"), F.octet_length("text").alias("n"))
+    same = ["face", "face2", "n"]
+    classes = faces.groupBy(*same).agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).filter("rows > 1")
+    copies = cut(faces.join(classes, same).filter("doc_id > least").select("batch", "doc_id", "face").distinct(), "copies")
 
     hashed = searched.select("batch", "text").mapInArrow(_first_pass(bits), "bucket long, batch long, anchors binary")
     shared = cut(hashed.groupBy("bucket").applyInArrow(_shared_anchors(bits), "batch long, keys binary"), "anchors")
-    texts = searched.select("batch", "doc_id", "text").groupBy("batch").cogroup(shared.groupBy("batch"))
-    blocks = texts.applyInArrow(_occurrences(bits, buckets), "bucket long, block binary")
+    side = shared.unionByName(copies, allowMissingColumns=True)
+    blocks = searched.groupBy("batch").cogroup(side.groupBy("batch")).applyInArrow(_occurrences(bits, buckets), "bucket long, block binary")
     spans = cut(blocks.groupBy("bucket").applyInArrow(_removals, "doc_id long, start long, end long"), "spans")
-    spans = spans.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("long"))
+    side = spans.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("long")).unionByName(copies, allowMissingColumns=True)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    return dealt.groupBy("batch").cogroup(spans.groupBy("batch")).applyInArrow(_apply(keep_text), schema)
+    return dealt.groupBy("batch").cogroup(side.groupBy("batch")).applyInArrow(_apply(keep_text), schema)
 
 
 def op4_suffixes(spark, sf_dir: str) -> DataFrame:
