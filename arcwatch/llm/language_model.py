@@ -219,7 +219,11 @@ def log_probability(target: np.ndarray, one: np.ndarray, two: np.ndarray, model:
         score = q[s : s + 2048] @ model["t"].T + model["b"]
         top = score.max(1, keepdims=True)
         log_z[s : s + 2048] = np.log(np.exp(score - top).sum(1)) + top[:, 0]
-    return np.einsum("ij,ij->i", q[at], model["t"][target]) + model["b"][target] - log_z[at]
+    out = model["b"][target] - log_z[at]
+    for s in range(0, len(at), 1 << 16):
+        part = slice(s, s + (1 << 16))
+        out[part] += np.einsum("ij,ij->i", q[at[part]], model["t"][target[part]])
+    return out
 
 
 def _score(shared):
