@@ -1,16 +1,23 @@
 """Language-model scoring with a log-bilinear neural model.
 
-Words are counted over all training documents.  The ``HEAD`` most frequent
-words, the end of text and one class for every other word are the outcomes of a
+Words are counted over all training documents.  The most frequent words, the
+end of text and one class for every other word are the outcomes of a
 log-bilinear model: the vectors of the two words before, each scaled by a
-weight vector of its place, add up to a predicted vector whose products with
-the outcome vectors, plus biases, are normalised over all outcomes.  A word
-outside the head gets the probability of its class times its smoothed share of
-the counts in that class, so every text has a proper probability.
+weight vector of its place, add up to a predicted vector.  The number of words
+with vectors grows with the input: ``GROWTH`` times the square root of the
+training tokens, ``HEAD`` at least, all words if there are fewer.
+
+Outcomes are split by frequency into classes, about as many as a class has
+members.  The products of the predicted vector with the class vectors, plus
+biases, are normalised over the classes, and those with the outcome vectors
+over the members of the class; both together are the probability.  A word
+without a vector gets the probability of the class of other words times its
+smoothed share of the counts in it, so every text has a proper probability.
 
 Fitting is noise-contrastive, in numpy, over all training documents: in each of
 ``ROUNDS`` rounds every task takes gradient steps over its share of the
-documents from the same start, and the parameters are averaged by tokens.
+documents from the same start, and what the tasks moved is averaged by tokens,
+each row over the tasks that met it.
 
 Counts never pass through the driver.  Documents are dealt by hash into batches
 of about ``BATCH`` bytes; the distinct words of a batch (at most one row a
@@ -35,6 +42,7 @@ from .common import crc_mod, cut, table
 from .kernels import Words, lookup, pieces
 
 HEAD = 1022
+GROWTH = 8
 WIDTH = 24
 NOISE = 64
 BATCH = 16 << 20
@@ -42,8 +50,12 @@ ROUNDS = 2
 STEP = 4096
 RATE = 0.1
 
+#: Rows of a parameter that are averaged at once.
+ROWS = 2048
+#: Tokens whose probabilities are found at once.
+TOKENS = 1 << 18
+
 _U = np.uint64
-END, OTHER, START = HEAD, HEAD + 1, HEAD + 2
 
 
 # -- counting ---------------------------------------------------------------
@@ -91,46 +103,61 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # -- the model --------------------------------------------------------------
 
 
+def head_size(tokens: int) -> int:
+    """How many words get vectors of their own, of so many training tokens."""
+    return max(HEAD, int(GROWTH * tokens**0.5))
+
+
+def class_size(outcomes: int) -> int:
+    """Members of a frequency class (outcome i is in class i // size)."""
+    return int(np.ceil(outcomes**0.5))
+
+
 def outcomes(words: Words, head: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Outcome, word before, word before that, and index of the word (-1: end)
-    of every token of a piece, the end of each text included."""
+    of every token of a piece, the end of each text included.
+
+    After the words of the head come the end, the other words and, as a word
+    before only, the start."""
+    end, other, start = len(head), len(head) + 1, len(head) + 2
     texts = len(words.offs) - 1
     total = len(words.hash) + texts
     ends = words.offs[1:] + np.arange(texts)
     is_word = np.ones(total, bool)
     is_word[ends] = False
     at, known = lookup(head, words.hash)
-    out = np.full(total, END, np.int64)
-    out[is_word] = np.where(known, order[at] if len(order) else 0, OTHER)
+    out = np.full(total, end, np.int64)
+    out[is_word] = np.where(known, order[at] if len(order) else 0, other)
     place = np.full(total, -1, np.int64)
     place[is_word] = np.arange(len(words.hash))
-    one, two = np.full(total, START, np.int64), np.full(total, START, np.int64)
+    one, two = np.full(total, start, np.int64), np.full(total, start, np.int64)
     one[1:], two[2:] = out[:-1], out[:-2]
     starts = np.concatenate([[0], ends[:-1] + 1])
-    one[starts] = START
-    two[starts] = START
+    one[starts] = start
+    two[starts] = start
     second = starts + 1
-    two[second[second < total]] = START
+    two[second[second < total]] = start
     return out, one, two, place
 
 
 def start_model(unigram: np.ndarray) -> dict:
     rng = np.random.default_rng(11)
     draw = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
+    size = len(unigram)
+    classes = np.add.reduceat(unigram, np.arange(0, size, class_size(size)))
     return {
-        "r": draw(HEAD + 3, WIDTH), "t": draw(HEAD + 2, WIDTH), "b": np.log(unigram).astype(np.float32),
+        "r": draw(size + 1, WIDTH), "t": draw(size, WIDTH), "b": np.log(unigram).astype(np.float32),
+        "u": draw(len(classes), WIDTH), "d": np.log(classes).astype(np.float32),
         "c1": np.ones(WIDTH, np.float32), "c2": np.full(WIDTH, 0.5, np.float32),
     }
 
 
-def _scatter(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    """Sums of value rows by index."""
+def _scatter(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct indices, and the sums of the value rows of each."""
     order = np.argsort(rows, kind="stable")
     rows = rows[order]
     first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-    out = np.zeros((size, values.shape[1]), np.float32)
-    out[rows[first]] = np.add.reduceat(values[order], first, axis=0)
-    return out
+    return rows[first], np.add.reduceat(values[order], first, axis=0)
 
 
 class Trainer:
@@ -140,31 +167,44 @@ class Trainer:
     def __init__(self, model: dict, unigram: np.ndarray, seed: int):
         self.p = {k: v.copy() for k, v in model.items()}
         self.g = {k: np.full_like(v, 1e-2) for k, v in model.items()}
-        self.log_noise = np.log(unigram * NOISE).astype(np.float32)
-        self.cdf = np.cumsum(unigram)
+        self.met = {k: np.zeros(len(v), bool) for k, v in model.items()}
+        self.span = class_size(len(unigram))
+        classes = np.add.reduceat(unigram, np.arange(0, len(unigram), self.span))
+        self.noise = {k: (np.log(share * NOISE).astype(np.float32), np.cumsum(share)) for k, share in (("t", unigram), ("u", classes))}
         self.rng = np.random.default_rng(seed)
         self.tokens = 0
 
+    def contrast(self, q: np.ndarray, target: np.ndarray, vectors: str, bias: str) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """Gradients by q, and by the rows of the vectors and their biases."""
+        p, (log_noise, cdf) = self.p, self.noise[vectors]
+        noise = np.minimum(np.searchsorted(cdf, self.rng.random(NOISE) * cdf[-1]), len(cdf) - 1)
+        t, away = p[vectors][target], p[vectors][noise]
+        hit = 1 / (1 + np.exp(-((q * t).sum(1) + p[bias][target] - log_noise[target])))
+        miss = 1 / (1 + np.exp(-(q @ away.T + p[bias][noise] - log_noise[noise])))
+        e_hit, e_miss = (1 - hit)[:, None], -miss
+        rows = np.concatenate([target, noise])
+        by_row = np.concatenate([np.concatenate([e_hit * q, e_hit], 1), np.concatenate([e_miss.T @ q, e_miss.sum(0)[:, None]], 1)])
+        return e_hit * t + e_miss @ away, _scatter(rows, by_row)
+
     def step(self, target: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
         p, n = self.p, len(target)
-        noise = np.minimum(np.searchsorted(self.cdf, self.rng.random(NOISE) * self.cdf[-1]), HEAD + 1)
         r1, r2 = p["r"][one], p["r"][two]
         q = r1 * p["c1"] + r2 * p["c2"]
-        t = p["t"][target]
-        hit = 1 / (1 + np.exp(-((q * t).sum(1) + p["b"][target] - self.log_noise[target])))
-        miss = 1 / (1 + np.exp(-(q @ p["t"][noise].T + p["b"][noise] - self.log_noise[noise])))
-        e_hit, e_miss = (1 - hit)[:, None], -miss
-        dq = e_hit * t + e_miss @ p["t"][noise]
-        grad_t = _scatter(target, np.concatenate([e_hit * q, e_hit], 1), HEAD + 2)
-        np.add.at(grad_t, noise, np.concatenate([e_miss.T @ q, e_miss.sum(0)[:, None]], 1))
+        dq, (words, grad_t) = self.contrast(q, target, "t", "b")
+        dq_class, (classes, grad_u) = self.contrast(q, target // self.span, "u", "d")
+        dq = dq + dq_class
+        every = np.arange(WIDTH)
         grad = {
-            "r": _scatter(np.concatenate([one, two]), np.concatenate([dq * p["c1"], dq * p["c2"]]), HEAD + 3),
-            "t": grad_t[:, :-1], "b": grad_t[:, -1], "c1": (dq * r1).sum(0), "c2": (dq * r2).sum(0),
+            "r": _scatter(np.concatenate([one, two]), np.concatenate([dq * p["c1"], dq * p["c2"]])),
+            "t": (words, grad_t[:, :-1]), "b": (words, grad_t[:, -1]), "u": (classes, grad_u[:, :-1]), "d": (classes, grad_u[:, -1]),
+            "c1": (every, (dq * r1).sum(0)), "c2": (every, (dq * r2).sum(0)),
         }
-        for k, g in grad.items():
+        for k, (rows, g) in grad.items():
             g = g / np.float32(n) * np.float32(64)
-            self.g[k] += g * g
-            p[k] += RATE * g / np.sqrt(self.g[k])
+            held = self.g[k][rows] + g * g
+            self.g[k][rows] = held
+            p[k][rows] += RATE * g / np.sqrt(held)
+            self.met[k][rows] = True
         self.tokens += n
 
 
@@ -177,21 +217,28 @@ def _train(shared, seed: int):
                 out, one, two, _ = outcomes(Words(data, offs), head, order)
                 for at in range(0, len(out), STEP):
                     trainer.step(out[at : at + STEP], one[at : at + STEP], two[at : at + STEP])
-        if trainer.tokens:
-            for name, value in trainer.p.items():
-                flat = (value.astype(np.float64) * trainer.tokens).reshape(-1)
-                for at in range(0, len(flat), 4096):
-                    yield pa.record_batch([pa.array([name]), pa.array([at]), pa.array([trainer.tokens]), pa.array([flat[at : at + 4096].tolist()], pa.list_(pa.float64()))], names=["name", "at", "tokens", "sums"])
+        for name, met in trainer.met.items():
+            for at in range(0, len(met), ROWS):
+                rows = np.flatnonzero(met[at : at + ROWS])
+                if len(rows):
+                    moved = (trainer.p[name][at + rows] - model[name][at + rows]).astype(np.float16)
+                    yield pa.record_batch([pa.array([name]), pa.array([at]), pa.array([trainer.tokens]), pa.array([rows.astype(np.int16).tobytes()]), pa.array([moved.tobytes()])], names=["name", "at", "tokens", "rows", "moved"])
 
     return run
 
 
 def _average(key: tuple, part: pa.Table) -> pa.Table:
-    sums = np.zeros(len(part.column("sums")[0]))
-    for chunk in part.column("sums").chunks:
-        sums += np.asarray(chunk.flatten()).reshape(len(chunk), -1).sum(0)
-    tokens = pa.compute.sum(part.column("tokens")).as_py()
-    return pa.table({"name": [key[0].as_py()], "at": [key[1].as_py()], "mean": pa.array([(sums / tokens).tolist()], pa.list_(pa.float64()))})
+    """Mean move of a block of rows, each weighed by the tokens of its tasks."""
+    sums = weights = None
+    for tokens, rows, moved in zip(*(part.column(c) for c in ("tokens", "rows", "moved"))):
+        rows = np.frombuffer(rows.as_py(), np.int16)
+        moved = np.frombuffer(moved.as_py(), np.float16).reshape(len(rows), -1).astype(np.float64)
+        if sums is None:
+            sums, weights = np.zeros((ROWS, moved.shape[1])), np.zeros((ROWS, 1))
+        sums[rows] += moved * tokens.as_py()
+        weights[rows] += tokens.as_py()
+    mean = (sums / np.maximum(weights, 1)).astype(np.float32)
+    return pa.table({"name": [key[0].as_py()], "at": [key[1].as_py()], "mean": pa.array([mean.tobytes()], pa.binary())})
 
 
 def fit(texts: DataFrame, head: np.ndarray, order: np.ndarray, unigram: np.ndarray) -> dict:
@@ -199,30 +246,42 @@ def fit(texts: DataFrame, head: np.ndarray, order: np.ndarray, unigram: np.ndarr
     model = start_model(unigram)
     for number in range(ROUNDS):
         shared = texts.sparkSession.sparkContext.broadcast((head, order, unigram, model))
-        local = texts.filter(F.col("round") == number).select("text").mapInArrow(_train(shared, number), "name string, at long, tokens long, sums array<double>")
-        mean = local.groupBy("name", "at").applyInArrow(_average, "name string, at long, mean array<double>").toArrow()
-        rows = sorted(zip(mean.column("name").to_pylist(), mean.column("at").to_pylist(), mean.column("mean").to_pylist()))
-        for name, old in model.items():
-            parts = [m for k, _, m in rows if k == name]
-            if parts:
-                model[name] = np.concatenate(parts).astype(np.float32).reshape(old.shape)
+        local = texts.filter(F.col("round") == number).select("text").mapInArrow(_train(shared, number), "name string, at long, tokens long, rows binary, moved binary")
+        mean = local.groupBy("name", "at").applyInArrow(_average, "name string, at long, mean binary").toArrow()
+        model = {name: old.copy() for name, old in model.items()}
+        for name, at, block in zip(*(mean.column(c) for c in ("name", "at", "mean"))):
+            rows = model[name.as_py()][at.as_py() : at.as_py() + ROWS]
+            rows += np.frombuffer(block.as_buffer(), np.float32).reshape(ROWS, -1)[: len(rows)].reshape(rows.shape)
     return model
 
 
+def _log_sums(q: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Logarithm of the sum over the vectors of exp(q . vector + bias)."""
+    out = np.empty(len(q), np.float32)
+    for s in range(0, len(q), 2048):
+        score = q[s : s + 2048] @ vectors.T + bias
+        top = score.max(1, keepdims=True)
+        out[s : s + 2048] = np.log(np.exp(score - top).sum(1)) + top[:, 0]
+    return out
+
+
 def log_probability(target: np.ndarray, one: np.ndarray, two: np.ndarray, model: dict) -> np.ndarray:
     """Normalised natural log-probabilities; contexts that recur are done once."""
-    key, at = np.unique(one * (HEAD + 3) + two, return_inverse=True)
-    a, b = key // (HEAD + 3), key % (HEAD + 3)
-    q = model["r"][a] * model["c1"] + model["r"][b] * model["c2"]
-    log_z = np.empty(len(key))
-    for s in range(0, len(key), 2048):
-        score = q[s : s + 2048] @ model["t"].T + model["b"]
-        top = score.max(1, keepdims=True)
-        log_z[s : s + 2048] = np.log(np.exp(score - top).sum(1)) + top[:, 0]
-    out = model["b"][target] - log_z[at]
+    size, span, classes = len(model["r"]), class_size(len(model["t"])), len(model["u"])
+    key, at = np.unique(one * size + two, return_inverse=True)
+    q = model["r"][key // size] * model["c1"] + model["r"][key % size] * model["c2"]
+    chosen = target // span
+    # each class is normalised over its members for the contexts that need it
+    pair, pair_at = np.unique(chosen * len(key) + at, return_inverse=True)
+    edges = np.searchsorted(pair, np.arange(classes + 1) * len(key))
+    within = np.empty(len(pair), np.float32)
+    for c in np.flatnonzero(np.diff(edges)):
+        mine, members = slice(edges[c], edges[c + 1]), slice(c * span, (c + 1) * span)
+        within[mine] = _log_sums(q[pair[mine] % len(key)], model["t"][members], model["b"][members])
+    out = model["b"][target] + model["d"][chosen] - within[pair_at] - _log_sums(q, model["u"], model["d"])[at]
     for s in range(0, len(at), 1 << 16):
         part = slice(s, s + (1 << 16))
-        out[part] += np.einsum("ij,ij->i", q[at[part]], model["t"][target[part]])
+        out[part] += np.einsum("ij,ij->i", q[at[part]], model["t"][target[part]] + model["u"][chosen[part]])
     return out
 
 
@@ -240,14 +299,15 @@ def _score(shared):
             at, known = lookup(words, w.hash)
             c = np.where(known, count[at] if len(count) else 0, 0).astype(float)
             out, one, two, place = outcomes(w, head, order)
-            tokens.append((out.astype(np.int16), one.astype(np.int16), two.astype(np.int16), np.where(place < 0, float(ends), c[place] if len(c) else 0.0), np.diff(w.offs) + 1))
+            tokens.append((out.astype(np.int32), one.astype(np.int32), two.astype(np.int32), np.where(place < 0, float(ends), c[place] if len(c) else 0.0), np.diff(w.offs) + 1))
         if not tokens:
             parts = [np.zeros(0)] * 4
         else:
             out, one, two, c, lengths = (np.concatenate(x) for x in zip(*tokens))
-            out, one, two = out.astype(np.int64), one.astype(np.int64), two.astype(np.int64)
-            log_p = log_probability(out, one, two, model) / np.log(10)
-            log_p += np.where(out == OTHER, np.log10((c + 0.1) / (n_other + 0.1 * (v_other + 1))), 0.0)
+            log_p = np.empty(len(out))
+            for s in range(0, len(out), TOKENS):
+                log_p[s : s + TOKENS] = log_probability(*(x[s : s + TOKENS].astype(np.int64) for x in (out, one, two)), model) / np.log(10)
+            log_p += np.where(out == len(head) + 1, np.log10((c + 0.1) / (n_other + 0.1 * (v_other + 1))), 0.0)
             base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
             bound = np.concatenate([[0], np.cumsum(lengths)])
             per_text = lambda x: np.add.reduceat(x, bound[:-1])
@@ -273,14 +333,14 @@ def score_texts(docs: DataFrame) -> DataFrame:
     sums = counts.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
     n, v = int(sums[0] or 0) + ends, int(sums[1]) + (ends > 0)
 
-    top = counts.filter("c > 0").orderBy(F.desc("c"), "word").limit(HEAD).toArrow()
+    top = counts.filter("c > 0").orderBy(F.desc("c"), "word").limit(head_size(n)).toArrow()
     words, often = top.column("word").to_numpy().view(_U), top.column("c").to_numpy()
     order = np.argsort(words)
     n_other, v_other = n - ends - int(often.sum()), v - (ends > 0) - len(often)
-    unigram = np.full(HEAD + 2, 0.5)
+    unigram = np.full(len(often) + 2, 0.5)
     unigram[: len(often)] += often
-    unigram[END] += ends
-    unigram[OTHER] += n_other
+    unigram[-2] += ends
+    unigram[-1] += n_other
     unigram /= unigram.sum()
     learn = docs.filter(~F.col("held_out")).select("text", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(ROUNDS)).alias("round"))
     model = fit(learn, words[order], order, unigram)

@@ -254,6 +254,20 @@ def test_log_probabilities_are_normalised_and_learned():
     assert after > before + 1
 
 
+def test_language_model_vocabulary_grows_with_the_input(spark):
+    # 3000 words of equal count, each always after the same other: more than HEAD learn it
+    rng = np.random.default_rng(6)
+    pairs = lambda: " ".join(f"a{i} b{i}" for i in rng.permutation(1500))
+    texts = [(i, pairs()) for i in range(90)]
+    odd = [i for i in range(1000, 9000) if zlib.crc32(str(i).encode()) % 10 == 0][:1500]
+    texts += [(d, f"a{i} b{i}") for i, d in enumerate(odd[:750])] + [(d, f"a{i} b{(i + 1) % 750}") for i, d in enumerate(odd[750:])]
+    got = {r["doc_id"]: r["score"] for r in language_model.score_texts(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    own, swapped = [got[d] for d in odd[:750]], [got[d] for d in odd[750:]]
+    # a word outside the vocabulary scores alike wherever it stands
+    assert np.mean([a != b for a, b in zip(own, swapped)]) > 0.95
+    assert language_model.head_size(100 * 10**6) > 3 * language_model.head_size(10**7) > 3 * language_model.HEAD
+
+
 def brute_links(rows, cosine):
     ok = [(i, l, np.array(v, float)) for i, v, l in rows if i is not None and l is not None and v and len(v) == 4 and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     links = Counter()
