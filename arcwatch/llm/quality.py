@@ -7,8 +7,8 @@ turns into a probability.
 
 Line labels are not given, so in fitting every line has its document's label.
 The field is fitted by Adam, in one task, on a bounded sample: per class the ``SAMPLE``
-labelled documents of smallest hash, within ``SAMPLE_BYTES`` of text, weighed
-back to the share of each label.
+labelled documents of smallest hash, the longest cut so that ``SAMPLE_BYTES`` of
+text hold them all, weighed back to the share of each label.
 
 Nulls: a null or empty text is one empty line and is scored as such.  Null
 labels teach nothing.  With no label of a class every score is the share of

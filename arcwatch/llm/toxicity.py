@@ -12,8 +12,9 @@ log-likelihoods, divided by a power of the words chosen in ``LENGTHS`` at
 calibration, with the intercept moved to the share of toxic labels.
 
 The models are fitted in one task on a bounded sample of labelled rows: per
-class the ``SAMPLE`` documents of smallest hash and at most ``SAMPLE_BYTES`` of
-their text in that order, one in ``CALIBRATE`` of them kept for calibration.
+class the ``SAMPLE`` documents of smallest hash, one in ``CALIBRATE`` of them
+kept for calibration.  Each of them teaches: where their text exceeds
+``SAMPLE_BYTES``, the longest give their first bytes only.
 Scoring covers every whole text.
 
 Nulls: null and empty texts score as the intercept alone.  Null labels and
@@ -23,6 +24,7 @@ row.  With no label of a class, every score is the share of toxic labels.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -159,17 +161,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, learn: Colu
     text of each class, in the order of a hash of doc_id.
 
     The ids are drawn from the labels, a table of ids, so drawing scans no
-    text; then they are met with documents by a bounded broadcast.  The first
-    text of a class that exceeds the bytes left ends its sample.
+    text; then they are met with documents by a bounded broadcast.  No row is
+    left out for its length: if a class has more bytes, all its texts are cut
+    to one length, the largest that fits, and shorter ones stay whole.
     """
     known = labels.filter(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & learn)
     drawn = [known.filter(F.col(column) == c).select(F.col("doc_id").alias("_id"), F.col(column).cast("int").alias("label"), F.xxhash64("doc_id").alias("draw")).orderBy("draw", "_id").limit(per_class) for c in (0, 1)]
     ids = drawn[0].union(drawn[1])
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     found = docs.select("doc_id", text).join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("label", "draw", "text")
-    # the window is over rows whose number is bounded above
-    order = Window.partitionBy("label").orderBy("draw", "text").rowsBetween(Window.unboundedPreceding, 0)
-    return found.withColumn("_sum", F.sum(F.octet_length("text")).over(order)).filter(F.col("_sum") <= size).drop("_sum")
+    # the window is over lengths, of rows whose number is bounded above
+    by_length = Window.partitionBy("label").orderBy("n")
+    shares = found.select("label", F.octet_length("text").cast("long").alias("n")).withColumn("at", F.row_number().over(by_length))
+    shares = shares.withColumn("before", F.sum("n").over(by_length.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).withColumn("rows", F.count("*").over(Window.partitionBy("label")))
+    fair = F.greatest(F.lit(1), F.floor((F.lit(size) - F.col("before")) / (F.col("rows") - F.col("at") + 1)))
+    # the first text over its fair share of what shorter ones leave sets the length
+    most = {row["label"]: row["most"] for row in shares.groupBy("label").agg(F.max(F.when(F.col("n") > fair, fair)).alias("most")).collect()}
+    for label in {0, 1} - most.keys():
+        warnings.warn(f"no labelled text has {column} = {label}: every score will be the share of labels", stacklevel=2)
+    limit = F.when(F.col("label") == 1, F.lit(most.get(1))).otherwise(F.lit(most.get(0))).cast("int")
+    # a character cut in two is left out
+    start = F.regexp_replace(F.make_valid_utf8(F.substring(F.col("text").cast("binary"), F.lit(1), limit).cast("string")), "\ufffd+$", "")
+    return found.withColumn("text", F.when(F.octet_length("text") > limit, start).otherwise(F.col("text")))
 
 
 def label_share(labels: DataFrame, column: str, learn: Column) -> float:

@@ -374,6 +374,19 @@ def test_toxicity_learns_and_handles_odd_rows(spark, empty):
     assert toxicity.score_toxicity(empty, model).count() == 0
 
 
+def test_long_texts_end_no_sample(spark):
+    texts = [(i, "vile é " * (2000 if i < 2 else 5)) for i in range(40)]
+    docs, labels = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    got = toxicity.labelled_sample(docs, labels, "toxic", F.lit(True), size=2000).collect()
+    whole = dict(texts)
+    for label in (0, 1):
+        own = [r["text"] for r in got if r["label"] == label]
+        assert len(own) == 20 and 1990 <= sum(len(t.encode()) for t in own) <= 2000
+        assert sorted(own)[:19] == [whole[2]] * 19 and whole[0].startswith(max(own))
+    with pytest.warns(UserWarning, match="toxic = 1"):
+        toxicity.labelled_sample(docs, labels.filter("toxic = 0"), "toxic", F.lit(True))
+
+
 def test_quality_learns_and_handles_odd_rows(spark, empty):
     docs, labels = labelled(spark, plain, lambda rng: "\n".join(" | ".join(rng.choice(["Home", "Buy", "Menu", "x!!"], 6)) for _ in range(6)))
     model = quality.train(docs, labels, common.crc_mod("doc_id", 4) != 2)
