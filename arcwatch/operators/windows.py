@@ -8,7 +8,11 @@ the work spreads over keys and nothing is gathered beyond one key's window.
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+from collections import Counter, deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,48 +101,80 @@ def beacons(df: DataFrame, keys: list[str], window: int = 99, every: int = 50, c
     return first_firing(gaps.filter((F.col("n") > window) & ((F.col("n") - window - 1) % every == 0)), keys, F.col("cv") < cv, us, tie)
 
 
-def _fold(df: DataFrame, keys: list[str], schema: str, run, us: str, tie: str) -> DataFrame:
-    return df.groupBy(*keys).applyInPandas(lambda pdf: run(pdf.sort_values([us, tie], kind="stable")), schema)
+def _fold(df: DataFrame, keys: list[str], value: str, adds: dict[str, pa.DataType], start, us: str, tie: str, nulls_first: bool = False) -> DataFrame:
+    """keys and the columns ``adds`` of the rows for which the fold gives values.
+
+    ``start()`` makes the fold of a key, a function of (clock, tie, value) that
+    keeps the state.  A key's rows come in order as a stream of batches, so a
+    task holds one batch and one state, however many rows a key has.
+    """
+    n = len(keys)
+    sort = [F.col(c).asc_nulls_first() if nulls_first else F.col(c).asc_nulls_last() for c in ("_us", "_tie")]
+    rows = df.select(*keys, F.col(us).cast("long").alias("_us"), F.col(tie).cast("long").alias("_tie"), F.col(value).alias("_value"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = step = None
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if step is None or row[:n] != key:
+                    key, step = row[:n], start()
+                found = step(*row[n:])
+                if found is not None:
+                    out.append((*key, *found))
+            kinds = [*(batch.schema.field(i).type for i in range(n)), *adds.values()]
+            columns = list(zip(*out)) or [()] * len(kinds)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=[*keys, *adds])
+
+    kinds = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys] + [f"`{k}` {'double' if t == pa.float64() else 'long'}" for k, t in adds.items()]
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *sort).mapInArrow(run, ", ".join(kinds))
 
 
 def throttle(df: DataFrame, keys: list[str], quiet: int, us: str = "us", tie: str = "event_id") -> DataFrame:
     """Rows at least ``quiet`` after the last *emitted* row of the key.
 
     Unlike islands, a suppressed row does not extend the silence, so no lag
-    expresses it; a fold over the key's ordered clock does, natively.
+    expresses it; a fold over the key's ordered clock does.
     """
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(us, tie))).alias("_rows"))
-    emitted = F.aggregate(
-        "_rows",
-        F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<struct<{us}:bigint,{tie}:bigint>>").alias("out")),
-        lambda a, r: F.when(
-            a["last"].isNull() | (r[us] - a["last"] >= quiet),
-            F.struct(r[us].alias("last"), F.concat(a["out"], F.array(r)).alias("out")),
-        ).otherwise(a),
-        lambda a: a["out"],
-    )
-    return rows.select(*keys, F.inline(emitted))
+
+    def start():
+        last = None
+
+        def step(now, number, _):
+            nonlocal last
+            if last is None or now - last >= quiet:
+                last = now
+                return now, number
+
+        return step
+
+    return _fold(df, keys, tie, {us: pa.int64(), tie: pa.int64()}, start, us, tie, nulls_first=True)
 
 
 def fire_and_reset(df: DataFrame, keys: list[str], item: str, span: int, least: int, us: str = "us", tie: str = "event_id") -> DataFrame:
     """Fires at ``least`` distinct items in the span, then forgets them."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: list[tuple] = []
-        out = []
-        for now, what, number in zip(pdf[us], pdf[item], pdf[tie]):
-            held = [h for h in held if h[0] >= now - span]
+    def start():
+        held: deque[tuple] = deque()
+        items: Counter = Counter()
+
+        def step(now, number, what):
+            while held and (now is None or held[0][0] is None or held[0][0] < now - span):
+                old = held.popleft()[1]
+                items[old] -= 1
+                if not items[old]:
+                    del items[old]
             held.append((now, what))
-            if len({h[1] for h in held}) >= least:
-                out.append((number, len(held)))
-                held = []
-        rows = pd.DataFrame(out, columns=[tie, "n_rows"]).astype("int64")
-        for k in reversed(keys):
-            rows.insert(0, k, pdf[k].iloc[0])
-        return rows
+            items[what] += 1
+            if len(items) >= least:
+                found = number, len(held)
+                held.clear()
+                items.clear()
+                return found
+
+        return step
 
-    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    return _fold(df, keys, f"{kinds}, {tie} long, n_rows long", run, us, tie)
+    return _fold(df, keys, item, {tie: pa.int64(), "n_rows": pa.int64()}, start, us, tie)
 
 
 def ewma(df: DataFrame, key: str, value: str, alpha: float = 0.1, warm: int = 5, us: str = "us", tie: str = "event_id") -> DataFrame:
@@ -148,10 +184,12 @@ def ewma(df: DataFrame, key: str, value: str, alpha: float = 0.1, warm: int = 5,
     the mean that already includes the row.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        mean = var = 0.0
-        n, means, scores = 0, [], []
-        for v in pdf[value].astype(float):
+    def start():
+        n, mean, var = 0, 0.0, 0.0
+
+        def step(_, number, v):
+            nonlocal n, mean, var
+            v = math.nan if v is None else float(v)
             n += 1
             if n <= warm:
                 mean, var, z = v, 0.0, 0.0
@@ -160,8 +198,8 @@ def ewma(df: DataFrame, key: str, value: str, alpha: float = 0.1, warm: int = 5,
                 mean = alpha * v + (1 - alpha) * mean
                 var = (1 - alpha) * (var + alpha * delta * delta)
                 z = abs(v - mean) / max(var, 1e-9) ** 0.5
-            means.append(mean)
-            scores.append(z)
-        return pd.DataFrame({key: pdf[key], tie: pdf[tie], "ema": means, "z": scores})
+            return number, *(None if math.isnan(x) else x for x in (mean, z))
+
+        return step
 
-    return _fold(df, [key], f"{key} {df.schema[key].dataType.simpleString()}, {tie} long, ema double, z double", run, us, tie)
+    return _fold(df, [key], value, {tie: pa.int64(), "ema": pa.float64(), "z": pa.float64()}, start, us, tie)

@@ -47,6 +47,21 @@ def test_fire_and_reset_forgets(spark):
     assert rows(windows.fire_and_reset(df, ["k"], "item", 300 * S, 3), "event_id") == [(2,), (5,)]
 
 
+def test_folds_stream_the_rows_of_a_key(spark):
+    df = spark.createDataFrame([(k, t, t, t % 7, float(t % 5)) for k in ("a", "b", None) for t in range(100)], "k string, us long, event_id long, item long, v double").repartition(5)
+    folds = [windows.throttle(df, ["k"], 10), windows.fire_and_reset(df, ["k"], "item", 20, 4), windows.ewma(df, "k", "v")]
+    for fold in folds:  # no operator that holds all rows of a key
+        plan = fold._jdf.queryExecution().toString()
+        assert "FlatMapGroups" not in plan and "collect_list" not in plan
+    whole = [sorted(map(str, fold.collect())) for fold in folds]
+    assert [len(x) for x in whole] == [30, 75, 300]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert [sorted(map(str, fold.collect())) for fold in folds] == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_beacons_need_a_hundred_regular_rows(spark):
     steady = [("a", t * 60, "x") for t in range(99)]
     assert windows.beacons(events(spark, steady), ["k"]).count() == 0
