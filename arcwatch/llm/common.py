@@ -3,28 +3,34 @@
 from __future__ import annotations
 
 import pickle
+import tempfile
 import uuid
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (single-machine tests).
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it."""
+    """The folder that driver and executors share, as the session names it in
+    ``spark.checkpoint.dir``.  A session without one runs on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = LOCAL_CHECKPOINTS
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = _local_folder()
     return folder.rstrip("/")
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
@@ -37,6 +43,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_join(rows: DataFrame, small: DataFrame, keys: list[str], by: str, ways: int = 16, how: str = "inner") -> DataFrame:
+    """rows joined to a table with one row a key, where a key may hold a large
+    share of rows: each key goes to as many tasks as ways, dealt by a column."""
+    dealt = rows.withColumn("_way", F.pmod(F.xxhash64(by, F.lit(3)), F.lit(ways)).cast("int"))
+    copies = small.withColumn("_way", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
+    return dealt.join(copies, [*keys, "_way"], how).drop("_way")
+
+
 def crc_mod(doc_id: str | Column, n: int) -> Column:
     """crc32 of the decimal doc_id, modulo n; null ids count as remainder -1."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
