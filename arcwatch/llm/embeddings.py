@@ -1,25 +1,31 @@
 """Near-duplicate embeddings by an inverted multi-index.
 
 Unit vectors are cut in two halves with a codebook each; the pair of nearest
-codes is a cell of the product grid.  A query visits cells in the order of its
-summed squared distances to both codes (multi-sequence order) until the target
-recall, and cells that the triangle inequality rules out are left out.  How
-many cells that takes is measured: sampled vectors are turned by exactly the
-threshold angle in random directions, the hardest links there are, and the
-count is the ``RECALL`` quantile of the rank of their cells.  Candidates are
-verified by cosine in double precision, so no link is false.
+codes is a cell of the product grid.  A query visits cells by multi-sequence
+traversal: both lists of code distances are sorted, and the next pair in order
+of the summed squared distances is taken from the heads of the sequences, until
+the sum exceeds that of the query's own cell by ``excess``.  The excess is
+measured: sampled vectors are turned by exactly the threshold angle in random
+directions, the hardest links there are, and it is the ``RECALL`` quantile of
+what reaching the turned vectors' cells took.  Candidates are verified by
+cosine in double precision, so no link is false.
 
 Equal vectors of a label are one node with a count.  Every visited cell is
 compared in blocks: queries and members are dealt by salts once a cell exceeds
 ``BLOCK``, and a task returns a count for each query and a spanning forest of
-the links, never all pairs.
-
-Codebooks come from a sample of at most ``SAMPLE`` rows; every row is indexed.
-
-Nulls: vectors that are null, zero, of another length than most, or that hold
-null or non-finite components link with nothing, and neither do rows whose
-label is null.  A null vec_id links with nothing.  Rows that repeat a vec_id
-are one vector each, and equal ones count as links of each other.
+the links, never all pairs.  A pair met from one side alone counts for both:
+members carry the cells that they visit.
+
+Codebooks grow with the square root of the vectors, so cells stay as large as
+they are; they are fitted on ``SAMPLE`` rows, which hold ``SAMPLE`` / 8 codes
+at most.  Every row is indexed.  Each length of vector has an index of its own;
+beyond the ``LENGTHS`` most frequent, vectors of one length are one cell.
+
+Nulls: vectors that are null, empty, zero or that hold null or non-finite
+components link with nothing, and neither do rows whose label is null or whose
+vec_id is null.  Vectors of different lengths do not link.  Rows that repeat a
+vec_id are one vector each, and equal ones count as links of each other.  Other
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,15 +37,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, spread_join, table
 from .components import components
 
 COSINE = 0.93
-CODES = 16
 SAMPLE = 8192
+LENGTHS = 8
+#: Vectors to a cell of the grid.
+CELL = 64
 BLOCK = 2048
 RECALL = 0.99
-SLACK = 1e-6
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -58,69 +65,82 @@ def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1), 0)
 
 
-def _bounds(half: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Squared lower bounds of the distance to anything coded by each centre,
-    and each row's own code."""
-    far = _distances(half, centres)
-    own = far.argmin(1)
-    apart = np.sqrt(_distances(centres, centres))[own]
-    bound = (far - far[np.arange(len(half)), own][:, None]) / np.maximum(2 * apart, 1e-12)
-    bound[np.arange(len(half)), own] = 0
-    return np.maximum(bound - SLACK, 0) ** 2, own
-
-
 def _unit(column: pd.Series) -> np.ndarray:
     x = np.stack(column.to_numpy()).astype(float)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _ranking(x: np.ndarray, books: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Summed squared distances of each row to the codes of every cell."""
-    half = x.shape[1] // 2
-    grid = _distances(x[:, :half], books[0])[:, :, None] + _distances(x[:, half:], books[1])[:, None, :]
-    return grid.reshape(len(x), -1)
-
-
-def _cells(x: np.ndarray, books: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def _halves(x: np.ndarray, books: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances of the halves of each row to the codes of their book."""
     half = x.shape[1] // 2
-    return _distances(x[:, :half], books[0]).argmin(1) * len(books[1]) + _distances(x[:, half:], books[1]).argmin(1)
-
-
-def cells_for_recall(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], cosine: float, recall: float) -> int:
-    """Cells to visit so that this share of links at the threshold is met."""
+    return _distances(x[:, :half], books[0]), _distances(x[:, half:], books[1])
+
+
+def traverse(one: np.ndarray, two: np.ndarray, excess: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell) in multi-sequence order: for every row the pairs of codes by
+    their summed distances, as far as the least sum plus the excess.  All rows
+    take a step at once; a row that has ended leaves."""
+    width = two.shape[1]
+    first, second = np.argsort(one, 1, kind="stable"), np.argsort(two, 1, kind="stable")
+    one, two = np.take_along_axis(one, first, 1), np.take_along_axis(two, second, 1)
+    limit = one[:, 0] + two[:, 0] + excess
+    row = np.arange(len(one))
+    at = np.zeros(one.shape, np.int64)
+    heads = one + two[:, :1]
+    rows, cells = [], []
+    while len(row):
+        i = heads.argmin(1)
+        every = np.arange(len(row))
+        on = heads[every, i] <= limit[row]
+        if not on.all():
+            row, at, heads, i = row[on], at[on], heads[on], i[on]
+            every = np.arange(len(row))
+        j = at[every, i]
+        rows.append(row)
+        cells.append(first[row, i] * width + second[row, j])
+        at[every, i] = j + 1
+        heads[every, i] = np.where(j + 1 < width, one[row, i] + two[row, np.minimum(j + 1, width - 1)], np.inf)
+    return np.concatenate(rows), np.concatenate(cells)
+
+
+def excess_for_recall(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], cosine: float, recall: float) -> float:
+    """How far past its own cell's sum a query must go, so that this share of
+    links at the threshold is met."""
     rng = np.random.default_rng(7)
     side = rng.normal(size=x.shape)
     side -= (side * x).sum(1, keepdims=True) * x
     side /= np.maximum(np.sqrt((side * side).sum(1, keepdims=True)), 1e-12)
-    grid = _ranking(x, books)
-    own = grid[np.arange(len(x)), _cells(cosine * x + np.sqrt(1 - cosine**2) * side, books)]
-    return int(np.quantile((grid < own[:, None]).sum(1) + 1, recall, method="higher"))
-
+    one, two = _halves(x, books)
+    far_one, far_two = _halves(cosine * x + np.sqrt(1 - cosine**2) * side, books)
+    every = np.arange(len(x))
+    needed = one[every, far_one.argmin(1)] + two[every, far_two.argmin(1)] - one.min(1) - two.min(1)
+    return float(np.quantile(needed, recall, method="higher")) + 1e-9
 
-def visits(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], reach: float, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, cell) of the ``count`` nearest cells of each row, less those with
-    nothing within the squared distance ``reach``, and each row's own cell."""
-    half = x.shape[1] // 2
-    one, own1 = _bounds(x[:, :half], books[0])
-    two, own2 = _bounds(x[:, half:], books[1])
-    grid, own = _ranking(x, books), own1 * len(books[1]) + own2
-    count = min(count, grid.shape[1])
-    order = np.argpartition(grid, count - 1, axis=1)[:, :count]
-    near = np.take_along_axis((one[:, :, None] + two[:, None, :]).reshape(grid.shape), order, 1) <= reach + SLACK
-    row, at = np.nonzero(near)
-    return row, order[row, at], own
 
+def _route(shared):
+    """Each vector once for every cell it visits; in its own cell with the
+    list of them all."""
 
-def _route(index, reach: float):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for at in range(0, len(frame), 4096):
-                part = frame.iloc[at : at + 4096]
-                if not len(part):
-                    continue
-                row, cell, own = visits(_unit(part["v"]), index.value[0], reach, index.value[1])
-                picked = part.iloc[row]
-                yield pd.DataFrame({"label": picked["label"].to_numpy(), "cell": cell, "own": cell == own[row], "node": picked["node"].to_numpy(), "copies": picked["copies"].to_numpy(), "v": picked["v"].to_numpy()})
+            for d, same in frame.groupby(frame["v"].map(len)):
+                for at in range(0, len(same), 4096):
+                    yield route(same.iloc[at : at + 4096], d)
+
+    def route(part: pd.DataFrame, d: int) -> pd.DataFrame:
+        row, cell = np.arange(len(part)), np.zeros(len(part), np.int64)
+        if d in shared.value:
+            books, excess = shared.value[d]
+            row, cell = traverse(*_halves(_unit(part["v"]), books), excess)
+        by = np.argsort(row, kind="stable")
+        row, cell = row[by], cell[by]
+        first = np.searchsorted(row, np.arange(len(part)))
+        home = cell[first]
+        visited = np.split(cell, first[1:])
+        own = cell == home[row]
+        picked = part.iloc[row]
+        seen = [visited[r] if mine else None for r, mine in zip(row, own)]
+        return pd.DataFrame({"label": picked["label"].to_numpy(), "d": d, "cell": cell, "home": home[row], "node": picked["node"].to_numpy(), "copies": picked["copies"].to_numpy(), "v": picked["v"].to_numpy(), "visited": seen})
 
     return run
 
@@ -146,10 +166,17 @@ def _forest(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
 
 def _compare(cosine: float):
     def run(key, queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        none = {"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)}
+        out = [pd.DataFrame(none)]
         if len(queries) and len(members):
             x, y = _unit(queries["v"]), _unit(members["v"])
-            q, m, copies = queries["node"].to_numpy(), members["node"].to_numpy(), members["copies"].to_numpy()
+            q, m = queries["node"].to_numpy(), members["node"].to_numpy()
+            home, copies, own_copies = queries["home"].to_numpy(), members["copies"].to_numpy(), queries["copies"].to_numpy()
+            seen = members["visited"].to_numpy()
+            sizes = np.array([len(s) for s in seen])
+            visits = np.stack([np.repeat(np.arange(len(seen)), sizes), np.concatenate(seen)], 1)
+            span = max(int(visits[:, 1].max()), int(home.max())) + 1
+            visits = np.unique(visits[:, 0] * span + visits[:, 1])
             for at in range(0, len(x), 1024):
                 hit = x[at : at + 1024] @ y.T >= cosine
                 hit &= q[at : at + 1024, None] != m[None, :]
@@ -158,58 +185,66 @@ def _compare(cosine: float):
                     continue
                 count = np.bincount(row, copies[col], minlength=min(1024, len(x) - at)).astype(np.int64)
                 tree = _forest(q[at + row], m[col])
-                out.append(pd.DataFrame({"a": q[at : at + len(count)], "b": None, "n": count}))
+                out.append(pd.DataFrame({"a": q[at : at + len(count)], "b": -1, "n": count}))
                 out.append(pd.DataFrame({"a": q[at + row[tree]], "b": m[col[tree]], "n": 0}))
-        found = pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "n": []})
-        return found.astype({"a": "int64", "b": "Int64", "n": "int64"})
+                # members that do not visit the query's own cell meet it here alone
+                alone = ~np.isin(col * span + home[at + row], visits)
+                back = np.bincount(col[alone], own_copies[at + row[alone]], minlength=len(m)).astype(np.int64)
+                out.append(pd.DataFrame({"a": m[back > 0], "b": -1, "n": back[back > 0]}))
+        return pd.concat(out)[["a", "b", "n"]]
 
     return run
 
 
-def train_index(nodes: DataFrame, cosine: float, codes: int, recall: float) -> tuple[tuple[np.ndarray, np.ndarray], int]:
-    """Codebooks by k-means of each half, and the cells to visit, from the
-    ``SAMPLE`` vectors of smallest hash."""
-    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("v").toPandas()
-    if not len(sample):
-        return (np.zeros((1, 1)), np.zeros((1, 1))), 1
+def train_index(nodes: DataFrame, d: int, count: int, cosine: float, recall: float) -> tuple[tuple[np.ndarray, np.ndarray], float]:
+    """Codebooks by k-means of each half of the vectors of length d, and the
+    excess, from the ``SAMPLE`` vectors of smallest hash."""
+    sample = nodes.filter(F.size("v") == d).orderBy("h1", "h2", "label").limit(SAMPLE).select("v").toPandas()
     x = _unit(sample["v"])
     half = x.shape[1] // 2
+    codes = min(SAMPLE // 8, max(1, int(np.ceil((count / CELL) ** 0.5))))
     books = _kmeans(x[:, :half], codes), _kmeans(x[:, half:], codes)
-    return books, cells_for_recall(x[:2048], books, cosine, recall)
+    return books, excess_for_recall(x[:2048], books, cosine, recall)
 
 
-def link_embeddings(vectors: DataFrame, cosine: float = COSINE, codes: int = CODES, recall: float = RECALL) -> DataFrame:
+def link_embeddings(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors."""
     finite = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long").alias("label"), F.col("embedding").alias("v"))
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string").alias("label"), F.col("embedding").alias("v"))
     fit = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda e: e != 0)
-    rows = rows.withColumn("fit", F.coalesce(fit, F.lit(False)))
-    sizes = rows.filter("fit").groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    usual = sizes[0]["d"] if sizes else 0
-    rows = rows.withColumn("fit", F.col("fit") & (F.size("v") == usual))
-    nodes = cut(rows.filter("fit").groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), "vectors")
-
-    index = vectors.sparkSession.sparkContext.broadcast(train_index(nodes, cosine, codes, recall))
-    schema = f"label long, cell long, own boolean, node long, copies long, v {nodes.schema['v'].dataType.simpleString()}"
-    routed = nodes.mapInPandas(_route(index, 2 - 2 * cosine), schema)
+    rows = rows.withColumns({"fit": F.coalesce(fit, F.lit(False)), "h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(7), "v")})
+    same = ["label", "h1", "h2"]
+    nodes = rows.filter("fit").groupBy(*same).agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.any_value("v").alias("v"))
+    # numbered once and written, so a lost task cannot number anew
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()), "vectors")
+
+    lengths = nodes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).filter("d > 1").orderBy(F.desc("n"), "d").limit(LENGTHS).collect()
+    index = vectors.sparkSession.sparkContext.broadcast({r["d"]: train_index(nodes, r["d"], r["n"], cosine, recall) for r in lengths})
+    kind = nodes.schema["v"].dataType.simpleString()
+    schema = f"label string, d int, cell long, home long, node long, copies long, v {kind}, visited array<long>"
+    routed = nodes.select("label", "node", "copies", "v").mapInPandas(_route(index), schema)
     # members are the rows in their own cells; every row is a query of each cell it visits
-    tally = routed.groupBy("label", "cell").agg(F.count("*").alias("asked"), F.count_if("own").alias("held")).filter("held > 0")
-    tally = tally.select("label", "cell", F.ceil(F.col("asked") / BLOCK).alias("s"), F.ceil(F.col("held") / BLOCK).alias("t"))
-    salted = routed.join(tally, ["label", "cell"])
+    place = ["label", "d", "cell"]
+    own = F.col("cell") == F.col("home")
+    tally = routed.groupBy(*place).agg(F.count("*").alias("asked"), F.count_if(own).alias("held")).filter("held > 0")
+    tally = tally.select(*place, F.ceil(F.col("asked") / BLOCK).alias("s"), F.ceil(F.col("held") / BLOCK).alias("t"))
+    salted = spread_join(routed, tally, place, "node")
     qs, ms = F.pmod(F.xxhash64("node"), F.col("s")), F.pmod(F.xxhash64("node", F.lit(1)), F.col("t"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    columns = ["label", "cell", "qs", "ms", "node", "copies", "v"]
-    queries = salted.withColumn("qs", qs).withColumn("ms", every("t")).select(*columns).toDF(*columns)
-    members = salted.filter("own").withColumn("ms", ms).withColumn("qs", every("s")).select(*columns).toDF(*columns)
-    keys = ["label", "cell", "qs", "ms"]
+    keys = [*place, "qs", "ms"]
+    queries = salted.withColumn("qs", qs).withColumn("ms", every("t")).select(*keys, "node", "copies", "home", "v")
+    members = salted.filter(own).withColumn("ms", ms).withColumn("qs", every("s")).select(*keys, "node", "copies", "visited", "v")
+    queries, members = queries.toDF(*queries.columns), members.toDF(*members.columns)
     found = cut(queries.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInPandas(_compare(cosine), "a long, b long, n long"), "links")
-    counts = found.filter("b is null").groupBy("a").agg(F.sum("n").alias("n"))
-    labels = components(found.filter("b is not null").select("a", "b"))
-
-    place = nodes.join(counts, F.col("node") == F.col("a"), "left").drop("a").join(labels.withColumnRenamed("label", "root").withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").drop("_n")
-    place = place.select(F.col("label").alias("_l"), F.col("v").alias("_v"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
-    out = rows.join(place, F.col("fit") & (F.col("label") == F.col("_l")) & (F.col("v") == F.col("_v")), "left")
-    component = F.coalesce("root", "vec_id")
+    counts = found.filter("b < 0").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "node")
+    roots = components(found.filter("b >= 0").select("a", "b")).withColumnRenamed("label", "root")
+
+    known = nodes.select(*same, "node", "least", "copies").join(counts, "node", "left").join(roots, "node", "left")
+    known = known.withColumn("root", F.coalesce("root", "node"))
+    ids = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    known = known.join(ids, "root").select(*same, "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.lit(True).alias("fit"))
+    out = rows.select("vec_id", *same, "fit").join(known, [*same, "fit"], "left")
+    component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
