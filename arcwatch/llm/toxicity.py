@@ -1,25 +1,32 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models, one of toxic and one of ordinary text, are interpolated
-with absolute discounting down to one lower-order distribution that both
-share: the continuation counts (distinct left neighbours) over both classes.
-An expression on which the classes do not differ by ``EVIDENCE`` standard
-errors, counted in documents, is read through the shared counts alone, so a
-rare word does not speak for either class.
-
-A text's score is the logistic of a calibrated difference of its
-log-likelihoods, divided by a power of the words chosen in ``LENGTHS`` at
-calibration, with the intercept moved to the share of toxic labels.
+Two models, one of toxic and one of ordinary text, spell every word letter by
+letter: a letter is predicted from all letters before it in the word (``DEPTH``
+at most).  Counts are of documents, so that one long text is one witness.  Both
+models discount their counts by n1 / (n1 + 2 n2) of their own and back off to
+one model that both share, with the pooled counts of both classes, discounted
+in turn down to letters after the last two.  ``STRENGTH`` is how many documents
+the shared model counts for in every context: where a class has met a beginning
+rarely, both say nearly the same, and a rare inflection of a frequent stem is
+read through the stem.
+
+A word's evidence is the difference of its log-likelihoods.  Every word of a
+text counts, by the softplus of its evidence less a margin (so that many small
+differences of ordinary words don't add up to an insult); the sum is divided by
+a power of the number of words.  Margin and power are chosen, and the logistic
+that makes a probability of it is fitted, on rows held back from the models; its
+intercept is moved to the share of toxic labels.
 
 The models are fitted in one task on a bounded sample of labelled rows: per
 class the ``SAMPLE`` documents of smallest hash, one in ``CALIBRATE`` of them
-kept for calibration.  Each of them teaches: where their text exceeds
-``SAMPLE_BYTES``, the longest give their first bytes only.
-Scoring covers every whole text.
+held back.  Each of them teaches: where their text exceeds ``SAMPLE_BYTES``, the
+longest give their first bytes only.  Scoring covers every whole text.
 
-Nulls: null and empty texts score as the intercept alone.  Null labels and
+Nulls: null and empty texts score as texts without evidence.  Null labels and
 labels without a document teach nothing.  A repeated doc_id teaches once per
-row.  With no label of a class, every score is the share of toxic labels.
+row, equal texts of a class once.  Ties of the drawing hash go by doc_id.  With
+no label of a class, every score is the share of toxic labels.  Other columns
+are ignored in scoring and kept in filtering.
 """
 
 from __future__ import annotations
@@ -34,111 +41,121 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_mod, fitted, table
-from .kernels import PUNCTUATION, Words, lookup, mix, pieces
+from .kernels import PUNCTUATION, Words, lookup, pieces, prefix_hash, span_hash
 
 SAMPLE = 4000
-SAMPLE_BYTES = 8 << 20
+SAMPLE_BYTES = 6 << 20
 CALIBRATE = 3
+DEPTH = 16
+STRENGTH = 50.0
+MARGINS = (1.0, 2.0, 3.0)
+#: How sharply the softplus bends at the margin.
+SHARPNESS = 4.0
 LENGTHS = (0.25, 0.5, 0.75, 1.0)
-DISCOUNT = 1.0
-EVIDENCE = 5.0
 THRESHOLD = 0.5
 
-_U = np.uint64
-_START = _U(0x5851F42D4C957F2D)
-
-
-def _bigrams(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Left neighbour (a fixed start for the first) and word."""
-    left = np.empty_like(words.hash)
-    left[1:] = words.hash[:-1]
-    left[words.offs[:-1][np.diff(words.offs) > 0]] = _START
-    return left, words.hash
-
-
-def _pair(left: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix(left * _U(0x9E3779B97F4A7C15) + word)
-
-
-def _aligned(tables: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Union of the keys of (keys, counts), and the counts of each as rows."""
-    keys = np.unique(np.concatenate([k for k, _ in tables]))
-    out = np.zeros((len(tables), len(keys)))
-    for row, (k, c) in zip(out, tables):
-        row[np.searchsorted(keys, k)] = c
-    return keys, out
-
-
-def _documents_with(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """In how many documents each key occurs."""
-    order = np.lexsort((docs, keys))
-    keys, docs = keys[order], docs[order]
-    first = np.ones(len(keys), bool)
-    first[1:] = (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])
-    return np.unique(keys[first], return_counts=True)
-
-
-def _telling(grams: list[tuple], keys_of, keys: np.ndarray) -> np.ndarray:
-    """Whether the classes differ on a key by ``EVIDENCE`` standard errors.
-
-    Counted in documents, so that one long text is one witness.
-    """
-    found, seen = _aligned([_documents_with(keys_of(g), g[2]) for g in grams])
-    size = np.array([len(np.unique(g[2])) for g in grams], float)
-    share = seen.sum(0) / size.sum()
-    error = np.sqrt(np.maximum(share * (1 - share), 1 / size.sum()) * (1 / size).sum())
-    far = np.abs(seen[1] / size[1] - seen[0] / size[0]) >= EVIDENCE * error
-    at, known = lookup(found[far], keys)
-    return known
-
-
-def fit(grams: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> dict:
-    """Log-ratio tables of two classes from their (left, word, document) occurrences.
-
-    grams[1] is toxic, grams[0] ordinary.  The ratio of a word is that of its
-    pair with the left neighbour where the classes differ on the pair, else
-    that of the word where they differ on it, and else none: both classes then
-    give the shared backoff.
-    """
-    left, word = np.concatenate([g[0] for g in grams]), np.concatenate([g[1] for g in grams])
-    pairs, first = np.unique(_pair(left, word), return_index=True)
-    shared_words, continuation = np.unique(word[first], return_counts=True)
-
-    words, uni = _aligned([np.unique(g[1], return_counts=True) for g in grams])
-    total = uni.sum(1, keepdims=True)
-    spare = np.minimum(uni, DISCOUNT).sum(1, keepdims=True) / total
-    at, _ = lookup(shared_words, words)
-    p_word = np.maximum(uni - DISCOUNT, 0) / total + spare * continuation[at] / len(pairs)
-    clear = _telling(grams, lambda g: g[1], words)
-    word_ratio = np.log(p_word[1, clear]) - np.log(p_word[0, clear])
-
-    contexts, ctx = _aligned([np.unique(g[0], return_counts=True) for g in grams])
-    keys, counts = _aligned([np.unique(_pair(g[0], g[1]), return_counts=True) for g in grams])
-    at = np.searchsorted(pairs, keys)
-    c_at, w_at = np.searchsorted(contexts, left[first][at]), np.searchsorted(words, word[first][at])
-    saved = np.zeros_like(ctx)
-    for c in range(2):
-        np.add.at(saved[c], c_at, np.minimum(counts[c], DISCOUNT))
-    weight = np.where(ctx > 0, saved / np.maximum(ctx, 1), 1.0)
-    sure = _telling(grams, lambda g: _pair(g[0], g[1]), keys)
-    c_at, w_at = c_at[sure], w_at[sure]
-    p = np.maximum(counts[:, sure] - DISCOUNT, 0) / np.maximum(ctx[:, c_at], 1) + weight[:, c_at] * p_word[:, w_at]
-    return {"pairs": keys[sure], "pair_ratio": np.log(p[1]) - np.log(p[0]), "words": words[clear], "word_ratio": word_ratio}
-
-
-def ratios(words: Words, model: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Summed log-likelihood differences of the texts of a piece, and words."""
-    left, word = _bigrams(words)
-    ratio = np.zeros(len(word))
-    for keys, values, own in (("words", "word_ratio", word), ("pairs", "pair_ratio", _pair(left, word))):
-        at, known = lookup(model[keys], own)
-        ratio[known] = model[values][at[known]]
-    total = np.concatenate([[0.0], np.cumsum(ratio)])
+#: Marks around a word, bytes that no word holds.
+_START, _END = 2, 3
+
+
+def spelling(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The letters of words, each between a start and an end mark, and where
+    each word starts."""
+    n = ends - starts
+    at = np.concatenate([[0], np.cumsum(n + 2)])
+    letters = np.full(at[-1], _END, np.uint8)
+    letters[at[:-1]] = _START
+    word = np.repeat(np.arange(len(n)), n)
+    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    letters[at[word] + 1 + k] = data[starts[word] + k]
+    return letters, at
+
+
+def steps(letters: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every letter after a start mark: its word, and the hashes of the
+    letters up to and with it, and up to it."""
+    word = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    pos = np.flatnonzero(np.arange(len(letters)) != at[word])
+    begin = np.maximum(at[word[pos]], pos - depth + 1)
+    prefix = prefix_hash(letters)
+    return word[pos], span_hash(prefix, begin, pos + 1), span_hash(prefix, begin, pos)
+
+
+def discount(counts: np.ndarray) -> float:
+    """n1 / (n1 + 2 n2) of the counts of counts; a half where there are none."""
+    once, twice = (counts == 1).sum(), (counts == 2).sum()
+    return float(once / (once + 2 * twice)) if once and twice else 0.5
+
+
+class Counts:
+    """Counts of what follows each context, aligned with the distinct grams."""
+
+    def __init__(self, gram: np.ndarray, context: np.ndarray, weight: np.ndarray):
+        """weight: one row of weights of the occurrences for each class."""
+        self.grams, first, own = np.unique(gram, return_index=True, return_inverse=True)
+        self.first = first
+        self.n = np.stack([np.bincount(own, w, len(self.grams)) for w in weight])
+        self.contexts, self.of = np.unique(context[first], return_inverse=True)
+        self.total = np.stack([np.bincount(self.of, n, len(self.contexts)) for n in self.n])
+
+    def discounted(self, strength: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Of each class: the probability that counts give each gram, and the
+        weight of the backoff in each context."""
+        d = [discount(n[n > 0]) for n in self.n]
+        total = np.maximum(self.total, 1e-9) + strength
+        own = np.stack([np.maximum(n - x, 0) for n, x in zip(self.n, d)]) / total[:, self.of]
+        spare = np.stack([np.bincount(self.of, np.minimum(n, x), len(self.contexts)) for n, x in zip(self.n, d)])
+        return own, np.where(self.total + strength > 0, (strength + spare) / total, 1.0)
+
+
+def probabilities(letters: np.ndarray, at: np.ndarray, docs: np.ndarray) -> tuple[Counts, np.ndarray, np.ndarray]:
+    """Probabilities of the grams met in words, and backoff weights of the
+    contexts, under both classes; docs: documents of each class with each word."""
+    word, gram, context = steps(letters, at, DEPTH)
+    _, short, before = steps(letters, at, 3)
+    last = Counts(short, before, docs.sum(0, keepdims=True)[:, word])
+    p_last = last.n[0] / last.total[0][last.of]
+    pooled = Counts(gram, context, docs.sum(0, keepdims=True)[:, word])
+    own, spare = pooled.discounted()
+    shared = own[0] + spare[0][pooled.of] * p_last[np.searchsorted(last.grams, short[pooled.first])]
+    classes = Counts(gram, context, docs[:, word])
+    own, spare = classes.discounted(STRENGTH)
+    return classes, own + spare[:, classes.of] * shared, spare
+
+
+def fit(letters: np.ndarray, at: np.ndarray, docs: np.ndarray) -> dict:
+    """Tables of log-likelihood differences, toxic less ordinary."""
+    counts, p, spare = probabilities(letters, at, docs)
+    differ = lambda x: (np.log(x[1]) - np.log(x[0])).astype(np.float32)
+    return {"grams": counts.grams, "gram_ratio": differ(p), "contexts": counts.contexts, "context_ratio": differ(spare)}
+
+
+def evidence(words: Words, model: dict) -> np.ndarray:
+    """The log-likelihood difference of every word of a piece."""
+    _, first, own = np.unique(words.hash, return_index=True, return_inverse=True)
+    letters, at = spelling(words.data, words.starts[first], words.ends[first])
+    word, gram, context = steps(letters, at, DEPTH)
+    ratio = np.zeros(len(gram), np.float32)
+    place, known = lookup(model["grams"], gram)
+    ratio[known] = model["gram_ratio"][place[known]]
+    # a letter that neither class has met there: both give the shared backoff
+    new = np.flatnonzero(~known)
+    place, known = lookup(model["contexts"], context[new])
+    ratio[new[known]] = model["context_ratio"][place[known]]
+    return np.bincount(word, ratio, len(first))[own]
+
+
+def _sums(words: Words, model: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text and margin the sum of the softplus of its words' evidence,
+    and its number of words."""
+    found = evidence(words, model)
+    total = np.stack([np.concatenate([[0.0], np.cumsum(np.logaddexp(0, SHARPNESS * (found - m)) / SHARPNESS)]) for m in MARGINS], 1)
     return total[words.offs[1:]] - total[words.offs[:-1]], np.diff(words.offs)
 
 
-def _feature(total: np.ndarray, n: np.ndarray, power: float) -> np.ndarray:
-    return total / np.maximum(n, 1) ** power
+def _feature(total: np.ndarray, n: np.ndarray, choice: tuple[int, float]) -> np.ndarray:
+    margin, power = choice
+    return total[:, margin] / np.maximum(n, 1) ** power
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
@@ -197,35 +214,55 @@ def by_class(sample: pa.Table) -> list[pa.Array]:
     return [sample.filter(pa.compute.equal(sample.column("label"), c)).column("text").unique().cast(pa.large_string()) for c in (0, 1)]
 
 
+def _vocabulary(texts: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letters of the distinct words of the texts of both classes, where each
+    word starts, and the documents of each class that have it."""
+    hashes, docs, letters, ends = [np.zeros(0, np.uint64)], [np.zeros((2, 0))], [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
+    size = 0
+    for label, text in enumerate(texts):
+        for _, _, data, offs in pieces(text):
+            words = Words(data, offs, PUNCTUATION)
+            doc = np.repeat(np.arange(len(offs) - 1), np.diff(words.offs))
+            by = np.lexsort((doc, words.hash))
+            new = np.append(True, (words.hash[by][1:] != words.hash[by][:-1]) | (doc[by][1:] != doc[by][:-1]))[: len(by)]
+            found, first, n = np.unique(words.hash[by][new], return_index=True, return_counts=True)
+            one = by[new][first]
+            own, at = spelling(words.data, words.starts[one], words.ends[one])
+            hashes.append(found)
+            docs.append(np.stack([n * (label == c) for c in (0, 1)]))
+            letters.append(own)
+            ends.append(size + at[1:])
+            size += len(own)
+    letters, ends, hashes, docs = np.concatenate(letters), np.concatenate(ends), np.concatenate(hashes), np.concatenate(docs, 1)
+    starts = np.append(0, ends[:-1])[: len(ends)]
+    _, first, own = np.unique(hashes, return_index=True, return_inverse=True)
+    letters, at = spelling(letters, starts[first] + 1, ends[first] - 1)
+    return letters, at, np.stack([np.bincount(own, d, len(first)) for d in docs])
+
+
 def build(sample: pa.Table, share: float) -> dict:
     """The model of a sample (label, draw, text)."""
-    grams: list[list] = [[], []]
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     texts = by_class(sample)
-    kept = []
-    for label, text in enumerate(texts):
-        for first, _, data, offs in pieces(text):
-            words = Words(data, offs, PUNCTUATION)
-            left, word = _bigrams(words)
-            doc = first + np.repeat(np.arange(len(offs) - 1), np.diff(words.offs))
-            mine = doc % CALIBRATE > 0
-            grams[label].append((left[mine], word[mine], doc[mine]))
-            chosen = np.flatnonzero((first + np.arange(len(offs) - 1)) % CALIBRATE == 0)
-            kept.append((label, text.slice(first, len(offs) - 1).take(pa.array(chosen))))
-    if not all(sum(len(g[1]) for g in own) for own in grams):
+    held = [text.take(pa.array(np.arange(0, len(text), CALIBRATE))) for text in texts]
+    texts = [text.filter(pa.array(np.arange(len(text)) % CALIBRATE > 0)) for text in texts]
+    letters, at, docs = _vocabulary(texts)
+    if not docs.any(1).all():
         return {"share": share}
-    model = fit([tuple(map(np.concatenate, zip(*own))) for own in grams])
-    for label, text in kept:
+    model = fit(letters, at, docs)
+    totals, sizes, labels = [], [], []
+    for label, text in enumerate(held):
         for _, _, data, offs in pieces(text):
-            total, n = ratios(Words(data, offs, PUNCTUATION), model)
-            held.append((total, n, np.full(len(n), float(label))))
-    total, n, y = (np.concatenate(c) for c in zip(*held))
-    fits = {power: _logistic(_feature(total, n, power), y) for power in LENGTHS}
-    power = min(fits, key=lambda p: _loss(_feature(total, n, p), y, *fits[p]))
-    slope, intercept = fits[power]
+            total, n = _sums(Words(data, offs, PUNCTUATION), model)
+            totals.append(total)
+            sizes.append(n)
+            labels.append(np.full(len(n), float(label)))
+    total, n, y = map(np.concatenate, (totals, sizes, labels))
+    fits = {(m, power): _logistic(_feature(total, n, (m, power)), y) for m in range(len(MARGINS)) for power in LENGTHS}
+    choice = min(fits, key=lambda c: _loss(_feature(total, n, c), y, *fits[c]))
+    slope, intercept = fits[choice]
     drawn = (y.sum() + 1) / (len(y) + 2)
     intercept += np.log(share / (1 - share)) - np.log(drawn / (1 - drawn))
-    return model | {"power": power, "slope": max(slope, 0.0), "intercept": float(intercept), "share": share}
+    return model | {"choice": choice, "slope": max(slope, 0.0), "intercept": float(intercept), "share": share}
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column) -> dict:
@@ -238,7 +275,7 @@ def score_texts(column: pa.Array, model: dict) -> np.ndarray:
     out = np.full(len(column), model["share"])
     if "slope" in model:
         for first, end, data, offs in pieces(column):
-            x = _feature(*ratios(Words(data, offs, PUNCTUATION), model), model["power"])
+            x = _feature(*_sums(Words(data, offs, PUNCTUATION), model), model["choice"])
             out[first:end] = 1 / (1 + np.exp(-np.clip(model["slope"] * x + model["intercept"], -700, 700)))
     return out
 
