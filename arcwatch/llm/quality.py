@@ -5,14 +5,20 @@ neighbours; forward-backward marginals of "good", weighted by line length,
 make the document's quality, which a logistic fitted on held-back documents
 turns into a probability.
 
-Line labels are not given, so in fitting every line has its document's label.
-The field is fitted by Adam, in one task, on a bounded sample: per class the ``SAMPLE``
-labelled documents of smallest hash, the longest cut so that ``SAMPLE_BYTES`` of
-text hold them all, weighed back to the share of each label.
+Lines have no labels of their own, so they are hidden: fitting takes their
+expected labels under the field, given that a good document has a share of
+``GOOD`` good lines at least and a bad one ``BAD`` at most (by length), and fits
+the field to these expectations in ``ROUNDS`` rounds, by Adam.  A document of
+mixed lines so teaches changes from good to bad.  All in one task, on a bounded
+sample: per class the ``SAMPLE`` labelled documents of smallest hash, the
+longest cut so that ``SAMPLE_BYTES`` of text hold them all, weighed back to the
+share of each label.
 
 Nulls: a null or empty text is one empty line and is scored as such.  Null
 labels teach nothing.  With no label of a class every score is the share of
-good labels.  Repeated rows are scored alike.
+good labels.  Repeated rows are scored alike; equal texts of a class teach
+once, and ties of the drawing hash go by doc_id.  Other columns are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +38,10 @@ SAMPLE = 3000
 SAMPLE_BYTES = 6 << 20
 CALIBRATE = 3
 COMMON = 512
-STEPS, RATE, RIDGE = 150, 0.08, 1e-4
+STEPS, RATE, RIDGE = 100, 0.08, 1e-4
+ROUNDS, BISECTIONS = 3, 8
+#: Least share of good lines in a good document, and most in a bad one.
+GOOD, BAD = 0.8, 0.4
 THRESHOLD = 0.7
 
 #: Byte classes whose share of a line is a feature.
@@ -158,24 +167,58 @@ def _aggregate(good: np.ndarray, size: np.ndarray, offs: np.ndarray) -> np.ndarr
     return (total[offs[1:]] - total[offs[:-1]]) / np.maximum(weight[offs[1:]] - weight[offs[:-1]], 1e-9)
 
 
-def fit(x: np.ndarray, offs: np.ndarray, label: np.ndarray, weight: np.ndarray) -> dict:
-    """Weights and transitions by Adam on the weighted log-likelihood."""
+def constrained(unary: np.ndarray, offs: np.ndarray, trans: np.ndarray, label: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of lines and pairs given the labels of documents: the good
+    share of a good document is ``GOOD`` at least, that of a bad one ``BAD`` at
+    most.  A document that breaks this gets one bias for all its lines, found by
+    bisection, which keeps the differences between them."""
+    owner = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+    bound = np.where(label == 1, GOOD, BAD)
+    good, pairs = marginals(unary, offs, trans)
+    side = np.where(label == 1, 1.0, -1.0)
+    broken = side * (_aggregate(good, size, offs) - bound) < 0
+    low, high = np.zeros(len(label)), np.where(broken, 16.0, 0.0)
+    for _ in range(BISECTIONS):
+        middle = (low + high) / 2
+        good, pairs = marginals(unary + (side * middle)[owner], offs, trans)
+        short = side * (_aggregate(good, size, offs) - bound) < 0
+        low, high = np.where(short, middle, low), np.where(short, high, middle)
+    return good, pairs
+
+
+def fit(x: np.ndarray, offs: np.ndarray, label: np.ndarray, weight: np.ndarray, size: np.ndarray) -> dict:
+    """Weights and transitions by expectation and maximisation.
+
+    The lines of a document start with its label and are read by themselves,
+    without neighbours or transitions (which would make all lines of a document
+    alike).  Each round then takes the expected labels and label pairs of
+    lines, given the document's label, as what Adam fits the field to.
+    """
     mean, std = x.mean(0), x.std(0) + 1e-3
     x = np.concatenate([(x - mean) / std, np.ones((len(x), 1))], 1)
     n = np.diff(offs)
     # a document is one witness however many lines it has
     share = weight / np.sqrt(n)
     share = share / share.sum()
-    y, w = np.repeat(label, n), np.repeat(share, n)
-    seen = np.zeros((len(label), 4))
-    seen[:, 0], seen[:, 3] = (1 - label) * (n - 1), label * (n - 1)
+    w = np.repeat(share, n)
     theta = np.zeros(x.shape[1] + 4)
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
-    for step in range(1, STEPS + 1):
-        good, pairs = marginals(x @ theta[:-4], offs, theta[-4:].reshape(2, 2))
-        grad = np.concatenate([x.T @ (w * (y - good)), share @ (seen - pairs)]) - RIDGE * theta
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        theta += RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+
+    alone = np.append(np.arange(x.shape[1] - 1) < FEATURES, True)
+
+    def maximise(line: np.ndarray, seen: np.ndarray | None, count: int) -> None:
+        m, v = np.zeros_like(theta), np.zeros_like(theta)
+        for step in range(1, count + 1):
+            good, pairs = marginals(x @ theta[:-4], offs, theta[-4:].reshape(2, 2))
+            grad = np.concatenate([x.T @ (w * (line - good)), share @ (pairs if seen is None else seen) - share @ pairs]) - RIDGE * theta
+            if seen is None:
+                grad[:-4] *= alone
+            m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
+            theta[:] += RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+
+    maximise(np.repeat(label, n), None, STEPS)
+    for _ in range(ROUNDS):
+        line, seen = constrained(x @ theta[:-4], offs, theta[-4:].reshape(2, 2), label, size)
+        maximise(line, seen, STEPS // 2)
     return {"mean": mean, "std": std, "theta": theta}
 
 
@@ -214,8 +257,8 @@ def build(sample: pa.Table, share: float) -> dict:
         rows = np.repeat(mask, n)
         return x[rows], np.concatenate([[0], np.cumsum(n[mask])]), size[rows]
 
-    own_x, own_offs, _ = subset(~held)
-    model = fit(own_x, own_offs, label[~held].astype(float), weight[~held])
+    own_x, own_offs, own_size = subset(~held)
+    model = fit(own_x, own_offs, label[~held].astype(float), weight[~held], own_size)
     cal = Lines.__new__(Lines)
     cal.x, cal.offs, cal.size = subset(held)
     raw = _logit(_raw(cal, model))
