@@ -179,41 +179,54 @@ def test_shard_documents_keeps_columns(docs, rows, empty):
 
 
 def brute_removals(rows):
+    """(n_bytes, n_removed, n_spans, sha256) of every (doc_id, text)."""
     seen, out = {}, {}
-    for d, t in sorted({(r[0], r[1]) for r in rows if r[0] is not None}, key=lambda r: r[0]):
-        b = (t or "").encode()
-        gone = np.zeros(len(b), bool)
-        fresh = []
-        for i in range(len(b) - suffixes.WINDOW + 1):
+    byte_texts = {(r[0], (r[1] or "").encode()) for r in rows}
+    for d, b in byte_texts:
+        for i in range(len(b) - suffixes.WINDOW + 1) if d is not None else ():
             w = b[i : i + suffixes.WINDOW]
-            if seen.get(w, d) < d:
+            seen[w] = min(seen.get(w, d), d)
+    for d, b in byte_texts:
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - suffixes.WINDOW + 1) if d is not None else ():
+            if seen[b[i : i + suffixes.WINDOW]] < d:
                 gone[i : i + suffixes.WINDOW] = True
-            else:
-                fresh.append(w)
-        for w in fresh:
-            seen.setdefault(w, d)
         runs = int((gone & ~np.append(False, gone[:-1])).sum()) if len(b) else 0
-        out[d] = (len(b), int(gone.sum()), runs, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest())
+        out[d, len(b), int(gone.sum()), runs, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()] = (d, b)
     return out
 
 
-def test_repeats_are_removed_exactly(docs, rows, empty):
-    got = suffixes.remove_repeats(docs, keep_text=True).collect()
-    expected = brute_removals(rows)
+def removals_match(df, rows, hot=suffixes.HOT):
+    got = suffixes.remove_repeats(df, keep_text=True, hot=hot).collect()
     assert len(got) == len(rows)
-    for r in got:
-        if r["doc_id"] is None:
-            assert (r["n_removed"], r["n_spans"]) == (0, 0)
-        else:
-            assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == expected[r["doc_id"]]
-        assert hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"]
+    found = {(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got}
+    assert found == brute_removals(rows).keys()
+    assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in got)
+
+
+@pytest.mark.parametrize("hot", [suffixes.HOT, 3, 1])
+def test_repeats_are_removed_exactly(docs, rows, empty, hot, monkeypatch):
+    monkeypatch.setattr(suffixes, "BATCH", 4000)  # many batches on the driver's side
+    removals_match(docs, rows, hot)
     assert suffixes.remove_repeats(empty).count() == 0
 
 
-def test_repeats_in_periodic_text(spark):
-    rows = [(1, "ab" * 60, *[None] * 5), (2, "x" + "ab" * 40 + "y", *[None] * 5), (3, "b" * 49, *[None] * 5), (4, "b" * 200, *[None] * 5), (5, "b" * 51, *[None] * 5)]
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got == brute_removals(rows)
+@pytest.mark.parametrize("hot", [suffixes.HOT, 4])
+def test_repeats_of_one_doc_id_with_other_texts(spark, hot):
+    """Rows of one doc_id take nothing from each other, and only what is theirs."""
+    rng = np.random.default_rng(12)
+    words = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    shared, other = words(90), words(70)
+    rows = [(1, words(60) + shared), (2, words(40) + shared + words(30)), (2, words(144)), (2, other + words(9)), (2, words(5) + other), (3, other), (3, other), (None, shared), (4, None), (4, "")]
+    removals_match(spark.createDataFrame(rows, "doc_id long, text string"), rows, hot)
+
+
+@pytest.mark.parametrize("hot", [suffixes.HOT, 5])
+def test_repeats_in_periodic_and_very_long_text(spark, hot):
+    rng = np.random.default_rng(13)
+    long = "".join(rng.choice(list("abcdefghij \n"), 1_300_000))
+    rows = [(1, "ab" * 60), (2, "x" + "ab" * 40 + "y"), (3, "b" * 49), (4, "b" * 200), (5, "b" * 51), (6, long), (7, long[700_000:700_300] + "é" * 40), (8, "zz" + long[1000:2000] + long[-80:])]
+    removals_match(spark.createDataFrame(rows, "doc_id long, text string"), rows, hot)
 
 
 def test_radix_order_sorts_groups():
@@ -239,6 +252,62 @@ def test_base_scores_and_counts(docs, rows, empty):
     assert language_model.score_texts(empty).count() == 0
 
 
+def test_scores_match_a_plain_reading(spark, monkeypatch):
+    """The score of every text is the sum of its tokens' probabilities, each
+    found one by one, and the probabilities of all words sum to one."""
+    monkeypatch.setattr(language_model, "HEAD", 20)
+    monkeypatch.setattr(language_model, "GROWTH", 0)
+    monkeypatch.setattr(language_model, "KIND", 7)
+    held = {}
+    whole = language_model.fit
+    monkeypatch.setattr(language_model, "fit", lambda *a: held.setdefault("model", whole(*a)))
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.4, 30) % 60)) for i in range(80)] + [(80, None), (81, "unseen w1"), (None, "W1 w2")]
+    got = language_model.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    model, kinds = held["model"], language_model.kinds_of(20)
+    hashed = lambda w: int(kernels.Words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)])).hash[0])
+    tokens = lambda t: re.findall(SPACE, lower(t or ""))
+    train = [tokens(t) for d, t in rows if d is None or zlib.crc32(str(d).encode()) % 10]
+    counts = Counter(w for t in train for w in t)
+    signed = lambda h: h - (1 << 64) if h >= 1 << 63 else h
+    head = sorted(counts, key=lambda w: (-counts[w], signed(hashed(w))))[:20]
+    kind = {w: int(language_model.kind_of(np.array([hashed(w)], np.uint64), kinds)[0]) for w in {*counts, *(w for _, t in rows for w in tokens(t))}}
+    rare = [w for w in counts if w not in head]
+    n, v = Counter(), Counter()
+    for w in rare:
+        n[kind[w]] += counts[w]
+        v[kind[w]] += 1
+    outcome = lambda w: 20 if w is None else head.index(w) if w in head else 21 + kind[w]
+    span = language_model.class_size(21 + kinds)
+
+    def p(w, one, two):
+        q = model["r"][one] * model["c1"] + model["r"][two] * model["c2"]
+        own = np.exp(model["t"] @ q + model["b"])
+        every = np.exp(model["u"] @ q + model["d"])
+        o = outcome(w)
+        share = (counts[w] + 0.1) / (n[kind[w]] + 0.1 * (v[kind[w]] + 1)) if o > 20 else 1
+        c = o // span
+        return share * every[c] / every.sum() * own[o] / own[c * span : (c + 1) * span].sum()
+
+    start = 21 + kinds
+    expected = []
+    for d, t in rows:
+        one, two, total = start, start, 0.0
+        for w in [*tokens(t), None]:
+            total += math.log10(p(w, one, two))
+            one, two = outcome(w), one
+        expected.append((-1 if d is None else d, total))
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["score"]) for r in got) == [(d, pytest.approx(s, abs=1e-3)) for d, s in sorted(expected)]
+    never = sum((0.1 / (n[k] + 0.1 * (v[k] + 1))) * p_kind for k, p_kind in enumerate(p_kinds(model, kinds, span, 3, 5)))
+    assert sum(p(w, 3, 5) for w in [*counts, None]) + never == pytest.approx(1, abs=1e-4)
+
+
+def p_kinds(model, kinds, span, one, two):
+    q = model["r"][one] * model["c1"] + model["r"][two] * model["c2"]
+    own, every = np.exp(model["t"] @ q + model["b"]), np.exp(model["u"] @ q + model["d"])
+    return [every[o // span] / every.sum() * own[o] / own[o // span * span : (o // span + 1) * span].sum() for o in range(21, 21 + kinds)]
+
+
 def test_log_probabilities_are_normalised_and_learned():
     rng = np.random.default_rng(5)
     unigram = np.full(language_model.HEAD + 2, 1.0 / (language_model.HEAD + 2))
@@ -269,9 +338,11 @@ def test_language_model_vocabulary_grows_with_the_input(spark):
 
 
 def brute_links(rows, cosine):
-    ok = [(i, l, np.array(v, float)) for i, v, l in rows if i is not None and l is not None and v and len(v) == 4 and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    """Per row: (vec_id, links, component) by comparing all pairs; repeated
+    vec_ids are vectors each."""
+    ok = [(at, i, l, np.array(v, float)) for at, (i, v, l) in enumerate(rows) if i is not None and l is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     links = Counter()
-    root = {i: i for i, *_ in rows}
+    root = {at: at for at in range(len(rows))}
 
     def find(x):
         while root[x] != x:
@@ -279,30 +350,67 @@ def brute_links(rows, cosine):
         return x
 
     for a, b in itertools.combinations(ok, 2):
-        if a[1] == b[1] and a[2] @ b[2] / math.sqrt((a[2] @ a[2]) * (b[2] @ b[2])) >= cosine:
+        if a[2] == b[2] and len(a[3]) == len(b[3]) and a[3] @ b[3] / math.sqrt((a[3] @ a[3]) * (b[3] @ b[3])) >= cosine:
             links[a[0]] += 1
             links[b[0]] += 1
-            x, y = sorted((find(a[0]), find(b[0])))
-            root[y] = x
-    return {i: (links[i], find(i)) for i, *_ in rows if i is not None}
+            x, y = find(a[0]), find(b[0])
+            root[max(x, y)] = min(x, y)
+    least = {}
+    for at, (i, *_) in enumerate(rows):
+        if i is not None:
+            least[find(at)] = min(i, least.get(find(at), i))
+    return Counter((i, links[at], None if i is None else least[find(at)]) for at, (i, *_) in enumerate(rows))
+
+
+def vectors(seed, n, groups, spread, d=4):
+    rng = np.random.default_rng(seed)
+    centre = rng.normal(size=(groups, d))
+    return [(i, [float(x) for x in (centre[i % groups] + rng.normal(0, spread, d)).astype(np.float32)], int(i % 2)) for i in range(n)]
+
+
+VECTORS = "vec_id long, embedding array<float>, label int, node long, v string"
 
 
 def test_embedding_links(spark):
-    rng = np.random.default_rng(2)
-    centre = rng.normal(size=(12, 4))
-    rows = [(i, [float(x) for x in (centre[i % 12] + rng.normal(0, 0.15, 4)).astype(np.float32)], int(i % 2)) for i in range(300)]
+    rows = vectors(2, 300, 12, 0.15)
     rows += [(400 + i, rows[0][1], 0) for i in range(20)]  # equal vectors
-    rows += [(500, None, 0), (501, [0.0] * 4, 0), (502, [1.0, None, 0.0, 0.0], 0), (503, [float("nan"), 1.0, 1.0, 1.0], 0), (504, [float("inf"), 1.0, 1.0, 1.0], 1), (505, rows[0][1], None), (506, [1.0], 0), (507, [], 0)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.link_embeddings(df).collect()}
-    expected = brute_links(rows, embeddings.COSINE)
-    assert got.keys() == expected.keys()
-    met = sum(min(got[i][0], expected[i][0]) for i in got)
-    assert all(got[i][0] <= expected[i][0] for i in got) and met >= 0.99 * sum(n for n, _ in expected.values())
-    assert sum(got[i][1] == expected[i][1] for i in got) >= 0.98 * len(got)
+    rows += [(500, None, 0), (501, [0.0] * 4, 0), (502, [1.0, None, 0.0, 0.0], 0), (503, [float("nan"), 1.0, 1.0, 1.0], 0), (504, [float("inf"), 1.0, 1.0, 1.0], 1), (505, rows[0][1], None)]
+    rows += [(506, [1.0], 0), (507, [], 0), (508, [2.0], 0), (None, rows[0][1], 0), (509, [1.0, 2.0, 3.0], 0), (510, [1.0, 2.0, 3.1], 0), (3, rows[0][1], 0), (3, rows[40][1], 0), rows[7]]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], VECTORS)
+    got = embeddings.link_embeddings(df).collect()
+    assert Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == brute_links(rows, embeddings.COSINE)
+    assert all(r["kept"] == (r["vec_id"] is not None and r["vec_id"] == r["component_id"]) for r in got)
     assert embeddings.link_embeddings(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("n", "groups", "spread"), [(400, 40, 0.16), (1600, 60, 0.16), (5000, 40, 0.17)])
+def test_embedding_recall_against_brute_force(spark, n, groups, spread):
+    """Links found of all links, in 16 dimensions, at three sizes; many lie near
+    the threshold.  Blocks are made small on the driver's side."""
+    rows = vectors(n, n, groups, spread, 16)
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], VECTORS)
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.link_embeddings(df).collect()}
+    x = np.array([v for _, v, _ in rows], float)
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    label = np.array([l for *_, l in rows])
+    near = (x @ x.T >= embeddings.COSINE) & (label[:, None] == label[None, :])
+    true = near.sum(1) - 1
+    found = np.array([got[i] for i in range(n)])
+    assert true.sum() > n and (found <= true).all()
+    assert found.sum() >= 0.98 * true.sum() and found.sum() % 2 == 0
+
+
+def test_traversal_is_in_multi_sequence_order():
+    rng = np.random.default_rng(9)
+    one, two = rng.random((30, 7)), rng.random((30, 5))
+    rows, cells = embeddings.traverse(one, two, 0.4)
+    for r in range(30):
+        sums = (one[r][:, None] + two[r][None, :]).reshape(-1)
+        own = cells[rows == r]
+        assert (np.diff(sums[own]) >= 0).all()
+        assert set(own.tolist()) == set(np.flatnonzero(sums <= sums.min() + 0.4).tolist())
+
+
 def test_spaced_seeds_are_lossless():
     for missed in itertools.combinations(range(decontamination.WINDOW), decontamination.MISSES):
         assert any(all(at + p not in missed for p in mask) for mask in decontamination.MASKS for at in range(decontamination.WINDOW - max(mask)))
@@ -397,6 +505,110 @@ def test_quality_learns_and_handles_odd_rows(spark, empty):
     assert quality.score_quality(empty, model).count() == 0
 
 
+def test_mixed_documents_get_mixed_marginals(spark):
+    """Bad documents are junk with a few good lines between: the field learns
+    from document labels alone which lines are good."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(14)
+    vocab = [f"w{i}" for i in range(300)]
+    fine = lambda: " ".join(rng.choice(vocab, 12)).capitalize() + "."
+    junk = lambda: " | ".join(rng.choice(["Home", "Buy", "Menu", "x!!"], 6))
+    mixed = lambda: [fine() if k in (2, 3) else junk() for k in range(8)]
+    texts = ["\n".join(mixed() if i % 2 else [fine() for _ in range(8)]) for i in range(300)]
+    sample = pa.table({"label": [1 - i % 2 for i in range(300)], "draw": list(range(300)), "text": texts})
+    model = quality.build(sample, 0.5)
+    data, offs = next((d, o) for _, _, d, o in kernels.pieces(pa.array(["\n".join(mixed()) for _ in range(20)])))
+    lines = quality.Lines(data, offs, model["common"])
+    theta = model["theta"]
+    good, _ = quality.marginals(((lines.x - model["mean"]) / model["std"]) @ theta[:-5] + theta[-5], lines.offs, theta[-4:].reshape(2, 2))
+    good = good.reshape(20, 8)
+    assert good[:, [2, 3]].mean() > 0.6 and good[:, [0, 1, 5, 6, 7]].mean() < 0.2
+    scores = quality.score_texts(pa.array([texts[0], texts[1]]), model)
+    assert scores[0] > 0.9 and scores[1] < 0.1
+
+
+def test_line_features_and_aggregation_match_a_plain_reading():
+    import pyarrow as pa
+
+    text = "Home | Buy!\n\nSome words here, some words.\nHome | Buy!"
+    data, offs = next((d, o) for _, _, d, o in kernels.pieces(pa.array(["one line", text, ""])))
+    lines = quality.Lines(data, offs, np.zeros(0, np.uint64))
+    assert np.diff(lines.offs).tolist() == [1, 4, 1]
+    own = text.split("\n")
+    width = quality.FEATURES
+    for k, line in enumerate(own):
+        row = lines.x[1 + k]
+        size, words = max(len(line), 1), line.split()
+        assert row[0] == pytest.approx(sum(c.isupper() for c in line) / size)
+        assert row[5] == pytest.approx(line.count("|") / size)
+        tail = dict(zip(["size", "words", "mean", "square", "again", "distinct", "common", "short", "twin", "stop", "capital", "blank"], row[width - 12 : width]))
+        assert tail["size"] == pytest.approx(math.log1p(len(line))) and tail["words"] == pytest.approx(math.log1p(len(words)))
+        assert tail["distinct"] == pytest.approx(len({lower(w) for w in words}) / max(len(words), 1))
+        assert (tail["twin"], tail["stop"], tail["capital"], tail["blank"]) == (own.count(line) > 1, line.endswith((".", "!", "?")), line[:1].isupper(), not line)
+        assert np.array_equal(row[width : 2 * width], lines.x[k][:width] if k else np.zeros(width))
+        assert np.array_equal(row[2 * width : 3 * width], lines.x[2 + k][:width] if k < 3 else np.zeros(width))
+        assert row[-2:].tolist() == [k == 0, k == 3]
+    good = np.array([0.5, 0.1, 0.9, 0.4, 0.2, 0.7])
+    expected = np.average(good[1:5], weights=[len(line) + 1 for line in own])
+    assert quality._aggregate(good, lines.size, lines.offs) == pytest.approx([0.5, expected, 0.7])
+
+
+def test_kneser_ney_probabilities_match_counts_by_hand():
+    """Every probability against dictionaries, and that they sum to one."""
+    words = ["ab", "abc", "abd", "b", "ba", "bab", "ab" * 12]
+    docs = np.array([[4, 1, 0, 3, 1, 0, 1], [1, 2, 5, 1, 0, 1, 1]])
+    data = np.frombuffer("".join(words).encode(), np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    letters, at = toxicity.spelling(data, ends - [len(w) for w in words], ends)
+    classes, p, spare = toxicity.probabilities(letters, at, docs)
+    spelled = [f"<{w}>" for w in words]
+    depth = toxicity.DEPTH
+    grams = lambda w, n: [(w[max(0, i - n + 1) : i], w[i]) for i in range(1, len(w))]
+
+    def counts(n, rows):
+        out = Counter()
+        for w, c in zip(spelled, docs[rows].sum(0)):
+            for g in grams(w, n):
+                out[g] += int(c)
+        return +out
+
+    d = lambda c: (lambda one, two: one / (one + 2 * two) if one and two else 0.5)(sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values()))
+    short, pooled, own = counts(3, [0, 1]), counts(depth, [0, 1]), [counts(depth, [c]) for c in (0, 1)]
+
+    def discounted(c, context, letter, strength, lower):
+        inside = {g: x for g, x in c.items() if g[0] == context}
+        total = sum(inside.values()) + strength
+        return max(c[context, letter] - d(c), 0) / total + (strength + sum(min(x, d(c)) for x in inside.values())) / total * lower
+
+    def brute(cls, context, letter):
+        before = context[-2:]
+        last = short[before, letter] / sum(x for g, x in short.items() if g[0] == before)
+        return discounted(own[cls], context, letter, toxicity.STRENGTH, discounted(pooled, context, letter, 0, last))
+
+    order, seen = toxicity.steps(letters, at, depth), set()
+    pairs = [g for w in spelled for g in grams(w, depth)]
+    for gram, (context, letter) in zip(order[1], pairs):
+        k = int(np.searchsorted(classes.grams, gram))
+        assert p[:, k] == pytest.approx([brute(c, context, letter) for c in (0, 1)])
+        seen.add(context)
+    for context in seen:
+        assert sum(brute(1, context, x) for x in "abcd>") == pytest.approx(1)
+
+
+def test_toxicity_finds_inflections_of_a_learnt_stem(spark):
+    rng = np.random.default_rng(16)
+    syllables = ["ka", "lo", "mi", "ten", "ru", "sa", "po", "ve"]
+    word = lambda n: "".join(rng.choice(syllables, n))
+    text = lambda *extra: " ".join(rng.permutation([*(word(int(rng.integers(1, 4))) for _ in range(60)), *extra]))
+    docs = [(i, text(*[f"grrak{word(2)}" for _ in range(3)] if i % 3 == 0 else [])) for i in range(900)]
+    df, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(900)], "doc_id long, toxic int")
+    model = toxicity.train(df, labels, common.crc_mod("doc_id", 5) != 0)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(df, model).collect()}
+    held = [i for i in got if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([(got[i] >= 0.5) == (i % 3 == 0) for i in held]) > 0.97
+
+
 def test_marginals_match_enumeration():
     rng = np.random.default_rng(4)
     unary, trans = rng.normal(size=5), rng.normal(size=(2, 2))
