@@ -8,13 +8,16 @@ ridge regression give one weight column a language, so scoring is two matrix
 products a batch: texts by landmarks, and by weights.
 
 Fitted on a bounded sample: about ``SAMPLE`` rows with a language in all, as
-many of each language, drawn by a hash threshold from their counts (no sort,
-no gathering).  At most ``LANGUAGES`` languages, the most frequent, are told
-apart.  Whole texts are read in both fitting and scoring.
+many of each language but ``LEAST`` at least (all, if it has fewer), drawn by a
+hash threshold from their counts (no sort, no gathering).  Texts of more than
+``TEXT_BYTES`` teach by their first bytes.  Every language met is told apart,
+however many there are; scoring reads whole texts.
 
-Nulls: a null text, or one without a letter, is ``und`` with score 0, and so
+Ties: of languages that score alike the first by name wins.  Nulls: a null
+text, or one without a letter, is ``und`` with score 0, and so
 is every text when no row has a language.  Rows without a language teach
-nothing.  Repeated rows are scored alike.
+nothing.  Repeated rows are scored alike.  Other columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,14 +29,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, fitted, table
+from .common import crc_mod, first_bytes, fitted, table
 from .kernels import pieces
 
 N = 3
 BINS = 1 << 13
 LANDMARKS = 96
 SAMPLE = 2000
-LANGUAGES = 200
+LEAST = 16
+TEXT_BYTES = 1 << 14
 RIDGE = 1e-3
 SHARPNESS = 8.0
 #: Texts whose presence vectors are held at once.
@@ -108,14 +112,15 @@ def predict(column: pa.Array, model: dict) -> tuple[np.ndarray, np.ndarray]:
 
 def train(docs: DataFrame, learn: Column) -> dict:
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & learn).select("doc_id", F.col("lang").cast("string"), F.col("text").cast("string"))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()
     if not counts:
         return {"names": []}
-    each = SAMPLE / len(counts)
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    each = max(LEAST, SAMPLE / len(counts))
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     # a language with fewer rows than its part gives all of them
     part = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, each / r["n"]))) for r in counts], F.lit(0.0))
-    drawn = known.filter(draw < part).select("lang", "text", F.xxhash64("doc_id", "text").alias("_o")).orderBy("_o").limit(2 * SAMPLE + 4 * LANGUAGES)
+    text = first_bytes(F.col("text"), F.lit(TEXT_BYTES))
+    drawn = known.filter(draw < part).select("lang", text.alias("text"), F.xxhash64("doc_id", "text").alias("_o"))
 
     def build(sample: pa.Table) -> dict:
         sample = sample.sort_by([("_o", "ascending"), ("text", "ascending")])
