@@ -35,11 +35,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
     Ends the lineage there: a lost executor costs a reread, not a recomputation,
-    and what is read twice is computed once.
+    and what is read twice is computed once.  The table goes when the
+    application ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -51,6 +55,13 @@ def spread_join(rows: DataFrame, small: DataFrame, keys: list[str], by: str, way
     return dealt.join(copies, [*keys, "_way"], how).drop("_way")
 
 
+def first_bytes(text: Column, limit: Column) -> Column:
+    """The text if it has at most so many bytes, else its start; a character cut
+    in two is left out."""
+    start = F.make_valid_utf8(F.substring(text.cast("binary"), F.lit(1), limit).cast("string"))
+    return F.when(F.octet_length(text) > limit, F.regexp_replace(start, "\ufffd+$", "")).otherwise(text)
+
+
 def crc_mod(doc_id: str | Column, n: int) -> Column:
     """crc32 of the decimal doc_id, modulo n; null ids count as remainder -1."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

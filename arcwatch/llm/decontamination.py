@@ -19,19 +19,21 @@ The benchmark is the stated query set.  It is broadcast in blocks of at most
 bounded whatever it grows to; documents are never shuffled.
 
 Nulls: null texts and items have no words.  A null doc_id or item_id is
-carried as null.  Repeated rows give repeated results.
+carried as null.  Repeated rows give repeated results, and equal items are met
+each.  A document keeps its other columns, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 from .kernels import PUNCTUATION, Words, mix, pieces
 
 WINDOW, MISSES = 13, 2
@@ -129,15 +131,22 @@ def overlaps(words: Words, index: dict) -> list[tuple[int, int, int, int, int, i
     return out
 
 
-def _blocks(benchmark: DataFrame):
-    """Broadcast indexes of the benchmark, each over a bounded block of it."""
+def _passes(benchmark: DataFrame, through: Callable) -> Iterator[DataFrame]:
+    """through(index) for the broadcast index of each bounded block of the
+    benchmark.  With several blocks each result is written, so that one index at
+    a time is held."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + int(size) // BLOCK_BYTES
     for b in range(blocks):
         block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").toArrow()
-        yield spark.sparkContext.broadcast(build_index(block.column("item_id").combine_chunks(), block.column("text").combine_chunks()))
+        index = spark.sparkContext.broadcast(build_index(block.column("item_id").combine_chunks(), block.column("text").combine_chunks()))
+        found = through(index)
+        if blocks > 1:
+            found = cut(found, "pass")
+            index.unpersist()
+        yield found
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -159,11 +168,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return run
 
     schema = "doc_id long, item_id long, doc_word long, item_word long, n_words long, n_same long"
-    found = [docs.mapInArrow(of(index), schema) for index in _blocks(benchmark)]
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out
+    return reduce(DataFrame.union, _passes(benchmark, lambda index: docs.mapInArrow(of(index), schema)))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -181,9 +186,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return run
 
-    for index in _blocks(benchmark):
-        docs = docs.mapInArrow(of(index), docs.schema)
-    return docs
+    left = docs
+
+    def through(index) -> DataFrame:
+        nonlocal left
+        return left.mapInArrow(of(index), docs.schema)
+
+    for left in _passes(benchmark, through):
+        pass
+    return left
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:

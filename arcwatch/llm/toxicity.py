@@ -40,7 +40,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, fitted, table
+from .common import crc_mod, first_bytes, fitted, table
 from .kernels import PUNCTUATION, Words, lookup, pieces, prefix_hash, span_hash
 
 SAMPLE = 4000
@@ -197,9 +197,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, learn: Colu
     for label in {0, 1} - most.keys():
         warnings.warn(f"no labelled text has {column} = {label}: every score will be the share of labels", stacklevel=2)
     limit = F.when(F.col("label") == 1, F.lit(most.get(1))).otherwise(F.lit(most.get(0))).cast("int")
-    # a character cut in two is left out
-    start = F.regexp_replace(F.make_valid_utf8(F.substring(F.col("text").cast("binary"), F.lit(1), limit).cast("string")), "\ufffd+$", "")
-    return found.withColumn("text", F.when(F.octet_length("text") > limit, start).otherwise(F.col("text")))
+    return found.withColumn("text", F.coalesce(first_bytes(F.col("text"), limit), F.col("text")))
 
 
 def label_share(labels: DataFrame, column: str, learn: Column) -> float:
