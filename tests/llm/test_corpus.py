@@ -137,7 +137,8 @@ def test_poisson_counts_invert_the_distribution(docs, rows, empty, spark):
         parts = max(1, math.ceil(rate / mixing.STEP))
         count = 0
         for i in range(1, parts + 1):
-            u = int(hashlib.md5(f"{mixing.SEED}:{'null' if d is None else d}:{i}".encode()).hexdigest()[:13], 16) / (1 << 52)
+            ident = d if d is not None else "null:" + hashlib.md5(next(r[1] for r in rows if r[0] is None).encode()).hexdigest()
+            u = int(hashlib.md5(f"{mixing.SEED}:{ident}:{i}".encode()).hexdigest()[:13], 16) / (1 << 52)
             mean, p, total, n = rate / parts, math.exp(-rate / parts), math.exp(-rate / parts), 0
             while total <= u:
                 n += 1
@@ -153,28 +154,90 @@ def test_poisson_counts_invert_the_distribution(docs, rows, empty, spark):
     assert mixing.mix_sources(docs, weights={"b": 1.0}).filter("source is null").count() == 0
 
 
+CLASHES = ["rate", "n_copies", "copy_no", "shuffle_key", "row", "key", "ident", "_source", "_id", "_hash", "_shard", "_k", "_h", "at", "size", "tokens", "text_hash", "shards"]
+
+
+def test_clashing_columns_are_kept(docs, rows):
+    """Columns named as an operator's own come back as they were."""
+    odd = docs.withColumns({c: F.concat(F.lit(f"{c}:"), F.col("node").cast("string")) for c in CLASHES})
+    for out in (mixing.mix_sources(odd), sharding.shard_documents(odd, 3), minhash.near_dedup(odd)):
+        assert set(odd.columns) <= set(out.columns)
+        assert all(r[c] == f"{c}:{r['node']}" for r in out.collect() for c in CLASHES)
+    assert mixing.fact_names(odd.columns) == ["rate_", "n_copies_", "copy_no_", "shuffle_key_"]
+
+
+def test_mixing_deals_null_ids_by_their_text(spark):
+    rows = [(None, f"text {i}", "s") for i in range(200)]
+    out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    keys = [r["shuffle_key"] for r in out.collect()]
+    assert len(set(keys)) == len(keys) and keys == sorted(keys)
+
+
+def group_of(text):
+    return len((text or "").encode()) + 1, text or ""
+
+
 @pytest.mark.parametrize("shards", [1, 3, 8])
 def test_shards_balance_and_keep_groups(docs, rows, shards):
     out = sharding.shard_rows(docs, shards).collect()
-    assert len(out) == len(rows)
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in out) == Counter((d, group_of(t)[0], zlib.crc32((t or "").encode())) for d, t, *_ in rows)
     for s in range(shards):
         assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(sum(r["shard"] == s for r in out)))
+    # no group is larger than a shard here but the one of the longest text
+    total, largest = sum(r["size"] for r in out), max(r["size"] for r in out)
+    homes = {}
+    for r in out:
+        homes.setdefault((r["size"], r["text_crc32"]), set()).add(r["shard"])
+    assert all(len(s) == 1 for s in homes.values())
     sizes = Counter()
     for r in out:
         sizes[r["shard"]] += r["size"]
-    assert sum(sizes.values()) == sum(len((t or "").encode()) + 1 for _, t, *_ in rows)
-
-
-def test_shards_split_a_group_larger_than_a_shard(spark):
-    many = [(i, "same text here", None, "s", 0, 0, "") for i in range(400)] + [(1000 + i, f"other {i}", None, "s", 0, 0, "") for i in range(400)]
-    out = sharding.shard_rows(spark.createDataFrame(many, SCHEMA), 4)
-    sizes = [r["b"] for r in out.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
-    assert len(sizes) == 4 and max(sizes) < 1.3 * min(sizes)
+    assert max(sizes.values()) <= max(1.05 * largest, 1.3 * total / shards)
+
+
+@pytest.mark.parametrize("shards", [2, 5])
+def test_place_matches_a_plain_reading(shards):
+    rng = np.random.default_rng(15)
+    weights = rng.integers(1, 50, (60, 3)).astype(float)
+    residual = np.tile(weights.sum(0) / shards, (shards, 1))
+    left, scale = residual.tolist(), residual.sum(0)
+    expected = [0] * 60
+    for i in sorted(range(60), key=lambda i: (-max(weights[i] / scale), i)):
+        dots = [sum(left[s][k] / scale[k] * weights[i][k] / scale[k] for k in range(3)) for s in range(shards)]
+        best = max(range(shards), key=lambda s: (round(dots[s], 12), -s))
+        expected[i] = best
+        left[best] = [a - b for a, b in zip(left[best], weights[i])]
+    got = sharding.place(weights, residual)
+    assert got.tolist() == expected
+    assert residual == pytest.approx(np.array(left))
+    loads = np.stack([weights[got == s].sum(0) for s in range(shards)])
+    assert (loads.max(0) <= 1.25 * loads.mean(0)).all()
+
+
+def test_shards_are_balanced_in_bytes_tokens_and_rows(spark):
+    rng = np.random.default_rng(17)
+    many = [(i, "w " * int(rng.zipf(1.6) % 400) + str(i % 900)) for i in range(4000)]
+    out = sharding.shard_rows(spark.createDataFrame(many, "doc_id long, text string"), 8).collect()
+    for weigh in (lambda r: r["size"], lambda r: 1):
+        sizes = Counter()
+        for r in out:
+            sizes[r["shard"]] += weigh(r)
+        assert len(sizes) == 8 and max(sizes.values()) <= 1.03 * min(sizes.values())
+
+
+@pytest.mark.parametrize("ids", [True, False])
+def test_shards_split_a_group_larger_than_a_shard(spark, ids):
+    many = [(i if ids else None, "same text here") for i in range(400)] + [(1000 + i, f"other {i}") for i in range(400)]
+    df = spark.createDataFrame(many, "doc_id long, text string")
+    sizes = [r["b"] for r in sharding.shard_rows(df, 4).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(sizes) == 4 and max(sizes) < 1.5 * min(sizes)
+    counts = [r["count"] for r in sharding.shard_documents(df, 4).groupBy("shard").count().collect()]
+    assert len(counts) == 4 and sum(counts) == 800 and max(counts) < 1.5 * min(counts)
 
 
 def test_shard_documents_keeps_columns(docs, rows, empty):
     out = sharding.shard_documents(docs.withColumn("shard", F.lit("x")), 4)
-    assert out.count() == len(rows) and set(out.columns) == {*docs.columns, "shard"}
+    assert out.columns == [*docs.columns, "shard"] and Counter(r["doc_id"] for r in out.collect()) == Counter(r[0] for r in rows)
     assert sharding.shard_documents(empty).count() == 0
 
 
@@ -635,6 +698,9 @@ def test_language_learns_and_names_the_undetermined(spark, empty):
     truth = {r[0]: r[2] for r in rows[:120]}
     assert all(r["lang_pred"] == truth[r["doc_id"]] for r in got if r["doc_id"] in truth)
     assert all(r["lang_pred"] == "und" for r in got if r["doc_id"] in (900, 901, 902))
+    many = spark.createDataFrame([(i, " ".join([chr(0x4E00 + i // 3)] * 30), f"l{i // 3:03}") for i in range(900)], "doc_id long, text string, lang string")
+    told = language.identify(many, language.train(many, F.lit(True))).collect()
+    assert np.mean([r["lang_pred"] == f"l{r['doc_id'] // 3:03}" for r in told]) > 0.9  # 300 languages
     nothing = language.train(docs.withColumn("lang", F.lit(None).cast("string")), F.lit(True))
     assert {r["lang_pred"] for r in language.identify(docs, nothing).collect()} == {"und"}
     assert language.identify(empty, model).count() == 0
