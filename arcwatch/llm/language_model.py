@@ -1,32 +1,35 @@
 """Language-model scoring with a log-bilinear neural model.
 
-Words are counted over all training documents.  The most frequent words, the
-end of text and one class for every other word are the outcomes of a
+Words are counted over all training documents.  Every word is an outcome of a
 log-bilinear model: the vectors of the two words before, each scaled by a
-weight vector of its place, add up to a predicted vector.  The number of words
-with vectors grows with the input: ``GROWTH`` times the square root of the
-training tokens, ``HEAD`` at least, all words if there are fewer.
+weight vector of its place, add up to a predicted vector.  The most frequent
+words (``GROWTH`` times the square root of the training tokens, ``HEAD`` at
+least) and the end of text have vectors of their own.  All others, words never
+met in training among them, are dealt by hash into *kinds*, one to
+``KIND`` words of the head, which have vectors as a word has, as outcomes and
+as words before; a word has its smoothed share of the counts of its kind.
+Head and kinds grow with the input, and every text has a proper probability:
+each kind keeps the mass of one word never met.
 
 Outcomes are split by frequency into classes, about as many as a class has
 members.  The products of the predicted vector with the class vectors, plus
 biases, are normalised over the classes, and those with the outcome vectors
-over the members of the class; both together are the probability.  A word
-without a vector gets the probability of the class of other words times its
-smoothed share of the counts in it, so every text has a proper probability.
+over the members of the class; both together are the probability.
 
 Fitting is noise-contrastive, in numpy, over all training documents: in each of
 ``ROUNDS`` rounds every task takes gradient steps over its share of the
 documents from the same start, and what the tasks moved is averaged by tokens,
 each row over the tasks that met it.
 
-Counts never pass through the driver.  Documents are dealt by hash into batches
-of about ``BATCH`` bytes; the distinct words of a batch (at most one row a
-batch and word, so frequent words make no hot key) are joined to the counts and
-return to their batch, where the texts are scored.
+Counts never pass through the driver, but those of the head.  Documents are
+dealt by hash into batches of about ``BATCH`` bytes; the distinct words of a
+batch outside the head (at most one row a batch and word) are joined to the
+counts and return to their batch, where texts are scored piece by piece.
 
 Words are known by a 64-bit hash.  Nulls: a null text is empty, its only token
 the end.  A null doc_id counts as a training row.  Repeated rows count and are
-scored each.  An empty table gives no rows.
+scored each; texts alike in words and count of words score alike.  An empty
+table gives no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,21 +42,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, cut, table
-from .kernels import Words, lookup, pieces
+from .kernels import Words, lookup, mix, pieces
 
 HEAD = 1022
-GROWTH = 8
-WIDTH = 24
+GROWTH = 4
+KIND = 64
+WIDTH = 16
 NOISE = 64
+CLASS_NOISE = 32
 BATCH = 16 << 20
 ROUNDS = 2
 STEP = 4096
 RATE = 0.1
 
+#: Bytes of text scored at once.
+PART = 1 << 20
 #: Rows of a parameter that are averaged at once.
 ROWS = 2048
-#: Tokens whose probabilities are found at once.
-TOKENS = 1 << 18
+#: Scores above this would overflow the exponential of a single-precision number.
+LARGEST = np.float32(80)
+#: Distinct words of a batch that are held while counting.
+HELD = 1_000_000
 
 _U = np.uint64
 
@@ -90,11 +99,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys, at = np.unique(words.hash, return_inverse=True)
                 held.setdefault(int(b), []).append((keys, np.bincount(at, learn, len(keys))))
                 size += len(keys)
-        if size > 3_000_000:
+        if size > HELD:
             for b, parts in held.items():
                 held[b] = [_merge(parts)]
             size = sum(len(parts[0][0]) for parts in held.values())
-            if size > 2_000_000:
+            if size > HELD // 2:
                 yield from flush()
                 size = 0
     yield from flush()
@@ -108,18 +117,27 @@ def head_size(tokens: int) -> int:
     return max(HEAD, int(GROWTH * tokens**0.5))
 
 
+def kinds_of(head: int) -> int:
+    """Kinds of the words outside a head of this size."""
+    return max(1, head // KIND)
+
+
+def kind_of(words: np.ndarray, kinds: int) -> np.ndarray:
+    return (mix(words + _U(29)) % _U(kinds)).astype(np.int64)
+
+
 def class_size(outcomes: int) -> int:
     """Members of a frequency class (outcome i is in class i // size)."""
     return int(np.ceil(outcomes**0.5))
 
 
-def outcomes(words: Words, head: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def outcomes(words: Words, head: np.ndarray, order: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Outcome, word before, word before that, and index of the word (-1: end)
     of every token of a piece, the end of each text included.
 
-    After the words of the head come the end, the other words and, as a word
-    before only, the start."""
-    end, other, start = len(head), len(head) + 1, len(head) + 2
+    After the words of the head come the end, the kinds of other words and, as
+    a word before only, the start."""
+    end, other, start = len(head), len(head) + 1, len(head) + 1 + kinds
     texts = len(words.offs) - 1
     total = len(words.hash) + texts
     ends = words.offs[1:] + np.arange(texts)
@@ -127,7 +145,7 @@ def outcomes(words: Words, head: np.ndarray, order: np.ndarray) -> tuple[np.ndar
     is_word[ends] = False
     at, known = lookup(head, words.hash)
     out = np.full(total, end, np.int64)
-    out[is_word] = np.where(known, order[at] if len(order) else 0, other)
+    out[is_word] = np.where(known, order[at] if len(order) else 0, other + kind_of(words.hash, kinds))
     place = np.full(total, -1, np.int64)
     place[is_word] = np.arange(len(words.hash))
     one, two = np.full(total, start, np.int64), np.full(total, start, np.int64)
@@ -140,13 +158,16 @@ def outcomes(words: Words, head: np.ndarray, order: np.ndarray) -> tuple[np.ndar
     return out, one, two, place
 
 
-def start_model(unigram: np.ndarray) -> dict:
+def start_model(unigram: np.ndarray, kinds: int = 0) -> dict:
     rng = np.random.default_rng(11)
     draw = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
     size = len(unigram)
     classes = np.add.reduceat(unigram, np.arange(0, size, class_size(size)))
+    r, t = draw(size + 1, WIDTH), draw(size, WIDTH)
+    # a kind says nothing until it has learnt something
+    r[size - kinds : size] = t[size - kinds :] = 0
     return {
-        "r": draw(size + 1, WIDTH), "t": draw(size, WIDTH), "b": np.log(unigram).astype(np.float32),
+        "r": r, "t": t, "b": np.log(unigram).astype(np.float32),
         "u": draw(len(classes), WIDTH), "d": np.log(classes).astype(np.float32),
         "c1": np.ones(WIDTH, np.float32), "c2": np.full(WIDTH, 0.5, np.float32),
     }
@@ -170,18 +191,22 @@ class Trainer:
         self.met = {k: np.zeros(len(v), bool) for k, v in model.items()}
         self.span = class_size(len(unigram))
         classes = np.add.reduceat(unigram, np.arange(0, len(unigram), self.span))
-        self.noise = {k: (np.log(share * NOISE).astype(np.float32), np.cumsum(share)) for k, share in (("t", unigram), ("u", classes))}
+        self.noise = {k: (n, np.log(share * n).astype(np.float32), np.cumsum(share)) for k, n, share in (("t", NOISE, unigram), ("u", CLASS_NOISE, classes))}
         self.rng = np.random.default_rng(seed)
         self.tokens = 0
 
     def contrast(self, q: np.ndarray, target: np.ndarray, vectors: str, bias: str) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
         """Gradients by q, and by the rows of the vectors and their biases."""
-        p, (log_noise, cdf) = self.p, self.noise[vectors]
-        noise = np.minimum(np.searchsorted(cdf, self.rng.random(NOISE) * cdf[-1]), len(cdf) - 1)
+        p, (size, log_noise, cdf) = self.p, self.noise[vectors]
+        noise = np.minimum(np.searchsorted(cdf, self.rng.random(size) * cdf[-1]), len(cdf) - 1)
         t, away = p[vectors][target], p[vectors][noise]
         hit = 1 / (1 + np.exp(-((q * t).sum(1) + p[bias][target] - log_noise[target])))
-        miss = 1 / (1 + np.exp(-(q @ away.T + p[bias][noise] - log_noise[noise])))
-        e_hit, e_miss = (1 - hit)[:, None], -miss
+        # the logistic of q . noise + bias - log of the noise's rate, in place
+        miss = q @ -away.T
+        miss += log_noise[noise] - p[bias][noise]
+        np.exp(np.minimum(miss, LARGEST, out=miss), out=miss)
+        miss += 1
+        e_hit, e_miss = (1 - hit)[:, None], -np.reciprocal(miss, out=miss)
         rows = np.concatenate([target, noise])
         by_row = np.concatenate([np.concatenate([e_hit * q, e_hit], 1), np.concatenate([e_miss.T @ q, e_miss.sum(0)[:, None]], 1)])
         return e_hit * t + e_miss @ away, _scatter(rows, by_row)
@@ -210,11 +235,11 @@ class Trainer:
 
 def _train(shared, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, order, unigram, model = shared.value
+        head, order, kinds, unigram, model = shared.value
         trainer = Trainer(model, unigram, seed)
         for batch in batches:
             for _, _, data, offs in pieces(batch.column(0)):
-                out, one, two, _ = outcomes(Words(data, offs), head, order)
+                out, one, two, _ = outcomes(Words(data, offs), head, order, kinds)
                 for at in range(0, len(out), STEP):
                     trainer.step(out[at : at + STEP], one[at : at + STEP], two[at : at + STEP])
         for name, met in trainer.met.items():
@@ -241,27 +266,30 @@ def _average(key: tuple, part: pa.Table) -> pa.Table:
     return pa.table({"name": [key[0].as_py()], "at": [key[1].as_py()], "mean": pa.array([mean.tobytes()], pa.binary())})
 
 
-def fit(texts: DataFrame, head: np.ndarray, order: np.ndarray, unigram: np.ndarray) -> dict:
+def fit(texts: DataFrame, head: np.ndarray, order: np.ndarray, kinds: int, unigram: np.ndarray) -> dict:
     """Averaged parameters after ``ROUNDS`` rounds over texts (text, round)."""
-    model = start_model(unigram)
+    model = start_model(unigram, kinds)
     for number in range(ROUNDS):
-        shared = texts.sparkSession.sparkContext.broadcast((head, order, unigram, model))
+        shared = texts.sparkSession.sparkContext.broadcast((head, order, kinds, unigram, model))
         local = texts.filter(F.col("round") == number).select("text").mapInArrow(_train(shared, number), "name string, at long, tokens long, rows binary, moved binary")
         mean = local.groupBy("name", "at").applyInArrow(_average, "name string, at long, mean binary").toArrow()
         model = {name: old.copy() for name, old in model.items()}
         for name, at, block in zip(*(mean.column(c) for c in ("name", "at", "mean"))):
             rows = model[name.as_py()][at.as_py() : at.as_py() + ROWS]
             rows += np.frombuffer(block.as_buffer(), np.float32).reshape(ROWS, -1)[: len(rows)].reshape(rows.shape)
+        shared.unpersist()
     return model
 
 
 def _log_sums(q: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """Logarithm of the sum over the vectors of exp(q . vector + bias)."""
     out = np.empty(len(q), np.float32)
-    for s in range(0, len(q), 2048):
-        score = q[s : s + 2048] @ vectors.T + bias
-        top = score.max(1, keepdims=True)
-        out[s : s + 2048] = np.log(np.exp(score - top).sum(1)) + top[:, 0]
+    wide = np.concatenate([vectors, bias[:, None]], 1).T
+    for s in range(0, len(q), 1024):
+        part = q[s : s + 1024]
+        score = np.concatenate([part, np.ones((len(part), 1), np.float32)], 1) @ wide
+        np.minimum(score, LARGEST, out=score)
+        out[s : s + 1024] = np.log(np.exp(score, out=score).sum(1))
     return out
 
 
@@ -287,32 +315,32 @@ def log_probability(target: np.ndarray, one: np.ndarray, two: np.ndarray, model:
 
 def _score(shared):
     def run(key: tuple, docs: pa.Table, counts: pa.Table) -> pa.Table:
-        head, order, model, n, v, ends, n_other, v_other = shared.value
+        head, order, often, model, n, v, ends, n_kind, v_kind = shared.value
         words = counts.column("word").to_numpy().view(_U)
-        by = np.argsort(words)
-        words, count = words[by], counts.column("c").to_numpy()[by]
-        ids = docs.column("doc_id").combine_chunks()
-        parts = []
-        tokens = []
-        for _, _, data, offs in pieces(docs.column("text")):
+        # a batch whose words were counted in parts names some of them again
+        words, by = np.unique(words, return_index=True)
+        count = counts.column("c").to_numpy()[by]
+        kinds, other = len(n_kind), len(head) + 1
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))]
+        for _, _, data, offs in pieces(docs.column("text"), PART):
             w = Words(data, offs)
             at, known = lookup(words, w.hash)
-            c = np.where(known, count[at] if len(count) else 0, 0).astype(float)
-            out, one, two, place = outcomes(w, head, order)
-            tokens.append((out.astype(np.int32), one.astype(np.int32), two.astype(np.int32), np.where(place < 0, float(ends), c[place] if len(c) else 0.0), np.diff(w.offs) + 1))
-        if not tokens:
-            parts = [np.zeros(0)] * 4
-        else:
-            out, one, two, c, lengths = (np.concatenate(x) for x in zip(*tokens))
-            log_p = np.empty(len(out))
-            for s in range(0, len(out), TOKENS):
-                log_p[s : s + TOKENS] = log_probability(*(x[s : s + TOKENS].astype(np.int64) for x in (out, one, two)), model) / np.log(10)
-            log_p += np.where(out == len(head) + 1, np.log10((c + 0.1) / (n_other + 0.1 * (v_other + 1))), 0.0)
+            c_word = np.where(known, count[at] if len(count) else 0, 0).astype(float)
+            out, one, two, place = outcomes(w, head, order, kinds)
+            c = np.where(place < 0, float(ends), c_word[place] if len(c_word) else 0.0)
+            own = out < other - 1
+            c[own] = often[out[own]]
+            log_p = log_probability(out, one, two, model) / np.log(10)
+            rare = np.flatnonzero(out >= other)
+            kind = out[rare] - other
+            log_p[rare] += np.log10((c[rare] + 0.1) / (n_kind[kind] + 0.1 * (v_kind[kind] + 1)))
             base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-            bound = np.concatenate([[0], np.cumsum(lengths)])
-            per_text = lambda x: np.add.reduceat(x, bound[:-1])
-            parts = [lengths, per_text((c > 0).astype(np.int64)), per_text(base), per_text(log_p)]
-        return pa.table({"doc_id": ids, "held_out": docs.column("held_out"), "n_tokens": pa.array(parts[0], pa.int64()), "n_known": pa.array(parts[1], pa.int64()), "train_tokens": pa.array(np.full(len(ids), n), pa.int64()), "base_score": pa.array(parts[2], pa.float64()), "score": pa.array(parts[3], pa.float64())})
+            lengths = np.diff(w.offs) + 1
+            first = np.cumsum(lengths) - lengths
+            parts.append((lengths, np.add.reduceat((c > 0).astype(np.int64), first), np.add.reduceat(base, first), np.add.reduceat(log_p.astype(float), first)))
+        n_tokens, n_known, base_score, score = map(np.concatenate, zip(*parts))
+        train = np.full(len(docs), n)
+        return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": n_tokens, "n_known": n_known, "train_tokens": train, "base_score": base_score, "score": score})
 
     return run
 
@@ -325,7 +353,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text")), F.count_if(~F.col("held_out"))).first()
     batches = 1 + int(size[0] or 0) // BATCH
     ends = int(size[1] or 0)
-    dealt = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(batches)))
+    dealt = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.left("text", F.lit(64))), F.lit(batches)))
 
     used = dealt.select("batch", (~F.col("held_out")).alias("train"), "text").repartition(batches, "batch").mapInArrow(_count, "batch long, word long, n long")
     used = cut(used, "words")
@@ -333,23 +361,39 @@ def score_texts(docs: DataFrame) -> DataFrame:
     sums = counts.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
     n, v = int(sums[0] or 0) + ends, int(sums[1]) + (ends > 0)
 
-    top = counts.filter("c > 0").orderBy(F.desc("c"), "word").limit(head_size(n)).toArrow()
+    frequent = cut(counts.filter("c > 0").orderBy(F.desc("c"), "word").limit(head_size(n)), "head")
+    top = frequent.orderBy(F.desc("c"), "word").toArrow()
     words, often = top.column("word").to_numpy().view(_U), top.column("c").to_numpy()
     order = np.argsort(words)
-    n_other, v_other = n - ends - int(often.sum()), v - (ends > 0) - len(often)
-    unigram = np.full(len(often) + 2, 0.5)
-    unigram[: len(often)] += often
-    unigram[-2] += ends
-    unigram[-1] += n_other
+    kinds = kinds_of(len(words))
+    rare = counts.join(F.broadcast(frequent.select("word")), "word", "left_anti")
+    n_kind, v_kind = _by_kind(rare, kinds)
+    unigram = np.concatenate([often, [ends], n_kind]) + 0.5
     unigram /= unigram.sum()
     learn = docs.filter(~F.col("held_out")).select("text", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(ROUNDS)).alias("round"))
-    model = fit(learn, words[order], order, unigram)
+    model = fit(learn, words[order], order, kinds, unigram)
 
-    shared = spark.sparkContext.broadcast((words[order], order, model, n, v, ends, n_other, v_other))
-    wanted = used.select("batch", "word").distinct().join(counts, "word").select("batch", "word", "c").toDF("batch", "word", "c")
+    shared = spark.sparkContext.broadcast((words[order], order, often, model, n, v, ends, n_kind, v_kind))
+    wanted = used.select("batch", "word").join(rare, "word").select("batch", "word", "c").toDF("batch", "word", "c")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return dealt.groupBy("batch").cogroup(wanted.groupBy("batch")).applyInArrow(_score(shared), schema)
 
 
+def _by_kind(rare: DataFrame, kinds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and distinct words in training of each kind of other words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, v = np.zeros(kinds, np.int64), np.zeros(kinds, np.int64)
+        for batch in batches:
+            c = batch.column(1).to_numpy()
+            kind = kind_of(batch.column(0).to_numpy().view(_U), kinds)
+            n += np.bincount(kind, c, kinds).astype(np.int64)
+            v += np.bincount(kind, c > 0, kinds).astype(np.int64)
+        yield pa.record_batch([pa.array(np.arange(kinds)), pa.array(n), pa.array(v)], names=["kind", "n", "v"])
+
+    sums = rare.mapInArrow(run, "kind long, n long, v long").groupBy("kind").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toArrow().sort_by("kind")
+    return (sums.column("n").to_numpy(), sums.column("v").to_numpy()) if len(sums) else (np.zeros(kinds, np.int64), np.zeros(kinds, np.int64))
+
+
 def op5_language_model(spark, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
