@@ -9,12 +9,14 @@ from .windows import ordered
 
 
 def hops(df: DataFrame, user: str, source: str, target: str, span: int) -> DataFrame:
-    """Adjacent sign-ins of a user where the next starts at this one's target,
-    or leaves this one's source for another target, within the span."""
+    """Adjacent sign-ins of a user within the span, to two targets: the next one
+    starts at this one's target, or neither is a sign-in of a host to itself."""
     w = ordered([user])
     out = df.withColumns({"next_id": F.lead("event_id").over(w), "next_us": F.lead("us").over(w), "next_source": F.lead(source).over(w), "next_target": F.lead(target).over(w)})
-    chained = (F.col(target) == F.col("next_source")) | ((F.col(source) != F.col("next_source")) & (F.col(target) != F.col("next_target")))
-    return out.filter((F.col("next_us") - F.col("us") <= span) & chained)
+    gap = F.col("next_us") - F.col("us")
+    pivot = F.col(target) == F.col("next_source")
+    loose = (gap > 0) & (F.col(target) != F.col(source)) & (F.col("next_source") != F.col("next_target"))
+    return out.filter((F.col(target) != F.col("next_target")) & gap.between(0, span) & (pivot | loose))
 
 
 def privilege_jumps(df: DataFrame, source: str, target: str, privileged: Column) -> DataFrame:

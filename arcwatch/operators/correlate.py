@@ -13,11 +13,27 @@ from .windows import islands
 FINDING = ["tool", "finding_type", "severity", "mitre", "entity", "description", "score", "us"]
 
 # -- fixed values: controls that a tactic puts to the test --------------------
-CONTROLS = {
-    "Initial Access": ["CIS-6", "CIS-12"], "Execution": ["CIS-2", "CIS-10"],
-    "Persistence": ["CIS-4", "CIS-5"], "Credential Access": ["CIS-5", "CIS-6"],
-    "Lateral Movement": ["CIS-12", "CIS-13"], "Command and Control": ["CIS-9", "CIS-13"],
-    "Exfiltration": ["CIS-3", "CIS-13"], "Impact": ["CIS-10", "CIS-11"],
+CIS = {
+    "Reconnaissance": ["CIS-7", "CIS-13"], "Initial Access": ["CIS-4", "CIS-7", "CIS-13"],
+    "Execution": ["CIS-2", "CIS-10"], "Persistence": ["CIS-5", "CIS-10"],
+    "Privilege Escalation": ["CIS-4", "CIS-5", "CIS-10"], "Defense Evasion": ["CIS-8", "CIS-10"],
+    "Credential Access": ["CIS-5", "CIS-16"], "Discovery": ["CIS-13", "CIS-14"],
+    "Lateral Movement": ["CIS-12", "CIS-14"], "Command and Control": ["CIS-13", "CIS-14"],
+    "Exfiltration": ["CIS-13", "CIS-14"], "Impact": ["CIS-11", "CIS-14"],
+}
+NIST = {
+    "Reconnaissance": ["ID.RA-1", "DE.CM-1"], "Initial Access": ["PR.AC-1", "DE.CM-7"],
+    "Execution": ["PR.PT-3", "DE.CM-3"], "Persistence": ["PR.AC-4", "DE.CM-3"],
+    "Privilege Escalation": ["PR.AC-3", "PR.AC-6"], "Defense Evasion": ["DE.CM-4", "DE.CM-7"],
+    "Credential Access": ["PR.AC-7", "DE.CM-3"], "Discovery": ["PR.AC-5", "DE.AE-2"],
+    "Lateral Movement": ["PR.AC-5", "DE.AE-3"], "Command and Control": ["DE.CM-1", "PR.IP-1"],
+    "Exfiltration": ["DE.CM-1", "RS.MI-1"], "Impact": ["PR.IP-4", "RC.RP-1"],
+}
+CIS_NAMES = {
+    "CIS-2": "Inventory & Control of Software Assets", "CIS-4": "Secure Configuration", "CIS-5": "Account Management",
+    "CIS-7": "Email & Web Browser Protections", "CIS-8": "Malware Defenses", "CIS-10": "Malware Defenses (Behavior)",
+    "CIS-11": "Data Recovery", "CIS-12": "Network Infrastructure Management", "CIS-13": "Network Monitoring & Defense",
+    "CIS-14": "Security Awareness", "CIS-16": "Application Software Security",
 }
 # -----------------------------------------------------------------------------
 
@@ -29,10 +45,10 @@ def fingerprint(tool: str, kind: str, entity: str, description: str, length: int
 
 
 def deduplicate(findings: DataFrame, gap: int) -> DataFrame:
-    """One row for each run of hits of a fingerprint no further apart than gap."""
-    runs = islands(findings, ["fingerprint"], gap)
-    facts = findings.groupBy("fingerprint").agg(*[F.min(c).alias(c) for c in ("tool", "finding_type", "severity", "mitre", "tactic", "entity", "score") if c in findings.columns])
-    return runs.join(facts, "fingerprint")
+    """One row for each run of hits of a fingerprint no further apart than gap,
+    with the facts of its first hit."""
+    facts = tuple(c for c in ("tool", "finding_type", "severity", "mitre", "tactic", "entity", "description", "score") if c in findings.columns)
+    return islands(findings, ["fingerprint"], gap, facts=facts)
 
 
 def entity_risk(findings: DataFrame) -> DataFrame:
@@ -70,11 +86,15 @@ def delta(previous: DataFrame, current: DataFrame, key: str = "fingerprint") ->
     return a.join(b, key, "full_outer").select(key, fate.alias("fate"))
 
 
-def control_failures(findings: DataFrame) -> DataFrame:
-    """Failures of each control by the tactics of the findings."""
-    controls = F.explode(F.coalesce(taxonomy.lookup(F.col("tactic"), CONTROLS), F.array().cast("array<string>")))
-    out = findings.withColumn("control", controls).groupBy("control").agg(F.count("*").alias("failures"))
-    return out.withColumn("severity", F.when(F.col("failures") >= 10, "critical").when(F.col("failures") >= 5, "high").otherwise("medium"))
+def control_failures(findings: DataFrame, framework: str = "cis", order: str = "us") -> DataFrame:
+    """Failures of each control of a framework (cis, nist) by the tactics of the
+    findings, its name and the description of the first of them."""
+    table = NIST if framework == "nist" else CIS
+    controls = F.explode(F.coalesce(taxonomy.lookup(F.col("tactic"), table), F.array().cast("array<string>")))
+    first = F.min_by(F.left("description", F.lit(60)), F.struct(order, "description"))
+    out = findings.withColumn("control", controls).groupBy("control").agg(F.count("*").alias("failures"), first.alias("first_evidence"))
+    severity = F.when(F.col("failures") >= 10, "critical").when(F.col("failures") >= 5, "high").otherwise("medium")
+    return out.withColumns({"name": F.coalesce(taxonomy.lookup(F.col("control"), CIS_NAMES), "control"), "severity": severity})
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame, key: str, fields: list[str]) -> DataFrame:

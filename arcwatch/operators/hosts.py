@@ -6,16 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import taxonomy
+from ..functions.iocs import SECRETS
 from ..functions.text import entropy, redact
 
 # -- fixed values ----------------------------------------------------------------------
-_UNIX, _WIN = ["bash", "sh"], ["cmd.exe", "powershell.exe"]
 LINEAGE = {
-    "nginx": [*_UNIX, *_WIN, "python", "python3", "perl", "ruby"], "apache2": [*_UNIX, *_WIN, "python", "python3"],
-    "httpd": [*_UNIX, *_WIN, "python", "python3"], "iis": [*_WIN, "wscript.exe", "cscript.exe"],
-    "tomcat": [*_UNIX, *_WIN], "php-fpm": [*_UNIX, "cmd.exe"], "node": [*_UNIX, *_WIN], "java": [*_UNIX, *_WIN],
-    "svchost": [*_WIN, "wscript.exe"],
-}
+    "nginx": ["bash", "sh", "cmd.exe", "powershell.exe", "python", "python3", "perl", "ruby"],
+    "apache2": ["bash", "sh", "cmd.exe", "powershell.exe", "python", "python3"],
+    "httpd": ["bash", "sh", "cmd.exe", "powershell.exe", "python", "python3"],
+    "iis": ["cmd.exe", "powershell.exe", "wscript.exe", "cscript.exe"],
+    "tomcat": ["bash", "sh", "cmd.exe", "powershell.exe"],
+    "php-fpm": ["bash", "sh", "cmd.exe"],
+    "node": ["bash", "sh", "cmd.exe", "powershell.exe"],
+    "java": ["bash", "sh", "cmd.exe", "powershell.exe"],
+    "svchost": ["cmd.exe", "powershell.exe", "wscript.exe"],
+}
 SCRATCH = ["/tmp/", "/var/tmp/", "/dev/shm/", "/run/user/", "\\appdata\\local\\temp\\", "\\windows\\temp\\", "\\users\\public\\"]
 DESTRUCTION = [
     "vssadmin delete shadows", "wmic shadowcopy delete", "bcdedit /set {default} recoveryenabled no",
@@ -30,7 +35,6 @@ CRITICALITY = [
     ("/lib/", 60, "system_library"), ("/usr/lib/", 60, "system_library"), ("/var/www/", 55, "web_content"),
     ("/home/", 30, "user_data"), ("/root/", 50, "root_home"),
 ]
-CREDENTIALS = [r"(?i)(?:password|passwd|pwd)\s*[=:]\s*[^\x00-\x1f]{4,64}", r"(?i)(?:token|secret|api.?key|apikey)\s*[=:]\s*[^\x00-\x1f]{8,128}", r"AKIA[A-Z0-9]{16}", r"eyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}", r"-----BEGIN [A-Z ]+PRIVATE KEY-----"]
 MALWARE = [
     ("mimikatz", r"(?i)(?:mimikatz|sekurlsa|lsadump)"), ("metasploit", r"(?i)(?:meterpreter|metasploit)"),
     ("win_shell", r"(?i)(?:cmd\.exe|powershell\.exe|wscript\.exe)"), ("unix_shell", r"/bin/sh\x00|/bin/bash\x00"),
@@ -98,24 +102,47 @@ def criticality(path: Column) -> Column:
 
 
 def integrity_drift(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Drift between two file snapshots (path, sha256, mode, uid, gid, mtime):
-    new, deleted, modified, or changed in rights; worst first by weight."""
-    a = before.select("path", F.struct("sha256", "mode", "uid", "gid", "mtime").alias("_a"))
-    b = after.select("path", F.struct("sha256", "mode", "uid", "gid", "mtime").alias("_b"))
-    same = lambda f: F.col(f"_a.{f}").eqNullSafe(F.col(f"_b.{f}"))
-    change = (
-        F.when(F.col("_a").isNull(), "NEW").when(F.col("_b").isNull(), "DELETED").when(~same("sha256"), "MODIFIED")
-        .when(~same("uid") | ~same("gid"), "OWNER").when(~same("mode"), "MODE").when(~same("mtime"), "TIMESTAMP")
-    )
-    setuid = F.coalesce((F.col("_b.mode").bitwiseAND(0o4000) != 0) & (F.coalesce(F.col("_a.mode"), F.lit(0)).bitwiseAND(0o4000) == 0), F.lit(False))
-    out = a.join(b, "path", "full_outer").withColumns({"change_type": change, "setuid_added": setuid}).filter("change_type is not null")
-    return out.withColumn("_t", criticality(F.col("path"))).select("path", "change_type", "setuid_added", F.col("_t.weight").alias("criticality"), F.col("_t.label").alias("category"))
+    """Drift between two file snapshots (path, sha256, mode, uid, gid; perhaps
+    link_target): new, deleted, modified, or else changed in rights, owner or
+    link target, each a row, with severity; order by ``drift_order``."""
+    fields = ["sha256", "mode", "uid", "gid"] + ["link_target"] * ("link_target" in before.columns and "link_target" in after.columns)
+    a = before.select("path", F.struct(*fields).alias("_a"))
+    b = after.select("path", F.struct(*fields).alias("_b"))
+    tier = criticality(F.col("path"))
+    rows = a.join(b, "path", "full_outer").withColumns({"criticality": tier["weight"], "category": tier["label"]})
+    weight = F.col("criticality")
+    by = lambda high, middle, low: F.when(weight >= high, "critical").when(weight >= middle, "high").otherwise(low)
+    was, now = F.col("_a.mode"), F.col("_b.mode")
+    gained = lambda bit: (now.bitwiseAND(bit) != 0) & (was.bitwiseAND(bit) == 0)
+    fact = lambda kind, severity: F.struct(F.lit(kind).alias("change_type"), severity.alias("severity"))
+    differ = lambda f: ~F.col(f"_a.{f}").eqNullSafe(F.col(f"_b.{f}"))
+    changed = [
+        F.when(differ("mode"), fact("PERM_CHANGED", F.when(gained(0o4000) | gained(0o002), "critical").otherwise("low"))),
+        F.when(differ("uid") | differ("gid"), fact("OWNER_CHANGED", F.when(weight >= 50, "high").otherwise("low"))),
+    ]
+    if "link_target" in fields:
+        both = F.col("_a.link_target").isNotNull() & F.col("_b.link_target").isNotNull()
+        changed.append(F.when(both & differ("link_target"), fact("SYMLINK_CHANGED", F.lit("high"))))
+    found = (
+        F.when(F.col("_a").isNull(), F.array(fact("NEW", by(80, 50, "low"))))
+        .when(F.col("_b").isNull(), F.array(fact("DELETED", by(80, 50, "medium"))))
+        .when(F.col("_a.sha256") != F.col("_b.sha256"), F.array(fact("MODIFIED", by(70, 40, "medium"))))
+        .otherwise(F.filter(F.array(*changed), lambda c: c.isNotNull()))
+    )
+    gained_suid = F.coalesce(gained(0o4000), F.lit(False))
+    out = rows.withColumn("setuid_added", gained_suid).withColumn("_f", F.explode(found))
+    return out.select("path", "_f.change_type", "_f.severity", "setuid_added", "criticality", "category")
+
+
+def drift_order() -> list[Column]:
+    """Worst severity first, then the more critical path."""
+    return [F.desc(taxonomy.severity_rank(F.col("severity"))), F.desc("criticality"), F.asc("path")]
 
 
 def drift_verdict(drift: DataFrame) -> DataFrame:
     """One row: COMPROMISED, DRIFTED, MINOR_DRIFT or TRUSTED."""
-    worst = F.coalesce(F.max("criticality"), F.lit(-1))
-    return drift.agg(F.when(worst >= 85, "COMPROMISED").when(worst >= 60, "DRIFTED").when(worst >= 0, "MINOR_DRIFT").otherwise("TRUSTED").alias("verdict"))
+    has = lambda s: F.count_if(F.col("severity") == s) > 0
+    return drift.agg(F.when(has("critical"), "COMPROMISED").when(has("high"), "DRIFTED").when(F.count("*") > 0, "MINOR_DRIFT").otherwise("TRUSTED").alias("verdict"))
 
 
 def memory_findings(regions: DataFrame) -> DataFrame:
@@ -123,7 +150,7 @@ def memory_findings(regions: DataFrame) -> DataFrame:
     (pid, region, perms, data): bytes are read as ISO-8859-1 text."""
     data = F.decode("data", "ISO-8859-1")
     fact = lambda kind, what: F.struct(F.lit(kind).alias("kind"), what.alias("detail"))
-    found = [F.transform(F.regexp_extract_all(data, F.lit(p), F.lit(0)), lambda v: fact("credential", redact(v))) for p in CREDENTIALS]
+    found = [F.transform(F.regexp_extract_all(data, F.lit(p), F.lit(0)), lambda v: fact("credential", redact(v))) for p in SECRETS.values()]
     found += [F.when(data.rlike(f"(?s){p}"), F.array(fact("malware", F.lit(n)))).otherwise(F.array()) for n, p in MALWARE]
     injected = F.col("perms").contains("x") & F.col("region").rlike(r"heap|stack|/tmp/|/dev/shm/")
     found.append(F.when(injected, F.array(fact("injected_code", F.col("region")))).otherwise(F.array()))

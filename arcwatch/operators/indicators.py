@@ -7,14 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import iocs
 
-#: Rows up to which an indicator or range table is broadcast.
-SMALL = 200_000
-
-
-def small(df: DataFrame, rows: int = SMALL) -> bool:
-    return df.limit(rows + 1).count() <= rows
-
-
 def extract_indicators(texts: DataFrame, key: str, text: str, kinds: list[str]) -> DataFrame:
     """Distinct (key, type, value) of the indicators in each text."""
 
@@ -28,31 +20,31 @@ def extract_indicators(texts: DataFrame, key: str, text: str, kinds: list[str])
 def match_indicators(found: DataFrame, known: DataFrame) -> DataFrame:
     """Found indicators that are known (type, value, score), with their tier.
 
-    The known side is broadcast only if it is counted small; otherwise Spark
-    joins by shuffle.
+    Spark picks the join at run time by the measured size of the known side.
     """
-    side = F.broadcast(known) if small(known) else known
-    return found.join(side, ["type", "value"]).withColumn("tier", iocs.reputation_tier(F.col("score")))
+    return found.join(known, ["type", "value"]).withColumn("tier", iocs.reputation_tier(F.col("score")))
 
 
 def upsert(known: DataFrame, added: DataFrame) -> DataFrame:
-    """One row for each indicator: highest score, all tags."""
-    both = known.unionByName(added)
-    return both.groupBy("type", "value").agg(F.max("score").alias("score"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("tags"))
+    """One row for each value (value, type, score, tags, source, seen_us):
+    highest score, all tags, type and source of its first row, last sighting."""
+    both = known.withColumn("_new", F.lit(0)).unionByName(added.withColumn("_new", F.lit(1)), allowMissingColumns=True)
+    for name, kind in (("source", "string"), ("seen_us", "long")):
+        if name not in both.columns:
+            both = both.withColumn(name, F.lit(None).cast(kind))
+    order = F.struct("_new", F.coalesce("seen_us", F.lit(0)), "type", F.coalesce("source", F.lit("")))
+    first = F.min_by(F.struct("type", "source"), order)
+    out = both.groupBy("value").agg(first.alias("_f"), F.max("score").alias("score"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("tags"), F.max("seen_us").alias("last_seen_us"))
+    return out.select("_f.type", "value", "score", "tags", "_f.source", "last_seen_us")
 
 
 def locate(addresses: DataFrame, ip: str = "ip") -> DataFrame:
-    """Country and city of each address: the first block that holds it.
+    """Country, city, lat, lon and approx of each IPv4 address.
 
     The blocks are a fixed short list, so containment is a chain of range
     tests in the projection and needs no join.
     """
-    number = iocs.ipv4_number(F.col(ip))
-    place = F.struct(F.lit("UNKNOWN").alias("country"), F.lit("").alias("city"))
-    for block, country, city in reversed(iocs.GEO_BLOCKS):
-        place = F.when(number.between(*iocs.block_bounds(block)), F.struct(F.lit(country).alias("country"), F.lit(city).alias("city"))).otherwise(place)
-    place = F.when(iocs.is_internal(number), F.struct(F.lit("INTERNAL").alias("country"), F.lit("internal").alias("city"))).otherwise(place)
-    return addresses.filter(number.isNotNull()).withColumn("_p", place).select(*addresses.columns, "_p.country", "_p.city")
+    return addresses.filter(iocs.ipv4_number(F.col(ip)).isNotNull()).withColumn("_p", iocs.placement(F.col(ip))).select(*addresses.columns, "_p.*")
 
 
 def locate_in(addresses: DataFrame, blocks: DataFrame, ip: str = "ip") -> DataFrame:

@@ -13,23 +13,31 @@ WATCHLIST = [
     "google.com", "microsoft.com", "apple.com", "amazon.com", "paypal.com", "facebook.com",
     "github.com", "gmail.com", "outlook.com", "office365.com", "okta.com", "cloudflare.com", "aws.amazon.com",
 ]
+#: service, where its banner names a version, versions affected, weakness
 CVES = [
-    ("SSH", "OpenSSH", "8.5", "CVE-2023-38408"), ("SSH", "OpenSSH", "9.6", "CVE-2024-6387"),
-    ("HTTP", "Apache", "2.4.55", "CVE-2023-25690"), ("HTTP", "nginx", "1.25.3", "CVE-2023-44487"),
-    ("HTTPS", "nginx", "1.25.3", "CVE-2023-44487"), ("MySQL", "", "8.0.32", "CVE-2023-21980"),
-    ("SMB", "", None, "CVE-2017-0144"), ("RDP", "", None, "CVE-2019-0708"), ("Redis", "", None, "CVE-2022-0543"),
-    ("MongoDB", "", None, "INFO-NOAUTH"), ("Elasticsearch", "", None, "INFO-NOAUTH"),
-    ("DockerAPI", "", None, "CVE-2019-5736"), ("Telnet", "", None, "INFO-CLEARTEXT"), ("VNC", "", None, "INFO-NOAUTH"),
+    ("SSH", r"OpenSSH[_ ]([0-9.]+)", "<8.5", "CVE-2023-38408"), ("SSH", r"OpenSSH[_ ]([0-9.]+)", "<9.6", "CVE-2024-6387"),
+    ("FTP", r"vsftpd ([0-9.]+)", "=2.3.4", "CVE-2011-2523"), ("HTTP", r"Apache[/ ]([0-9.]+)", "<2.4.55", "CVE-2023-25690"),
+    ("HTTP", r"nginx/([0-9.]+)", "<1.25.3", "CVE-2023-44487"), ("HTTPS", r"nginx/([0-9.]+)", "<1.25.3", "CVE-2023-44487"),
+    ("SMB", "", "", "CVE-2017-0144"), ("RDP", "", "", "CVE-2019-0708"),
+    ("MySQL", r"([0-9]+\.[0-9]+\.[0-9]+)", "<8.0.32", "CVE-2023-21980"), ("Redis", "", "", "CVE-2022-0543"),
+    ("MongoDB", "", "", "INFO-NOAUTH"), ("Elasticsearch", "", "", "INFO-NOAUTH"), ("DockerAPI", "", "", "CVE-2019-5736"),
+    ("Telnet", "", "", "INFO-CLEARTEXT"), ("VNC", "", "", "INFO-NOAUTH"),
 ]
 VERSIONS = [r"(?i)OpenSSH[_ ]([\w.]+)", r"(?i)Apache[/ ]([\d.]+)", r"(?i)nginx/([\d.]+)", r"(?i)vsftpd ([\d.]+)", r"(?i)MySQL.*?([\d]+\.[\d]+\.[\d]+)", r"([\d]+\.[\d]+\.[\d]+)"]
 # ------------------------------------------------------------------------------------
 
 
+def _named(dns: DataFrame) -> DataFrame:
+    """Names in lower case, without the last dot."""
+    return dns.withColumn("qname", F.rtrim(F.lower("qname"), F.lit(".")))
+
+
 def generated_domains(dns: DataFrame, known: list[str]) -> DataFrame:
     """Names whose second-level label reads like no word: low linguistic score,
     high entropy, long consonant runs; each name once."""
-    label = F.try_element_at(F.split(F.rtrim(F.lower("qname"), F.lit(".")), r"\."), F.lit(-2))
-    names = dns.select("qname", label.alias("label")).filter(F.length("label") >= 8).dropDuplicates(["qname"])
+    parts = F.split("qname", r"\.")
+    label = F.when(F.size(parts) >= 2, F.try_element_at(parts, F.lit(-2))).otherwise(F.get(parts, F.lit(0)))
+    names = _named(dns).select("qname", label.alias("label")).filter(F.length("label") >= 8).dropDuplicates(["qname"])
     scored = names.withColumns({"linguistic": text.linguistic_score(F.col("label"), known), "entropy": text.entropy(F.col("label")), "consonants": text.consonant_run_ratio(F.col("label"))})
     return scored.filter("linguistic < 0.18 and entropy > 3.6 and consonants > 0.35")
 
@@ -37,7 +45,7 @@ def generated_domains(dns: DataFrame, known: list[str]) -> DataFrame:
 def fast_flux(dns: DataFrame, span: int = 3600 * SECOND) -> DataFrame:
     """First record of a name with 8 addresses in 4 networks and low lifetimes."""
     w = trailing(["qname"], span)
-    rows = dns.filter("qtype = 'A'").withColumn("ip", F.explode("answers")).withColumn("net", F.substring_index("ip", ".", 2))
+    rows = _named(dns).filter("qtype = 'A'").withColumn("ip", F.explode("answers")).withColumn("net", F.substring_index("ip", ".", 2))
     rows = rows.withColumns({"n_ips": F.size(F.collect_set("ip").over(w)), "n_nets": F.size(F.collect_set("net").over(w)), "mean_ttl": F.avg("ttl").over(w)})
     return first_firing(rows, ["qname"], F.expr("n_ips >= 8 and mean_ttl <= 300 and n_nets >= 4"), tie="ip")
 
@@ -47,7 +55,7 @@ def dns_tunnels(dns: DataFrame, span: int = 60 * SECOND) -> DataFrame:
     w = trailing(["src"], span)
     label = F.substring_index("qname", ".", 1)
     odd = F.when((F.length(label) >= 40) & (text.entropy(label) >= 3.8), 1.0).otherwise(0.0)
-    rows = dns.withColumn("_odd", odd).withColumns({"n": F.count("*").over(w), "share": F.avg("_odd").over(w)})
+    rows = _named(dns).withColumn("_odd", odd).withColumns({"n": F.count("*").over(w), "share": F.avg("_odd").over(w)})
     return first_firing(rows, ["src"], F.expr("n >= 30 and share >= 0.5"), tie="qname")
 
 
@@ -91,12 +99,15 @@ def exposures(ports: DataFrame) -> DataFrame:
     """Known weaknesses of open ports (host, port, service, banner)."""
     found = F.coalesce(*[F.nullif(F.regexp_extract("banner", p, 1), F.lit("")) for p in VERSIONS])
     rows = ports.withColumn("version", found)
+    told = F.concat_ws(" ", "banner", "version")
     tests = []
-    for service, product, below, cve in CVES:
+    for service, pattern, affected, cve in CVES:
         hit = F.col("service") == service
-        if below:
-            own = versions(F.col("version"))
-            hit = hit & F.col("banner").contains(product) & ~F.exists(own, lambda p: p.isNull()) & (own < versions(F.lit(below)))
+        if affected.startswith("="):
+            hit = hit & (F.regexp_extract(told, pattern, 1) == affected[1:])
+        elif affected:
+            own = versions(F.regexp_extract(told, pattern, 1))
+            hit = hit & ~F.exists(own, lambda p: p.isNull()) & (own < versions(F.lit(affected[1:])))
         tests.append(F.when(hit, F.lit(cve)))
     return rows.withColumn("cve", F.explode(F.filter(F.array(*tests), lambda c: c.isNotNull())))
 

@@ -79,11 +79,20 @@ def condition(text: str, parts: Mapping[str, Column]) -> Column:
 # -- Sigma ------------------------------------------------------------------------
 
 
+def _matches(text: Column, pattern: str) -> Column:
+    """A pattern that is no regular expression matches nothing."""
+    try:
+        re.compile(pattern)
+    except re.error:
+        return F.lit(False)
+    return text.rlike(pattern)
+
+
 def _value(field: Column, expected, modifier: str) -> Column:
     text = F.lower(field.cast("string"))
     want = str(expected).lower()
     if modifier == "re":
-        return field.cast("string").rlike(f"(?i){expected}")
+        return _matches(field.cast("string"), f"(?i){expected}")
     if modifier in ("contains", "startswith", "endswith"):
         return getattr(text, modifier)(F.lit(want))
     if isinstance(expected, (int, float)) and not isinstance(expected, bool):
@@ -134,30 +143,108 @@ def techniques(rule: Mapping) -> list[str]:
     return [t[7:].upper() for t in rule.get("tags", []) if re.fullmatch(r"attack\.t\d{4}(\.\d{3})?", t)]
 
 
-def _event(title: str, level: str, kind: str, tags: list[str], **more) -> dict:
-    """A rule on one event type, and perhaps on one detail of it."""
-    chosen: dict = {"event_type": kind}
-    return {"title": title, "level": level, "tags": [f"attack.{t.lower()}" for t in tags], "detection": {"selection": chosen | {k: v for k, v in more.items()}, "condition": "selection"}}
-
-
 # -- fixed values: the shipped pack ------------------------------------------------
 SIGMA_PACK = [
-    _event("crypto_spike", "critical", "crypto_spike", ["T1486", "T1496"]),
-    _event("inhibit_recovery", "critical", "shadow", ["T1490"]),
-    _event("webshell_spawn", "high", "process", ["T1505.003", "T1059"], **{"details.reason": "web_server_spawned_shell"}),
-    _event("suspicious_exec_path", "high", "process", ["T1036.005"], **{"details.reason": "suspicious_exec_path"}),
-    _event("c2_nonstandard_port", "medium", "network", ["T1571"], **{"details.dest_port": [4444, 1337, 6666, 9001, 31337]}),
-    _event("agent_tamper", "high", "agent_silence", ["T1562.001"]),
-    _event("encoded_powershell", "high", "powershell", ["T1059.001", "T1027"], **{"details.cmdline|contains": [" -enc ", "-encodedcommand", "frombase64string", "iex(new-object", "downloadstring"]}),
-    _event("byovd_driver_load", "critical", "driver_load", ["T1068"], **{"details.driver_name|contains": ["rtcore64", "gdrv", "dbutil", "procexp", "aswarpot", "kprocesshacker"]}),
-    _event("rmm_tool_abuse", "high", "rmm_tool", ["T1219"], **{"details.tool|contains": ["anydesk", "screenconnect", "connectwise", "teamviewer", "atera", "splashtop", "ngrok"]}),
-    _event("cloud_exfil", "high", "cloud_exfil", ["T1567.002"]),
-    _event("esxi_ransomware", "critical", "ransomware_esxi", ["T1486"]),
-    _event("kerberoasting", "high", "cred_dump", ["T1558.003"], **{"details.reason": "kerberoast"}),
-    _event("lolbin_proxy_exec", "high", "lolbin", ["T1218"], **{"details.binary|contains": ["rundll32", "mshta", "regsvr32", "msiexec", "installutil", "wmic"]}),
-    _event("persistence_mechanisms", "high", "persistence", ["T1053", "T1546.003", "T1136"], **{"details.reason": ["scheduled_task", "wmi_subscription", "new_account"]}),
-    _event("mfa_fatigue", "high", "mfa_fatigue", ["T1621"]),
-    _event("lsass_dump", "critical", "cred_dump", ["T1003.001"], **{"details.reason": "lsass_dump"}),
+    {
+        "title": "crypto_spike",
+        "level": "critical",
+        "tags": ["attack.t1486", "attack.t1496"],
+        "detection": {"selection": {"event_type": "crypto_spike"}, "condition": "selection"},
+    },
+    {
+        "title": "inhibit_recovery",
+        "level": "critical",
+        "tags": ["attack.t1490"],
+        "detection": {"selection": {"event_type": "shadow"}, "condition": "selection"},
+    },
+    {
+        "title": "webshell_spawn",
+        "level": "high",
+        "tags": ["attack.t1505.003", "attack.t1059"],
+        "detection": {"selection": {"event_type": "process", "details.reason": "web_server_spawned_shell"}, "condition": "selection"},
+    },
+    {
+        "title": "suspicious_exec_path",
+        "level": "high",
+        "tags": ["attack.t1036.005"],
+        "detection": {"selection": {"event_type": "process", "details.reason": "suspicious_exec_path"}, "condition": "selection"},
+    },
+    {
+        "title": "c2_nonstandard_port",
+        "level": "medium",
+        "tags": ["attack.t1571"],
+        "detection": {"selection": {"event_type": "network", "details.dest_port": [4444, 1337, 6666, 9001, 31337]}, "condition": "selection"},
+    },
+    {
+        "title": "agent_tamper",
+        "level": "high",
+        "tags": ["attack.t1562.001"],
+        "detection": {"selection": {"event_type": "agent_silence"}, "condition": "selection"},
+    },
+    {
+        "title": "encoded_powershell",
+        "level": "high",
+        "tags": ["attack.t1059.001", "attack.t1027"],
+        "detection": {"selection": {"event_type": "powershell", "details.cmdline|contains": [" -enc ", "-encodedcommand", "frombase64string", "iex(new-object", "downloadstring"]}, "condition": "selection"},
+    },
+    {
+        "title": "byovd_driver_load",
+        "level": "critical",
+        "tags": ["attack.t1068"],
+        "detection": {"selection": {"event_type": "driver_load", "details.driver_name|contains": ["rtcore64", "gdrv", "dbutil", "procexp", "aswarpot", "kprocesshacker"]}, "condition": "selection"},
+    },
+    {
+        "title": "rmm_tool_abuse",
+        "level": "high",
+        "tags": ["attack.t1219"],
+        "detection": {"selection": {"event_type": "rmm_tool", "details.tool|contains": ["anydesk", "screenconnect", "connectwise", "teamviewer", "atera", "splashtop", "ngrok"]}, "condition": "selection"},
+    },
+    {
+        "title": "cloud_exfil",
+        "level": "high",
+        "tags": ["attack.t1567.002"],
+        "detection": {"selection": {"event_type": "cloud_exfil"}, "condition": "selection"},
+    },
+    {
+        "title": "esxi_ransomware",
+        "level": "critical",
+        "tags": ["attack.t1486"],
+        "detection": {"selection": {"event_type": "ransomware_esxi"}, "condition": "selection"},
+    },
+    {
+        "title": "kerberoasting",
+        "level": "high",
+        "tags": ["attack.t1558.003"],
+        "detection": {"selection": {"event_type": "cred_dump", "details.reason": "kerberoast"}, "condition": "selection"},
+    },
+    {
+        "title": "lolbin_proxy_exec",
+        "level": "high",
+        "tags": ["attack.t1218"],
+        "detection": {"selection": {"event_type": "lolbin", "details.binary|contains": ["rundll32", "mshta", "regsvr32", "msiexec", "installutil", "wmic"]}, "condition": "selection"},
+    },
+    {
+        "title": "persistence_mechanisms",
+        "level": "high",
+        "tags": ["attack.t1053", "attack.t1546.003", "attack.t1136"],
+        "detection": {"selection": {"event_type": "persistence", "details.reason": ["scheduled_task", "wmi_subscription", "new_account"]}, "condition": "selection"},
+    },
+    {
+        "title": "mfa_fatigue",
+        "level": "high",
+        "tags": ["attack.t1621"],
+        "detection": {"selection": {"event_type": "mfa_fatigue"}, "condition": "selection"},
+    },
+]
+
+#: Our own, for dumps of credentials that no shipped rule confirms.
+OWN_RULES = [
+    {
+        "title": "lsass_dump",
+        "level": "critical",
+        "tags": ["attack.t1003.001"],
+        "detection": {"selection": {"event_type": "cred_dump", "details.reason": "lsass_dump"}, "condition": "selection"},
+    },
 ]
 
 #: name, regex (case-insensitive), severity, technique, score
@@ -218,20 +305,34 @@ def first_match(text: Column, named: list[tuple[str, str]]) -> Column:
 # -- byte patterns (the YARA-like rules) ------------------------------------------
 
 
-def _pattern(spec: dict | str, data: Column) -> Column:
-    """One string of a rule as a test: text, /regex/ or {hex}, perhaps nocase or
-    at an offset."""
+def string_test(spec: dict | str, data: Column) -> Column:
+    """One string of a rule as a test over bytes read as ISO-8859-1 text.
+
+    text, hex (?? for any byte) or regex; nocase; wide (UTF-16LE too); xor with
+    a key; fullword; at an offset, or within two offsets.
+    """
     spec = {"text": spec} if isinstance(spec, str) else spec
     flag = "(?is)" if spec.get("nocase") else "(?s)"
     if "hex" in spec:
-        body = "".join("." if b == "??" else f"\\x{b}" for b in spec["hex"].split())
+        bodies = ["".join("." if b == "??" else f"\\x{b}" for b in spec["hex"].split())]
     elif "regex" in spec:
-        body = spec["regex"]
-    elif spec.get("nocase"):
-        return F.contains(F.lower(data), F.lit(spec["text"].lower()))
+        bodies = [spec["regex"]]
     else:
-        return F.contains(data, F.lit(spec["text"]))
-    return data.rlike(flag + (f"^.{{{spec['at']}}}" if "at" in spec else "") + body)
+        raw = spec["text"].encode()
+        plain = bytes(b ^ spec["xor"] for b in raw) if spec.get("xor") else raw
+        forms = [plain] + [spec["text"].encode("utf-16-le")] * bool(spec.get("wide"))
+        if len(forms) == 1 and not {"at", "within", "fullword"} & spec.keys():
+            text = plain.decode("latin-1")
+            return F.contains(F.lower(data), F.lit(text.lower())) if spec.get("nocase") else F.contains(data, F.lit(text))
+        bodies = ["".join(f"\\x{b:02x}" for b in form) for form in forms]
+    body = "(?:" + "|".join(bodies) + ")"
+    if spec.get("fullword"):
+        body = f"(?<![A-Za-z0-9_]){body}(?![A-Za-z0-9_])"
+    if "at" in spec:
+        body = f"^.{{{spec['at']}}}{body}"
+    elif "within" in spec:
+        body = f"^.{{{spec['within'][0]},{spec['within'][1]}}}?{body}"
+    return _matches(data, flag + body)
 
 
 def byte_rule(rule: Mapping, data: Column) -> Column:
@@ -239,7 +340,7 @@ def byte_rule(rule: Mapping, data: Column) -> Column:
 
     ``max_size`` and ``min_entropy`` are further conditions.
     """
-    parts = {n: F.coalesce(_pattern(s, data), F.lit(False)) for n, s in rule["strings"].items()}
+    parts = {n: F.coalesce(string_test(s, data), F.lit(False)) for n, s in rule["strings"].items()}
     out = condition(rule["condition"], parts)
     if "max_size" in rule:
         out = out & (F.length(data) < rule["max_size"])
@@ -250,20 +351,63 @@ def byte_rule(rule: Mapping, data: Column) -> Column:
     return out
 
 
-def _i(*texts: str, prefix: str) -> dict:
-    return {f"{prefix}{n}": {"text": t, "nocase": True} for n, t in enumerate(texts, 1)}
-
-
 # -- fixed values: the shipped byte rules -------------------------------------------
 BYTE_RULES = [
-    {"title": "shadow_copy_deletion", "level": "critical", "strings": _i("vssadmin delete shadows", "wmic shadowcopy delete", "bcdedit /set {default} recoveryenabled no", "wbadmin delete catalog", "diskshadow /s", prefix="s"), "condition": "any of (s*)"},
-    {"title": "ransom_note", "level": "critical", "strings": _i("YOUR FILES HAVE BEEN ENCRYPTED", "All your files are encrypted", "DECRYPT_INSTRUCTIONS", "HOW_TO_RECOVER", "bitcoin", "onion", prefix="n") | {f"e{i}": t for i, t in enumerate([".locked", ".encrypted", ".WNCRY", ".zepto", ".locky", ".cerber"], 1)}, "condition": "(2 of (n*)) or (any of (e*) and any of (n*))"},
-    {"title": "webshell_php", "level": "critical", "strings": {"eval1": {"regex": r"eval\s*\(\s*(base64_decode|gzinflate|str_rot13|gzuncompress)\s*\(", "nocase": True}, "eval2": {"regex": r"assert\s*\(\s*(base64_decode|gzinflate|str_rot13)\s*\(", "nocase": True}, "super": {"regex": r"\$_(GET|POST|REQUEST|COOKIE)\s*\[", "nocase": True}} | _i("passthru", "shell_exec", "proc_open", prefix="exec"), "condition": "(eval1 or eval2) or ((exec1 or exec2 or exec3) and super)"},
-    {"title": "credential_dumper", "level": "critical", "strings": _i("sekurlsa::logonpasswords", "lsadump::sam", "privilege::debug", "SekurLSA", "gentilkiwi", prefix="m") | {"hex": {"hex": "6B 69 77 69"}}, "condition": "2 of (m*) or hex"},
-    {"title": "reverse_shell", "level": "critical", "strings": _i("bash -i >& /dev/tcp/", "nc -e /bin/bash", "nc -e /bin/sh", "import socket,subprocess,os", "socat exec:", prefix="s") | {"bash2": "/bin/bash -i", "py2": {"regex": r"socket\.connect\(.{5,50}\).*subprocess", "nocase": True}}, "condition": "any of them"},
-    {"title": "packed_pe", "level": "high", "strings": {"mz": {"hex": "4D 5A", "at": 0}, "pe": {"hex": "50 45 00 00"}}, "condition": "mz and pe", "max_size": 10 << 20, "min_entropy": 7.2},
-    {"title": "dropper_base64", "level": "high", "strings": {"b1": {"regex": r"base64[_\-]?decode", "nocase": True}, "b2": {"text": "FromBase64String", "nocase": True}, "b3": {"text": "base64 -d", "nocase": True}} | _i("exec(", "eval(", "Invoke-Expression", "IEX(", prefix="x"), "condition": "(any of (b*)) and (any of (x*))"},
-    {"title": "cron_download", "level": "high", "strings": {"cron": "* * * * *"} | _i("wget ", "curl ", prefix="dl") | _i("| bash", "| sh", "/tmp/", prefix="ex"), "condition": "cron and (any of (dl*)) and (any of (ex*))"},
-    {"title": "port_scan_tool", "level": "medium", "strings": _i("nmap", "masscan", "zmap", "unicornscan", "rustscan", prefix="t") | _i("--open --script", "-sV -sC", "SYN scan", prefix="s"), "condition": "any of (t*) and any of (s*)"},
+    {
+        "title": "shadow_copy_deletion",
+        "level": "critical",
+        "strings": {"s1": {"text": "vssadmin delete shadows", "nocase": True}, "s2": {"text": "wmic shadowcopy delete", "nocase": True}, "s3": {"text": "bcdedit /set {default} recoveryenabled no", "nocase": True}, "s4": {"text": "wbadmin delete catalog", "nocase": True}, "s5": {"text": "diskshadow /s", "nocase": True}},
+        "condition": "any of (s*)",
+    },
+    {
+        "title": "ransom_note",
+        "level": "critical",
+        "strings": {"n1": {"text": "YOUR FILES HAVE BEEN ENCRYPTED", "nocase": True}, "n2": {"text": "All your files are encrypted", "nocase": True}, "n3": {"text": "DECRYPT_INSTRUCTIONS", "nocase": True}, "n4": {"text": "HOW_TO_RECOVER", "nocase": True}, "n5": {"text": "bitcoin", "nocase": True}, "n6": {"text": "onion", "nocase": True}, "e1": ".locked", "e2": ".encrypted", "e3": ".WNCRY", "e4": ".zepto", "e5": ".locky", "e6": ".cerber"},
+        "condition": "(2 of (n*)) or (any of (e*) and any of (n*))",
+    },
+    {
+        "title": "webshell_php",
+        "level": "critical",
+        "strings": {"eval1": {"regex": r"eval\s*\(\s*(base64_decode|gzinflate|str_rot13|gzuncompress)\s*\(", "nocase": True}, "eval2": {"regex": r"assert\s*\(\s*(base64_decode|gzinflate|str_rot13)\s*\(", "nocase": True}, "super": {"regex": r"\$_(GET|POST|REQUEST|COOKIE)\s*\[", "nocase": True}, "exec1": {"text": "passthru", "nocase": True}, "exec2": {"text": "shell_exec", "nocase": True}, "exec3": {"text": "proc_open", "nocase": True}},
+        "condition": "(eval1 or eval2) or ((exec1 or exec2 or exec3) and super)",
+    },
+    {
+        "title": "credential_dumper",
+        "level": "critical",
+        "strings": {"m1": {"text": "sekurlsa::logonpasswords", "nocase": True}, "m2": {"text": "lsadump::sam", "nocase": True}, "m3": {"text": "privilege::debug", "nocase": True}, "m4": {"text": "SekurLSA", "nocase": True}, "m5": {"text": "gentilkiwi", "nocase": True}, "hex": {"hex": "6B 69 77 69"}},
+        "condition": "2 of (m*) or hex",
+    },
+    {
+        "title": "reverse_shell",
+        "level": "critical",
+        "strings": {"s1": {"text": "bash -i >& /dev/tcp/", "nocase": True}, "s2": {"text": "nc -e /bin/bash", "nocase": True}, "s3": {"text": "nc -e /bin/sh", "nocase": True}, "s4": {"text": "import socket,subprocess,os", "nocase": True}, "s5": {"text": "socat exec:", "nocase": True}, "bash2": "/bin/bash -i", "py2": {"regex": r"socket\.connect\(.{5,50}\).*subprocess", "nocase": True}},
+        "condition": "any of them",
+    },
+    {
+        "title": "packed_pe",
+        "level": "high",
+        "strings": {"mz": {"hex": "4D 5A", "at": 0}, "pe": {"hex": "50 45 00 00"}},
+        "condition": "mz and pe",
+        "max_size": 10485760,
+        "min_entropy": 7.2,
+    },
+    {
+        "title": "dropper_base64",
+        "level": "high",
+        "strings": {"b1": {"regex": r"base64[_\-]?decode", "nocase": True}, "b2": {"text": "FromBase64String", "nocase": True}, "b3": {"text": "base64 -d", "nocase": True}, "x1": {"text": "exec(", "nocase": True}, "x2": {"text": "eval(", "nocase": True}, "x3": {"text": "Invoke-Expression", "nocase": True}, "x4": {"text": "IEX(", "nocase": True}},
+        "condition": "(any of (b*)) and (any of (x*))",
+    },
+    {
+        "title": "cron_download",
+        "level": "high",
+        "strings": {"cron": "* * * * *", "dl1": {"text": "wget ", "nocase": True}, "dl2": {"text": "curl ", "nocase": True}, "ex1": {"text": "| bash", "nocase": True}, "ex2": {"text": "| sh", "nocase": True}, "ex3": {"text": "/tmp/", "nocase": True}},
+        "condition": "cron and (any of (dl*)) and (any of (ex*))",
+    },
+    {
+        "title": "port_scan_tool",
+        "level": "medium",
+        "strings": {"t1": {"text": "nmap", "nocase": True}, "t2": {"text": "masscan", "nocase": True}, "t3": {"text": "zmap", "nocase": True}, "t4": {"text": "unicornscan", "nocase": True}, "t5": {"text": "rustscan", "nocase": True}, "s1": {"text": "--open --script", "nocase": True}, "s2": {"text": "-sV -sC", "nocase": True}, "s3": {"text": "SYN scan", "nocase": True}},
+        "condition": "any of (t*) and any of (s*)",
+    },
 ]
 # ----------------------------------------------------------------------------------

@@ -66,13 +66,14 @@ def ranked_first_seen(df: DataFrame, key: str, item: str, levels: list[int], ord
     return new.withColumn("level", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("level").isin(levels)).drop("_n")
 
 
-def islands(df: DataFrame, keys: list[str], gap: int, us: str = "us", tie: str = "event_id") -> DataFrame:
+def islands(df: DataFrame, keys: list[str], gap: int, us: str = "us", tie: str = "event_id", facts: tuple[str, ...] = ()) -> DataFrame:
     """Runs of rows of a key that are at most ``gap`` after the one before
-    (merge with the last hit): first, last and number of hits."""
+    (merge with the last hit): first, last and number of hits, and the facts of
+    the first row."""
     w = ordered(keys, us, tie)
     new = F.when(F.col(us) - F.lag(us).over(w) <= gap, 0).otherwise(1)
     numbered = df.withColumn("_new", new).withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, "island").agg(F.min(us).alias("first_us"), F.max(us).alias("last_us"), F.count("*").alias("hit_count"))
+    return numbered.groupBy(*keys, "island").agg(F.min(us).alias("first_us"), F.max(us).alias("last_us"), F.count("*").alias("hit_count"), *[F.min_by(c, F.struct(us, tie)).alias(c) for c in facts])
 
 
 def silences(df: DataFrame, keys: list[str], factor: float, us: str = "us", tie: str = "event_id") -> DataFrame:
@@ -180,8 +181,8 @@ def fire_and_reset(df: DataFrame, keys: list[str], item: str, span: int, least:
 def ewma(df: DataFrame, key: str, value: str, alpha: float = 0.1, warm: int = 5, us: str = "us", tie: str = "event_id") -> DataFrame:
     """Exponentially weighted mean and variance, and the deviation of each row.
 
-    The first ``warm`` rows of a key only set the mean; the deviation is from
-    the mean that already includes the row.
+    The rows of a key before the ``warm``-th only set the mean; the deviation is
+    from the mean that already includes the row.
     """
 
     def start():
@@ -191,7 +192,7 @@ def ewma(df: DataFrame, key: str, value: str, alpha: float = 0.1, warm: int = 5,
             nonlocal n, mean, var
             v = math.nan if v is None else float(v)
             n += 1
-            if n <= warm:
+            if n < warm:
                 mean, var, z = v, 0.0, 0.0
             else:
                 delta = v - mean

@@ -1,13 +1,18 @@
 """Telemetry as a stream: authentication, scores, throttled alerts, silence.
 
 All clocks are event time.  State is one small row a key: the last emission,
-the events of one window, or the last beat; keys spread over partitions and
-state expires with the watermark.  Rows later than the watermark are dropped,
-which a batch run would not do.
+the events of one window, or the last beat; keys spread over partitions, and a
+key's state goes once the watermark has passed what it could still matter to.
+
+Rows may come out of order within the watermark, in any micro-batch.  A late row
+is scored by the rows at or before it, as in batch; scores that were already
+given are not revised, and an alert already raised stands.  Rows later than the
+watermark are dropped, which a batch run would not do.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,9 +25,15 @@ from .. import taxonomy
 SCHEMA = "vm_id string, ts timestamp, event_type string, reason string, agent_id string, nonce string, counter long, received timestamp, interval_s double"
 
 
-def read_events(spark: SparkSession, path: str, schema: str = SCHEMA) -> DataFrame:
-    """Events of JSON files that appear under path, each file once."""
-    return spark.readStream.schema(schema).json(path)
+def read_events(spark: SparkSession, path: str, schema: str = SCHEMA, files: int = 1000) -> DataFrame:
+    """Events of JSON files that appear under path, each file once, so many
+    files a micro-batch at most."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(path)
+
+
+def _keep(state: GroupState, until_us: float) -> None:
+    """Let the state go once the watermark has passed this clock."""
+    state.setTimeoutTimestamp(int(max(until_us / 1000, state.getCurrentWatermarkMs())) + 1)
 
 
 def authenticated(events: DataFrame, skew_s: int = 120, late: str = "10 minutes") -> DataFrame:
@@ -39,48 +50,62 @@ def weighed(events: DataFrame) -> DataFrame:
     return events.withColumns({"delta": taxonomy.event_weight(kind, reason), "techniques": taxonomy.event_techniques(kind, reason), "block": kind.isin(taxonomy.INSTANT_BLOCK)})
 
 
-def increasing_counters(events: DataFrame) -> DataFrame:
-    """Events whose counter exceeds every earlier one of the agent."""
+def increasing_counters(events: DataFrame, keep_s: int = 86_400, late: str = "10 minutes") -> DataFrame:
+    """Events whose counter exceeds every earlier one of the agent; an agent is
+    forgotten after a silence of ``keep_s``."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        top = state.get[0] if state.exists else -1
+        if state.hasTimedOut:
+            state.remove()
+            return
+        top, last = state.get if state.exists else (-1, 0)
         rows = pd.concat(list(frames)).sort_values(["ts", "counter"], kind="stable")
         before = rows["counter"].cummax().shift(fill_value=top).clip(lower=top)
         kept = rows[rows["counter"] > before]
-        state.update((int(max(top, rows["counter"].max())),))
+        last = max(last, int(rows["us"].max()))
+        state.update((int(max(top, rows["counter"].max())), last))
+        _keep(state, last + keep_s * 1e6)
         yield kept[["agent_id", "counter", "ts"]]
 
-    return events.groupBy("agent_id").applyInPandasWithState(run, "agent_id string, counter long, ts timestamp", "top long", "append", GroupStateTimeout.NoTimeout)
+    timed = events.withWatermark("ts", late).withColumn("us", F.unix_micros("ts")).select("agent_id", "counter", "ts", "us")
+    return timed.groupBy("agent_id").applyInPandasWithState(run, "agent_id string, counter long, ts timestamp", "top long, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def rolling_scores(events: DataFrame, window_s: int = 60, cap: int = taxonomy.SCORE_CAP) -> DataFrame:
+def rolling_scores(events: DataFrame, window_s: int = 60, cap: int = taxonomy.SCORE_CAP, late_s: int = 600) -> DataFrame:
     """vm_id, ts, score and status after every event of the last window."""
-    span = window_s * 1_000_000
+    span, slack = window_s * 1_000_000, late_s * 1_000_000
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held_us, held_delta = (list(x) for x in state.get) if state.exists else ([], [])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = list(zip(*state.get)) if state.exists else []
         rows = pd.concat(list(frames)).sort_values("us", kind="stable")
         scores = []
         for us, delta in zip(rows["us"].tolist(), rows["delta"].tolist()):
-            held_us.append(us)
-            held_delta.append(delta)
-            first = next(i for i, u in enumerate(held_us) if u >= us - span)
-            held_us, held_delta = held_us[first:], held_delta[first:]
-            scores.append(min(cap, sum(held_delta)))
-        state.update((held_us, held_delta))
+            insort(held, (us, delta), key=lambda h: h[0])
+            first, end = bisect_left(held, us - span, key=lambda h: h[0]), bisect_right(held, us, key=lambda h: h[0])
+            scores.append(min(cap, sum(d for _, d in held[first:end])))
+        # what a row as late as the watermark allows could still need
+        held = held[bisect_left(held, held[-1][0] - span - slack, key=lambda h: h[0]) :]
+        state.update(tuple(map(list, zip(*held))))
+        _keep(state, held[-1][0] + span)
         yield pd.DataFrame({"vm_id": key[0], "us": rows["us"], "score": scores})
 
-    timed = events.withColumn("us", F.unix_micros("ts")).select("vm_id", "us", "delta")
-    scored = timed.groupBy("vm_id").applyInPandasWithState(run, "vm_id string, us long, score int", "us array<long>, delta array<int>", "append", GroupStateTimeout.NoTimeout)
+    timed = events.withWatermark("ts", f"{late_s} seconds").withColumn("us", F.unix_micros("ts")).select("vm_id", "ts", "us", "delta")
+    scored = timed.groupBy("vm_id").applyInPandasWithState(run, "vm_id string, us long, score int", "us array<long>, delta array<int>", "append", GroupStateTimeout.EventTimeTimeout)
     return scored.withColumn("status", taxonomy.threat_status(F.col("score")))
 
 
-def throttled_alerts(events: DataFrame, quiet_s: int = 30, least: int = 15) -> DataFrame:
+def throttled_alerts(events: DataFrame, quiet_s: int = 30, least: int = 15, late: str = "10 minutes") -> DataFrame:
     """Alerts at least ``quiet_s`` after the last one *raised* for the machine
     and type; what is held back does not extend the silence."""
     quiet = quiet_s * 1_000_000
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         raised = []
         for us in sorted(pd.concat(list(frames))["us"].tolist()):
@@ -88,10 +113,11 @@ def throttled_alerts(events: DataFrame, quiet_s: int = 30, least: int = 15) -> D
                 raised.append(us)
                 last = us
         state.update((last,))
+        _keep(state, last + quiet)
         yield pd.DataFrame({"vm_id": key[0], "event_type": key[1], "us": raised})
 
-    timed = events.filter(F.col("delta") >= least).withColumn("us", F.unix_micros("ts")).select("vm_id", "event_type", "us")
-    return timed.groupBy("vm_id", "event_type").applyInPandasWithState(run, "vm_id string, event_type string, us long", "last long", "append", GroupStateTimeout.NoTimeout)
+    timed = events.filter(F.col("delta") >= least).withWatermark("ts", late).withColumn("us", F.unix_micros("ts")).select("vm_id", "event_type", "ts", "us")
+    return timed.groupBy("vm_id", "event_type").applyInPandasWithState(run, "vm_id string, event_type string, us long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def silent_agents(events: DataFrame, factor: float = 3.0, late: str = "5 seconds") -> DataFrame:

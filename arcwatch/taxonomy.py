@@ -46,14 +46,19 @@ EVENT_TECHNIQUES = {
     "shadow": ["T1490"], "network": ["T1071", "T1571"], "agent_silence": ["T1562.001"],
     "rmm_tool": ["T1219"], "cloud_exfil": ["T1567.002"], "lolbin": ["T1218"],
     "staging": ["T1560"], "driver_load": ["T1068"], "cloud_auth": ["T1078.004"],
-    "ransomware_esxi": ["T1486"], "cred_dump": ["T1003.001"], "mfa_fatigue": ["T1621"],
+    "ransomware_esxi": ["T1486"], "cred_dump": ["T1003.001"],
 }
+PROCESS_REASONS = {
+    "web_server_spawned_shell": ["T1505.003", "T1059"],
+    "suspicious_exec_path": ["T1036.005", "T1059"],
+}
 REASON_TECHNIQUES = {
-    "web_server_spawned_shell": ["T1505.003", "T1059"], "suspicious_exec_path": ["T1036.005", "T1059"],
     "lsass_dump": ["T1003.001"], "kerberoast": ["T1558.003"], "mfa_fatigue": ["T1621"],
     "encoded_command": ["T1059.001", "T1027"], "obfuscated": ["T1027"],
     "scheduled_task": ["T1053"], "wmi_subscription": ["T1546.003"], "new_account": ["T1136"],
 }
+#: Event types whose reason alone names the technique.
+BY_REASON = ["cred_access", "persistence", "powershell"]
 
 # -----------------------------------------------------------------------------
 
@@ -83,13 +88,14 @@ def event_weight(event_type: Column, reason: Column) -> Column:
 
 
 def event_techniques(event_type: Column, reason: Column) -> Column:
-    """ATT&CK technique ids of an event: by reason where the type needs one."""
-    by_reason = lookup(reason, REASON_TECHNIQUES)
+    """ATT&CK technique ids of an event: by reason where the type needs one, or
+    where the reason is one that names a technique; else by type."""
     none = F.array().cast("array<string>")
+    named = lookup(reason, REASON_TECHNIQUES)
     return (
-        F.when(event_type == "process", F.coalesce(by_reason, F.array(F.lit("T1059"))))
-        .when(event_type.isin("cred_access", "persistence", "powershell"), F.coalesce(by_reason, none))
-        .otherwise(F.coalesce(by_reason, lookup(event_type, EVENT_TECHNIQUES), none))
+        F.when(event_type == "process", F.coalesce(lookup(reason, PROCESS_REASONS), F.array(F.lit("T1059"))))
+        .when(event_type.isin(BY_REASON) | named.isNotNull(), F.coalesce(named, none))
+        .otherwise(F.coalesce(lookup(event_type, EVENT_TECHNIQUES), none))
     )
 
 

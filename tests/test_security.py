@@ -87,9 +87,9 @@ def test_volume_outliers_use_the_median(spark):
 
 
 def test_scores_ignore_the_sender_and_name_techniques(spark):
-    df = spark.createDataFrame([("entropy", None), ("process", "web_server_spawned_shell"), ("process", None), ("cred_dump", "kerberoast"), ("mfa_fatigue", None), ("heartbeat", None)], "t string, r string")
+    df = spark.createDataFrame([("entropy", None), ("process", "web_server_spawned_shell"), ("process", None), ("cred_dump", "kerberoast"), ("mfa_fatigue", None), ("mfa_fatigue", "mfa_fatigue"), ("cloud_auth", "x"), ("heartbeat", None)], "t string, r string")
     out = df.select("t", taxonomy.event_weight(F.col("t"), F.col("r")).alias("w"), taxonomy.event_techniques(F.col("t"), F.col("r")).alias("m")).collect()
-    assert [(r["w"], r["m"]) for r in out] == [(40, ["T1486"]), (30, ["T1505.003", "T1059"]), (40, ["T1059"]), (35, ["T1558.003"]), (25, ["T1621"]), (0, [])]
+    assert [(r["w"], r["m"]) for r in out] == [(40, ["T1486"]), (30, ["T1505.003", "T1059"]), (40, ["T1059"]), (35, ["T1558.003"]), (25, []), (25, ["T1621"]), (20, ["T1078.004"]), (0, [])]
 
 
 def test_sigma_conditions(spark):
@@ -119,7 +119,8 @@ def test_pack_confirms_attacks_and_not_the_benign(spark):
     ]
     df = spark.createDataFrame([(i, t, json.dumps(d)) for i, (t, d, _) in enumerate(data)], "id int, event_type string, details string")
     resolve = lambda n: F.get_json_object("details", f"$.{n[8:]}") if n.startswith("details.") else F.col(n)
-    fired = rules.firing(df, rules.SIGMA_PACK, lambda r: rules.sigma(r, resolve))
+    assert len(rules.SIGMA_PACK) == 15
+    fired = rules.firing(df, rules.SIGMA_PACK + rules.OWN_RULES, lambda r: rules.sigma(r, resolve))
     assert rows(fired, "id", "rule") == sorted((i, r) for i, (*_, r) in enumerate(data) if r)
 
 
@@ -157,12 +158,15 @@ def test_single_swaps_are_found(spark):
 
 def test_indicators(spark):
     docs = spark.createDataFrame([(1, "see 185.220.1.9 and HTTP://x http://Evil.test/a/ mail A@b.org"), (2, "none"), (3, None)], "id long, t string")
-    found = indicators.extract_indicators(docs, "id", "t", ["ip", "url", "email"])
-    assert rows(found, "type", "value") == [("email", "a@b.org"), ("ip", "185.220.1.9"), ("url", "http://Evil.test/a")]
+    found = indicators.extract_indicators(docs, "id", "t", ["ip", "url", "domain"])
+    assert rows(found, "type", "value") == [("domain", "b.org"), ("domain", "evil.test"), ("ip", "185.220.1.9"), ("url", "http://evil.test/a/")]
+    kinds = spark.createDataFrame([("::1",), ("fe80::a:1",), ("1.2.3.4",), ("ftp://x",), ("a@b.org",), ("evil.com",), ("invoice",), ("update.bat2",), ("AA" * 16,)], "v string")
+    assert [r["k"] for r in kinds.select(iocs.ioc_type(F.col("v")).alias("k")).collect()] == ["ip", "ip", "ip", "url", "email", "domain", "filename", "filename", "md5"]
     known = spark.createDataFrame([("ip", "185.220.1.9", 95)], "type string, value string, score int")
     assert rows(indicators.match_indicators(found, known), "value", "tier") == [("185.220.1.9", "CRITICAL")]
     ips = spark.createDataFrame([("185.220.1.9",), ("10.0.0.5",), ("9.9.9.9",), ("300.1.1.1",)], "ip string")
-    assert rows(indicators.locate(ips), "ip", "country") == [("10.0.0.5", "INTERNAL"), ("185.220.1.9", "DE"), ("9.9.9.9", "UNKNOWN")]
+    assert rows(indicators.locate(ips), "ip", "country") == [("10.0.0.5", "INTERNAL"), ("185.220.1.9", "DE"), ("9.9.9.9", "??")]
+    assert rows(ips.select("ip", iocs.verdict(F.col("ip"))["score"].alias("s")), "ip", "s") == [("10.0.0.5", 0), ("185.220.1.9", 95), ("300.1.1.1", 0), ("9.9.9.9", 30)]
     blocks = spark.createDataFrame([(iocs.block_bounds("185.0.0.0/8")[0], 8, "wide"), (iocs.block_bounds("185.220.0.0/16")[0], 16, "narrow")], "first long, bits int, name string")
     assert dict(rows(indicators.locate_in(ips, blocks), "ip", "name")[-1:]) == {"9.9.9.9": None}
     assert {r["ip"]: r["name"] for r in indicators.locate_in(ips, blocks).collect()}["185.220.1.9"] == "narrow"
@@ -241,7 +245,7 @@ def test_dns_detectors(spark):
 
 def test_exposures_compare_versions(spark):
     df = spark.createDataFrame([("a", 22, "SSH", "OpenSSH_9.3p1"), ("b", 22, "SSH", "OpenSSH_9.6"), ("c", 80, "HTTP", "nginx/1.25.3"), ("d", 80, "HTTP", "nginx/1.9.9"), ("e", 23, "Telnet", "")], "host string, port int, service string, banner string")
-    assert rows(network.exposures(df), "host", "cve") == [("d", "CVE-2023-44487"), ("e", "INFO-CLEARTEXT")]
+    assert rows(network.exposures(df), "host", "cve") == [("a", "CVE-2024-6387"), ("d", "CVE-2023-44487"), ("e", "INFO-CLEARTEXT")]
     old = spark.createDataFrame([("a", 22, "SSH", "OpenSSH_8.4")], df.schema)
     assert rows(network.exposures(old), "cve") == [("CVE-2023-38408",), ("CVE-2024-6387",)]
 
@@ -263,7 +267,7 @@ def test_integrity(spark):
     a = spark.createDataFrame([("/etc/shadow", "1", 0o600, 0, 0, 1.0), ("/bin/ls", "2", 0o755, 0, 0, 1.0), ("/home/x", "3", 0o644, 1, 1, 1.0)], schema)
     b = spark.createDataFrame([("/etc/shadow", "9", 0o600, 0, 0, 2.0), ("/bin/ls", "2", 0o4755, 0, 0, 1.0), ("/var/www/n", "4", 0o644, 1, 1, 1.0)], schema)
     drift = hosts.integrity_drift(a, b)
-    assert rows(drift, "path", "change_type", "setuid_added", "criticality") == [("/bin/ls", "MODE", True, 70), ("/etc/shadow", "MODIFIED", False, 100), ("/home/x", "DELETED", False, 30), ("/var/www/n", "NEW", False, 55)]
+    assert rows(drift, "path", "change_type", "setuid_added", "criticality") == [("/bin/ls", "PERM_CHANGED", True, 70), ("/etc/shadow", "MODIFIED", False, 100), ("/home/x", "DELETED", False, 30), ("/var/www/n", "NEW", False, 55)]
     assert hosts.drift_verdict(drift).first()["verdict"] == "COMPROMISED"
     assert hosts.drift_verdict(drift.limit(0)).first()["verdict"] == "TRUSTED"
 
@@ -295,12 +299,14 @@ def test_canaries(spark):
 
 
 def test_campaigns_and_risk(spark):
-    t = lambda e, tac, us, s=10: ("x", "k", "high", tac, e, s, us * S, 1)
-    df = spark.createDataFrame([t("a", "Execution", 0), t("a", "Impact", 100), t("a", "Discovery", 200), t("b", "Execution", 0), t("b", "Impact", 100), t("c", "Execution", 0), t("c", "Impact", 4000), t("c", "Discovery", 4100)], "tool string, finding_type string, severity string, tactic string, entity string, score int, us long, hit_count long")
+    t = lambda e, tac, us, s=10: ("x", "k", "high", tac, e, f"d{us}", s, us * S, 1)
+    df = spark.createDataFrame([t("a", "Execution", 0), t("a", "Impact", 100), t("a", "Discovery", 200), t("b", "Execution", 0), t("b", "Impact", 100), t("c", "Execution", 0), t("c", "Impact", 4000), t("c", "Discovery", 4100)], "tool string, finding_type string, severity string, tactic string, entity string, description string, score int, us long, hit_count long")
     out = correlate.campaigns(df, 3600 * S).collect()
     assert [(r["entity"], r["base_score"], r["final_score"], r["tactics"]) for r in out] == [("a", 30, 45, "Execution > Discovery > Impact")]
     assert one(spark, correlate.risk_score(F.lit(400.0))) == 100 and one(spark, correlate.risk_score(F.lit(0.0))) == 0
-    assert rows(correlate.control_failures(df), "control", "failures")[0] == ("CIS-10", 6)
+    failures = {r["control"]: (r["failures"], r["first_evidence"], r["severity"]) for r in correlate.control_failures(df).collect()}
+    assert failures == {"CIS-2": (3, "d0", "medium"), "CIS-10": (3, "d0", "medium"), "CIS-11": (3, "d100", "medium"), "CIS-13": (2, "d200", "medium"), "CIS-14": (5, "d100", "high")}
+    assert {r["control"] for r in correlate.control_failures(df, "nist").collect()} == {"PR.PT-3", "DE.CM-3", "PR.IP-4", "RC.RP-1", "PR.AC-5", "DE.AE-2"}
 
 
 def test_delta_and_fingerprint(spark):

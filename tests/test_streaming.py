@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import os
 from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
 from arcwatch.operators import windows
+from arcwatch.sources import logs
 from arcwatch.streaming import telemetry
 
 START = datetime(2024, 3, 5, tzinfo=timezone.utc)
@@ -57,6 +59,49 @@ def test_scores_roll_as_in_batch(spark, feed):
     assert got == sorted((r["vm_id"], r["us"], r["score"]) for r in windows.rolling_score(batch, ["vm_id"], "delta", 60 * windows.SECOND, 200).collect())
 
 
+def in_turns(feed, batches):
+    """One file a micro-batch, in this order."""
+    for i, events in enumerate(batches):
+        feed(f"f{i}", events)
+        os.utime(f"{feed.path}/f{i}.json", (1_700_000_000 + i * 60,) * 2)
+
+
+def test_state_lasts_over_micro_batches(spark, feed):
+    in_turns(feed, [EVENTS[i::3] for i in range(3)])
+    events = telemetry.weighed(telemetry.read_events(spark, feed.path, files=1))
+    batch = telemetry.weighed(spark.read.schema(telemetry.SCHEMA).json(feed.path)).withColumn("us", F.unix_micros("ts"))
+    drain(telemetry.volume(events, "30 seconds", "1 hour"), feed, "volume", "update")
+    got = {(r["start"].timestamp(), r["n"]) for r in spark.table("volume").groupBy("start").agg(F.max("n").alias("n")).collect()}
+    want = {(r["start"].timestamp(), r["n"]) for r in batch.groupBy(F.window("ts", "30 seconds")).agg(F.count("*").alias("n")).select("window.start", "n").collect()}
+    assert got == want
+    # a late row counts the rows at or before it, as in batch
+    scores = {(r["vm_id"], r["us"]): r["score"] for r in drain(telemetry.rolling_scores(events), feed, "turns")}
+    expected = {(r["vm_id"], r["us"]): r["score"] for r in windows.rolling_score(batch, ["vm_id"], "delta", 60 * windows.SECOND, 200).collect()}
+    assert scores.keys() == expected.keys() and all(scores[k] <= expected[k] for k in scores)
+
+
+def test_late_rows_are_scored_at_their_place(spark, feed):
+    in_turns(feed, [[("a", 100, "entropy"), ("a", 130, "entropy")], [("a", 90, "entropy")], [("a", 131, "entropy")]])
+    got = drain(telemetry.rolling_scores(telemetry.weighed(telemetry.read_events(spark, feed.path, files=1))), feed, "late")
+    assert [r["score"] for r in sorted(got, key=lambda r: r["us"])] == [40, 40, 80, 160]
+
+
+def test_alerts_and_counters_over_micro_batches(spark, feed):
+    in_turns(feed, [[("a", 0, "shadow")], [("a", 20, "shadow", {"counter": 0})], [("a", 31, "shadow", {"counter": 5})], [("a", 90_000, "shadow", {"counter": 2})], [("a", 90_010, "shadow", {"counter": 3})]])
+    events = telemetry.weighed(telemetry.read_events(spark, feed.path, files=1))
+    first = int(START.timestamp())
+    assert sorted(r["us"] // 1_000_000 - first for r in drain(telemetry.throttled_alerts(events), feed, "raised")) == [0, 31, 90_000]
+    assert sorted(r["counter"] for r in drain(telemetry.increasing_counters(events), feed, "again")) == [0, 5]
+
+
+def test_lines_of_new_files_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.log").write_text("one\ntwo\n")
+    q = logs.stream_lines(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("lines").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert {r["line"] for r in spark.table("lines").collect()} == {"one", "two"}
+
+
 def test_replays_and_strangers_are_refused(spark, feed):
     feed("one", [("a", 0, "shadow"), ("a", 1, "shadow", {"nonce": "one0"}), ("a", 2, "shadow", {"agent_id": "b"}), ("a", 3, "shadow", {"received": (START + timedelta(seconds=200)).isoformat()}), ("a", 4, "shadow", {"counter": 0})])
     stream = telemetry.authenticated(telemetry.read_events(spark, feed.path))
