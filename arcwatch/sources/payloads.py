@@ -7,6 +7,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import entropy
 
@@ -76,14 +77,18 @@ def server_name(data: bytes | None) -> str | None:
     return None
 
 
-@F.pandas_udf("struct<id:int,is_response:boolean,queries:array<struct<name:string,type:int>>>")
+_QUERY = T.StructType([T.StructField("name", T.StringType()), T.StructField("type", T.IntegerType())])
+_DNS = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("is_response", T.BooleanType()), T.StructField("queries", T.ArrayType(_QUERY))])
+
+
+@F.pandas_udf(_DNS)
 def dns(payload: pd.Series) -> pd.DataFrame:
     rows = [dns_message(p) or (None, None, None) for p in payload]
     found = [None if q is None else [{"name": n, "type": t} for n, t in q] for *_, q in rows]
     return pd.DataFrame({"id": pd.array([r[0] for r in rows], "Int32"), "is_response": pd.array([r[1] for r in rows], "boolean"), "queries": pd.Series(found, dtype=object)})
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def sni(payload: pd.Series) -> pd.Series:
     return payload.map(server_name)
 
