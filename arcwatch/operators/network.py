@@ -84,10 +84,11 @@ def oversized_icmp(packets: DataFrame, size: int = 512) -> DataFrame:
 
 
 def flows(packets: DataFrame) -> DataFrame:
-    """Both directions of a conversation in one row, with who spoke first."""
+    """Both directions of a conversation in one row, with who spoke first and the
+    mean time between packets."""
     key = [F.least("src_ip", "dst_ip").alias("ip_a"), F.greatest("src_ip", "dst_ip").alias("ip_b"), F.least("src_port", "dst_port").alias("port_a"), F.greatest("src_port", "dst_port").alias("port_b"), "transport"]
     order = F.struct("us", "frame_no")
-    return packets.groupBy(*key).agg(F.count("*").alias("packets"), F.sum("length").alias("bytes"), F.sum(F.length("payload")).alias("payload_bytes"), F.count_if(F.expr("tcp_flags & 2 <> 0")).alias("syns"), F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.min_by("src_ip", order).alias("talker"))
+    return packets.groupBy(*key).agg(F.count("*").alias("packets"), F.sum("length").alias("bytes"), F.sum(F.length("payload")).alias("payload_bytes"), F.count_if(F.expr("tcp_flags & 2 <> 0")).alias("syns"), F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.min_by("src_ip", order).alias("talker"), F.when(F.count("*") > 1, (F.max("us") - F.min("us")) / (F.count("*") - 1)).alias("mean_gap_us"))
 
 
 def versions(version) -> F.Column:

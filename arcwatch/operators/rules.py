@@ -274,6 +274,33 @@ LOG_RULES = [
     ("reverse_shell", r"(?:nc -e|/bin/bash -i|bash -i|python.*socket|socat.*exec)", "critical", "T1059.004", 50),
 ]
 
+#: Texts of which a line must hold one, in lower case, for a rule to match at all.
+NEEDED = {
+    "ssh_brute_force": ["failed password for"],
+    "ssh_invalid_user": ["invalid user "],
+    "sudo_failure": ["sudo:"],
+    "su_failure": ["su: failed su"],
+    "account_lockout": ["account locked", "too many auth", "pam_tally2"],
+    "root_login": [" for root from "],
+    "accepted_password": ["accepted password for "],
+    "web_sqli": ["select", "1=1", "'", "information_schema"],
+    "web_xss": ["<script", "javascript:", "onload", "onclick", "onerror", "onmouseover"],
+    "web_traversal": ["../", "..\\", "%2e%2e%2f", "%252e%252e"],
+    "web_rce": ["/etc/passwd", "/bin/bash", "cmd.exe", "powershell", "eval(", "base64_decode"],
+    "web_scanner": ["nikto", "nmap", "sqlmap", "masscan", "gobuster", "dirbuster", "wfuzz", "nuclei"],
+    "web_4xx_flood": ['" 4'],
+    "cron_added": ["crontab", "cron.d", "at.allow", "at.deny"],
+    "systemd_unit": ["systemctl", ".service"],
+    "ssh_key_added": ["authorized_keys", ".ssh/"],
+    "new_user_created": ["useradd", "adduser", "net user", "new user", "user added"],
+    "group_modification": ["usermod", "groupadd", "gpasswd", "net localgroup"],
+    "large_outbound": ['" '],
+    "base64_payload": ["base64", "b64decode"],
+    "temp_execution": ["/tmp/", "/dev/shm/", "\\temp\\"],
+    "wget_curl_pipe": ["wget", "curl"],
+    "reverse_shell": ["nc -e", "bash -i", "python", "socat"],
+}
+
 #: name, regex (case-insensitive); first match
 WEBSHELLS = [
     ("php_eval", r"eval\s*\(\s*(base64_decode|gzinflate|str_rot13|gzuncompress)\s*\("),
@@ -288,10 +315,18 @@ WEBSHELLS = [
 
 
 def log_rules(lines: DataFrame, text: str = "line") -> DataFrame:
-    """Every log rule that each line matches, with the address it names."""
+    """Every log rule that each line matches, with the address it names.
+
+    A regular expression is tried only on lines that hold a text it needs.
+    """
+    low = F.lower(text)
     ip = F.regexp_extract(text, r"from ([\d.]+)", 1)
     named = [{"title": n, "pattern": p, "severity": s, "mitre": m, "score": c} for n, p, s, m, c in LOG_RULES]
-    out = firing(lines, named, lambda r: F.col(text).rlike(f"(?i){r['pattern']}"), facts=("severity", "mitre", "score"))
+
+    def test(rule: Mapping) -> Column:
+        return reduce(or_, (low.contains(t) for t in NEEDED[rule["title"]])) & F.col(text).rlike(f"(?i){rule['pattern']}")
+
+    out = firing(lines, named, test, facts=("severity", "mitre", "score"))
     return out.withColumn("ip", F.when(ip != "", ip))
 
 

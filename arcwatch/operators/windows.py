@@ -76,10 +76,13 @@ def islands(df: DataFrame, keys: list[str], gap: int, us: str = "us", tie: str =
     return numbered.groupBy(*keys, "island").agg(F.min(us).alias("first_us"), F.max(us).alias("last_us"), F.count("*").alias("hit_count"), *[F.min_by(c, F.struct(us, tie)).alias(c) for c in facts])
 
 
-def silences(df: DataFrame, keys: list[str], factor: float, us: str = "us", tie: str = "event_id") -> DataFrame:
-    """Gaps to the next row that exceed ``factor`` times the key's median gap."""
+def silences(df: DataFrame, keys: list[str], factor: float, us: str = "us", tie: str = "event_id", declared: str | None = None) -> DataFrame:
+    """Gaps to the next row that exceed ``factor`` times the interval that the
+    row declares, or the key's median gap where none is."""
     gap = F.lead(us).over(ordered(keys, us, tie)) - F.col(us)
     gaps = df.withColumn("gap", gap).filter("gap is not null")
+    if declared is not None:
+        return gaps.filter(F.col("gap") > factor * F.col(declared))
     usual = gaps.groupBy(*keys).agg(F.percentile("gap", 0.5).alias("usual"))
     return gaps.join(usual, keys).filter(F.col("gap") > factor * F.col("usual"))
 

@@ -98,6 +98,12 @@ def tunnelled_names(spark, sf_dir):
     return payloads.tunnelled_names(asked).select("src_ip", "name", "us", "label")
 
 
+@query(f"{T}, g AS (SELECT user_id, event_id, lead(us) OVER (PARTITION BY user_id ORDER BY us, event_id) - us AS gap, (k + 1) * {HOUR} AS declared FROM t) SELECT user_id, event_id, gap FROM g WHERE gap > 3 * declared")
+def heartbeat_silences(spark, sf_dir):
+    beats = telemetry(spark, sf_dir).withColumn("declared", (F.col("k") + 1) * HOUR)
+    return windows.silences(beats, ["user_id"], 3.0, declared="declared").select("user_id", "event_id", "gap")
+
+
 # -- packets, scans -------------------------------------------------------------------------
 
 _PACKETS = f"""{_EDGES}, p AS (SELECT us, l_orderkey * 10 + l_linenumber AS frame_no, 'n' || src AS src_ip, 'n' || dst AS dst_ip, 1000 + l_partkey % 3 AS src_port, 80 + l_suppkey % 2 AS dst_port, l_quantity::BIGINT AS length, l_linenumber AS tcp_flags FROM e)"""
@@ -112,12 +118,12 @@ def _packets(spark, sf_dir) -> DataFrame:
 
 
 _FLOW = f"""{_PACKETS}, f AS (SELECT least(src_ip, dst_ip) AS ip_a, greatest(src_ip, dst_ip) AS ip_b, least(src_port, dst_port) AS port_a, greatest(src_port, dst_port) AS port_b, count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes,
-  CAST(sum(length) AS BIGINT) AS payload_bytes, count(*) FILTER (tcp_flags & 2 <> 0) AS syns, min(us) AS first_us, max(us) AS last_us FROM p GROUP BY ALL)"""
+  CAST(sum(length) AS BIGINT) AS payload_bytes, count(*) FILTER (tcp_flags & 2 <> 0) AS syns, min(us) AS first_us, max(us) AS last_us, CASE WHEN count(*) > 1 THEN round((max(us) - min(us)) / (count(*) - 1)::DOUBLE, 3) END AS mean_gap_us FROM p GROUP BY ALL)"""
 
 
 @query(f"{_FLOW} SELECT * FROM f")
 def flow_table(spark, sf_dir):
-    return network.flows(_packets(spark, sf_dir)).drop("transport", "talker")
+    return network.flows(_packets(spark, sf_dir)).drop("transport", "talker").withColumn("mean_gap_us", F.round("mean_gap_us", 3))
 
 
 @query(f"{_FLOW} SELECT count(*) AS flows, CAST(sum(packets) AS BIGINT) AS packets, CAST(sum(bytes) AS BIGINT) AS bytes FROM f")

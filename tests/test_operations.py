@@ -185,3 +185,18 @@ def test_orders_and_retention(spark):
     assert {r["fingerprint"] for r in reports.retained(found, 2).collect()} == {"b", "c"}
     events = snapshots.alert_events(spark.createDataFrame([("x", 2, "high", "e", 5, ""), ("y", 1, "low", "e", 5, "T1059")], "finding_type string, us long, severity string, entity string, score int, mitre string"))
     assert [(r["us"], r["mitre"]) for r in events.orderBy(*snapshots.chronological()).collect()] == [(1, "T1059"), (2, "T1486")]
+
+
+def test_needed_texts_lose_no_log_line(spark):
+    """Each rule with and without its needed texts, on lines that it matches."""
+    lines = [
+        "Failed password for x from 1.2.3.4", "Invalid user Bob from 1.2.3.4", "sudo: pam authentication failure; user=bob", "su: FAILED SU (to root) to root by bob", "Account Locked", "TOO MANY AUTH", "pam_tally2 user locked", "Accepted publickey for root from 1.2.3.4",
+        "Accepted password for al from 1.2.3.4", "UNION  SELECT 1", "select a from b", "or  1=1", "' or '", "INFORMATION_SCHEMA", "<SCRIPT >", "JavaScript:x", "onError = 1", "onmouseover=2", "../x", "..\\x", "%2E%2e%2f", "%252e%252E", "/etc/passwd", "CMD.exe", "eval(", "NIKTO", "wfuzz",
+        '" 404 ', "CronTab", "cron.d", "at.deny", "systemctl now enable", "x.service was created", "AUTHORIZED_KEYS", "/.ssh/", "useradd", "net user bob /add", "New user", "User added", "usermod", "net localgroup", '" 200 12345678 ', "FromBase64", "b64decode", "ToBase64", "/TMP/", "/var/tmp/", "c:\\Temp\\x",
+        "C:\\AppData\\Local\\Temp\\x", "wget x | bash", "CURL y |  python", "nc -e", "bash -i", "python -c socket", "socat tcp exec", "plain",
+    ]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    got = {(r["line"], r["rule"]) for r in rules.log_rules(df).collect()}
+    plain = rules.firing(df, [{"title": n, "p": p} for n, p, *_ in rules.LOG_RULES], lambda r: F.col("line").rlike(f"(?i){r['p']}"), facts=())
+    assert got == {(r["line"], r["rule"]) for r in plain.select("line", "rule").collect()}
+    assert {r for _, r in got} == {n for n, *_ in rules.LOG_RULES}
