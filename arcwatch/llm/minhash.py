@@ -17,8 +17,10 @@ How whole groups are kept cheap and whole:
    Pairs inside one component need no comparison.
 
 Nulls: a null text has no shingles; a row with null doc_id gets its size and a
-null component.  Rows that repeat a doc_id are one document.  Texts without
-words link with nothing.  Other columns are ignored.
+null component.  Rows that repeat a doc_id are one document, linked by any of
+their texts that is compared.  Texts without words link with nothing.  Ties: of
+equal sets the smallest doc_id stands for all, of equal hubs the smallest node.
+Other columns are ignored, and kept in filtering.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, spread_join
 from .components import components
 from .kernels import Words, mix, pieces, shingles
 
@@ -39,6 +41,8 @@ from .kernels import Words, mix, pieces, shingles
 BAND_ROWS, BANDS = 7, 48
 PERMUTATIONS = BAND_ROWS * BANDS // 2
 BLOCK = 512
+#: Nodes that one task compares with a hub.
+HUB_ROWS = 1024
 _SEED = 20240517
 
 _U = np.uint64
@@ -183,7 +187,11 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     wanted = buckets.select("node").distinct()
     texts = cut(docs.join(wanted, F.col("doc_id") == F.col("node"), "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node"), "texts")
-    pairs = fits.select("node", "hub").join(texts, "node").join(texts.select(F.col("node").alias("hub"), F.col("text").alias("hub_text")), "hub")
+    # a hub of very many nodes goes to as many tasks as they fill, with its text
+    crowds = fits.groupBy("hub").agg(F.ceil(F.count("*") / HUB_ROWS).alias("ways"))
+    met = spread_join(fits.select("node", "hub"), crowds, ["hub"], "node").withColumn("way", F.pmod(F.xxhash64("node"), F.col("ways"))).drop("ways")
+    hub_texts = texts.join(crowds, F.col("node") == F.col("hub")).withColumn("way", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ways") - 1)))
+    pairs = met.join(texts, "node").join(hub_texts.select("hub", "way", F.col("text").alias("hub_text")), ["hub", "way"])
     links = cut(pairs.select("node", "hub", "text", "hub_text").mapInArrow(_verify(k, percent), "a long, b long"), "links")
     found = cut(components(links), "labels")
 
@@ -196,7 +204,7 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     homed = placed.join(open_keys, "key").join(home, "node", "left").withColumn("home", F.coalesce("home", "node"))
     homed = cut(homed, "open")
     crowd = homed.select("home", "node").distinct().groupBy("home").agg(F.count("*").alias("size"))
-    homed = homed.join(crowd, "home").withColumn("block", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK))))
+    homed = spread_join(homed, crowd, ["home"], "node").withColumn("block", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK))))
     block_of = cut(homed.select("key", "node", "label", "largest", "block"), "blocks")
     asked = block_of.filter("label <> largest").select("key", "node", "label")
     asked = asked.join(block_of.select("key", "block").distinct(), "key").select("node", "label", "block").distinct()

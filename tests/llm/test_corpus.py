@@ -121,6 +121,51 @@ def test_minhash_finds_links_that_hubs_miss(spark):
     assert got == {d: c for d, (_, c) in brute_components(chain, 1, 75).items()}
 
 
+def test_minhash_recall_at_the_threshold(spark):
+    """Pairs whose sets share exactly four fifths: 400 pairs, none lost, and
+    none that share just less is linked."""
+    rng = np.random.default_rng(18)
+    rows = []
+    for i in range(400):
+        words = [f"p{i}w{j}" for j in rng.permutation(90)]
+        # 80 of 100, or 79 of 101, distinct words in both
+        shared = 80 if i % 2 else 79
+        own = (100 if i % 2 else 101) - shared
+        rows += [(2 * i, " ".join(words[:shared] + [f"p{i}a{j}" for j in range(own // 2)])), (2 * i + 1, " ".join([f"p{i}b{j}" for j in range(own - own // 2)] + words[:shared]))]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_components(spark.createDataFrame(rows, "doc_id long, text string"), k=1, percent=80).collect()}
+    assert all(got[2 * i + 1] == (2 * i if i % 2 else 2 * i + 1) for i in range(400))
+
+
+def test_minhash_splits_large_hubs(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "HUB_ROWS", 4)
+    base = [f"w{j}" for j in range(60)]
+    rows = [(i, " ".join([*base[: i % 60], f"x{i}", *base[i % 60 + 1 :]])) for i in range(120)]
+    got = minhash.near_components(spark.createDataFrame(rows, "doc_id long, text string"), k=1, percent=80).collect()
+    assert {r["component_id"] for r in got} == {0}
+
+
+def test_very_long_texts_are_read_whole(spark):
+    """Texts of more than a piece: what lies past the first megabyte counts."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(19)
+    vocab = [f"w{j}" for j in range(5000)]
+    long = " ".join(rng.choice(vocab, 260_000))
+    assert len(long) > kernels.PIECE
+    other = " ".join(long.split(" ")[:-2000] + [f"y{j}" for j in range(2000)])
+    rows = [(1, long), (2, other), (3, long[: len(long) // 2]), (4, "short text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_components(df).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+    bench = spark.createDataFrame([(7, " ".join(long.split(" ")[-40:-10]))], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.find_overlaps(df, bench).collect()} == {(1, 7)}
+    texts = pa.array([long + " vile scum", "fine " * 50, "vile scum here", "good words"] * 30)
+    sample = pa.table({"label": [1, 0, 1, 0] * 30, "draw": list(range(120)), "text": pa.array(["vile scum " + str(i) if i % 2 == 0 else "fine words " + str(i) for i in range(120)])})
+    model = toxicity.build(sample, 0.5)
+    alone, together = toxicity.score_texts(texts.slice(0, 1), model), toxicity.score_texts(texts.slice(0, 4), model)
+    assert alone[0] == together[0] and together[2] > 0.5 > together[3]
+
+
 def test_minhash_dedup_keeps_rows_and_columns(docs, empty):
     kept = minhash.near_dedup(docs)
     assert kept.columns == docs.columns
