@@ -13,9 +13,9 @@ read through the stem.
 A word's evidence is the difference of its log-likelihoods.  Every word of a
 text counts, by the softplus of its evidence less a margin (so that many small
 differences of ordinary words don't add up to an insult); the sum is divided by
-a power of the number of words.  Margin and power are chosen, and the logistic
-that makes a probability of it is fitted, on rows held back from the models; its
-intercept is moved to the share of toxic labels.
+the square root of the number of words, as its noise grows.  The margin is
+chosen, and the logistic that makes a probability of it is fitted, on rows held
+back from the models; its intercept is moved to the share of toxic labels.
 
 The models are fitted in one task on a bounded sample of labelled rows: per
 class the ``SAMPLE`` documents of smallest hash, one in ``CALIBRATE`` of them
@@ -47,11 +47,10 @@ SAMPLE = 4000
 SAMPLE_BYTES = 6 << 20
 CALIBRATE = 3
 DEPTH = 16
-STRENGTH = 50.0
-MARGINS = (1.0, 2.0, 3.0)
+STRENGTH = 20.0
+MARGINS = (1.5, 2.0, 2.5, 3.0)
 #: How sharply the softplus bends at the margin.
 SHARPNESS = 4.0
-LENGTHS = (0.25, 0.5, 0.75, 1.0)
 THRESHOLD = 0.5
 
 #: Marks around a word, bytes that no word holds.
@@ -153,9 +152,8 @@ def _sums(words: Words, model: dict) -> tuple[np.ndarray, np.ndarray]:
     return total[words.offs[1:]] - total[words.offs[:-1]], np.diff(words.offs)
 
 
-def _feature(total: np.ndarray, n: np.ndarray, choice: tuple[int, float]) -> np.ndarray:
-    margin, power = choice
-    return total[:, margin] / np.maximum(n, 1) ** power
+def _feature(total: np.ndarray, n: np.ndarray, margin: int) -> np.ndarray:
+    return total[:, margin] / np.sqrt(np.maximum(n, 1))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
@@ -255,12 +253,12 @@ def build(sample: pa.Table, share: float) -> dict:
             sizes.append(n)
             labels.append(np.full(len(n), float(label)))
     total, n, y = map(np.concatenate, (totals, sizes, labels))
-    fits = {(m, power): _logistic(_feature(total, n, (m, power)), y) for m in range(len(MARGINS)) for power in LENGTHS}
-    choice = min(fits, key=lambda c: _loss(_feature(total, n, c), y, *fits[c]))
-    slope, intercept = fits[choice]
+    fits = [_logistic(_feature(total, n, m), y) for m in range(len(MARGINS))]
+    margin = min(range(len(MARGINS)), key=lambda m: _loss(_feature(total, n, m), y, *fits[m]))
+    slope, intercept = fits[margin]
     drawn = (y.sum() + 1) / (len(y) + 2)
     intercept += np.log(share / (1 - share)) - np.log(drawn / (1 - drawn))
-    return model | {"choice": choice, "slope": max(slope, 0.0), "intercept": float(intercept), "share": share}
+    return model | {"margin": margin, "slope": max(slope, 0.0), "intercept": float(intercept), "share": share}
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column) -> dict:
@@ -273,7 +271,7 @@ def score_texts(column: pa.Array, model: dict) -> np.ndarray:
     out = np.full(len(column), model["share"])
     if "slope" in model:
         for first, end, data, offs in pieces(column):
-            x = _feature(*_sums(Words(data, offs, PUNCTUATION), model), model["choice"])
+            x = _feature(*_sums(Words(data, offs, PUNCTUATION), model), model["margin"])
             out[first:end] = 1 / (1 + np.exp(-np.clip(model["slope"] * x + model["intercept"], -700, 700)))
     return out
 
