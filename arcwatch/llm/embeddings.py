@@ -16,8 +16,8 @@ compared in blocks: queries and members are dealt by salts once a cell exceeds
 the links, never all pairs.  A pair met from one side alone counts for both:
 members carry the cells that they visit.
 
-Codebooks grow with the square root of the vectors, so cells stay as large as
-they are; they are fitted on ``SAMPLE`` rows, which hold ``SAMPLE`` / 8 codes
+Codebooks grow with the square root of the largest label, so cells stay as large
+as they are; they are fitted on ``SAMPLE`` rows, which hold ``SAMPLE`` / 8 codes
 at most.  Every row is indexed.  Each length of vector has an index of its own;
 beyond the ``LENGTHS`` most frequent, vectors of one length are one cell.
 
@@ -43,8 +43,8 @@ from .components import components
 COSINE = 0.93
 SAMPLE = 8192
 LENGTHS = 8
-#: Vectors to a cell of the grid.
-CELL = 64
+#: Vectors of one label to a cell of the grid.
+CELL = 512
 BLOCK = 2048
 RECALL = 0.99
 
@@ -118,8 +118,8 @@ def excess_for_recall(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], cosin
 
 
 def _route(shared):
-    """Each vector once for every cell it visits; in its own cell with the
-    list of them all."""
+    """Each node once for every cell it visits; in its own cell with the list
+    of them all."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -140,7 +140,7 @@ def _route(shared):
         own = cell == home[row]
         picked = part.iloc[row]
         seen = [visited[r] if mine else None for r, mine in zip(row, own)]
-        return pd.DataFrame({"label": picked["label"].to_numpy(), "d": d, "cell": cell, "home": home[row], "node": picked["node"].to_numpy(), "copies": picked["copies"].to_numpy(), "v": picked["v"].to_numpy(), "visited": seen})
+        return pd.DataFrame({"label": picked["label"].to_numpy(), "d": d, "cell": cell, "home": home[row], "node": picked["node"].to_numpy(), "visited": seen})
 
     return run
 
@@ -218,17 +218,18 @@ def link_embeddings(vectors: DataFrame, cosine: float = COSINE, recall: float =
     # numbered once and written, so a lost task cannot number anew
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()), "vectors")
 
-    lengths = nodes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).filter("d > 1").orderBy(F.desc("n"), "d").limit(LENGTHS).collect()
+    by_label = nodes.groupBy(F.size("v").alias("d"), "label").agg(F.count("*").alias("n"))
+    lengths = by_label.groupBy("d").agg(F.sum("n").alias("all"), F.max("n").alias("n")).filter("d > 1").orderBy(F.desc("all"), "d").limit(LENGTHS).collect()
     index = vectors.sparkSession.sparkContext.broadcast({r["d"]: train_index(nodes, r["d"], r["n"], cosine, recall) for r in lengths})
-    kind = nodes.schema["v"].dataType.simpleString()
-    schema = f"label string, d int, cell long, home long, node long, copies long, v {kind}, visited array<long>"
-    routed = nodes.select("label", "node", "copies", "v").mapInPandas(_route(index), schema)
+    routed = nodes.select("label", "node", "v").mapInPandas(_route(index), "label string, d int, cell long, home long, node long, visited array<long>")
+    # the routes are written without the vectors, which are met again by node
+    routed = cut(routed, "routes")
     # members are the rows in their own cells; every row is a query of each cell it visits
     place = ["label", "d", "cell"]
     own = F.col("cell") == F.col("home")
     tally = routed.groupBy(*place).agg(F.count("*").alias("asked"), F.count_if(own).alias("held")).filter("held > 0")
     tally = tally.select(*place, F.ceil(F.col("asked") / BLOCK).alias("s"), F.ceil(F.col("held") / BLOCK).alias("t"))
-    salted = spread_join(routed, tally, place, "node")
+    salted = spread_join(routed, tally, place, "node").join(nodes.select("node", "copies", "v"), "node")
     qs, ms = F.pmod(F.xxhash64("node"), F.col("s")), F.pmod(F.xxhash64("node", F.lit(1)), F.col("t"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     keys = [*place, "qs", "ms"]

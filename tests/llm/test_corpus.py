@@ -492,9 +492,10 @@ def test_embedding_links(spark):
 
 
 @pytest.mark.parametrize(("n", "groups", "spread"), [(400, 40, 0.16), (1600, 60, 0.16), (5000, 40, 0.17)])
-def test_embedding_recall_against_brute_force(spark, n, groups, spread):
+def test_embedding_recall_against_brute_force(spark, monkeypatch, n, groups, spread):
     """Links found of all links, in 16 dimensions, at three sizes; many lie near
-    the threshold.  Blocks are made small on the driver's side."""
+    the threshold. """
+    monkeypatch.setattr(embeddings, "CELL", 16)  # up to 13 codes a half
     rows = vectors(n, n, groups, spread, 16)
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], VECTORS)
     got = {r["vec_id"]: r["n_links"] for r in embeddings.link_embeddings(df).collect()}
