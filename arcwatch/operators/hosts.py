@@ -41,8 +41,12 @@ MALWARE = [
     ("reverse_shell", r"(?i)nc -e|ncat -e|/dev/tcp/"), ("download_exec", r"(?i)(?:wget|curl)\s+http.*\|\s*(?:bash|sh)"),
     ("nop_sled", r"\x90{8,}"), ("int3_sled", r"\xcc{4,}"), ("b64_pe_header", r"(?:TVqQAAMAAAAEAAAA|TVoAAA)"),
 ]
-WORM = r"(?i)mirai|gafgyt|tsunami|botnet|tftp|busybox|/proc/mounts|/etc/shadow|/var/tmp/"
-EXPLOIT = r"(?i)/bin/sh|/bin/bash|cmd\.exe|powershell|eval\(|base64_decode|gzinflate|union\s+select|information_schema|\x90{4,}|\xcc{4,}|jndi:|ldap://|rmi://|\.\./|\.\.\\|%2e%2e|(?:wget|curl)\s+http"
+WORM = ["mirai", "gafgyt", "tsunami", "botnet", "tftp", "busybox", "/proc/mounts", "/etc/shadow", "/var/tmp/"]
+EXPLOIT = [
+    r"/bin/sh", r"/bin/bash", r"cmd\.exe", r"powershell", r"eval\(", r"base64_decode", r"gzinflate", r"union\s+select",
+    r"information_schema", r"\x90{4,}", r"\xcc{4,}", r"jndi:", r"ldap://", r"rmi://", r"\.\./", r"\.\.\\", r"%2e%2e",
+    r"(?:wget|curl)\s+http",
+]
 #: id, key, test of the value, weight, value assumed when unset
 SSH_CHECKS = [
     ("SSH-01", "permitrootlogin", "lower(value) = 'no'", 20, None), ("SSH-02", "passwordauthentication", "lower(value) = 'no'", 15, None),
@@ -173,8 +177,8 @@ def intent(payload: Column, duration_ms: Column, user: Column, password: Column)
     return (
         F.when((F.length(payload) < 10) & (duration_ms < 500), as_("SCANNER", "T1046", 30))
         .when(given(user) | given(password), as_("BRUTE_FORCE", "T1110", 50))
-        .when(payload.rlike(WORM), as_("WORM", "T1584", 70))
-        .when(payload.rlike(EXPLOIT), as_("EXPLOIT_PROBE", "T1203", 65))
+        .when(payload.rlike("(?i)" + "|".join(WORM)), as_("WORM", "T1584", 70))
+        .when(payload.rlike("(?i)" + "|".join(EXPLOIT)), as_("EXPLOIT_PROBE", "T1203", 65))
         .when((F.length(payload) > 200) & (variety > 100), as_("C2_CALLBACK", "T1071", 55))
         .otherwise(as_("UNKNOWN", "T1046", 40))
     )
