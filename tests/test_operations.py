@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arcwatch import sinks
+from arcwatch.functions import binaries
 from arcwatch.operators import audits, hunts, lifecycle, reports, rule_text, rules
 from arcwatch.sources import payloads, snapshots
 
@@ -200,3 +201,26 @@ def test_needed_texts_lose_no_log_line(spark):
     plain = rules.firing(df, [{"title": n, "p": p} for n, p, *_ in rules.LOG_RULES], lambda r: F.col("line").rlike(f"(?i){r['p']}"), facts=())
     assert got == {(r["line"], r["rule"]) for r in plain.select("line", "rule").collect()}
     assert {r for _, r in got} == {n for n, *_ in rules.LOG_RULES}
+
+
+def program(sections: list[tuple[bytes, bytes]]) -> bytes:
+    """A PE program of so many sections, its header at 64."""
+    head = bytearray(b"MZ" + bytes(58) + struct.pack("<I", 64) + b"PE\0\0" + struct.pack("<HH", 0x14C, len(sections)) + bytes(12) + struct.pack("<HH", 0, 0))
+    body, start = b"", 64 + 24 + 40 * len(sections)
+    for title, content in sections:
+        head += title.ljust(8, b"\0") + bytes(8) + struct.pack("<2I", len(content), start + len(body)) + bytes(16)
+        body += content
+    return bytes(head) + body
+
+
+def test_binaries(spark):
+    import hashlib
+
+    exe = program([(b".text", bytes(range(256))), (b".data", b"\1" * 64)])
+    region = b"xMZ" + b"junk" * 30 + exe + b"\x7fELF.." + b"MZ"
+    df = spark.createDataFrame([(1, bytearray(exe)), (2, bytearray(region)), (3, None), (4, bytearray(b""))], "id int, data binary")
+    got = {r["id"]: r for r in df.select("id", binaries.blake2b("data").alias("h"), binaries.programs("data").alias("p"), binaries.sections("data").alias("s")).collect()}
+    assert got[1]["h"] == hashlib.blake2b(exe, digest_size=32).hexdigest() and got[3]["h"] is None and got[3]["p"] is None
+    assert [tuple(p) for p in got[1]["p"]] == [("PE", 0)]
+    assert [tuple(p) for p in got[2]["p"]] == [("PE", 123), ("ELF", 123 + len(exe))]
+    assert [(s["name"], round(s["entropy"], 6)) for s in got[1]["s"]] == [(".text", 8.0), (".data", 0.0)] and got[2]["s"] == [] and got[4]["s"] == []
