@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import taxonomy
 from ..functions import iocs, text
 from ..operators import auth, behaviour, correlate, indicators, rules, windows
-from ..operators.windows import DAY, HOUR
+from ..operators.windows import DAY
 from ..sources.tables import LEVELS, TACTICS, WEIGHTS, read, telemetry, trades
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
