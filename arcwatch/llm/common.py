@@ -49,10 +49,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 def spread_join(rows: DataFrame, small: DataFrame, keys: list[str], by: str, ways: int = 16, how: str = "inner") -> DataFrame:
     """rows joined to a table with one row a key, where a key may hold a large
-    share of rows: each key goes to as many tasks as ways, dealt by a column."""
+    share of rows: each key goes to as many tasks as ways, dealt by a column.
+
+    Always by shuffle: the copies are more than the size that Spark would go by
+    when it chooses to broadcast a side.
+    """
     dealt = rows.withColumn("_way", F.pmod(F.xxhash64(by, F.lit(3)), F.lit(ways)).cast("int"))
     copies = small.withColumn("_way", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
-    return dealt.join(copies, [*keys, "_way"], how).drop("_way")
+    return dealt.join(copies.hint("merge"), [*keys, "_way"], how).drop("_way")
 
 
 def first_bytes(text: Column, limit: Column) -> Column:

@@ -191,7 +191,7 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     crowds = fits.groupBy("hub").agg(F.ceil(F.count("*") / HUB_ROWS).alias("ways"))
     met = spread_join(fits.select("node", "hub"), crowds, ["hub"], "node").withColumn("way", F.pmod(F.xxhash64("node"), F.col("ways"))).drop("ways")
     hub_texts = texts.join(crowds, F.col("node") == F.col("hub")).withColumn("way", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ways") - 1)))
-    pairs = met.join(texts, "node").join(hub_texts.select("hub", "way", F.col("text").alias("hub_text")), ["hub", "way"])
+    pairs = met.join(texts, "node").join(hub_texts.select("hub", "way", F.col("text").alias("hub_text")).hint("merge"), ["hub", "way"])
     links = cut(pairs.select("node", "hub", "text", "hub_text").mapInArrow(_verify(k, percent), "a long, b long"), "links")
     found = cut(components(links), "labels")
 
