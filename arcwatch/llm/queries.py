@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .codes import OP12_SQL, op12_codes
 from .decontamination import op9_decontamination
 from .embeddings import op7_embeddings
 from .language import op10_language
@@ -12,6 +13,7 @@ from .quality import op3_quality
 from .sharding import op6_sharding
 from .suffixes import op4_suffixes
 from .toxicity import op8_toxicity
+from .whitening import op13_whitening
 
 QUERIES = {
     "op1_mixing": op1_mixing,
@@ -24,8 +26,11 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_language": op10_language,
+    "op12_codes": op12_codes,
+    "op13_whitening": op13_whitening,
 }
 
 SQL: dict[str, str] = {
     "op1_mixing": OP1_SQL,
+    "op12_codes": OP12_SQL,
 }
