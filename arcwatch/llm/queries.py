@@ -9,6 +9,7 @@ from .language import op10_language
 from .language_model import op5_language_model
 from .minhash import op2_minhash
 from .mixing import OP1_SQL, op1_mixing
+from .pii import op11_pii
 from .quality import op3_quality
 from .sharding import op6_sharding
 from .suffixes import op4_suffixes
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_language": op10_language,
+    "op11_pii": op11_pii,
     "op12_codes": op12_codes,
     "op13_whitening": op13_whitening,
 }
