@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sweeps import HOUR, sums_before, value_before
 from .windows import ordered
 
 
@@ -27,33 +28,23 @@ def login_time(df: DataFrame, entity: str, hour: str, least: int = 10, sigmas: f
     return out.filter((F.col("n_prior") >= least) & (F.col("distance") > sigmas * F.greatest("spread", F.lit(0.05)))).drop("_c", "_s", "_mc", "_ms", "_mean")
 
 
-def running_sum(df: DataFrame, value: str, name: str, ranges: int = 64, us: str = "us", tie: str = "event_id") -> DataFrame:
+def running_sum(df: DataFrame, value: str, name: str, us: str = "us", tie: str = "event_id", width: int = HOUR, ties: int | None = None) -> DataFrame:
     """df with the sum of a value over all rows before each, in clock order.
-
-    The clock is cut in ranges of about as many rows (quantiles, found within a
-    hundredth): the sums of whole ranges before a row are one small table, and
-    the rest is a window inside the range.
-    """
-    cuts = df.approxQuantile(us, [i / ranges for i in range(1, ranges)], 0.005) if ranges > 1 else []
-    edges = F.array(*[F.lit(int(c)) for c in sorted(set(cuts))]).cast("array<long>")
-    cut = df.withColumn("_range", F.size(F.filter(edges, lambda e: e <= F.col(us))))
-    sums = cut.groupBy("_range").agg(F.sum(value).alias("_s"))
-    # one row a range, so one task holds the few of them
-    before = sums.withColumn("_base", F.coalesce(F.sum("_s").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
-    inside = F.coalesce(F.sum(value).over(_before(["_range"], us, tie)), F.lit(0))
-    return cut.withColumn("_in", inside).join(F.broadcast(before), "_range").withColumn(name, F.col("_base") + F.col("_in")).drop("_range", "_in", "_base")
+    ties: for clocks that many rows share, such as dates, how wide a range of
+    the tie is one task's."""
+    return sums_before(df, [], {name: F.col(value)}, us, tie, width, ties)
 
 
 def rare_items(df: DataFrame, entity: str, item: str, population: int = 3, share: float = 0.05) -> DataFrame:
     """An entity's first use of an item that few of the entities so far use.
 
-    How many entities came before a row follows from ranges of the clock: each
-    range's new entities are counted, the few counts are summed in order, and
-    within a range the rows are numbered.  No task sees more than a range.
+    Of both, only first rows count, which are found by aggregation: what is left
+    has one row an entity and item.
     """
-    first = df.withColumn("_n", F.row_number().over(ordered([entity, item]))).filter("_n = 1").drop("_n")
-    first = first.withColumn("_e", F.when(F.row_number().over(ordered([entity])) == 1, 1).otherwise(0))
-    out = running_sum(first, "_e", "entities").withColumn("users", F.count("*").over(_before([item])))
+    order = F.struct("us", "event_id")
+    first = df.groupBy(entity, item).agg(F.min_by(F.struct("*"), order).alias("_row")).select("_row.*")
+    first = first.withColumn("_e", (order == F.min(order).over(Window.partitionBy(entity))).cast("long"))
+    out = sums_before(running_sum(first, "_e", "entities"), [item], {"users": F.lit(1).cast("long")})
     return out.filter((F.col("entities") >= population) & (F.col("users") <= share * F.col("entities"))).drop("_e")
 
 
@@ -78,18 +69,14 @@ def volume_outliers(df: DataFrame, entity: str, value: str, least: int = 8, keep
 def rare_transitions(df: DataFrame, entity: str, item: str, overall: int = 20, least: int = 10, share: float = 0.01) -> DataFrame:
     """Steps from an entity's last item to the next that were rare before, and
     new to the entity.  Counts are of all entities' earlier steps."""
-    steps = df.withColumn("prev", F.lag(item).over(ordered([entity]))).filter("prev is not null")
+    order, one = F.struct("us", "event_id"), {"n": F.lit(1).cast("long")}
+    steps = value_before(df, [entity], item, "prev").filter("prev is not null")
     # enough steps came before a row if it is after the ``overall``-th of all
-    enough = steps.select("us", "event_id").orderBy("us", "event_id").limit(overall).agg(F.max(F.struct("us", "event_id")).alias("last"), F.count("*").alias("n")).first()
-    if enough["n"] < overall:
-        return steps.withColumns({"n_prev": F.lit(0).cast("long"), "n_step": F.lit(0).cast("long")}).limit(0)
-    after = (F.col("us") > enough["last"]["us"]) | ((F.col("us") == enough["last"]["us"]) & (F.col("event_id") > enough["last"]["event_id"]))
-    steps = steps.withColumns(
-        {
-            "n_prev": F.count("*").over(_before(["prev"])),
-            "n_step": F.count("*").over(_before(["prev", item])),
-            "n_own": F.count("*").over(_before([entity, "prev", item])),
-        }
-    )
-    rare = F.col("n_step") <= share * F.col("n_prev")
-    return steps.filter(after & (F.col("n_prev") >= least) & rare & (F.col("n_own") == 0))
+    enough = steps.select("us", "event_id").orderBy("us", "event_id").limit(overall).agg(F.max(order).alias("_last"), F.count("*").alias("_first"))
+    counted = sums_before(steps, ["prev"], {"n_prev": one["n"]})
+    counted = sums_before(counted, ["prev", item], {"n_step": one["n"]})
+    rare = (F.col("n_prev") >= least) & (F.col("n_step") <= share * F.col("n_prev"))
+    found = counted.filter(rare).crossJoin(F.broadcast(enough)).filter((F.col("_first") >= overall) & (order > F.col("_last"))).drop("_last", "_first")
+    own = [entity, "prev", item]
+    new = steps.groupBy(*own).agg(F.min(order).alias("_own"))
+    return found.join(new, own).filter(order == F.col("_own")).drop("_own")

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import taxonomy
-from .windows import SECOND, ordered, throttle, trailing
+from .sweeps import Measure, exact, in_range, value_before
+from .windows import SECOND, ordered, throttle
 
 # -- fixed values ---------------------------------------------------------------------
 TITLES = {
@@ -89,8 +90,10 @@ def encryption_spikes(writes: DataFrame, keys: list[str], value: str = "entropy"
     """Rows on which a key's writes of the last window outnumber its rate before
     by so many deviations, with a mean entropy of 7 at least; after one, silent
     for a window."""
-    recent, all_ = trailing(keys, window, us), trailing(keys, baseline, us)
-    rows = writes.withColumns({"n_recent": F.count("*").over(recent), "_all": F.count("*").over(all_), "mean_entropy": F.avg(value).over(recent)})
+    one, known = F.lit(1).cast("long"), F.col(value).isNotNull().cast("long")
+    measures = {"n_recent": Measure(window, one), "_all": Measure(baseline, one), "_sum": Measure(window, exact(F.col(value))), "_known": Measure(window, known)}
+    rows = in_range(writes, keys, measures, us)
+    rows = rows.withColumn("mean_entropy", F.try_divide(F.col("_sum").cast("double"), "_known")).drop("_sum", "_known")
     rate = (F.col("_all") - F.col("n_recent")) / (max(1.0, float(baseline - window)) / window)
     rows = rows.withColumn("rate", rate).withColumn("z", (F.col("n_recent") - F.col("rate")) / F.greatest(F.lit(1.0), F.sqrt(F.greatest("rate", F.lit(1.0)))))
     hits = rows.filter((F.col("n_recent") >= least) & (F.col("z") >= sigmas) & (F.col("mean_entropy") >= 7.0))
@@ -100,17 +103,23 @@ def encryption_spikes(writes: DataFrame, keys: list[str], value: str = "entropy"
 
 def write_velocity(writes: DataFrame, keys: list[str], span: int = 30 * SECOND, least: int = 10, us: str = "us") -> DataFrame:
     """Rows on which a key has so many writes in the span."""
-    return writes.withColumn("velocity", F.count("*").over(trailing(keys, span, us))).filter(F.col("velocity") >= least)
+    return in_range(writes, keys, {"velocity": Measure(span, F.lit(1).cast("long"))}, us).filter(F.col("velocity") >= least)
 
 
 def password_sprays(failures: DataFrame, source: str, account: str, span: int, accounts: int = 10, cv: float = 0.3, rows: int = 100, us: str = "us", tie: str = "event_id") -> DataFrame:
     """Sources whose failures reach many accounts in the span, either at
     regular gaps or in overwhelming number; first row of each."""
-    w = trailing([source], span, us)
-    gap = F.col(us) - F.lag(us).over(ordered([source], us, tie))
-    out = failures.withColumn("_gap", gap).withColumns({"n_accounts": F.size(F.collect_set(account).over(w)), "n_rows": F.count("*").over(w), "cv": F.stddev_pop("_gap").over(w) / F.avg("_gap").over(w)})
+    before = value_before(failures, [source], us, "_before", us, tie)
+    gap = F.col(us) - F.col("_before")
+    # whole numbers throughout: squares of microseconds leave 64 bits
+    square = gap.cast("decimal(38,0)") * gap
+    measures = {"n_accounts": Measure(span, item=account), "n_rows": Measure(span, F.lit(1).cast("long")), "_gaps": Measure(span, gap.isNotNull().cast("long")), "_sum": Measure(span, gap), "_square": Measure(span, square.cast("decimal(38,0)"))}
+    out = in_range(before, [source], measures, us)
+    mean = F.try_divide("_sum", "_gaps")
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col("_square").cast("double"), "_gaps") - mean * mean))
+    out = out.withColumn("cv", F.try_divide(spread, mean)).drop("_before", "_gaps", "_sum", "_square")
     hits = out.filter((F.col("n_accounts") >= accounts) & ((F.col("cv") <= cv) | (F.col("n_rows") >= rows)))
-    return hits.withColumn("_n", F.row_number().over(ordered([source], us, tie))).filter("_n = 1").drop("_n", "_gap")
+    return hits.withColumn("_n", F.row_number().over(ordered([source], us, tie))).filter("_n = 1").drop("_n")
 
 
 def replay_measures(cases: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .windows import SECOND, beacons, first_firing, ranked_first_seen, trailing
+from .sweeps import Measure, in_range
+from .windows import SECOND, beacons, first_firing, ranked_first_seen
 
 # -- fixed values --------------------------------------------------------------------
 WATCHLIST = [
@@ -44,18 +45,20 @@ def generated_domains(dns: DataFrame, known: list[str]) -> DataFrame:
 
 def fast_flux(dns: DataFrame, span: int = 3600 * SECOND) -> DataFrame:
     """First record of a name with 8 addresses in 4 networks and low lifetimes."""
-    w = trailing(["qname"], span)
     rows = _named(dns).filter("qtype = 'A'").withColumn("ip", F.explode("answers")).withColumn("net", F.substring_index("ip", ".", 2))
-    rows = rows.withColumns({"n_ips": F.size(F.collect_set("ip").over(w)), "n_nets": F.size(F.collect_set("net").over(w)), "mean_ttl": F.avg("ttl").over(w)})
+    timed = F.col("ttl").isNotNull()
+    measures = {"n_ips": Measure(span, item="ip"), "n_nets": Measure(span, item="net"), "_ttl": Measure(span, F.col("ttl").cast("long")), "_timed": Measure(span, timed.cast("long"))}
+    rows = in_range(rows, ["qname"], measures).withColumn("mean_ttl", F.try_divide("_ttl", "_timed")).drop("_ttl", "_timed")
+    rows = rows.withColumns({c: F.col(c).cast("int") for c in ("n_ips", "n_nets")})
     return first_firing(rows, ["qname"], F.expr("n_ips >= 8 and mean_ttl <= 300 and n_nets >= 4"), tie="ip")
 
 
 def dns_tunnels(dns: DataFrame, span: int = 60 * SECOND) -> DataFrame:
     """Sources with 30 queries in the span, half of them long random labels."""
-    w = trailing(["src"], span)
     label = F.substring_index("qname", ".", 1)
-    odd = F.when((F.length(label) >= 40) & (text.entropy(label) >= 3.8), 1.0).otherwise(0.0)
-    rows = _named(dns).withColumn("_odd", odd).withColumns({"n": F.count("*").over(w), "share": F.avg("_odd").over(w)})
+    odd = F.when((F.length(label) >= 40) & (text.entropy(label) >= 3.8), 1).otherwise(0).cast("long")
+    rows = in_range(_named(dns), ["src"], {"n": Measure(span, F.lit(1).cast("long")), "_odd": Measure(span, odd)})
+    rows = rows.withColumn("share", F.col("_odd") / F.col("n")).drop("_odd")
     return first_firing(rows, ["src"], F.expr("n >= 30 and share >= 0.5"), tie="qname")
 
 

@@ -3,7 +3,8 @@
 Ranges are inclusive: a window of W holds the rows with clock >= now - W.  Rows
 of one key are ordered by (clock, tie); rows of equal clock see each other,
 which is the RANGE frame's meaning.  Every detector partitions by its key, so
-the work spreads over keys and nothing is gathered beyond one key's window.
+the work spreads over keys and nothing is gathered beyond one key's window;
+ranges are sweeps (``sweeps``), which cost linear time and split hot keys.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sweeps import Measure, in_range
+
 SECOND = 1_000_000
 HOUR = 3600 * SECOND
 DAY = 24 * HOUR
@@ -42,21 +45,27 @@ def first_firing(df: DataFrame, keys: list[str], fires: Column, us: str = "us",
 
 def distinct_burst(df: DataFrame, keys: list[str], item: str, span: int, least: int, us: str = "us", tie: str = "event_id") -> DataFrame:
     """First time a key meets ``least`` distinct items within the span (fan-out,
-    fan-in, spraying, roasting), with the count and the items."""
-    seen = F.collect_set(item).over(trailing(keys, span, us))
-    counted = df.withColumn("items", F.array_sort(seen)).withColumn("n_distinct", F.size("items"))
-    return first_firing(counted, keys, F.col("n_distinct") >= least, us, tie)
+    fan-in, spraying, roasting), with the count."""
+    counted = in_range(df, keys, {"n_distinct": Measure(span, item=item)}, us)
+    return first_firing(counted.withColumn("n_distinct", F.col("n_distinct").cast("int")), keys, F.col("n_distinct") >= least, us, tie)
+
+
+def burst_items(df: DataFrame, fired: DataFrame, keys: list[str], item: str, span: int, us: str = "us") -> DataFrame:
+    """keys and ``items``, sorted: what each firing's range held."""
+    ends = fired.select(*keys, F.col(us).alias("_end"))
+    met = df.select(*keys, us, item).join(ends, keys).filter((F.col(us) <= F.col("_end")) & (F.col(us) >= F.col("_end") - span))
+    return met.groupBy(*keys).agg(F.array_sort(F.collect_set(item)).alias("items"))
 
 
 def count_burst(df: DataFrame, keys: list[str], item: str, span: int, rows: int, least: int, us: str = "us", tie: str = "event_id") -> DataFrame:
     """First time a key has ``rows`` rows of ``least`` distinct items in the span."""
-    w = trailing(keys, span, us)
-    counted = df.withColumn("n_rows", F.count("*").over(w)).withColumn("n_distinct", F.size(F.collect_set(item).over(w)))
+    counted = in_range(df, keys, {"n_rows": Measure(span, F.lit(1).cast("long")), "n_distinct": Measure(span, item=item)}, us)
     return first_firing(counted, keys, (F.col("n_rows") >= rows) & (F.col("n_distinct") >= least), us, tie)
 
 
 def rolling_score(df: DataFrame, keys: list[str], delta: str, span: int, cap: int, us: str = "us") -> DataFrame:
-    return df.withColumn("score", F.least(F.lit(cap), F.sum(delta).over(trailing(keys, span, us))).cast("int"))
+    summed = in_range(df, keys, {"score": Measure(span, F.col(delta).cast("long"))}, us)
+    return summed.withColumn("score", F.least(F.lit(cap), F.col("score")).cast("int"))
 
 
 def ranked_first_seen(df: DataFrame, key: str, item: str, levels: list[int], order: list[str]) -> DataFrame:
