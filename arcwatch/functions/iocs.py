@@ -17,7 +17,7 @@ PATTERNS = {
 SECRETS = {
     "password": r"(?i)(?:password|passwd|pwd)\s*[=:]\s*[^\x00-\x1f]{4,64}",
     "token": r"(?i)(?:token|secret|api.?key|apikey)\s*[=:]\s*[^\x00-\x1f]{8,128}",
-    "aws_key": r"AKIA[A-Z0-9]{16}",
+    "aws_key": r"(?i)AKIA[A-Z0-9]{16}",
     "web_token": r"eyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}",
     "private_key": r"-----BEGIN [A-Z ]+PRIVATE KEY-----",
 }

@@ -60,7 +60,50 @@ def normalise_homoglyphs(text: Column) -> Column:
 
 
 def redact(secret: Column) -> Column:
-    return F.concat(F.left(secret, F.lit(8)), F.lit("***"), F.right(secret, F.lit(4)))
+    """The first 8 and last 4 of its first 80 characters; of a secret of 12 or
+    fewer, which these would show whole, the first 4 alone."""
+    shown = F.left(secret, F.lit(80))
+    ends = F.concat(F.left(shown, F.lit(8)), F.lit("***"), F.right(shown, F.lit(4)))
+    return F.when(F.length(shown) > 12, ends).otherwise(F.concat(F.left(shown, F.lit(4)), F.lit("***")))
+
+
+def osa_distance(a: Column, b: Column, limit: int = 3, beyond: int = 99) -> Column:
+    """The optimal-string-alignment distance (a swap of neighbours costs one, and
+    no part is edited twice) up to a limit; above it, ``beyond``.
+
+    A fold over the letters of a that keeps the last two rows of the alignment
+    table, of which only the band of cells within the limit of the diagonal is
+    held; every cell outside counts as more than the limit.
+    """
+    width, more = 2 * limit + 1, limit + 1
+    letters = F.filter(F.split(a, ""), lambda c: c != "")
+    here = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.when(k >= limit, k - limit).otherwise(F.lit(more)))
+    far = F.array_repeat(F.lit(more), width)
+    start = F.struct(F.lit(0).alias("i"), F.lit("").alias("last"), far.alias("old"), here.alias("row"))
+
+    def step(state: Column, letter: Column) -> Column:
+        i, old, row = state["i"] + 1, state["old"], state["row"]
+
+        def cell(left: Column, k: Column) -> Column:
+            # column j of this row; k is its place in the band
+            j = i + k - limit
+            other, before = F.substring(b, j, F.lit(1)), F.substring(b, j - 1, F.lit(1))
+            drop = F.coalesce(F.get(row, k + 1), F.lit(more)) + 1
+            add = F.coalesce(F.get(left, k - 1), F.lit(more)) + 1
+            change = F.get(row, k) + F.when(other == letter, 0).otherwise(1)
+            swap = F.when((i > 1) & (j > 1) & (other == state["last"]) & (before == letter), F.get(old, k) + 1).otherwise(F.lit(more))
+            inside = F.when(j == 0, i).otherwise(F.least(drop, add, change, swap))
+            return F.concat(left, F.array(F.when((j < 0) | (j > F.length(b)), F.lit(more)).otherwise(F.least(inside, F.lit(more)))))
+
+        new = F.aggregate(F.sequence(F.lit(0), F.lit(width - 1)), F.array().cast("array<int>"), cell)
+        return F.struct(i.alias("i"), letter.alias("last"), row.alias("old"), new.alias("row"))
+
+    def last(state: Column) -> Column:
+        return F.coalesce(F.get(state["row"], F.length(b) - state["i"] + limit), F.lit(more))
+
+    close = F.abs(F.length(a) - F.length(b)) <= limit
+    found = F.when(close, F.aggregate(letters, start, step, last))
+    return F.when(a.isNull() | b.isNull(), F.lit(None)).when(found <= limit, found).otherwise(F.lit(beyond))
 
 
 def within_osa(a: Column, b: Column, limit: int) -> Column:

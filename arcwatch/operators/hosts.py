@@ -150,12 +150,15 @@ def drift_verdict(drift: DataFrame) -> DataFrame:
 
 
 def memory_findings(regions: DataFrame) -> DataFrame:
-    """Secrets (redacted), malware marks and injected code in memory regions
+    """Secrets (redacted), malware marks, runs of 16 or more no-operations (with the
+    length of the first) and injected code in memory regions
     (pid, region, perms, data): bytes are read as ISO-8859-1 text."""
     data = F.decode("data", "ISO-8859-1")
     fact = lambda kind, what: F.struct(F.lit(kind).alias("kind"), what.alias("detail"))
     found = [F.transform(F.regexp_extract_all(data, F.lit(p), F.lit(0)), lambda v: fact("credential", redact(v))) for p in SECRETS.values()]
     found += [F.when(data.rlike(f"(?s){p}"), F.array(fact("malware", F.lit(n)))).otherwise(F.array()) for n, p in MALWARE]
+    sled = F.regexp_extract(data, "\\x90{16,}", 0)
+    found.append(F.when(sled != "", F.array(fact("shellcode_pattern", F.length(sled).cast("string")))).otherwise(F.array()))
     injected = F.col("perms").contains("x") & F.col("region").rlike(r"heap|stack|/tmp/|/dev/shm/")
     found.append(F.when(injected, F.array(fact("injected_code", F.col("region")))).otherwise(F.array()))
     return regions.select("pid", "region", F.explode(F.concat(*found)).alias("_f")).select("pid", "region", "_f.*").distinct()

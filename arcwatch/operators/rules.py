@@ -17,6 +17,9 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import taxonomy
+from . import scanning
+
 _TOKEN = re.compile(r"\s*(\(|\)|[^\s()]+)")
 
 
@@ -249,13 +252,13 @@ OWN_RULES = [
 
 #: name, regex (case-insensitive), severity, technique, score
 LOG_RULES = [
-    ("ssh_brute_force", r"Failed password for .+ from ([\d.]+)", "high", "T1110.001", 15),
-    ("ssh_invalid_user", r"Invalid user (\S+) from ([\d.]+)", "medium", "T1110.003", 10),
-    ("sudo_failure", r"sudo:.*authentication failure.*user=(\S+)", "high", "T1548.003", 20),
-    ("su_failure", r"su: FAILED SU.*to (\S+) by (\S+)", "medium", "T1548.003", 15),
+    ("ssh_brute_force", r"Failed password for .+ from (?P<ip>[\d.]+)", "high", "T1110.001", 15),
+    ("ssh_invalid_user", r"Invalid user (?P<user>\S+) from (?P<ip>[\d.]+)", "medium", "T1110.003", 10),
+    ("sudo_failure", r"sudo:.*authentication failure.*user=(?P<user>\S+)", "high", "T1548.003", 20),
+    ("su_failure", r"su: FAILED SU.*to (?P<user>\S+) by (?P<actor>\S+)", "medium", "T1548.003", 15),
     ("account_lockout", r"(account locked|too many auth|pam_tally2.*locked)", "high", "T1110", 25),
-    ("root_login", r"Accepted .+ for root from ([\d.]+)", "critical", "T1078", 40),
-    ("accepted_password", r"Accepted password for (\S+) from ([\d.]+)", "low", "T1078", 5),
+    ("root_login", r"Accepted .+ for root from (?P<ip>[\d.]+)", "critical", "T1078", 40),
+    ("accepted_password", r"Accepted password for (?P<user>\S+) from (?P<ip>[\d.]+)", "low", "T1078", 5),
     ("web_sqli", r"(?:union\s+select|select.*from|or\s+1=1|'\s*or\s*'|information_schema)", "critical", "T1190", 35),
     ("web_xss", r"<script[\s>]|javascript:|on(?:load|click|error|mouseover)\s*=", "high", "T1059.007", 25),
     ("web_traversal", r"\.\./|\.\.\\|%2e%2e%2f|%252e%252e", "high", "T1083", 30),
@@ -267,13 +270,16 @@ LOG_RULES = [
     ("ssh_key_added", r"authorized_keys|\.ssh/", "high", "T1098.004", 30),
     ("new_user_created", r"(?:useradd|adduser|net user.*\/add|New user|user added)", "high", "T1136.001", 30),
     ("group_modification", r"(?:usermod|groupadd|gpasswd|net localgroup)", "medium", "T1098", 15),
-    ("large_outbound", r'" \d{3} ([0-9]{7,}) ', "medium", "T1030", 20),
+    ("large_outbound", r'" \d{3} (?P<bytes>[0-9]{7,}) ', "medium", "T1030", 20),
     ("base64_payload", r"(?:base64|b64decode|frombase64|ToBase64)", "medium", "T1027", 15),
     ("temp_execution", r"(?:/tmp/|/dev/shm/|/var/tmp/|\\Temp\\|\\AppData\\Local\\Temp\\)", "high", "T1059", 25),
     ("wget_curl_pipe", r"(?:wget|curl).*\|\s*(?:bash|sh|python|perl|ruby)", "critical", "T1059", 45),
     ("reverse_shell", r"(?:nc -e|/bin/bash -i|bash -i|python.*socket|socat.*exec)", "critical", "T1059.004", 50),
 ]
 
+#: What the groups of these patterns name.
+CAPTURES = ("ip", "user", "actor", "bytes")
+
 #: Texts of which a line must hold one, in lower case, for a rule to match at all.
 NEEDED = {
     "ssh_brute_force": ["failed password for"],
@@ -315,19 +321,30 @@ WEBSHELLS = [
 
 
 def log_rules(lines: DataFrame, text: str = "line") -> DataFrame:
-    """Every log rule that each line matches, with the address it names.
+    """Every log rule that each line matches, with where, and the address, user,
+    actor and bytes that the rule names (null where it names none)."""
+    patterns = {n: p for n, p, *_ in LOG_RULES}
+    out = lines.withColumn("_hit", F.explode(scanning.regex_hits(F.col(text), patterns, NEEDED, CAPTURES)))
+    facts = {k: {r[0]: r[i] for r in LOG_RULES} for i, k in ((2, "severity"), (3, "mitre"), (4, "score"))}
+    return out.select("*", "_hit.*").drop("_hit").withColumns({k: taxonomy.lookup(F.col("rule"), v) for k, v in facts.items()})
 
-    A regular expression is tried only on lines that hold a text it needs.
-    """
-    low = F.lower(text)
-    ip = F.regexp_extract(text, r"from ([\d.]+)", 1)
-    named = [{"title": n, "pattern": p, "severity": s, "mitre": m, "score": c} for n, p, s, m, c in LOG_RULES]
 
-    def test(rule: Mapping) -> Column:
-        return reduce(or_, (low.contains(t) for t in NEEDED[rule["title"]])) & F.col(text).rlike(f"(?i){rule['pattern']}")
+def top_addresses(hits: DataFrame, n: int = 10) -> DataFrame:
+    """The addresses that most hits name (ties: by address)."""
+    return hits.filter("ip <> ''").groupBy("ip").agg(F.count("*").alias("hits")).orderBy(F.desc("hits"), "ip").limit(n)
+
 
-    out = firing(lines, named, test, facts=("severity", "mitre", "score"))
-    return out.withColumn("ip", F.when(ip != "", ip))
+def log_summary(hits: DataFrame) -> DataFrame:
+    """field, value, n, score: all hits, by severity, the 10 most frequent rules
+    and addresses."""
+    n, score = F.count("*").alias("n"), F.coalesce(F.sum("score"), F.lit(0)).cast("long").alias("score")
+
+    def by(field: str, most: int | None = None) -> DataFrame:
+        out = hits.filter(F.col(field).isNotNull()).groupBy(F.lit(field).alias("field"), F.col(field).alias("value")).agg(n, score)
+        return out.orderBy(F.desc("n"), "value").limit(most) if most else out
+
+    total = hits.agg(n, score).select(F.lit("total").alias("field"), F.lit("hits").alias("value"), "n", "score")
+    return reduce(DataFrame.unionByName, [total, by("severity"), by("rule", 10), by("ip", 10)])
 
 
 def first_match(text: Column, named: list[tuple[str, str]]) -> Column:
@@ -386,6 +403,43 @@ def byte_rule(rule: Mapping, data: Column) -> Column:
     return out
 
 
+def scan(df: DataFrame, rules: list[Mapping], data: Column) -> DataFrame:
+    """One row for each row and rule that fires on bytes, with ``offsets``: where
+    each string of the rule is found (map<string, array<int>>).
+
+    All strings of all rules are sought in one pass; conditions are Columns over
+    what was found.
+    """
+    strings = {f"{n}.{s}": {"text": spec} if isinstance(spec, str) else spec for n, r in enumerate(rules) for s, spec in r["strings"].items()}
+    found = df.withColumn("_at", scanning.string_offsets(data, strings))
+
+    def place(key: str) -> Column:
+        spec, at = strings[key], F.try_element_at("_at", F.lit(key))
+        if "at" in spec:
+            return F.coalesce(F.array_contains(at, F.lit(spec["at"])), F.lit(False))
+        if "within" in spec:
+            return F.coalesce(F.exists(at, lambda o: o.between(*spec["within"])), F.lit(False))
+        return at.isNotNull()
+
+    def test(n: int, rule: Mapping) -> Column:
+        out = condition(rule["condition"], {s: place(f"{n}.{s}") for s in rule["strings"]})
+        if "max_size" in rule:
+            out = out & (F.octet_length(data) < rule["max_size"])
+        if "min_entropy" in rule:
+            from ..functions.text import entropy
+
+            # most rows fail on their strings and are not measured
+            out = F.when(out, entropy(F.decode(data, "ISO-8859-1")) > rule["min_entropy"]).otherwise(False)
+        return out
+
+    def own(n: int, rule: Mapping) -> Column:
+        each = [F.struct(F.lit(s).alias("key"), F.try_element_at("_at", F.lit(f"{n}.{s}")).alias("value")) for s in rule["strings"]]
+        return F.map_from_entries(F.filter(F.array(*each), lambda e: e["value"].isNotNull()))
+
+    hit = [F.when(test(n, r), F.struct(F.lit(r["title"]).alias("rule"), F.lit(r["level"]).alias("level"), own(n, r).alias("offsets"))) for n, r in enumerate(rules)]
+    return found.withColumn("_hit", F.explode(F.filter(F.array(*hit), lambda h: h.isNotNull()))).select("*", "_hit.*").drop("_hit", "_at")
+
+
 # -- fixed values: the shipped byte rules -------------------------------------------
 BYTE_RULES = [
     {

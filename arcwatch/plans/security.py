@@ -429,12 +429,12 @@ def hash_membership(spark, sf_dir):
 
 _SECRETS = [
     ("password", r"(?i)(?:password|passwd|pwd)\s*[=:]\s*[^\x00-\x1f]{4,64}"), ("token", r"(?i)(?:token|secret|api.?key|apikey)\s*[=:]\s*[^\x00-\x1f]{8,128}"),
-    ("aws_key", r"AKIA[A-Z0-9]{16}"), ("web_token", r"eyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}"), ("private_key", r"-----BEGIN [A-Z ]+PRIVATE KEY-----"),
+    ("aws_key", r"(?i)AKIA[A-Z0-9]{16}"), ("web_token", r"eyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}"), ("private_key", r"-----BEGIN [A-Z ]+PRIVATE KEY-----"),
 ]
 _SECRET = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS raw FROM documents" for k, p in _SECRETS)
 
 
-@query(f"WITH s AS ({_SECRET}) SELECT DISTINCT doc_id, kind, left(raw, 8) || '***' || right(raw, 4) AS redacted FROM s")
+@query(f"WITH s AS ({_SECRET}) SELECT DISTINCT doc_id, kind, CASE WHEN length(raw) > 12 THEN left(raw, 8) || '***' || right(left(raw, 80), 4) ELSE left(raw, 4) || '***' END AS redacted FROM s")
 def secret_scan(spark, sf_dir):
     def named(kind: str):
         return lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("raw"))

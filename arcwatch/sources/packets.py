@@ -56,6 +56,8 @@ def decode(frame: bytes) -> dict | None:
         out |= {"src_port": int.from_bytes(body[:2], "big"), "dst_port": int.from_bytes(body[2:4], "big"), "tcp_flags": body[13], "payload": body[(body[12] >> 4) * 4 :]}
     elif proto == 17 and len(body) >= 8:
         out |= {"src_port": int.from_bytes(body[:2], "big"), "dst_port": int.from_bytes(body[2:4], "big"), "payload": body[8:]}
+    elif proto in (1, 58):
+        out["payload"] = body[4:]  # behind type, code and checksum
     return out
 
 
