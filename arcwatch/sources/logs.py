@@ -7,7 +7,7 @@ is a projection: no shuffle, no Python.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # -- fixed values: line formats ---------------------------------------------------
@@ -27,6 +27,21 @@ def read_lines(spark: SparkSession, path: str, recursive: bool = True, glob: str
     return reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line_no (from 1) and line of all text files under path.
+
+    A file is read in blocks; the lines of a block are numbered inside it, and
+    the counts of the blocks before it, one row a block, are added.
+    """
+    meta = F.col("_metadata")
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("_at"))
+    counts = lines.groupBy("file", "block").agg(F.count("*").alias("_n"))
+    before = counts.select(F.col("file").alias("_file"), F.col("block").alias("_block"), F.coalesce(F.sum("_n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("file", "block").orderBy("_at"))
+    joined = lines.withColumn("_i", inside).join(before, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")))
+    return joined.select("file", (F.col("_before") + F.col("_i")).alias("line_no"), "line")
+
+
 def stream_lines(spark: SparkSession, path: str) -> DataFrame:
     """New lines of files that appear under path (each file once)."""
     return spark.readStream.text(path).withColumnRenamed("value", "line")
