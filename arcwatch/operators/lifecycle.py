@@ -3,12 +3,13 @@ encryption, password sprays; and the measures of a replay."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import taxonomy
 from .sweeps import Measure, exact, in_range, value_before
-from .windows import SECOND, ordered, throttle
+from .windows import SECOND, fold, ordered, throttle
 
 # -- fixed values ---------------------------------------------------------------------
 TITLES = {
@@ -86,6 +87,79 @@ def failovers(events: DataFrame, services: DataFrame, node: str = "vm_id", us: s
     return rows.select("service", node, us, tie, F.when(was_active, "ACTIVE").otherwise("STANDBY").alias("role_lost"), F.when(was_active, F.col("_names")[heir]).alias("promoted"), state.alias("state"))
 
 
+ROLES = ["ACTIVE", "STANDBY", "CURING"]
+STATES = ["HEALTHY", "DEGRADED", "NO_STANDBY", "RESTORED"]
+
+
+class Pair:
+    """A service's nodes by rank; the first is active.
+
+    A compromised node is cured; if it was active, the first standby is
+    promoted.  A cured node rejoins as standby, and a service that had lost one
+    is restored if its active node is well.
+    """
+
+    def __init__(self, nodes: int, roles: list[int] | None = None, active: int = 0, state: int = 0):
+        self.roles = roles if roles is not None else [0] + [1] * (nodes - 1)
+        self.active, self.state = active, state
+
+    def step(self, rank: int, healed: bool) -> tuple[int, int | None, int]:
+        """(role before, rank promoted, state after)."""
+        was, heir = self.roles[rank], None
+        if healed:
+            self.roles[rank] = 1
+            if self.state in (1, 2) and self.roles[self.active] != 2:
+                self.state = 3
+            return was, None, self.state
+        self.roles[rank] = 2
+        if was == 0:
+            heir = next((r for r, role in enumerate(self.roles) if role == 1), None)
+            if heir is None:
+                self.state = 2
+            else:
+                self.roles[heir], self.active, self.state = 0, heir, 1
+        return was, heir, self.state
+
+
+def failover_log(events: DataFrame, services: DataFrame, cure: int, node: str = "vm_id", us: str = "us", tie: str = "event_id") -> DataFrame:
+    """What every compromise of a node, and its return ``cure`` later, does to
+    its service: service, node, us, event_id, kind (compromised, rejoined), role
+    before, node promoted, state after.
+
+    events: (vm_id, us, event_id), compromises; services: (service, vm_id,
+    rank), ranks from 0 without gaps.  A service's rows come in order as a
+    stream (``windows``), so a task holds one service's roles.  At one clock
+    those who return come first.
+    """
+    sizes = services.groupBy("service").agg(F.count("*").alias("_nodes"))
+    lost = events.join(services, node).join(sizes, "service").select("service", "rank", "_nodes", F.col(us).alias("_us"), F.col(tie).alias("_id"), F.lit(False).alias("_healed"))
+    moves = lost.unionByName(lost.withColumns({"_us": F.col("_us") + cure, "_healed": F.lit(True)}))
+    # twice the clock, so that returns come before losses of the same clock
+    moves = moves.withColumns({"_clock": 2 * F.col("_us") + (~F.col("_healed")).cast("int"), "_value": F.struct("rank", "_nodes", "_healed")})
+
+    def start():
+        pair = None
+
+        def step(clock, number, value):
+            nonlocal pair
+            pair = pair or Pair(value["_nodes"])
+            was, heir, state = pair.step(value["rank"], value["_healed"])
+            return clock, number, value["rank"], was, -1 if heir is None else heir, state
+
+        return step
+
+    adds = {"_clock": pa.int64(), "_id": pa.int64(), "rank": pa.int64(), "_was": pa.int64(), "_heir": pa.int64(), "_state": pa.int64()}
+    out = fold(moves, ["service"], "_value", adds, start, "_clock", "_id")
+    names = services.select("service", F.col("rank").cast("long").alias("rank"), node)
+    heirs = services.select("service", F.col("rank").cast("long").alias("_heir"), F.col(node).alias("promoted"))
+    pick = lambda values, at: F.get(F.array(*map(F.lit, values)), F.col(at).cast("int"))
+    out = out.join(names, ["service", "rank"]).join(heirs, ["service", "_heir"], "left")
+    return out.select(
+        "service", node, F.expr("_clock div 2").alias(us), F.col("_id").alias(tie), F.when(F.col("_clock") % 2 == 0, "rejoined").otherwise("compromised").alias("kind"),
+        pick(ROLES, "_was").alias("role_before"), "promoted", pick(STATES, "_state").alias("state"),
+    )
+
+
 def encryption_spikes(writes: DataFrame, keys: list[str], value: str = "entropy", window: int = 15 * SECOND, baseline: int = 300 * SECOND, least: int = 6, sigmas: float = 3.0, us: str = "us", tie: str = "event_id") -> DataFrame:
     """Rows on which a key's writes of the last window outnumber its rate before
     by so many deviations, with a mean entropy of 7 at least; after one, silent

@@ -114,7 +114,7 @@ def beacons(df: DataFrame, keys: list[str], window: int = 99, every: int = 50, c
     return first_firing(gaps.filter((F.col("n") > window) & ((F.col("n") - window - 1) % every == 0)), keys, F.col("cv") < cv, us, tie)
 
 
-def _fold(df: DataFrame, keys: list[str], value: str, adds: dict[str, pa.DataType], start, us: str, tie: str, nulls_first: bool = False) -> DataFrame:
+def fold(df: DataFrame, keys: list[str], value: str, adds: dict[str, pa.DataType], start, us: str, tie: str, nulls_first: bool = False) -> DataFrame:
     """keys and the columns ``adds`` of the rows for which the fold gives values.
 
     ``start()`` makes the fold of a key, a function of (clock, tie, value) that
@@ -161,7 +161,7 @@ def throttle(df: DataFrame, keys: list[str], quiet: int, us: str = "us", tie: st
 
         return step
 
-    return _fold(df, keys, tie, {us: pa.int64(), tie: pa.int64()}, start, us, tie, nulls_first=True)
+    return fold(df, keys, tie, {us: pa.int64(), tie: pa.int64()}, start, us, tie, nulls_first=True)
 
 
 def fire_and_reset(df: DataFrame, keys: list[str], item: str, span: int, least: int, us: str = "us", tie: str = "event_id") -> DataFrame:
@@ -187,7 +187,7 @@ def fire_and_reset(df: DataFrame, keys: list[str], item: str, span: int, least:
 
         return step
 
-    return _fold(df, keys, item, {tie: pa.int64(), "n_rows": pa.int64()}, start, us, tie)
+    return fold(df, keys, item, {tie: pa.int64(), "n_rows": pa.int64()}, start, us, tie)
 
 
 def ewma(df: DataFrame, key: str, value: str, alpha: float = 0.1, warm: int = 5, us: str = "us", tie: str = "event_id") -> DataFrame:
@@ -215,4 +215,4 @@ def ewma(df: DataFrame, key: str, value: str, alpha: float = 0.1, warm: int = 5,
 
         return step
 
-    return _fold(df, [key], value, {tie: pa.int64(), "ema": pa.float64(), "z": pa.float64()}, start, us, tie)
+    return fold(df, [key], value, {tie: pa.int64(), "ema": pa.float64(), "z": pa.float64()}, start, us, tie)

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import hosts, network, rules
+from ..operators import hosts, lifecycle, network, rules
+from ..operators.windows import DAY
 from ..sources.tables import telemetry
 from .operations import _NAMES, QUERIES, SQL
 from .security import _PIECES, T, query
@@ -106,3 +107,27 @@ def brand_distances(spark, sf_dir):
     brands = F.explode(F.array(*map(F.lit, network.WATCHLIST)))
     pairs = names.withColumn("brand", brands).withColumn("distance", text.osa_distance(F.col("name"), F.col("brand")))
     return pairs.filter("distance <= 3")
+
+
+# -- services -------------------------------------------------------------------------------
+
+_CURE = 5 * DAY
+
+
+@query(f"""WITH RECURSIVE {T[5:]}, s AS (SELECT DISTINCT 'svc' || (user_id // 3) AS service, user_id AS vm_id, (user_id % 3)::INTEGER AS rank FROM t),
+w AS (SELECT service FROM s GROUP BY service HAVING count(*) = 3), l AS (SELECT service, vm_id, rank, us, event_id FROM t JOIN s ON t.user_id = s.vm_id JOIN w USING (service) WHERE event_type = 'error'),
+m AS (SELECT *, false AS healed FROM l UNION ALL SELECT service, vm_id, rank, us + {_CURE}, event_id, true FROM l), o AS (SELECT *, row_number() OVER (PARTITION BY service ORDER BY us, NOT healed, event_id) AS n FROM m),
+r(service, n, roles, active, state, was, heir) AS (
+  SELECT service, 0::BIGINT, [0, 1, 1], 0, 0, 0, NULL::INTEGER FROM w
+  UNION ALL
+  SELECT service, n, CASE WHEN healed THEN list_transform(roles, lambda v, i: CASE WHEN i = rank + 1 THEN 1 ELSE v END) ELSE list_transform(roles, lambda v, i: CASE WHEN i = rank + 1 THEN 2 WHEN i = heir + 1 THEN 0 ELSE v END) END,
+    coalesce(heir, active), CASE WHEN healed AND state IN (1, 2) AND (active = rank OR roles[active + 1] <> 2) THEN 3 WHEN healed OR roles[rank + 1] <> 0 THEN state WHEN heir IS NULL THEN 2 ELSE 1 END, roles[rank + 1], heir
+  FROM (SELECT o.service, o.n, o.rank, o.healed, r.roles, r.active, r.state, CASE WHEN NOT o.healed AND r.roles[o.rank + 1] = 0 THEN list_position(r.roles, 1) - 1 END::INTEGER AS heir FROM r JOIN o ON o.service = r.service AND o.n = r.n + 1))
+SELECT o.service, o.vm_id, o.us, o.event_id, CASE WHEN healed THEN 'rejoined' ELSE 'compromised' END AS kind, ['ACTIVE', 'STANDBY', 'CURING'][was + 1] AS role_before, h.vm_id AS promoted, ['HEALTHY', 'DEGRADED', 'NO_STANDBY', 'RESTORED'][state + 1] AS state
+FROM r JOIN o ON r.service = o.service AND r.n = o.n LEFT JOIN s h ON h.service = r.service AND h.rank = r.heir""")
+def failover_log(spark, sf_dir):
+    t = telemetry(spark, sf_dir)
+    services = t.select(_text("svc", F.expr("user_id div 3")).alias("service"), F.col("user_id").alias("vm_id"), (F.col("user_id") % 3).alias("rank")).distinct()
+    whole = services.groupBy("service").agg(F.count("*").alias("n")).filter("n = 3").select("service")
+    lost = t.filter("event_type = 'error'").select(F.col("user_id").alias("vm_id"), "us", "event_id")
+    return lifecycle.failover_log(lost, services.join(whole, "service"), _CURE)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import taxonomy
+from ..operators import lifecycle
 
 SCHEMA = "vm_id string, ts timestamp, event_type string, reason string, agent_id string, nonce string, counter long, received timestamp, interval_s double"
 
@@ -148,3 +149,56 @@ def silent_agents(events: DataFrame, factor: float = 3.0, late: str = "5 seconds
 def volume(events: DataFrame, bucket: str = "10 seconds", late: str = "1 minute") -> DataFrame:
     """Events and score of each time bucket."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", bucket)).agg(F.count("*").alias("n"), F.sum("delta").alias("score")).select("window.start", "n", "score")
+
+
+def failover_log(events: DataFrame, services: DataFrame, cure: int, late: str = "10 minutes") -> DataFrame:
+    """``lifecycle.failover_log`` of a stream (vm_id, ts, event_id): a node's
+    return is a timer of event time, set when it is lost.
+
+    A service's returns that are due come before the next loss, or once the
+    watermark has passed them.  Losses are taken in order within a micro-batch;
+    one that is older than those of an earlier batch is taken last.  services is
+    a table of few rows a service, joined as it is.
+    """
+    sizes = services.groupBy("service").agg(F.count("*").cast("int").alias("nodes"))
+    named = services.groupBy("service").agg(F.map_from_entries(F.collect_list(F.struct(F.col("rank").cast("int"), F.col("vm_id")))).alias("names"))
+    rows = events.withWatermark("ts", late).join(services.select("service", "vm_id", F.col("rank").cast("int").alias("rank")), "vm_id").join(sizes, "service")
+    out = "service string, rank int, us long, event_id long, kind string, role_before string, heir int, state string"
+    kept = "roles array<int>, active int, state int, due array<struct<us:long,event_id:long,rank:int>>"
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        lost = []
+        if not state.hasTimedOut:
+            frame = pd.concat(frames)
+            clocks = frame["ts"].to_numpy().astype("datetime64[us]").astype("int64")
+            lost = sorted(zip(clocks.tolist(), frame["event_id"].tolist(), frame["rank"].tolist(), frame["nodes"].tolist()))
+        if state.exists:
+            roles, active, now, due = state.get
+            pair, due = lifecycle.Pair(len(roles), list(roles), active, now), [tuple(d) for d in due]
+        else:
+            pair, due = lifecycle.Pair(lost[0][3]), []
+        found = []
+
+        def move(us: int, number: int, rank: int, healed: bool) -> None:
+            was, heir, after = pair.step(rank, healed)
+            found.append((key[0], rank, us, number, "rejoined" if healed else "compromised", lifecycle.ROLES[was], heir, lifecycle.STATES[after]))
+
+        def return_until(us: float) -> None:
+            while due and due[0][0] <= us:
+                at, number, rank = due.pop(0)
+                move(at, number, rank, True)
+
+        for us, number, rank, _ in lost:
+            return_until(us)
+            move(us, number, rank, False)
+            insort(due, (us + cure, number, rank))
+        return_until(state.getCurrentWatermarkMs() * 1000 - 1)
+        state.update((pair.roles, pair.active, pair.state, due))
+        if due:
+            _keep(state, due[0][0])
+        names = [f.split()[0] for f in out.split(", ")]
+        yield pd.DataFrame(found, columns=names).astype({"heir": "Int32"})
+
+    logged = rows.select("service", "rank", "nodes", "ts", "event_id").groupBy("service").applyInPandasWithState(run, out, kept, "append", GroupStateTimeout.EventTimeTimeout)
+    named_rows = logged.join(named, "service")
+    return named_rows.select("service", F.col("names")[F.col("rank")].alias("vm_id"), "us", "event_id", "kind", "role_before", F.when(F.col("heir").isNotNull(), F.col("names")[F.col("heir")]).alias("promoted"), "state")

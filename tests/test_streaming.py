@@ -9,7 +9,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from arcwatch.operators import windows
+from arcwatch.operators import lifecycle, windows
 from arcwatch.sources import logs
 from arcwatch.streaming import telemetry
 
@@ -115,3 +115,26 @@ def test_silence_is_reported_once(spark, feed):
     got = drain(telemetry.silent_agents(telemetry.read_events(spark, feed.path)), feed, "silence")
     assert sorted((r["vm_id"], r["last_us"]) for r in got)[0] == ("a", int((START + timedelta(seconds=10)).timestamp() * 1e6))
     assert all(r["vm_id"] == "a" for r in got)
+
+
+def test_failovers_with_returns_are_those_of_the_batch(spark, feed):
+    """Losses in several micro-batches, out of order inside one; nodes return by
+    timers of event time."""
+    nodes = [("web", f"w{r}", r) for r in range(3)] + [("db", f"d{r}", r) for r in range(2)] + [("end", "e0", 0)]
+    services = spark.createDataFrame(nodes, "service string, vm_id string, rank int")
+    losses = [("w0", 0), ("w1", 30), ("w2", 40), ("d1", 45), ("w0", 100), ("d0", 130), ("d1", 131), ("w1", 400), ("w1", 405), ("w2", 460), ("w0", 460), ("d0", 900), ("w0", 905)]
+    for batch in range(3):
+        part = losses[batch * 5 : batch * 5 + 5][::-1]
+        feed(f"{batch}", [(vm, s, "shadow", {"event_id": losses.index((vm, s))}) for vm, s in part])
+    feed("3", [("e0", 5000, "shadow", {"event_id": 99})])
+    feed("4", [("e0", 5001, "shadow", {"event_id": 100})])
+    for n in range(5):  # the order of the files is that of their times
+        os.utime(os.path.join(feed.path, f"{n}.json"), (1_700_000_000 + n, 1_700_000_000 + n))
+    schema = telemetry.SCHEMA + ", event_id long"
+    cure = 60 * windows.SECOND
+    stream = telemetry.failover_log(telemetry.read_events(spark, feed.path, schema, files=1), services, cure, late="1 second")
+    got = [tuple(r) for r in drain(stream, feed, "failovers") if r["service"] != "end"]
+    batch = spark.read.schema(schema).json(feed.path).withColumn("us", F.unix_micros("ts"))
+    want = [tuple(r) for r in lifecycle.failover_log(batch.select("vm_id", "us", "event_id"), services, cure).collect() if r["service"] != "end"]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and len(want) == 26
+    assert {r[-1] for r in want} == {"HEALTHY", "DEGRADED", "NO_STANDBY", "RESTORED"}
