@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import taxonomy
 from ..functions.iocs import SECRETS
 from ..functions.text import entropy, redact
+from .scanning import literals_in
 
 # -- fixed values ----------------------------------------------------------------------
 LINEAGE = {
@@ -218,3 +221,27 @@ def leaked_tokens(texts: DataFrame, tokens: DataFrame, pattern: str = r"[A-Z]{2,
     extracted and joined by equality rather than compared with every token."""
     found = texts.withColumn("token", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))))
     return found.join(tokens, "token")
+
+
+#: Characters of tokens that one automaton holds.
+TOKEN_TEXT = 8 << 20
+
+
+def leaked_anywhere(texts: DataFrame, tokens: DataFrame, text: str = "text") -> DataFrame:
+    """Texts that hold a canary token of whatever form, anywhere: texts with
+    every column of the tokens that they hold.
+
+    Tokens are sought by an automaton a block of at most ``TOKEN_TEXT``
+    characters, one pass over the texts each; empty and null tokens are in no
+    text.
+    """
+    held, size, blocks = [], 0, []
+    for row in tokens.select("token").filter("token <> ''").distinct().orderBy("token").toLocalIterator():
+        held.append(row["token"])
+        size += len(row["token"])
+        if size >= TOKEN_TEXT:
+            blocks.append(held)
+            held, size = [], 0
+    blocks.append(held)
+    found = reduce(DataFrame.unionByName, [texts.withColumn("token", F.explode(literals_in(F.col(text), b))) for b in blocks])
+    return found.join(tokens, "token")

@@ -47,13 +47,15 @@ def locate(addresses: DataFrame, ip: str = "ip") -> DataFrame:
     return addresses.filter(iocs.ipv4_number(F.col(ip)).isNotNull()).withColumn("_p", iocs.placement(F.col(ip))).select(*addresses.columns, "_p.*")
 
 
-def locate_in(addresses: DataFrame, blocks: DataFrame, ip: str = "ip") -> DataFrame:
-    """The narrowest block (first, bits, name) of any number of blocks that
-    holds each address: an equi-join on the prefix, once for each prefix length
-    in use, rather than a range join."""
+def locate_in(addresses: DataFrame, blocks: DataFrame, ip: str = "ip", order: str | None = None) -> DataFrame:
+    """The block (first, bits, name) of any number of blocks that holds each
+    address: the narrowest, or the first by a column ``order`` where blocks
+    overlap and their order counts.  An equi-join on the prefix, once for each of
+    the 33 prefix lengths in use, rather than a range join."""
     lengths = [r["bits"] for r in blocks.select("bits").distinct().orderBy(F.desc("bits")).limit(33).collect()]
     numbered = addresses.withColumn("_n", iocs.ipv4_number(F.col(ip))).filter("_n is not null")
     tries = F.explode(F.array(*[F.struct(F.lit(b).alias("bits"), F.shiftleft(F.shiftright("_n", 32 - b), 32 - b).alias("first")) for b in lengths]))
-    probed = numbered.select(ip, tries.alias("_t")).select(ip, "_t.bits", "_t.first")
-    hits = probed.join(blocks, ["bits", "first"]).groupBy(ip).agg(F.max_by("name", "bits").alias("name"))
+    probed = numbered.select(ip, tries.alias("_t")).select(ip, "_t.bits", "_t.first").distinct()
+    named = F.max_by("name", "bits") if order is None else F.min_by("name", order)
+    hits = probed.join(blocks, ["bits", "first"]).groupBy(ip).agg(named.alias("name"))
     return addresses.join(hits, ip, "left")

@@ -145,3 +145,24 @@ def string_offsets(data: Column, strings: Mapping[str, Mapping]) -> Column:
         return pa.array([list(r.items()) for r in rows], pa.map_(pa.string(), pa.list_(pa.int32())))
 
     return run(data)
+
+
+@cache
+def _tokens(tokens: tuple[str, ...]) -> ahocorasick.Automaton | None:
+    return automaton((t, t) for t in tokens)
+
+
+def literals_in(text: Column, tokens: Iterable[str]) -> Column:
+    """array<string>: which of some literals are in a text, sorted."""
+    spec = tuple(sorted({t for t in tokens if t}))
+
+    @F.arrow_udf("array<string>")
+    def run(texts: pa.Array) -> pa.Array:
+        tree = _tokens(spec)
+        rows = []
+        for cell in texts:
+            line = cell.as_py()
+            rows.append(sorted({t for _, (_, held) in tree.iter(line) for t in held}) if line and tree else [])
+        return pa.array(rows, pa.list_(pa.string()))
+
+    return run(text)

@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import hosts, lifecycle, network, rules
+from ..operators import hosts, indicators, lifecycle, network, profiles, rules
 from ..operators.windows import DAY
-from ..sources.tables import telemetry
+from ..sources.tables import read, telemetry
 from .operations import _NAMES, QUERIES, SQL
 from .security import _PIECES, T, query
 
@@ -131,3 +131,79 @@ def failover_log(spark, sf_dir):
     whole = services.groupBy("service").agg(F.count("*").alias("n")).filter("n = 3").select("service")
     lost = t.filter("event_type = 'error'").select(F.col("user_id").alias("vm_id"), "us", "event_id")
     return lifecycle.failover_log(lost, services.join(whole, "service"), _CURE)
+
+
+# -- lookups --------------------------------------------------------------------------------
+
+_BLOCKS = """b AS (SELECT n_nationkey AS nth, '10.' || (n_nationkey // 4) || CASE n_nationkey % 4 WHEN 0 THEN '.0.0' WHEN 1 THEN '.64.0' WHEN 2 THEN '.64.0' ELSE '.65.0' END AS base, CASE n_nationkey % 4 WHEN 0 THEN 16 WHEN 1 THEN 18 WHEN 2 THEN 24 ELSE 24 END AS bits, n_name AS name FROM nation),
+n AS (SELECT *, split_part(base, '.', 1)::BIGINT * 16777216 + split_part(base, '.', 2)::BIGINT * 65536 + split_part(base, '.', 3)::BIGINT * 256 AS first FROM b),
+a AS (SELECT c_custkey, '10.' || (c_custkey % 9) || '.' || (c_custkey % 130) || '.' || (c_custkey % 250) AS ip, (10 * 16777216 + (c_custkey % 9) * 65536 + (c_custkey % 130) * 256 + c_custkey % 250)::BIGINT AS v FROM customer)"""
+
+
+@query(f"""WITH {_BLOCKS}, h AS (SELECT c_custkey, arg_min(name, nth) AS first_name, arg_max(name, nth) AS last_name, arg_max(name, bits) AS narrowest FROM a JOIN n ON v >= first AND v < first + (1::BIGINT << (32 - bits)) GROUP BY c_custkey)
+SELECT c_custkey, ip, first_name, last_name, narrowest FROM a LEFT JOIN h USING (c_custkey)""")
+def blocks_in_order(spark, sf_dir):
+    n = F.col("n_nationkey")
+    third = F.when(n % 4 == 0, 0).when(n % 4 == 3, 65).otherwise(64)
+    first = 10 * 16777216 + F.expr("n_nationkey div 4") * 65536 + third * 256
+    blocks = read(spark, sf_dir, "nation").select(first.cast("long").alias("first"), F.when(n % 4 == 0, 16).when(n % 4 == 1, 18).otherwise(24).alias("bits"), F.col("n_name").alias("name"), n.alias("at"), (-n).alias("back"))
+    c = F.col("c_custkey")
+    addresses = read(spark, sf_dir, "customer").select("c_custkey", _text("10.", c % 9, ".", c % 130, ".", c % 250).alias("ip"))
+    ips = addresses.select("ip").distinct()
+    named = {name: indicators.locate_in(ips, blocks, order=order).withColumnRenamed("name", name) for name, order in (("first_name", "at"), ("last_name", "back"), ("narrowest", None))}
+    for rows in named.values():
+        addresses = addresses.join(rows, "ip", "left")
+    return addresses.select("c_custkey", "ip", *named)
+
+
+@query("""WITH k AS (SELECT DISTINCT substr(text, 30, 14) AS token FROM benchmark), s AS (SELECT token FROM k WHERE length(token) = 14 UNION SELECT 'x' || lower(s_name) FROM supplier)
+SELECT doc_id, token FROM documents JOIN s ON contains(text, token)""")
+def leaked_anywhere(spark, sf_dir):
+    passages = read(spark, sf_dir, "benchmark").select(F.substring("text", 30, 14).alias("token")).filter("length(token) = 14")
+    tokens = passages.union(read(spark, sf_dir, "supplier").select(F.concat(F.lit("x"), F.lower("s_name")))).distinct()
+    return hosts.leaked_anywhere(read(spark, sf_dir, "documents").select("doc_id", "text"), tokens).select("doc_id", "token")
+
+
+# -- profiles -------------------------------------------------------------------------------
+
+_HALVES = f"{T}, c AS (SELECT quantile_disc(us, 0.6) AS cut FROM t), a AS (SELECT t.* FROM t, c WHERE us < cut), b AS (SELECT t.* FROM t, c WHERE us >= cut)"
+
+
+def _profile(spark, sf_dir) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Learnt from two stretches of the first six tenths of the clock, merged; and
+    the events after them."""
+    t = telemetry(spark, sf_dir).withColumn("hour", F.hour("ts") + F.minute("ts") / 60.0)
+    cut = t.agg(F.expr("percentile_disc(0.6) WITHIN GROUP (ORDER BY us)").alias("cut"), F.expr("percentile_disc(0.3) WITHIN GROUP (ORDER BY us)").alias("early"))
+    t = t.crossJoin(F.broadcast(cut))
+    parts = [profiles.learn(rows, "user_id", "hour", "k", "value") for rows in (t.filter("us < early"), t.filter("us >= early and us < cut"))]
+    return profiles.merge(*parts), t.filter("us >= cut")
+
+
+@query(f"""{_HALVES}, p AS (SELECT user_id, count(*) AS n, sum(cos((extract(hour FROM ts) + extract(minute FROM ts) / 60.0) * pi() / 12)) AS c, sum(sin((extract(hour FROM ts) + extract(minute FROM ts) / 60.0) * pi() / 12)) AS s FROM a GROUP BY user_id HAVING count(*) >= 10),
+d AS (SELECT event_id, b.user_id, sqrt(-2 * ln(greatest(1e-6, least(0.999999, sqrt(c * c + s * s) / n)))) AS spread, (extract(hour FROM ts) + extract(minute FROM ts) / 60.0) * pi() / 12 - atan2(s, c) AS f FROM b JOIN p ON b.user_id = p.user_id)
+SELECT user_id, event_id, round(abs(atan2(sin(f), cos(f))), 5) AS distance FROM d WHERE abs(atan2(sin(f), cos(f))) > 1.5 * greatest(spread, 0.05)""")
+def profile_odd_hours(spark, sf_dir):
+    known, later = _profile(spark, sf_dir)
+    return profiles.odd_hours(known, later, "user_id", "hour", sigmas=1.5).select("user_id", "event_id", F.round("distance", 5).alias("distance"))
+
+
+@query(f"""{_HALVES}, l AS (SELECT user_id, list(value ORDER BY us, event_id) AS v FROM a GROUP BY user_id HAVING count(*) >= 8), m AS (SELECT user_id, v, list_median(v) AS med FROM l),
+d AS (SELECT user_id, med, list_median([abs(x - med) FOR x IN v]) * 1.4826 AS raw FROM m) SELECT b.user_id, event_id, round((value - med) / CASE WHEN raw > 0 THEN raw ELSE 1.0 END, 4) AS mod_z FROM b JOIN d ON b.user_id = d.user_id WHERE (value - med) / CASE WHEN raw > 0 THEN raw ELSE 1.0 END > 2""")
+def profile_odd_volumes(spark, sf_dir):
+    known, later = _profile(spark, sf_dir)
+    return profiles.odd_volumes(known, later, "user_id", "value", limit=2.0).select("user_id", "event_id", F.round("mod_z", 4).alias("mod_z"))
+
+
+@query(f"""{_HALVES}, u AS (SELECT k, count(DISTINCT user_id) AS users FROM a GROUP BY k), e AS (SELECT count(DISTINCT user_id) AS entities FROM a)
+SELECT DISTINCT b.user_id, b.k, coalesce(users, 0) AS users FROM b LEFT JOIN u ON b.k = u.k, e WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.user_id = b.user_id AND a.k = b.k) AND coalesce(users, 0) <= 0.4 * entities""")
+def profile_new_items(spark, sf_dir):
+    known, later = _profile(spark, sf_dir)
+    return profiles.new_items(known, later, "user_id", "k", share=0.4).select("user_id", "k", "users")
+
+
+@query(f"""{_HALVES}, g AS (SELECT event_id, user_id, us, k, lag(k) OVER (PARTITION BY user_id ORDER BY us, event_id) AS prev FROM t), s AS (SELECT g.* FROM g, c WHERE us < cut AND prev IS NOT NULL), f AS (SELECT prev, count(*) AS n_prev FROM s GROUP BY prev), h AS (SELECT prev, k, count(*) AS n_step FROM s GROUP BY prev, k)
+SELECT g.user_id, g.event_id, g.prev, g.k, n_prev, coalesce(n_step, 0) AS n_step FROM g JOIN c ON g.us >= c.cut JOIN f ON g.prev = f.prev LEFT JOIN h ON g.prev = h.prev AND g.k = h.k WHERE n_prev >= 10 AND coalesce(n_step, 0) <= 0.01 * n_prev
+  AND NOT EXISTS (SELECT 1 FROM s WHERE s.user_id = g.user_id AND s.prev = g.prev AND s.k = g.k)""")
+def profile_new_steps(spark, sf_dir):
+    known, later = _profile(spark, sf_dir)
+    return profiles.new_steps(known, later, "user_id", "k").select("user_id", "event_id", "prev", "k", "n_prev", "n_step")
