@@ -20,7 +20,8 @@ bounded whatever it grows to; documents are never shuffled.
 
 Nulls: null texts and items have no words.  A null doc_id or item_id is
 carried as null.  Repeated rows give repeated results, and equal items are met
-each.  A document keeps its other columns, whatever their names.
+each.  A text and an item that repeat one word overlap on every diagonal where
+their runs meet, and each is a row, found in time linear in the text.  A document keeps its other columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ WINDOW, MISSES = 13, 2
 MASKS = ((0, 1, 2, 3, 6, 7), (0, 1, 3, 5, 6, 7))
 SHORT_MASKS = ((0, 1, 2, 3),)
 BLOCK_BYTES = 16 << 20
+#: Hits, or words of diagonals, that are held at once.
+AT_ONCE = 1 << 21
 
 _U = np.uint64
 _BITS = 20
@@ -62,8 +65,25 @@ def allowed(length: int) -> tuple[int, int]:
     return length, int(length >= 8)
 
 
+def _runs(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, length) of the runs of one repeated word of this length at least."""
+    edge = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1], [True]])) if len(words) else np.zeros(1, np.int64)
+    start, length = edge[:-1], np.diff(edge)
+    return start[length >= least], length[length >= least]
+
+
+def _inside(n: int, start: np.ndarray, length: np.ndarray, width: int) -> np.ndarray:
+    """Which of n places begin a window of this width inside one of the runs."""
+    step = np.zeros(n + 1, np.int64)
+    np.add.at(step, np.minimum(start, n), 1)
+    np.add.at(step, np.minimum(start + length - width + 1, n), -1)
+    return np.cumsum(step[:-1]) > 0
+
+
 def build_index(item_ids: pa.Array, texts: pa.Array) -> dict:
-    """Words of the items and sorted seed tables, for one block."""
+    """Words of the items, and sorted seed tables for one block: for each mask
+    those of windows of several words, and those inside runs of one repeated
+    word, which come with the runs."""
     hashes, lengths = [np.zeros(0, _U)], []
     for _, _, data, offs in pieces(texts):
         words = Words(data, offs, PUNCTUATION)
@@ -75,60 +95,124 @@ def build_index(item_ids: pa.Array, texts: pa.Array) -> dict:
     tables = []
     for masks, fits in ((MASKS, length >= WINDOW), (SHORT_MASKS, (length >= 4) & (length < WINDOW))):
         for mask in masks:
-            seed, item, place = [np.zeros(0, _U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            width = max(mask) + 1
+            seed, item, place, within = [np.zeros(0, _U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+            runs: dict[int, list[tuple[int, int, int]]] = {}
             for i in np.flatnonzero(fits):
-                own = _seeds(words[offs[i] : offs[i + 1]], mask)
-                seed.append(own)
-                item.append(np.full(len(own), i))
-                place.append(np.arange(len(own)))
-            seed, item, place = map(np.concatenate, (seed, item, place))
-            order = np.argsort(seed, kind="stable")
-            seen = np.zeros(1 << _BITS, bool)
-            seen[seed >> _U(64 - _BITS)] = True
-            tables.append((mask, seed[order], item[order], place[order], seen))
+                own = words[offs[i] : offs[i + 1]]
+                start, size = _runs(own, width)
+                for at, n in zip(start.tolist(), size.tolist()):
+                    runs.setdefault(int(own[at]), []).append((int(i), at, n))
+                seeds = _seeds(own, mask)
+                within.append(_inside(len(seeds), start, size, width))
+                seed.append(seeds)
+                item.append(np.full(len(seeds), i))
+                place.append(np.arange(len(seeds)))
+            seed, item, place, within = map(np.concatenate, (seed, item, place, within))
+            for inside in (False, True):
+                chosen = np.flatnonzero(within == inside)
+                order = chosen[np.argsort(seed[chosen], kind="stable")]
+                seen = np.zeros(1 << _BITS, bool)
+                seen[seed[order] >> _U(64 - _BITS)] = True
+                tables.append((mask, seed[order], item[order], place[order], seen, runs if inside else None))
     return {"ids": item_ids.to_pylist(), "words": words, "offs": offs, "tables": tables}
 
 
 def _hits(words: Words, index: dict) -> np.ndarray:
-    """Distinct (text, item, diagonal) of all seed hits."""
+    """Distinct (text, item, diagonal) of all seed hits.
+
+    Two runs of one word meet on a stretch of diagonals, which is written down
+    as such rather than seed by seed, as all seeds inside them are alike; other
+    hits are made distinct AT_ONCE at a time, as one number each.
+    """
     owner = np.repeat(np.arange(len(words.offs) - 1), np.diff(words.offs))
-    found = [np.zeros((0, 3), np.int64)]
-    for mask, seeds, items, places, seen in index["tables"]:
+    items = len(index["offs"]) - 1
+    longest = int(np.diff(index["offs"]).max(initial=0))
+    # a diagonal is over -longest; texts of a piece, items of a block and words fit
+    span = longest + int(np.diff(words.offs).max(initial=0)) + 1
+    found = [np.zeros(0, np.int64)]
+
+    def met(text: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> None:
+        found.append(np.unique((text * items + item) * span + diagonal + longest))
+
+    for mask, seeds, of_item, places, seen, runs in index["tables"]:
+        width = max(mask) + 1
         own = _seeds(words.hash, mask)
+        alike = np.zeros(len(own), bool)
+        if runs:
+            here = np.isin(words.hash, np.array(list(runs), _U))
+            for text in np.unique(owner[here]).tolist():
+                first, end = words.offs[text], words.offs[text + 1]
+                start, size = _runs(words.hash[first:end], width)
+                alike[first : min(end, len(own))] |= _inside(end - first, start, size, width)[: max(0, len(own) - first)]
+                for at, n in zip(start.tolist(), size.tolist()):
+                    for item, place, m in runs.get(int(words.hash[first + at]), ()):
+                        stretch = np.arange(at - place - m + width, at + n - width - place + 1)
+                        met(np.full(len(stretch), text), np.full(len(stretch), item), stretch)
         if not len(own) or not len(seeds):
             continue
-        at = np.flatnonzero(seen[own >> _U(64 - _BITS)] & (owner[: len(own)] == owner[max(mask) :]))
+        at = np.flatnonzero(seen[own >> _U(64 - _BITS)] & ~alike & (owner[: len(own)] == owner[width - 1 :]))
         lo, hi = np.searchsorted(seeds, own[at]), np.searchsorted(seeds, own[at], "right")
         n = hi - lo
-        entry = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        at = np.repeat(at, n)
-        text = owner[at]
-        found.append(np.stack([text, items[entry], at - words.offs[text] - places[entry]], 1))
-    return np.unique(np.concatenate(found), axis=0)
-
-
-def overlaps(words: Words, index: dict) -> list[tuple[int, int, int, int, int, int]]:
-    """(text, item, first word in text, first word in item, words, same words)
-    of every verified overlap; runs that overlap on a diagonal are one."""
-    out = []
-    for text, item, diagonal in _hits(words, index).tolist():
-        first, end = words.offs[text], words.offs[text + 1]
-        own = index["words"][index["offs"][item] : index["offs"][item + 1]]
-        start = max(0, -diagonal)
-        stop = min(len(own), end - first - diagonal)
-        run, misses = allowed(len(own))
-        if stop - start < run:
-            continue
-        same = words.hash[first + diagonal + start : first + diagonal + stop] == own[start:stop]
-        total = np.concatenate([[0], np.cumsum(same)])
-        good = np.flatnonzero(total[run:] - total[:-run] >= run - misses)
-        if not len(good):
-            continue
-        gaps = np.flatnonzero(np.diff(good) > run)
-        for a, b in zip(np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(good) - 1]])):
-            lo, hi = good[a], good[b] + run
-            out.append((text, item, int(diagonal + start + lo), int(start + lo), int(hi - lo), int(total[hi] - total[lo])))
-    return out
+        at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
+        ends = np.cumsum(n)
+        while len(at):
+            many = max(1, int(np.searchsorted(ends, ends[0] - n[0] + AT_ONCE, "right")))
+            k = n[:many]
+            entry = np.repeat(lo[:many] - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())
+            place = np.repeat(at[:many], k)
+            text = owner[place]
+            met(text, of_item[entry], place - words.offs[text] - places[entry])
+            at, lo, n, ends = at[many:], lo[many:], n[many:], ends[many:]
+    codes = np.unique(np.concatenate(found))
+    pair, diagonal = codes // span, codes % span - longest
+    return np.stack([pair // max(items, 1), pair % max(items, 1), diagonal], 1)
+
+
+def _verified(words: Words, index: dict, text: int, item: int, diagonals: np.ndarray) -> np.ndarray:
+    """Rows of overlaps on some diagonals of a text and an item."""
+    first, end = words.offs[text], words.offs[text + 1]
+    own = index["words"][index["offs"][item] : index["offs"][item + 1]]
+    run, misses = allowed(len(own))
+    n, size = int(end - first), len(own)
+    padded = np.concatenate([np.zeros(size, _U), words.hash[first:end], np.zeros(size, _U)])
+    at = diagonals + size
+    # neighbouring diagonals are a view, others are copied row by row
+    at = slice(int(at[0]), int(at[-1]) + 1) if at[-1] - at[0] == len(at) - 1 else at
+    same = np.lib.stride_tricks.sliding_window_view(padded, size)[at] == own
+    kind = np.int16 if size < 1 << 15 else np.int32
+    edge = (diagonals < 0) | (diagonals + size > n)
+    if edge.any():
+        place = diagonals[edge, None] + np.arange(size)
+        same[edge] &= (place >= 0) & (place < n)
+    total = np.zeros((len(diagonals), size + 1), kind)
+    np.cumsum(same, 1, out=total[:, 1:], dtype=kind)
+    good = total[:, run:] - total[:, :-run] >= run - misses
+    if edge.any():
+        # the run itself lies in the text
+        start = diagonals[edge, None] + np.arange(size - run + 1)
+        good[edge] &= (start >= 0) & (start + run <= n)
+    row, at = np.nonzero(good)
+    if not len(row):
+        return np.zeros((0, 6), np.int64)
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(row) > 0) | (np.diff(at) > run)]))
+    last = np.append(new[1:], len(row)) - 1
+    row, lo, hi = row[new], at[new], at[last] + run
+    return np.stack([np.full(len(row), text), np.full(len(row), item), diagonals[row] + lo, lo, hi - lo, total[row, hi] - total[row, lo]], 1)
+
+
+def overlaps(words: Words, index: dict) -> np.ndarray:
+    """Rows (text, item, first word in text, first word in item, words, same
+    words) of every verified overlap; runs that overlap on a diagonal are one."""
+    hits = _hits(words, index)
+    out = [np.zeros((0, 6), np.int64)]
+    edges = np.flatnonzero(np.concatenate([[True], (np.diff(hits[:, :2], axis=0) != 0).any(1)])) if len(hits) else []
+    for a, b in zip(edges, [*edges[1:], len(hits)]):
+        text, item = hits[a, :2].tolist()
+        size = max(1, AT_ONCE // max(1, int(index["offs"][item + 1] - index["offs"][item])))
+        for at in range(a, b, size):
+            out.append(_verified(words, index, text, item, hits[at : min(at + size, b), 2]))
+    return np.concatenate(out)
 
 
 def _passes(benchmark: DataFrame, through: Callable) -> Iterator[DataFrame]:
@@ -158,10 +242,12 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for batch in batches:
                 ids, rows = batch.column(0), []
                 for first, _, data, offs in pieces(batch.column(1)):
-                    rows += [(first + t, *rest) for t, *rest in overlaps(Words(data, offs, PUNCTUATION), index.value)]
-                cols = list(zip(*rows)) if rows else [[]] * 6
+                    met = overlaps(Words(data, offs, PUNCTUATION), index.value)
+                    met[:, 0] += first
+                    rows.append(met)
+                cols = np.concatenate(rows or [np.zeros((0, 6), np.int64)]).T
                 yield pa.record_batch(
-                    [ids.take(pa.array(cols[0], pa.int64())), pa.array([index.value["ids"][i] for i in cols[1]], pa.int64()), *(pa.array(c, pa.int64()) for c in cols[2:])],
+                    [ids.take(pa.array(cols[0])), pa.array(index.value["ids"], pa.int64()).take(pa.array(cols[1])), *map(pa.array, cols[2:])],
                     names=["doc_id", "item_id", "doc_word", "item_word", "n_words", "n_same"],
                 )
 
@@ -180,8 +266,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for batch in batches:
                 clean = np.ones(len(batch), bool)
                 for first, _, data, offs in pieces(batch.column(at)):
-                    for text, *_ in overlaps(Words(data, offs, PUNCTUATION), index.value):
-                        clean[first + text] = False
+                    clean[first + overlaps(Words(data, offs, PUNCTUATION), index.value)[:, 0]] = False
                 yield batch.filter(pa.array(clean))
 
         return run

@@ -1,7 +1,8 @@
 """Near-duplicate embeddings by an inverted multi-index.
 
-Unit vectors are cut in two halves with a codebook each; the pair of nearest
-codes is a cell of the product grid.  A query visits cells by multi-sequence
+Unit vectors, less the mean of their label, are cut in two halves with a codebook
+each; the pair of nearest codes is a cell of the product grid.  Labels that are
+clusters would else have their vectors in few cells.  A query visits cells by multi-sequence
 traversal: both lists of code distances are sorted, and the next pair in order
 of the summed squared distances is taken from the heads of the sequences, until
 the sum exceeds that of the query's own cell by ``excess``.  The excess is
@@ -24,7 +25,8 @@ beyond the ``LENGTHS`` most frequent, vectors of one length are one cell.
 Nulls: vectors that are null, empty, zero or that hold null or non-finite
 components link with nothing, and neither do rows whose label is null or whose
 vec_id is null.  Vectors of different lengths do not link.  Rows that repeat a
-vec_id are one vector each, and equal ones count as links of each other.  Other
+vec_id are one vector each, and equal ones count as links of each other.  Very
+large and very small components are scaled by powers of two first.  Other
 columns are ignored; an empty table gives no rows.
 """
 
@@ -34,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, spread_join, table
@@ -43,6 +45,8 @@ from .components import components
 COSINE = 0.93
 SAMPLE = 8192
 LENGTHS = 8
+#: Nodes of a label that its mean is taken from.
+LABEL_SAMPLE = 256
 #: Vectors of one label to a cell of the grid.
 CELL = 512
 BLOCK = 2048
@@ -66,10 +70,17 @@ def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def _unit(column: pd.Series) -> np.ndarray:
+    """Unit vectors.  The largest component is made 1 first, so that no square
+    leaves what a double holds."""
     x = np.stack(column.to_numpy()).astype(float)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def _means(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(float)
+
+
 def _halves(x: np.ndarray, books: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Squared distances of the halves of each row to the codes of their book."""
     half = x.shape[1] // 2
@@ -103,15 +114,15 @@ def traverse(one: np.ndarray, two: np.ndarray, excess: float) -> tuple[np.ndarra
     return np.concatenate(rows), np.concatenate(cells)
 
 
-def excess_for_recall(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], cosine: float, recall: float) -> float:
+def excess_for_recall(x: np.ndarray, means: np.ndarray, books: tuple[np.ndarray, np.ndarray], cosine: float, recall: float) -> float:
     """How far past its own cell's sum a query must go, so that this share of
     links at the threshold is met."""
     rng = np.random.default_rng(7)
     side = rng.normal(size=x.shape)
     side -= (side * x).sum(1, keepdims=True) * x
     side /= np.maximum(np.sqrt((side * side).sum(1, keepdims=True)), 1e-12)
-    one, two = _halves(x, books)
-    far_one, far_two = _halves(cosine * x + np.sqrt(1 - cosine**2) * side, books)
+    one, two = _halves(x - means, books)
+    far_one, far_two = _halves(cosine * x + np.sqrt(1 - cosine**2) * side - means, books)
     every = np.arange(len(x))
     needed = one[every, far_one.argmin(1)] + two[every, far_two.argmin(1)] - one.min(1) - two.min(1)
     return float(np.quantile(needed, recall, method="higher")) + 1e-9
@@ -131,7 +142,7 @@ def _route(shared):
         row, cell = np.arange(len(part)), np.zeros(len(part), np.int64)
         if d in shared.value:
             books, excess = shared.value[d]
-            row, cell = traverse(*_halves(_unit(part["v"]), books), excess)
+            row, cell = traverse(*_halves(_unit(part["v"]) - _means(part["mean"]), books), excess)
         by = np.argsort(row, kind="stable")
         row, cell = row[by], cell[by]
         first = np.searchsorted(row, np.arange(len(part)))
@@ -196,15 +207,30 @@ def _compare(cosine: float):
     return run
 
 
-def train_index(nodes: DataFrame, d: int, count: int, cosine: float, recall: float) -> tuple[tuple[np.ndarray, np.ndarray], float]:
-    """Codebooks by k-means of each half of the vectors of length d, and the
+def train_index(placed: DataFrame, d: int, count: int, cosine: float, recall: float) -> tuple[tuple[np.ndarray, np.ndarray], float]:
+    """Codebooks by k-means of each half of the residuals of length d, and the
     excess, from the ``SAMPLE`` vectors of smallest hash."""
-    sample = nodes.filter(F.size("v") == d).orderBy("h1", "h2", "label").limit(SAMPLE).select("v").toPandas()
-    x = _unit(sample["v"])
+    sample = placed.filter(F.col("d") == d).orderBy("h1", "h2", "label").limit(SAMPLE).select("v", "mean").toPandas()
+    x, means = _unit(sample["v"]), _means(sample["mean"])
     half = x.shape[1] // 2
     codes = min(SAMPLE // 8, max(1, int(np.ceil((count / CELL) ** 0.5))))
-    books = _kmeans(x[:, :half], codes), _kmeans(x[:, half:], codes)
-    return books, excess_for_recall(x[:2048], books, cosine, recall)
+    books = _kmeans((x - means)[:, :half], codes), _kmeans((x - means)[:, half:], codes)
+    return books, excess_for_recall(x[:2048], means[:2048], books, cosine, recall)
+
+
+def label_means(nodes: DataFrame) -> DataFrame:
+    """d, label and the mean of the unit vectors of its ``LABEL_SAMPLE`` nodes of
+    smallest hash: where residuals are taken from, so any point near the label's
+    vectors does."""
+    nth = F.row_number().over(Window.partitionBy("d", "label").orderBy("h1", "h2"))
+    drawn = nodes.withColumn("_n", nth).filter(F.col("_n") <= LABEL_SAMPLE)
+    # scaled first, as in _unit
+    scaled = F.transform("v", lambda c: c.cast("double") / F.array_max(F.transform("v", lambda e: F.abs(e.cast("double")))))
+    drawn = drawn.select("d", "label", scaled.alias("v"))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c))
+    flat = drawn.withColumn("_length", length).select("d", "label", "_length", F.posexplode("v").alias("at", "c"))
+    by_place = flat.groupBy("d", "label", "at").agg(F.avg(F.col("c") / F.col("_length")).alias("m"))
+    return by_place.groupBy("d", "label").agg(F.array_sort(F.collect_list(F.struct("at", "m"))).alias("_m")).select("d", "label", F.col("_m.m").alias("mean"))
 
 
 def link_embeddings(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
@@ -218,10 +244,13 @@ def link_embeddings(vectors: DataFrame, cosine: float = COSINE, recall: float =
     # numbered once and written, so a lost task cannot number anew
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()), "vectors")
 
+    # a label may hold any share of the nodes
+    placed = nodes.select("label", "node", "v", "h1", "h2", F.size("v").alias("d"))
+    placed = cut(spread_join(placed, label_means(placed), ["d", "label"], "node"), "placed")
     by_label = nodes.groupBy(F.size("v").alias("d"), "label").agg(F.count("*").alias("n"))
     lengths = by_label.groupBy("d").agg(F.sum("n").alias("all"), F.max("n").alias("n")).filter("d > 1").orderBy(F.desc("all"), "d").limit(LENGTHS).collect()
-    index = vectors.sparkSession.sparkContext.broadcast({r["d"]: train_index(nodes, r["d"], r["n"], cosine, recall) for r in lengths})
-    routed = nodes.select("label", "node", "v").mapInPandas(_route(index), "label string, d int, cell long, home long, node long, visited array<long>")
+    index = vectors.sparkSession.sparkContext.broadcast({r["d"]: train_index(placed, r["d"], r["n"], cosine, recall) for r in lengths})
+    routed = placed.select("label", "node", "v", "mean").mapInPandas(_route(index), "label string, d int, cell long, home long, node long, visited array<long>")
     # the routes are written without the vectors, which are met again by node
     routed = cut(routed, "routes")
     # members are the rows in their own cells; every row is a query of each cell it visits
@@ -243,10 +272,12 @@ def link_embeddings(vectors: DataFrame, cosine: float = COSINE, recall: float =
     known = nodes.select(*same, "node", "least", "copies").join(counts, "node", "left").join(roots, "node", "left")
     known = known.withColumn("root", F.coalesce("root", "node"))
     ids = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = known.join(ids, "root").select(*same, "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.lit(True).alias("fit"))
-    out = rows.select("vec_id", *same, "fit").join(known, [*same, "fit"], "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    known = known.join(ids, "root").select(*same, "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    # equal vectors may be any share of the rows, and so may those that link with nothing
+    linked = spread_join(rows.filter("fit").select("vec_id", *same), known, same, "vec_id").select("vec_id", "n_links", "component_id")
+    alone = rows.filter("not fit").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = linked.unionByName(alone)
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def op7_embeddings(spark, sf_dir: str) -> DataFrame:

@@ -750,3 +750,75 @@ def test_language_learns_and_names_the_undetermined(spark, empty):
     nothing = language.train(docs.withColumn("lang", F.lit(None).cast("string")), F.lit(True))
     assert {r["lang_pred"] for r in language.identify(docs, nothing).collect()} == {"und"}
     assert language.identify(empty, model).count() == 0
+
+
+def test_embeddings_of_any_size_link(spark):
+    """Components near the ends of what a double holds."""
+    rng = np.random.default_rng(3)
+    plain = [(i, rng.normal(size=4).tolist(), 1) for i in range(40)]
+    tiny, huge = rng.normal(size=4), rng.normal(size=4)
+    rows = plain + [(50, (tiny * 1e-200).tolist(), 1), (51, (tiny * 3e-308).tolist(), 1), (52, (huge * 1e200).tolist(), 1), (53, (huge * 2e300).tolist(), 1), (54, [5e-324, 0.0, 0.0, 0.0], 2), (55, [1e308, 0.0, 0.0, 0.0], 2)]
+    got = {r["vec_id"]: r for r in embeddings.link_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    unit = {i: np.array(v) / np.abs(v).max() for i, v, _ in rows}
+    unit = {i: v / np.linalg.norm(v) for i, v in unit.items()}
+    label = {i: k for i, _, k in rows}
+    want = {i: sum(j != i and label[i] == label[j] and unit[i] @ unit[j] >= 0.93 for j in unit) for i in unit}
+    assert {i: r["n_links"] for i, r in got.items()} == want and want[50] and want[52] and want[54]
+
+
+def test_clustered_labels_are_not_compared_as_a_whole(spark, monkeypatch):
+    """Labels whose vectors crowd around a point of their own."""
+    rng = np.random.default_rng(8)
+    labels, each, d = 4, 1500, 32
+    rows, unit, kind = [], [], []
+    for k in range(labels):
+        centre = rng.normal(size=d)
+        centre /= np.linalg.norm(centre)
+        for i in range(each):
+            v = centre + rng.normal(size=d) * 0.12
+            if i % 10 == 1:
+                v = last + rng.normal(size=d) * 0.02
+            last = v
+            rows.append((k * each + i, v.tolist(), k))
+            unit.append(v / np.linalg.norm(v))
+            kind.append(k)
+    monkeypatch.setattr(embeddings, "CELL", 16)
+    unit, kind = np.array(unit), np.array(kind)
+    close = (unit @ unit.T >= 0.93) & (kind[:, None] == kind)
+    want = close.sum(1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.link_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert all(got[i] <= want[i] for i in got) and sum(got.values()) >= 0.98 * want.sum() and want.sum() > 500
+
+
+def test_repeated_words_meet_on_stretches_of_diagonals(monkeypatch):
+    """Runs of one word, periods and edges against all diagonals."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(decontamination, "AT_ONCE", 64)
+    rng = np.random.default_rng(1)
+
+    def plain(doc, item):
+        a, b = doc.split(), item.split()
+        run, misses = decontamination.allowed(len(b))
+        for diagonal in range(-len(b), len(a)) if len(b) >= 4 else ():
+            cells = [(diagonal + j, j) for j in range(len(b)) if 0 <= diagonal + j < len(a)]
+            same = [a[i] == b[j] for i, j in cells]
+            good = [k for k in range(len(same) - run + 1) if sum(same[k : k + run]) >= run - misses]
+            while good:
+                k = next((n for n in range(1, len(good)) if good[n] - good[n - 1] > run), len(good))
+                lo, hi = good[0], good[k - 1] + run
+                yield diagonal + cells[lo][1], cells[lo][1], hi - lo, sum(same[lo:hi])
+                good = good[k:]
+
+    for _ in range(40):
+        some = ["a", "b", "c"][: rng.integers(1, 4)]
+        words = lambda n: " ".join(rng.choice(some, rng.integers(0, n)))
+        docs = [*(words(50) for _ in range(3)), "a " * int(rng.integers(0, 50)), "x " + "a " * 20 + "b " * 15, ""]
+        items = [*(words(40) for _ in range(3)), "a " * int(rng.integers(0, 40)), "b " * 9 + "a " * 12, "q"]
+        index = decontamination.build_index(pa.array(range(6), pa.int64()), pa.array(items, pa.string()))
+        got = sorted((first + int(t), *map(int, rest)) for first, _, data, offs in kernels.pieces(pa.array(docs)) for t, *rest in decontamination.overlaps(kernels.Words(data, offs, kernels.PUNCTUATION), index))
+        assert got == sorted((t, i, *r) for t, doc in enumerate(docs) for i, item in enumerate(items) for r in plain(doc, item))
+    monkeypatch.undo()
+    index = decontamination.build_index(pa.array([1]), pa.array(["a " * 400]))
+    for _, _, data, offs in kernels.pieces(pa.array(["a " * 100_000])):
+        assert len(decontamination.overlaps(kernels.Words(data, offs, kernels.PUNCTUATION), index)) == 100_000 + 400 - 25
