@@ -4,18 +4,21 @@ Two models, one of toxic and one of ordinary text, spell every word letter by
 letter: a letter is predicted from all letters before it in the word (``DEPTH``
 at most).  Counts are of documents, so that one long text is one witness.  Both
 models discount their counts by n1 / (n1 + 2 n2) of their own and back off to
-one model that both share, with the pooled counts of both classes, discounted
-in turn down to letters after the last two.  ``STRENGTH`` is how many documents
-the shared model counts for in every context: where a class has met a beginning
-rarely, both say nearly the same, and a rare inflection of a frequent stem is
-read through the stem.
-
-A word's evidence is the difference of its log-likelihoods.  Every word of a
-text counts, by the softplus of its evidence less a margin (so that many small
-differences of ordinary words don't add up to an insult); the sum is divided by
-the square root of the number of words, as its noise grows.  The margin is
-chosen, and the logistic that makes a probability of it is fitted, on rows held
-back from the models; its intercept is moved to the share of toxic labels.
+one model that both share.  That is interpolated Kneser-Ney over both classes:
+documents of either class in the whole context, then, letter by letter shorter,
+in how many distinct longer contexts a letter followed, down to single letters.
+``STRENGTH`` is how many documents the shared model counts for in every context:
+where a class has met a beginning rarely, both say nearly the same, and a rare
+inflection of a frequent stem is read through the stem.
+
+A text's evidence is the difference of its log-likelihoods under the two, over
+its words.  One insult in a long text would drown in that, so the evidence of
+single words is a second feature: every word counts by the softplus of its own
+difference less a margin (so that many small differences of ordinary words don't
+add up to an insult), and the sum is divided by the square root of the number of
+words, as its noise grows.  The margin is chosen, and the logistic that makes a
+probability of both features is fitted, on rows held back from the models; its
+intercept is moved to the share of toxic labels.
 
 The models are fitted in one task on a bounded sample of labelled rows: per
 class the ``SAMPLE`` documents of smallest hash, one in ``CALIBRATE`` of them
@@ -107,16 +110,42 @@ class Counts:
         return own, np.where(self.total + strength > 0, (strength + spare) / total, 1.0)
 
 
+def continuation(letters: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """For every letter of ``steps`` the probability that the shared model gives
+    it one letter short of its whole context.
+
+    Interpolated Kneser-Ney from single letters up: a context of L letters counts
+    in how many distinct longer contexts a letter followed it, less a discount of
+    its order, and hands the rest to L - 1 letters; below single letters all
+    bytes are alike.
+    """
+    word = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    pos = np.flatnonzero(np.arange(len(letters)) != at[word])
+    whole = pos - np.maximum(at[word[pos]], pos - depth + 1)
+    prefix = prefix_hash(letters)
+    p = np.full(len(pos), 1 / 256)
+    for length in range(depth - 1):
+        # contexts of this length that have a longer one
+        on = np.flatnonzero(whole > length)
+        if not len(on):
+            break
+        here = pos[on]
+        gram, context = span_hash(prefix, here - length, here + 1), span_hash(prefix, here - length, here)
+        _, first = np.unique(span_hash(prefix, here - length - 1, here + 1), return_index=True)
+        counts = Counts(gram[first], context[first], np.ones((1, len(first))))
+        own, spare = counts.discounted()
+        place = np.searchsorted(counts.grams, gram)
+        p[on] = own[0][place] + spare[0][counts.of[place]] * p[on]
+    return p
+
+
 def probabilities(letters: np.ndarray, at: np.ndarray, docs: np.ndarray) -> tuple[Counts, np.ndarray, np.ndarray]:
     """Probabilities of the grams met in words, and backoff weights of the
     contexts, under both classes; docs: documents of each class with each word."""
     word, gram, context = steps(letters, at, DEPTH)
-    _, short, before = steps(letters, at, 3)
-    last = Counts(short, before, docs.sum(0, keepdims=True)[:, word])
-    p_last = last.n[0] / last.total[0][last.of]
     pooled = Counts(gram, context, docs.sum(0, keepdims=True)[:, word])
     own, spare = pooled.discounted()
-    shared = own[0] + spare[0][pooled.of] * p_last[np.searchsorted(last.grams, short[pooled.first])]
+    shared = own[0] + spare[0][pooled.of] * continuation(letters, at, DEPTH)[pooled.first]
     classes = Counts(gram, context, docs[:, word])
     own, spare = classes.discounted(STRENGTH)
     return classes, own + spare[:, classes.of] * shared, spare
@@ -144,31 +173,32 @@ def evidence(words: Words, model: dict) -> np.ndarray:
     return np.bincount(word, ratio, len(first))[own]
 
 
-def _sums(words: Words, model: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Of each text and margin the sum of the softplus of its words' evidence,
-    and its number of words."""
+def _features(words: Words, model: dict) -> np.ndarray:
+    """Of each text the difference of its log-likelihoods over its words, and
+    for each margin the softplus of its words' evidence above it, summed and
+    divided by the square root of the number of words."""
     found = evidence(words, model)
-    total = np.stack([np.concatenate([[0.0], np.cumsum(np.logaddexp(0, SHARPNESS * (found - m)) / SHARPNESS)]) for m in MARGINS], 1)
-    return total[words.offs[1:]] - total[words.offs[:-1]], np.diff(words.offs)
-
-
-def _feature(total: np.ndarray, n: np.ndarray, margin: int) -> np.ndarray:
-    return total[:, margin] / np.sqrt(np.maximum(n, 1))
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and intercept by Newton steps with a little ridge."""
-    w = np.zeros(2)
-    design = np.stack([x, np.ones_like(x)], 1)
+    bent = [np.logaddexp(0, SHARPNESS * (found - m)) / SHARPNESS for m in MARGINS]
+    total = np.concatenate([np.zeros((1, 1 + len(bent))), np.cumsum(np.stack([found, *bent], 1), 0)])
+    n = np.maximum(np.diff(words.offs), 1)[:, None]
+    sums = total[words.offs[1:]] - total[words.offs[:-1]]
+    return np.concatenate([sums[:, :1] / n, sums[:, 1:] / np.sqrt(n)], 1)
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
+    """Weights of the columns of x and the intercept, by Newton steps with a
+    little ridge."""
+    design = np.concatenate([x, np.ones((len(x), 1))], 1)
+    w = np.zeros(design.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        hessian = (design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
+        hessian = (design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(len(w))
         w = w + np.linalg.solve(hessian, design.T @ (y - p) - 1e-3 * w)
-    return float(w[0]), float(w[1])
+    return w
 
 
-def _loss(x: np.ndarray, y: np.ndarray, slope: float, intercept: float) -> float:
-    return float(np.mean(np.logaddexp(0, np.where(y > 0, -1, 1) * (slope * x + intercept))))
+def _loss(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    return float(np.mean(np.logaddexp(0, np.where(y > 0, -1, 1) * (x @ w[:-1] + w[-1]))))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, learn: Column, per_class: int = SAMPLE, size: int = SAMPLE_BYTES) -> DataFrame:
@@ -245,20 +275,18 @@ def build(sample: pa.Table, share: float) -> dict:
     if not docs.any(1).all():
         return {"share": share}
     model = fit(letters, at, docs)
-    totals, sizes, labels = [], [], []
+    found, labels = [], []
     for label, text in enumerate(held):
         for _, _, data, offs in pieces(text):
-            total, n = _sums(Words(data, offs, PUNCTUATION), model)
-            totals.append(total)
-            sizes.append(n)
-            labels.append(np.full(len(n), float(label)))
-    total, n, y = map(np.concatenate, (totals, sizes, labels))
-    fits = [_logistic(_feature(total, n, m), y) for m in range(len(MARGINS))]
-    margin = min(range(len(MARGINS)), key=lambda m: _loss(_feature(total, n, m), y, *fits[m]))
-    slope, intercept = fits[margin]
+            found.append(_features(Words(data, offs, PUNCTUATION), model))
+            labels.append(np.full(len(offs) - 1, float(label)))
+    x, y = np.concatenate(found), np.concatenate(labels)
+    fits = {k: _logistic(x[:, [0, k]], y) for k in range(1, len(MARGINS) + 1)}
+    margin = min(fits, key=lambda k: _loss(x[:, [0, k]], y, fits[k]))
+    weights = fits[margin]
     drawn = (y.sum() + 1) / (len(y) + 2)
-    intercept += np.log(share / (1 - share)) - np.log(drawn / (1 - drawn))
-    return model | {"margin": margin, "slope": max(slope, 0.0), "intercept": float(intercept), "share": share}
+    weights[-1] += np.log(share / (1 - share)) - np.log(drawn / (1 - drawn))
+    return model | {"margin": margin, "weights": weights, "share": share}
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column) -> dict:
@@ -269,10 +297,11 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column) -> dict:
 
 def score_texts(column: pa.Array, model: dict) -> np.ndarray:
     out = np.full(len(column), model["share"])
-    if "slope" in model:
+    if "weights" in model:
+        *slopes, intercept = model["weights"]
         for first, end, data, offs in pieces(column):
-            x = _feature(*_sums(Words(data, offs, PUNCTUATION), model), model["margin"])
-            out[first:end] = 1 / (1 + np.exp(-np.clip(model["slope"] * x + model["intercept"], -700, 700)))
+            x = _features(Words(data, offs, PUNCTUATION), model)[:, [0, model["margin"]]]
+            out[first:end] = 1 / (1 + np.exp(-np.clip(x @ slopes + intercept, -700, 700)))
     return out
 
 

@@ -683,17 +683,24 @@ def test_kneser_ney_probabilities_match_counts_by_hand():
         return +out
 
     d = lambda c: (lambda one, two: one / (one + 2 * two) if one and two else 0.5)(sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values()))
-    short, pooled, own = counts(3, [0, 1]), counts(depth, [0, 1]), [counts(depth, [c]) for c in (0, 1)]
+    pooled, own = counts(depth, [0, 1]), [counts(depth, [c]) for c in (0, 1)]
+    # (context, letter): in how many distinct longer contexts it was met
+    longer = {(w[i - n - 1 : i], w[i]) for w in spelled for i in range(1, len(w)) for n in range(depth - 1) if min(i, depth - 1) > n}
+    followed = Counter((context[1:], letter) for context, letter in longer)
+    by_length = {n: {g: x for g, x in followed.items() if len(g[0]) == n} for n in range(depth)}
 
     def discounted(c, context, letter, strength, lower):
         inside = {g: x for g, x in c.items() if g[0] == context}
         total = sum(inside.values()) + strength
-        return max(c[context, letter] - d(c), 0) / total + (strength + sum(min(x, d(c)) for x in inside.values())) / total * lower
+        if not total:
+            return lower
+        return max(c.get((context, letter), 0) - d(c), 0) / total + (strength + sum(min(x, d(c)) for x in inside.values())) / total * lower
+
+    def shorter(context, letter):
+        return discounted(by_length[len(context)], context, letter, 0, shorter(context[1:], letter) if context else 1 / 256)
 
     def brute(cls, context, letter):
-        before = context[-2:]
-        last = short[before, letter] / sum(x for g, x in short.items() if g[0] == before)
-        return discounted(own[cls], context, letter, toxicity.STRENGTH, discounted(pooled, context, letter, 0, last))
+        return discounted(own[cls], context, letter, toxicity.STRENGTH, discounted(pooled, context, letter, 0, shorter(context[1:], letter)))
 
     order, seen = toxicity.steps(letters, at, depth), set()
     pairs = [g for w in spelled for g in grams(w, depth)]
@@ -702,7 +709,8 @@ def test_kneser_ney_probabilities_match_counts_by_hand():
         assert p[:, k] == pytest.approx([brute(c, context, letter) for c in (0, 1)])
         seen.add(context)
     for context in seen:
-        assert sum(brute(1, context, x) for x in "abcd>") == pytest.approx(1)
+        assert sum(brute(1, context, x) for x in "abcd>") + 251 * brute(1, context, "?") == pytest.approx(1)
+    assert followed["", "b"] == 2 and followed["b", ">"] == 2
 
 
 def test_toxicity_finds_inflections_of_a_learnt_stem(spark):
