@@ -426,10 +426,8 @@ def scan(df: DataFrame, rules: list[Mapping], data: Column) -> DataFrame:
         if "max_size" in rule:
             out = out & (F.octet_length(data) < rule["max_size"])
         if "min_entropy" in rule:
-            from ..functions.text import entropy
-
-            # most rows fail on their strings and are not measured
-            out = F.when(out, entropy(F.decode(data, "ISO-8859-1")) > rule["min_entropy"]).otherwise(False)
+            # most rows fail on their strings, and their bytes are not sent to be measured
+            out = out & F.coalesce(scanning.byte_entropy(F.when(out, data)) > rule["min_entropy"], F.lit(False))
         return out
 
     def own(n: int, rule: Mapping) -> Column:

@@ -13,6 +13,7 @@ from collections.abc import Iterable, Mapping
 from functools import cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -166,3 +167,18 @@ def literals_in(text: Column, tokens: Iterable[str]) -> Column:
         return pa.array(rows, pa.list_(pa.string()))
 
     return run(text)
+
+
+def byte_entropy(data: Column) -> Column:
+    """Bits a byte; 0 for no bytes, null for null."""
+
+    @F.arrow_udf("double")
+    def run(column: pa.Array) -> pa.Array:
+        out = []
+        for cell in column:
+            raw = cell.as_py()
+            n = np.bincount(np.frombuffer(raw, np.uint8)) / max(len(raw), 1) if raw is not None else None
+            out.append(None if n is None else float(-(n[n > 0] * np.log2(n[n > 0])).sum()))
+        return pa.array(out, pa.float64())
+
+    return run(data)

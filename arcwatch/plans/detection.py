@@ -94,6 +94,43 @@ def memory_findings(spark, sf_dir):
     return hosts.memory_findings(regions)
 
 
+_FIRING = [
+    # rule, event_type, the field that decides, what fires, what does not
+    ("crypto_spike", "crypto_spike", "", "", ""), ("inhibit_recovery", "shadow", "", "", ""), ("webshell_spawn", "process", "reason", "web_server_spawned_shell", "ordinary"),
+    ("suspicious_exec_path", "process", "reason", "suspicious_exec_path", "path"), ("c2_nonstandard_port", "network", "dest_port", "31337", "443"), ("agent_tamper", "agent_silence", "", "", ""),
+    ("encoded_powershell", "powershell", "cmdline", "powershell -EncodedCommand QQ==", "powershell -File a.ps1"), ("byovd_driver_load", "driver_load", "driver_name", "C:/x/RTCore64.sys", "disk.sys"),
+    ("rmm_tool_abuse", "rmm_tool", "tool", "AnyDesk portable", "mstsc"), ("cloud_exfil", "cloud_exfil", "", "", ""), ("esxi_ransomware", "ransomware_esxi", "", "", ""), ("kerberoasting", "cred_dump", "reason", "kerberoast", "lsass"),
+    ("lolbin_proxy_exec", "lolbin", "binary", "regsvr32.exe /s", "calc.exe"), ("persistence_mechanisms", "persistence", "reason", "wmi_subscription", "run_key"), ("mfa_fatigue", "mfa_fatigue", "", "", ""),
+]
+
+
+@query(f"""{T}, r AS (SELECT * FROM (VALUES {", ".join(f"({n}, '{rule}', {str(bool(field)).lower()})" for n, (rule, _, field, *_) in enumerate(_FIRING))}) v(n, rule, decided))
+SELECT event_id, rule FROM t JOIN r ON k % 15 = n WHERE NOT decided OR event_id % 2 = 0""")
+def sigma_pack(spark, sf_dir):
+    n, fires = (F.col("k") % 15).cast("int"), F.col("event_id") % 2 == 0
+    each = F.array(*[F.struct(F.lit(kind).alias("event_type"), F.lit(field).alias("field"), F.lit(yes).alias("yes"), F.lit(no).alias("no")) for _, kind, field, yes, no in _FIRING])
+    t = telemetry(spark, sf_dir).select("event_id", F.get(each, n).alias("e"), fires.alias("fires")).select("event_id", "e.*", "fires")
+    said = F.when(F.col("fires"), F.col("yes")).otherwise(F.col("no"))
+
+    def field(name: str) -> F.Column:
+        if name == "event_type":
+            return F.col("event_type")
+        return F.when(F.lit(name) == F.concat(F.lit("details."), F.col("field")), said)
+
+    return rules.firing(t, rules.SIGMA_PACK, lambda r: rules.sigma(r, field)).select("event_id", "rule")
+
+
+@query("SELECT event_id, 'packed_pe' AS rule, '0' AS mz, '962' AS pe FROM events WHERE event_id % 7 = 0")
+def packed_programs(spark, sf_dir):
+    # a program's marks around bytes without order, or without them, or around order
+    noise = F.unhex(F.concat(*[F.sha2(F.concat(F.col("event_id").cast("string"), F.lit(f"-{n}")), 256) for n in range(30)]))
+    n = F.col("event_id") % 7
+    data = F.concat(F.when(n == 1, F.lit(b"ZM")).otherwise(F.lit(b"MZ")), F.when(n == 2, F.repeat(F.lit("a"), 960).cast("binary")).otherwise(noise), F.when(n > 2, F.lit(b"EP\x00\x00")).otherwise(F.lit(b"PE\x00\x00")))
+    files = read(spark, sf_dir, "events").select("event_id", data.alias("data"))
+    found = rules.scan(files, [r for r in rules.BYTE_RULES if r["title"] == "packed_pe"], F.col("data"))
+    return found.select("event_id", "rule", F.get(F.col("offsets")["mz"], F.lit(0)).cast("string").alias("mz"), F.get(F.col("offsets")["pe"], F.lit(0)).cast("string").alias("pe"))
+
+
 # -- names ----------------------------------------------------------------------------------
 
 

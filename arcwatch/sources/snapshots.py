@@ -100,6 +100,37 @@ def alert_events(findings: DataFrame) -> DataFrame:
     return _event(findings, F.col("us"), "alert", "alert", F.col("severity"), F.col("entity"), F.lit(""), F.col("score"), F.array("finding_type"), F.when(F.col("mitre") == "", "T1486").otherwise(F.col("mitre")))
 
 
+_TIMES = ("timestamp", "ts", "time", "@timestamp", "first_seen")
+_ITEM = "struct<" + ",".join(f"`{c}`:string" for c in (*_TIMES, "event_type", "severity", "vm_id", "file_path", "hunt_type", "path")) + ",score_delta:int,tags:array<string>,details:struct<path:string,exe:string>,meta:struct<severity:string,mitre:string>>"
+
+
+def json_events(spark: SparkSession, path: str, kind: str = "alert") -> DataFrame:
+    """Timeline events of JSON files of alerts, byte-rule matches (yara) or hunt
+    findings (ioc): a list, or an object that holds one as vms or findings, or
+    is one itself.
+
+    The clock is the first of timestamp, ts, time, @timestamp and first_seen that
+    can be read, else now.  A file that is no JSON has no events.
+    """
+    text = F.col("value")
+    whole = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+    wrapped = F.from_json(text, f"struct<vms:array<{_ITEM}>,findings:array<{_ITEM}>>")
+    single = F.array(F.from_json(text, _ITEM))
+    held = F.when(F.ltrim(text).startswith("["), F.from_json(text, f"array<{_ITEM}>")).when(F.ltrim(text).startswith("{") & F.try_parse_json(text).isNotNull(), F.coalesce(wrapped["vms"], wrapped["findings"], single))
+    rows = whole.select(F.explode(held).alias("i")).select("i.*")
+    seen = F.coalesce(*[F.try_to_timestamp(F.col(f"`{c}`")) for c in _TIMES], F.current_timestamp())
+    us, none = F.unix_micros(seen), F.lit("")
+    severity = F.coalesce(F.col("meta.severity") if kind == "yara" else F.col("severity"), F.lit("medium"))
+    rank = taxonomy.severity_rank(severity) * 15
+    if kind == "yara":
+        return _event(rows, us, "yara", "defense_evasion", severity, none, F.coalesce("file_path", none), rank, F.coalesce("tags", _none()), F.coalesce(F.col("meta.mitre"), none))
+    if kind == "ioc":
+        return _event(rows, us, "ioc", F.coalesce("hunt_type", F.lit("alert")), severity, none, F.coalesce("path", none), rank, F.array(F.lit("ioc")), none)
+    event = F.coalesce("event_type", F.lit("alert"))
+    target = F.coalesce(F.nullif(F.col("details.path"), none), F.col("details.exe"), none)
+    return _event(rows, us, "alert", "alert", severity, F.coalesce("vm_id", none), target, F.coalesce("score_delta", F.lit(0)), F.array(event))
+
+
 def chronological() -> list[Column]:
     return [F.asc("us"), F.asc("source"), F.asc("target")]
 

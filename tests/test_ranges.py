@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arcwatch.operators import hosts
-from arcwatch.sources import logs, packets, ranges
+from arcwatch.sources import logs, packets, ranges, snapshots
 
 from .test_security import packet
 
@@ -104,3 +104,25 @@ def test_lines_are_numbered_over_blocks(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert blocks > 5 and len(rows) == 4001
     assert all(int(r["line"].split()[1]) + 1 == r["line_no"] and r["file"].endswith(r["line"].split()[0]) for r in rows)
+
+
+def test_json_sources_with_their_wrappers_and_clocks(spark, tmp_path):
+    import json
+
+    alert = {"ts": "2024-03-05T10:00:00Z", "event_type": "shadow", "severity": "critical", "vm_id": "v1", "score_delta": 40, "details": {"path": "", "exe": "/bin/x"}}
+    (tmp_path / "a.json").write_text(json.dumps([alert, {"time": "no time", "@timestamp": "2024-03-05T11:00:00+01:00"}]))
+    (tmp_path / "b.json").write_text(json.dumps({"vms": [{"first_seen": "2024-03-05T12:00:00Z", "vm_id": "v2", "details": {"path": "/p"}}], "findings": [alert]}))
+    (tmp_path / "c.json").write_text(json.dumps({"findings": [alert | {"timestamp": "2024-03-06T00:00:00Z"}]}))
+    (tmp_path / "d.json").write_text(json.dumps(alert | {"vm_id": "alone"}))
+    (tmp_path / "e.json").write_text("{ no json")
+    got = {(str(r["t"]), r["actor"], r["target"], r["severity"], r["score"], r["tags"][0]) for r in snapshots.json_events(spark, str(tmp_path)).withColumn("t", F.timestamp_micros("us")).collect()}
+    assert got == {
+        ("2024-03-05 10:00:00", "v1", "/bin/x", "critical", 40, "shadow"), ("2024-03-05 10:00:00", "", "", "medium", 0, "alert"), ("2024-03-05 12:00:00", "v2", "/p", "medium", 0, "alert"),
+        ("2024-03-06 00:00:00", "v1", "/bin/x", "critical", 40, "shadow"), ("2024-03-05 10:00:00", "alone", "/bin/x", "critical", 40, "shadow"),
+    }
+    folder = tmp_path / "more"
+    folder.mkdir()
+    (folder / "y.json").write_text(json.dumps([{"ts": "2024-03-05T10:00:00Z", "file_path": "/f", "tags": ["t"], "meta": {"severity": "high", "mitre": "T1027"}}]))
+    assert [(r["category"], r["target"], r["mitre"], r["tags"]) for r in snapshots.json_events(spark, str(folder), "yara").collect()] == [("defense_evasion", "/f", "T1027", ["t"])]
+    (folder / "y.json").write_text(json.dumps({"findings": [{"ts": "2024-03-05T10:00:00Z", "path": "/g", "hunt_type": "persistence", "severity": "low"}]}))
+    assert [(r["category"], r["target"], r["severity"], r["tags"]) for r in snapshots.json_events(spark, str(folder), "ioc").collect()] == [("persistence", "/g", "low", ["ioc"])]
