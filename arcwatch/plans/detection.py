@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import hosts, indicators, lifecycle, network, profiles, rules
 from ..operators.windows import DAY
+from ..sources import frames
 from ..sources.tables import read, telemetry
 from .operations import _NAMES, QUERIES, SQL
 from .security import _PIECES, T, query
@@ -244,3 +245,29 @@ SELECT g.user_id, g.event_id, g.prev, g.k, n_prev, coalesce(n_step, 0) AS n_step
 def profile_new_steps(spark, sf_dir):
     known, later = _profile(spark, sf_dir)
     return profiles.new_steps(known, later, "user_id", "k").select("user_id", "event_id", "prev", "k", "n_prev", "n_step")
+
+
+# -- sealed frames ----------------------------------------------------------------------------
+
+_PROTOCOL = frames.Protocol(b"AW01", b"arcwatch|agent|", b"enc", b"mac")
+
+
+@query(f"""{T}, f AS (SELECT event_id, us, k, 'agent-' || (user_id % 20) AS agent_id, event_id % 9 AS n, '{{"vm_id":"agent-' || CASE WHEN event_id % 9 = 1 THEN 'x' ELSE (user_id % 20)::VARCHAR END || '","k":' || k || '}}' AS payload FROM t),
+e AS (SELECT *, CASE WHEN n IN (2, 3, 4) THEN 'authentication' WHEN n = 5 THEN 'malformed' WHEN n = 6 THEN 'version' WHEN n = 1 THEN 'spoof' WHEN agent_id = 'agent-7' THEN 'agent' END AS error FROM f), a AS (SELECT *, CASE WHEN n IN (1, 2, 3, 4) AND agent_id = 'agent-7' THEN 'agent' ELSE error END AS told FROM e)
+SELECT event_id, CASE WHEN n <> 5 THEN agent_id END AS agent_id, event_id + 1 AS counter, told AS error, CASE WHEN told IS NULL THEN payload END AS payload FROM a""".replace("event_id + 1 AS counter", "CASE WHEN n <> 5 THEN event_id + 1 END AS counter"))
+def sealed_frames(spark, sf_dir):
+    n, agent = F.col("event_id") % 9, _text("agent-", F.col("user_id") % 20)
+    said = F.concat(F.lit('{"vm_id":"agent-'), F.when(n == 1, "x").otherwise((F.col("user_id") % 20).cast("string")), F.lit('","k":'), F.col("k").cast("string"), F.lit("}"))
+    nonce = F.substring(F.unhex(F.sha2(F.col("event_id").cast("string"), 256)), F.lit(1), F.lit(12))
+    sent = telemetry(spark, sf_dir).select("event_id", agent.alias("agent_id"), (F.col("event_id") + 1).alias("counter"), F.unhex(F.lit("41D954FC40000000")).alias("clock_bits"), nonce.alias("nonce"), said.alias("payload"))
+    made = frames.sealed(sent, _PROTOCOL, b"a secret of the queries", F.when(F.col("event_id") % 2 == 0, frames.GCM).otherwise(frames.STREAM)).select("event_id", "frame")
+    # one bit of a frame's text or mark is changed, or its version; or it is cut
+    length = F.octet_length("frame")
+    place = F.when(n == 2, length - 40).when(n == 3, length).when(n == 4, length - 20).otherwise(5)
+    byte = F.conv(F.hex(F.substring("frame", place, F.lit(1))), 16, 10).cast("int").bitwiseXOR(F.lit(1))
+    changed = F.concat(F.substring("frame", F.lit(1), place - 1), F.unhex(F.lpad(F.hex(byte), 2, "0")), F.substring("frame", place + 1, length))
+    came = made.withColumn("frame", F.when(n.isin(2, 3, 4, 6), changed).when(n == 5, F.substring("frame", F.lit(1), F.lit(6))).otherwise(F.col("frame")))
+    known = [f"agent-{i}" for i in range(20) if i != 7]
+    out = frames.opened(came, _PROTOCOL, b"a secret of the queries", known, F.lit(1_700_000_050.0))
+    whole = F.col("event_id") % 9 != 5
+    return out.select("event_id", F.when(whole, F.col("agent_id")).alias("agent_id"), F.when(whole, F.col("counter")).alias("counter"), "error", "payload")

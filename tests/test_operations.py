@@ -198,7 +198,7 @@ def test_needed_texts_lose_no_log_line(spark):
     ]
     df = spark.createDataFrame([(x,) for x in lines], "line string")
     got = {(r["line"], r["rule"]) for r in rules.log_rules(df).collect()}
-    plain = rules.firing(df, [{"title": n, "p": p} for n, p, *_ in rules.LOG_RULES], lambda r: F.col("line").rlike(f"(?i){r['p']}"), facts=())
+    plain = rules.firing(df, [{"title": n, "p": p.replace("(?P<", "(?<")} for n, p, *_ in rules.LOG_RULES], lambda r: F.col("line").rlike(f"(?i){r['p']}"), facts=())
     assert got == {(r["line"], r["rule"]) for r in plain.select("line", "rule").collect()}
     assert {r for _, r in got} == {n for n, *_ in rules.LOG_RULES}
 
