@@ -188,6 +188,7 @@ def _features(words: Words, model: dict) -> np.ndarray:
 def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
     """Weights of the columns of x and the intercept, by Newton steps with a
     little ridge."""
+    x = x[:, None] if x.ndim == 1 else x
     design = np.concatenate([x, np.ones((len(x), 1))], 1)
     w = np.zeros(design.shape[1])
     for _ in range(steps):
