@@ -161,14 +161,14 @@ r(service, n, roles, active, state, was, heir) AS (
   SELECT service, n, CASE WHEN healed THEN list_transform(roles, lambda v, i: CASE WHEN i = rank + 1 THEN 1 ELSE v END) ELSE list_transform(roles, lambda v, i: CASE WHEN i = rank + 1 THEN 2 WHEN i = heir + 1 THEN 0 ELSE v END) END,
     coalesce(heir, active), CASE WHEN healed AND state IN (1, 2) AND (active = rank OR roles[active + 1] <> 2) THEN 3 WHEN healed OR roles[rank + 1] <> 0 THEN state WHEN heir IS NULL THEN 2 ELSE 1 END, roles[rank + 1], heir
   FROM (SELECT o.service, o.n, o.rank, o.healed, r.roles, r.active, r.state, CASE WHEN NOT o.healed AND r.roles[o.rank + 1] = 0 THEN list_position(r.roles, 1) - 1 END::INTEGER AS heir FROM r JOIN o ON o.service = r.service AND o.n = r.n + 1))
-SELECT o.service, o.vm_id, o.us, o.event_id, CASE WHEN healed THEN 'rejoined' ELSE 'compromised' END AS kind, ['ACTIVE', 'STANDBY', 'CURING'][was + 1] AS role_before, h.vm_id AS promoted, ['HEALTHY', 'DEGRADED', 'NO_STANDBY', 'RESTORED'][state + 1] AS state
+SELECT o.service, o.vm_id, o.us, o.event_id, CASE WHEN healed THEN 'rejoined' ELSE 'compromised' END AS kind, ['ACTIVE', 'STANDBY', 'CURING'][was + 1] AS role_before, coalesce(h.vm_id, -1) AS promoted, ['HEALTHY', 'DEGRADED', 'NO_STANDBY', 'RESTORED'][state + 1] AS state
 FROM r JOIN o ON r.service = o.service AND r.n = o.n LEFT JOIN s h ON h.service = r.service AND h.rank = r.heir""")
 def failover_log(spark, sf_dir):
     t = telemetry(spark, sf_dir)
     services = t.select(_text("svc", F.expr("user_id div 3")).alias("service"), F.col("user_id").alias("vm_id"), (F.col("user_id") % 3).alias("rank")).distinct()
     whole = services.groupBy("service").agg(F.count("*").alias("n")).filter("n = 3").select("service")
     lost = t.filter("event_type = 'error'").select(F.col("user_id").alias("vm_id"), "us", "event_id")
-    return lifecycle.failover_log(lost, services.join(whole, "service"), _CURE)
+    return lifecycle.failover_log(lost, services.join(whole, "service"), _CURE).withColumn("promoted", F.coalesce("promoted", F.lit(-1)))
 
 
 # -- lookups --------------------------------------------------------------------------------
@@ -254,7 +254,7 @@ _PROTOCOL = frames.Protocol(b"AW01", b"arcwatch|agent|", b"enc", b"mac")
 
 @query(f"""{T}, f AS (SELECT event_id, us, k, 'agent-' || (user_id % 20) AS agent_id, event_id % 9 AS n, '{{"vm_id":"agent-' || CASE WHEN event_id % 9 = 1 THEN 'x' ELSE (user_id % 20)::VARCHAR END || '","k":' || k || '}}' AS payload FROM t),
 e AS (SELECT *, CASE WHEN n IN (2, 3, 4) THEN 'authentication' WHEN n = 5 THEN 'malformed' WHEN n = 6 THEN 'version' WHEN n = 1 THEN 'spoof' WHEN agent_id = 'agent-7' THEN 'agent' END AS error FROM f), a AS (SELECT *, CASE WHEN n IN (1, 2, 3, 4) AND agent_id = 'agent-7' THEN 'agent' ELSE error END AS told FROM e)
-SELECT event_id, CASE WHEN n <> 5 THEN agent_id END AS agent_id, event_id + 1 AS counter, told AS error, CASE WHEN told IS NULL THEN payload END AS payload FROM a""".replace("event_id + 1 AS counter", "CASE WHEN n <> 5 THEN event_id + 1 END AS counter"))
+SELECT event_id, CASE WHEN n <> 5 THEN agent_id END AS agent_id, event_id + 1 AS counter, told AS error, CASE WHEN told IS NULL THEN payload END AS payload FROM a""".replace("event_id + 1 AS counter", "CASE WHEN n <> 5 THEN event_id + 1 ELSE -1 END AS counter"))
 def sealed_frames(spark, sf_dir):
     n, agent = F.col("event_id") % 9, _text("agent-", F.col("user_id") % 20)
     said = F.concat(F.lit('{"vm_id":"agent-'), F.when(n == 1, "x").otherwise((F.col("user_id") % 20).cast("string")), F.lit('","k":'), F.col("k").cast("string"), F.lit("}"))
@@ -270,4 +270,4 @@ def sealed_frames(spark, sf_dir):
     known = [f"agent-{i}" for i in range(20) if i != 7]
     out = frames.opened(came, _PROTOCOL, b"a secret of the queries", known, F.lit(1_700_000_050.0))
     whole = F.col("event_id") % 9 != 5
-    return out.select("event_id", F.when(whole, F.col("agent_id")).alias("agent_id"), F.when(whole, F.col("counter")).alias("counter"), "error", "payload")
+    return out.select("event_id", F.when(whole, F.col("agent_id")).alias("agent_id"), F.when(whole, F.col("counter")).otherwise(-1).alias("counter"), "error", "payload")
