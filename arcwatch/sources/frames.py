@@ -1,4 +1,4 @@
-"""Sealed frames of agents, opened with Columns alone.
+"""Sealed frames of agents, opened and made with Columns.
 
 A frame, big-endian: magic (4 bytes), version, mode, length of the agent's name,
 name, counter (8), clock (8, a double of Unix seconds), nonce (12), length of the
@@ -8,21 +8,22 @@ AES-256-GCM; mode 2 is a stream of HMAC-SHA256 blocks over nonce and block numbe
 with an HMAC-SHA256 of header and text behind it.  Keys are an agent's own, by
 HKDF-SHA256 from the master secret.
 
-HMAC is two SHA-256 over a padded key; keys that vary by row are padded on their
-hex digits, and bytes are combined seven at a time as numbers.
+Headers, keys, tests and mode 1 are Columns; the stream of mode 2 is hashed and
+combined row by row in Arrow batches, so the work grows with a frame's length.
 """
 
 from __future__ import annotations
 
 import hashlib
 import hmac
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_DIGITS = "0123456789ABCDEF"
 GCM, STREAM = 1, 2
 
 
@@ -38,22 +39,6 @@ class Protocol:
     skew_s: float = 120.0
 
 
-def _turned(digit: int) -> str:
-    """All hex digits combined with one."""
-    return "".join(_DIGITS[d ^ digit] for d in range(16))
-
-
-def _pad(key: Column, byte: int) -> Column:
-    """A key of 32 bytes, filled with zeros to 64, combined with one byte."""
-    digits = F.hex(key)
-    high, low = _turned(byte >> 4), _turned(byte & 15)
-
-    def pair(i: Column) -> Column:
-        return F.concat(F.translate(F.substring(digits, 2 * i + 1, F.lit(1)), _DIGITS, high), F.translate(F.substring(digits, 2 * i + 2, F.lit(1)), _DIGITS, low))
-
-    return F.unhex(F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), pair), ""), F.lit(f"{byte:02X}" * 32)))
-
-
 def _sha(data: Column) -> Column:
     return F.unhex(F.sha2(data, 256))
 
@@ -74,24 +59,35 @@ def _number(value: Column, size: int) -> Column:
     return F.unhex(F.lpad(F.hex(value), 2 * size, "0"))
 
 
-def _combined(a: Column, b: Column) -> Column:
-    """Two binaries of one length, bit by bit."""
-    x, y = F.hex(a), F.hex(b)
+def _combined(text: bytes, key: bytes, nonce: bytes) -> bytes:
+    """The text combined, bit by bit, with as much of the key's stream."""
+    blocks = b"".join(hmac.digest(key, nonce + i.to_bytes(4, "big"), "sha256") for i in range(-(-len(text) // 32)))
+    return (int.from_bytes(text, "big") ^ int.from_bytes(blocks[: len(text)], "big")).to_bytes(len(text), "big")
+
+
+def _with_streams(rows: DataFrame, work: Callable[..., bytes | None], out: str, body: str) -> DataFrame:
+    """rows whose column out is work on keys, nonce, header and body, where there
+    is a body; it ends a plan, so that what is read often is not written out again."""
+    names = [body, "_enc", "_mac", "nonce", "_head", out]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = zip(*(batch.column(n).to_pylist() for n in names))
+            made = [old if data is None else work(*given, data) for data, *given, old in columns]
+            yield batch.set_column(batch.schema.get_field_index(out), out, pa.array(made, batch.schema.field(out).type))
+
+    return rows.mapInArrow(run, rows.schema)
 
-    def part(i: Column) -> Column:
-        one, two = F.substring(x, 14 * i + 1, F.lit(14)), F.substring(y, 14 * i + 1, F.lit(14))
-        both = F.conv(one, 16, 10).cast("long").bitwiseXOR(F.conv(two, 16, 10).cast("long"))
-        return F.lpad(F.hex(both), F.length(one), F.lit("0"))
 
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.length(x) - 1) / 14).cast("int")), part)
-    return F.when(F.length(x) == 0, F.lit(b"")).otherwise(F.unhex(F.array_join(parts, "")))
+def _sealed(enc: bytes, mac: bytes, nonce: bytes, head: bytes, text: bytes) -> bytes:
+    hidden = _combined(text, enc, nonce)
+    return hidden + hmac.digest(mac, head + hidden, "sha256")
 
 
-def _stream(key: Column, nonce: Column, size: Column) -> Column:
-    """So many bytes of the key's stream."""
-    inner, outer = _pad(key, 0x36), _pad(key, 0x5C)
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((size - 1) / 32).cast("int"))), lambda i: F.hex(_hmac(inner, outer, F.concat(nonce, _number(i, 4)))))
-    return F.unhex(F.left(F.array_join(blocks, ""), 2 * size))
+def _opened(enc: bytes, mac: bytes, nonce: bytes, head: bytes, body: bytes) -> bytes | None:
+    hidden, tag = body[:-32], body[-32:]
+    fine = len(body) >= 32 and hmac.compare_digest(hmac.digest(mac, head + hidden, "sha256"), tag)
+    return _combined(hidden, enc, nonce) if fine else None
 
 
 def _clock(bits: Column) -> Column:
@@ -118,7 +114,7 @@ def opened(frames: DataFrame, protocol: Protocol, master: bytes, agents: list[st
     base = F.col("_size") + 8
     rows = rows.withColumns({
         "agent_id": F.when(F.is_valid_utf8(F.col("_id").cast("string")), F.col("_id").cast("string")), "counter": number(at(base, 8)), "clock": _clock(at(base + 8, 8)), "nonce": at(base + 16, 12),
-        "_header": at(F.lit(1), base + 27), "_held": number(at(base + 28, 4)), "_mode": number(at(F.lit(6), 1)), "_version": number(at(F.lit(5), 1)),
+        "_head": at(F.lit(1), base + 27), "_held": number(at(base + 28, 4)), "_mode": number(at(F.lit(6), 1)), "_version": number(at(F.lit(5), 1)),
     })
     rows = rows.withColumn("_sealed", at(F.col("_size") + 40, F.col("_held").cast("int")))
     # keys once a row, and no work where the header already fails
@@ -131,13 +127,11 @@ def opened(frames: DataFrame, protocol: Protocol, master: bytes, agents: list[st
     tests.append((~F.col("_mode").isin(GCM, STREAM), "mode"))
     early = reduce(lambda out, t: F.when(t[0], t[1]).otherwise(out), reversed(tests), F.lit(None).cast("string"))
     rows = rows.withColumn("_early", early).withColumns({k: F.when(F.col("_early").isNull(), agent_key(master, salt, protocol.info, F.col("agent_id"))) for k, salt in (("_enc", protocol.enc_salt), ("_mac", protocol.mac_salt))})
-    gcm = F.try_aes_decrypt(F.concat("nonce", "_sealed"), F.col("_enc"), F.lit("GCM"), F.lit("DEFAULT"), F.col("_header"))
-    length = F.greatest(F.octet_length("_sealed") - 32, F.lit(0))
-    text = F.substring(F.col("_sealed"), F.lit(1), length)
-    tag = _hmac(_pad(F.col("_mac"), 0x36), _pad(F.col("_mac"), 0x5C), F.concat("_header", text))
-    fine = (F.octet_length("_sealed") >= 32) & (F.concat(text, tag) == F.col("_sealed"))
-    plain = F.when(F.col("_mode") == GCM, gcm).when(fine, _combined(text, _stream(F.col("_enc"), F.col("nonce"), length)))
-    rows = rows.withColumn("_plain", F.when(F.col("_early").isNull(), plain)).withColumn("payload", F.col("_plain").cast("string"))
+    gcm = F.try_aes_decrypt(F.concat("nonce", "_sealed"), F.col("_enc"), F.lit("GCM"), F.lit("DEFAULT"), F.col("_head"))
+    good = F.col("_early").isNull()
+    rows = rows.withColumns({"_plain": F.when(good & (F.col("_mode") == GCM), gcm), "_stream": F.when(good & (F.col("_mode") == STREAM), F.col("_sealed"))})
+    rows = _with_streams(rows.select(*frames.columns, "agent_id", "counter", "clock", "nonce", "_early", "_enc", "_mac", "_head", "_plain", "_stream"), _opened, "_plain", "_stream")
+    rows = rows.withColumn("payload", F.col("_plain").cast("string"))
     claimed = F.get_json_object("payload", "$.vm_id")
     late = F.when(F.col("_plain").isNull(), "authentication").when(F.try_parse_json("payload").isNull(), "payload").when(claimed != F.col("agent_id"), "spoof")
     rows = rows.withColumn("error", F.coalesce("_early", late))
@@ -167,8 +161,6 @@ def sealed(rows: DataFrame, protocol: Protocol, master: bytes, mode: Column, clo
     gcm = F.aes_encrypt(F.col("_text"), F.col("_enc"), F.lit("GCM"), F.lit("DEFAULT"), F.col("nonce"), F.col("_head"))
     # the cipher puts its nonce first, which the header has already
     gcm = F.substring(gcm, F.lit(13), F.octet_length(gcm))
-    stream = _combined(F.col("_text"), _stream(F.col("_enc"), F.col("nonce"), F.octet_length("_text")))
-    made = made.withColumn("_stream", stream)
-    tagged = F.concat("_stream", _hmac(_pad(F.col("_mac"), 0x36), _pad(F.col("_mac"), 0x5C), F.concat("_head", "_stream")))
-    made = made.withColumn("_body", F.when(mode == GCM, gcm).otherwise(tagged))
-    return made.withColumn("frame", F.concat("_head", _number(F.octet_length("_body"), 4), F.col("_body"))).drop("_head", "_text", "_enc", "_mac", "_stream", "_body")
+    made = made.withColumns({"_body": F.when(mode == GCM, gcm), "_stream": F.when(mode == GCM, F.lit(None)).otherwise(F.col("_text"))}).drop("_text")
+    made = _with_streams(made, _sealed, "_body", "_stream")
+    return made.withColumn("frame", F.concat("_head", _number(F.octet_length("_body"), 4), F.col("_body"))).drop("_head", "_enc", "_mac", "_stream", "_body")

@@ -6,6 +6,7 @@ import hashlib
 import hmac
 import json
 import struct
+import time
 
 from pyspark.sql import functions as F
 
@@ -88,3 +89,12 @@ def test_both_modes_round_trip(spark):
     assert back.filter("error is null and payload = text and counter = at and clock = at + 5.5").count() == 40
     other = frames.opened(sent.select("frame"), PROTOCOL, b"another secret")
     assert {r["error"] for r in other.collect()} == {"authentication"}
+
+
+def test_work_grows_with_the_length_of_a_frame(spark):
+    text = json.dumps({"vm_id": "vm", "x": "y" * 100_000}).encode()
+    raw = [plain_frame("vm", n, 1000.0, bytes([n] * 12), text) for n in range(20)]
+    began = time.monotonic()
+    got = read(spark, raw)
+    assert time.monotonic() - began < 60
+    assert all(r["error"] is None and r["payload"] == text.decode() for r in got.values())
