@@ -116,6 +116,6 @@ def within_osa(a: Column, b: Column, limit: int) -> Column:
         F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1))),
         lambda i: F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, F.length(a))),
     )
-    plain = F.levenshtein(a, b)
+    plain = F.levenshtein(a, b, 4)  # -1 above four
     swapped = 1 + F.array_min(F.transform(swaps, lambda s: F.levenshtein(s, b)))
-    return F.when(plain <= 4, F.least(plain, swapped).between(1, limit)).otherwise(False)
+    return F.when(plain >= 0, F.least(plain, swapped).between(1, limit)).otherwise(False)

@@ -67,9 +67,11 @@ def look_alikes(dns: DataFrame, brands: list[str] | None = None) -> DataFrame:
     brands = brands or WATCHLIST
     names = dns.select(F.rtrim(F.lower("qname"), F.lit(".")).alias("name")).distinct().filter(~F.col("name").isin(brands))
     plain = text.normalise_homoglyphs(F.col("name"))
-    near = F.coalesce(*[F.when((F.abs(F.length("name") - len(b)) <= 2) & text.within_osa(F.col("name"), F.lit(b), 2), F.lit(b)) for b in brands])
-    found = names.withColumn("homoglyph", plain.isin(brands)).withColumn("brand", F.when(F.col("homoglyph"), plain).otherwise(near))
-    return found.filter("brand is not null")
+    # a test on the name alone would be pushed below distinct, to every record
+    pairs = names.select("name", F.posexplode(F.array(*map(F.lit, brands))).alias("at", "brand"))
+    close = (F.abs(F.length("name") - F.length("brand")) <= 2) & text.within_osa(F.col("name"), F.col("brand"), 2)
+    first = pairs.filter(F.when(plain.isin(brands), F.col("brand") == plain).otherwise(close)).groupBy("name").agg(F.min("at").alias("at"))
+    return first.select("name", plain.isin(brands).alias("homoglyph"), F.get(F.array(*map(F.lit, brands)), F.col("at")).alias("brand"))
 
 
 def port_scans(packets: DataFrame) -> DataFrame:

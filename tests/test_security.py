@@ -243,6 +243,15 @@ def test_dns_detectors(spark):
     assert rows(network.generated_domains(df, ["^th"]), "qname") == [("xkqzvbnrtwplfmgd.com",)]
 
 
+def test_look_alikes_compare_a_name_once(spark):
+    df = spark.createDataFrame([("paypa1.com",), ("PAYPA1.com.",), ("rnicrosoft.com",), ("github.com",), ("gmial.com",), (None,)], "qname string")
+    found = network.look_alikes(df)
+    assert rows(found, "name", "brand", "homoglyph") == [("gmial.com", "gmail.com", False), ("paypa1.com", "paypal.com", False), ("rnicrosoft.com", "microsoft.com", True)]
+    # distances are taken above the last aggregate, which makes names distinct
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")
+    assert "levenshtein" in "".join(plan[:-1]) and "levenshtein" not in plan[-1]
+
+
 def test_exposures_compare_versions(spark):
     df = spark.createDataFrame([("a", 22, "SSH", "OpenSSH_9.3p1"), ("b", 22, "SSH", "OpenSSH_9.6"), ("c", 80, "HTTP", "nginx/1.25.3"), ("d", 80, "HTTP", "nginx/1.9.9"), ("e", 23, "Telnet", "")], "host string, port int, service string, banner string")
     assert rows(network.exposures(df), "host", "cve") == [("a", "CVE-2024-6387"), ("d", "CVE-2023-44487"), ("e", "INFO-CLEARTEXT")]
