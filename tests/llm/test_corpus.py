@@ -830,3 +830,18 @@ def test_repeated_words_meet_on_stretches_of_diagonals(monkeypatch):
     index = decontamination.build_index(pa.array([1]), pa.array(["a " * 400]))
     for _, _, data, offs in kernels.pieces(pa.array(["a " * 100_000])):
         assert len(decontamination.overlaps(kernels.Words(data, offs, kernels.PUNCTUATION), index)) == 100_000 + 400 - 25
+
+
+def test_language_model_kernels_give_plain_sums():
+    rng = np.random.default_rng(3)
+    rows, values = rng.integers(0, 50, 1000), rng.normal(size=(1000, 3))
+    keys, sums = language_model._scatter(rows, values)
+    assert list(keys) == sorted(set(rows)) and np.allclose(sums, [values[rows == k].sum(0) for k in keys])
+    # small products, and products whose exponential would overflow
+    for scale in (0.1, 1e3):
+        q, vectors, bias = (rng.normal(0, scale, shape).astype(np.float32) for shape in ((1500, 4), (9, 4), 9))
+        plain = np.minimum((q @ vectors.T + bias).astype(float), float(language_model.LARGEST))
+        with np.errstate(divide="ignore"):
+            got, want = language_model._log_sums(q, vectors, bias), np.log(np.exp(plain).sum(1))
+        far = want < -80
+        assert np.allclose(got[~far], want[~far], atol=1e-3)
